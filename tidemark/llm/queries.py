@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import crc_mod
+from tidemark.llm.decontam import contaminated
+from tidemark.llm.langid import fit_languages, identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.toxicity import learn_lexicon, score_toxicity
 from tidemark.llm.urlfilter import judge_urls
 from tidemark.ship import ship
 
@@ -20,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out")
+    lexicon = learn_lexicon(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    return score_toxicity(docs, lexicon).select("doc_id", held_out, "score", "predicted")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched", "window")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -33,8 +48,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
+    held_out = (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "margin", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filters, op5_simhash, op6_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_url_filters, op5_simhash, op6_mixing, op10_language_id)}
 
 
 OP4_SQL = r"""
@@ -84,5 +106,26 @@ FROM cut
 """
 
 
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+items AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS b FROM benchmark),
+masks(k, o, span) AS (VALUES (0, [0, 2, 4, 7, 8], 9), (1, [0, 1, 2, 3, 7], 8)),
+at_doc AS (SELECT *, unnest(range(0, len(w) - 7)) AS i FROM words),
+doc_seeds AS (SELECT doc_id, text, w, i, k, list_transform(o, lambda x: w[i + x + 1]) AS s FROM at_doc, masks WHERE i + span <= len(w)),
+at_item AS (SELECT *, unnest(range(0, len(b) - 7)) AS j FROM items),
+item_seeds AS (SELECT item_id, b, j, k, list_transform(o, lambda x: b[j + x + 1]) AS s FROM at_item, masks WHERE j + span <= len(b)),
+hits AS (
+  SELECT DISTINCT d.doc_id, d.text, d.w, i.item_id, i.b, d.i - i.j AS off, i.j, least(20, len(i.b)) AS len_
+  FROM doc_seeds d JOIN item_seeds i USING (k, s)),
+starts AS (SELECT *, unnest(range(greatest(0, j + 8 - len_), least(j, len(b) - len_) + 1)) AS s FROM hits),
+sums AS (
+  SELECT doc_id, text, item_id, len_, list_sum(list_transform(range(s, s + len_), lambda t: CASE WHEN off + t >= 0 AND off + t < len(w) AND w[off + t + 1] = b[t + 1] THEN 1 ELSE 0 END)) AS m FROM starts)
+SELECT doc_id, item_id, max(m)::INT AS matched, max(len_)::INT AS "window"
+FROM sums WHERE m >= ceil(len_ * 0.8::DOUBLE) GROUP BY doc_id, text, item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL, "op6_mixing": OP6_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_mixing": OP6_SQL}
