@@ -12,6 +12,7 @@ from tidemark.llm.decontam import contaminated
 from tidemark.llm.langid import fit_languages, identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.subtree import remove_repeats
 from tidemark.llm.toxicity import learn_lexicon, score_toxicity
 from tidemark.llm.urlfilter import judge_urls
 from tidemark.ship import ship
@@ -48,6 +49,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=20, digest=True)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_languages(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
@@ -56,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_url_filters, op5_simhash, op6_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_url_filters, op5_simhash, op6_mixing, op7_substring_dedup, op10_language_id)}
 
 
 OP4_SQL = r"""
