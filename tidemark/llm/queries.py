@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ann import nearest
 from tidemark.llm.common import crc_mod
 from tidemark.llm.decontam import contaminated
 from tidemark.llm.langid import fit_languages, identify
+from tidemark.llm.lm import count_words, fit_lm, score_documents
 from tidemark.llm.mixing import mix
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.sparse import find_repeats
 from tidemark.llm.subtree import remove_repeats
 from tidemark.llm.toxicity import learn_lexicon, score_toxicity
 from tidemark.llm.urlfilter import judge_urls
@@ -36,6 +39,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched", "window")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = docs.where(crc_mod(F.col("doc_id"), 7) != 2)
+    counts = count_words(learned)
+    held_out = (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out")
+    return score_documents(docs, fit_lm(learned, counts), counts).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -53,6 +64,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=20, digest=True)
 
 
+def op8_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_languages(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
@@ -61,7 +81,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_url_filters, op5_simhash, op6_mixing, op7_substring_dedup, op10_language_id)}
+    found = (
+        op1_toxicity, op2_decontamination, op3_lm_scoring, op4_url_filters, op5_simhash,
+        op6_mixing, op7_substring_dedup, op8_sparse_suffix_dedup, op9_nearest_neighbours, op10_language_id,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP4_SQL = r"""

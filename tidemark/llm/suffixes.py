@@ -30,7 +30,8 @@ class Chunk:
     """Documents in order of doc_id and their words.
 
     ``ids``, ``rows``: doc_id (null: the least long) and row hash of each document; ``first``:
-    index of its first word, with the number of words as the last; ``codes``: a 64-bit code a word.
+    index of its first word, with the number of words as the last; ``codes``: a 64-bit code a word,
+    never 0; ``endings``: its last two bytes.
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, texts: list[bytes]) -> None:
@@ -45,6 +46,7 @@ class Chunk:
         self.first = np.searchsorted(starts, at)
         self.codes = self._hash(raw, starts, ends - starts)
         self.words = len(starts)
+        self.endings = a[ends - 1].astype(np.int32) | np.where(ends - starts > 1, a[ends - 2], 0).astype(np.int32) << 8
 
     @staticmethod
     def _hash(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -58,7 +60,7 @@ class Chunk:
             left, k = left[s > 8], k + 8
         for i in np.flatnonzero(sizes > _LONG):
             h[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]], 7)
-        return h
+        return np.maximum(h, np.uint64(1))
 
     def doc_of(self) -> np.ndarray:
         """Index of the document of each word."""
