@@ -16,13 +16,22 @@ from tidemark.llm.common import binary_text, kept
 from tidemark.llm.components import connected_components
 
 
-def fingerprint(raw: bytes, width: int, seed: int = 42) -> bytes:
-    """64-bit SimHash of a UTF-8 text as 8 big-endian bytes; no words give zero."""
+def shingles(words: list[bytes], width: int) -> list[bytes]:
+    """Runs of ``width`` words, space-joined; fewer words give one shorter run."""
+    return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else [b" ".join(words)]
+
+
+def fingerprint(raw: bytes, width: int, seed: int = 42, distinct: bool = False) -> bytes:
+    """64-bit SimHash of a UTF-8 text as 8 big-endian bytes; no words give zero.
+
+    ``distinct`` counts each shingle once.
+    """
     words = raw.lower().split()
     if not words:
         return bytes(8)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    digests = b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed)))
+    runs = shingles(words, width)
+    runs = set(runs) if distinct else runs
+    digests = b"".join(map(xxhash.xxh64_digest, runs, repeat(seed)))
     bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes()
 
@@ -108,6 +117,11 @@ def links(distinct: DataFrame, distance: int, *, blocks: int | None = None, pair
     return pairs.unionByName(many.groupBy("c", "key", "lo", "hi").applyInPandas(_forest(distance), "u long, v long"))
 
 
+def _fp_components(nodes: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
+    """``(fp, root)`` for the linked ones of ``nodes(fp)``."""
+    return connected_components(links(nodes.select("fp"), distance, blocks=blocks)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, seed: int = 42) -> DataFrame:
     """One row a document: ``doc_id, fp, fingerprint, component_id``.
 
@@ -120,9 +134,91 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, seed:
     """
     rows = kept(fingerprints(docs, width, seed), "fingerprints")
     nodes = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), distance))
-    named = roots.withColumnRenamed("node", "fp").join(nodes, "fp")
+    named = _fp_components(nodes, distance).join(nodes, "fp")
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = named.select("fp", "root").join(groups, "root").select("fp", "component")
     whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return rows.join(whole, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, hash of the row, SimHash of the distinct words, hash of the lower-cased words."""
+    for b in batches:
+        raw = [x.as_py().lower() for x in b.column(2)]
+        fps = np.frombuffer(b"".join(fingerprint(x, 1, distinct=True) for x in raw), ">i8").astype(np.int64)
+        own = np.frombuffer(b"".join(xxhash.xxh64_digest(b" ".join(x.split()), 7) for x in raw), ">i8").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array(own)], names=["doc_id", "row", "fp", "words"])
+
+
+def _similar(width: int, similarity: float):
+    """Group function: spanning links among texts whose shingle sets have that Jaccard similarity.
+
+    A text that was reached is compared with those not reached yet, through an index of their
+    shingles; copies of one original are reached at once and never compared with each other.
+    """
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        sets = [np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles(t.lower().split(), width)], np.uint64)) for t in pdf["text"]]
+        nodes, sizes = pdf["node"].to_numpy(np.int64), np.array([len(s) for s in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        left, out, queue = np.ones(len(sets), bool), [], []
+        while queue or left.any():
+            if not queue:
+                queue = [int(np.argmax(left))]
+                left[queue[0]] = False
+            x = queue.pop()
+            if 2 * left.sum() < len(np.unique(owner)):  # index only those that are left
+                own = left[owner]
+                every, owner = every[own], owner[own]
+            lo, hi = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
+            at = np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero(left & (common >= similarity * (sizes + sizes[x] - common) - 1e-9))
+            left[near] = False
+            queue += near.tolist()
+            out.append(np.column_stack([np.full(len(near), nodes[x]), nodes[near]]))
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["u", "v"])
+
+    return of
+
+
+def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 6, chunk: int = 2048) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the smallest doc_id stays.
+
+    Two texts are near duplicates when their sets of ``width``-word shingles, A-Z lower-cased, have
+    a Jaccard similarity of ``similarity`` or more; groups are the connected components.  SimHash
+    fingerprints of the distinct words propose: those within ``distance`` bits meet in a block.
+    Fingerprints of longer shingles would differ in up to 17 bits at that similarity, too many for
+    blocks.  Each component of proposals is then checked exactly on its texts' shingles, in chunks
+    of ``chunk`` texts, pair of chunks by pair of chunks, so a large group meets in bounded tasks.
+
+    Equal texts are one node and never expanded.  Null and empty texts are copies of each other.  A
+    null doc_id counts as the largest.  Of repeated rows one stays; rows that share doc_id and text
+    but differ elsewhere count as repeated.  An empty table gives an empty one.
+    """
+    rows = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), binary_text().alias("text")).mapInArrow(_digests, "doc_id long, row long, fp long, words long"), "digests")
+    texts = kept(
+        rows.groupBy("fp", "words").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("fp", "words", "least", F.monotonically_increasing_id().alias("node")),
+        "texts",
+    )
+    fps = kept(texts.select("fp").distinct(), "fps")
+    roots = _fp_components(fps, distance, blocks_for(max(1, fps.count() >> 6), distance))
+    named = kept(texts.join(roots, "fp", "left").select("node", "least", "words", "fp", F.coalesce("root", "fp").alias("root")), "named")
+    sizes = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("row"), binary_text().alias("text"))
+    asked = named.join(sizes, "root").select("root", "node", F.col("least.row").alias("row"), own.alias("own"), parts.alias("parts"))
+    meet = (
+        whole.join(asked, "row")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
+    )
+    same = connected_components(meet.groupBy("root", "lo", "hi").applyInPandas(_similar(width, similarity), "u long, v long")).select("node", F.col("root").alias("group"))
+    grouped = named.join(same, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    stay = grouped.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
+    picked = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.struct("*").alias("_whole")).join(stay, "_row")
+    return picked.groupBy("_row").agg(F.first("_whole").alias("_whole")).select("_whole.*")
