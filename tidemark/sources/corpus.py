@@ -72,10 +72,10 @@ def read_documents(spark: SparkSession, folder: str, strict: bool = True) -> Dat
         for raw in batches:
             yield pd.DataFrame([parse_document(t) for t in raw], columns=["doc_id", "kind", "title", "effective_from", "recorded_at", "body", "clauses", "error"])
 
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
     docs = files.select(F.col("value").alias("content"), F.sha2(F.col("value").cast("binary"), 256).alias("content_hash"), parsed("value").alias("p")).select("p.*", "content", "content_hash", F.lit(None).cast("date").alias("effective_to"))
     if strict:
-        docs = docs.withColumn("doc_id", F.when(F.col("error").isNotNull(), F.raise_error("error").cast("string")).otherwise(F.col("doc_id")))
+        docs = docs.withColumn("doc_id", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("doc_id")))
     return docs.orderBy("recorded_at", "content_hash")
 
 
