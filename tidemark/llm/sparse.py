@@ -100,7 +100,7 @@ def _found(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarra
     """Packed later copies by block of their document, each with the document of the earliest copy."""
     at = np.flatnonzero(later)
     origin = ids[doc[source[at]]].view(np.uint64)
-    for block, own in by_group(block_of(rows[doc[at]].astype(np.int64) & 0xFFFFFFFF, blocks)):
+    for block, own in by_group(block_of(rows[doc[at]], blocks)):
         yield block, pack(ids, rows, doc[at[own]], starts[at[own]], origin[own])
 
 

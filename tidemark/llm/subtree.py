@@ -108,8 +108,8 @@ def places_of(c: Chunk, idx: np.ndarray, at: np.ndarray, blocks: int) -> Iterato
 
 
 def block_of(rows: np.ndarray, blocks: int) -> np.ndarray:
-    """Block of a row hash, as ``pmod(row, blocks)`` in Spark."""
-    return rows % np.int64(blocks)
+    """Block of a row hash: of its low 32 bits, which is what packed places keep of it."""
+    return (rows.astype(np.int64) & 0xFFFFFFFF) % blocks
 
 
 def repeated_windows(rows: DataFrame, length: int, prefixes: Prefixes, chunk_words: int) -> DataFrame:
@@ -141,7 +141,7 @@ def repeated_windows(rows: DataFrame, length: int, prefixes: Prefixes, chunk_wor
         doc = np.repeat(np.arange(len(ids)), counts)
         later, _ = later_copies(prints, ids[doc], starts)
         at = np.flatnonzero(later)
-        found = [(block, pack(ids, rows_, doc[at[own]], starts[at[own]])) for block, own in by_group((rows_[doc[at]] % groups).astype(np.int64))]
+        found = [(block, pack(ids, rows_, doc[at[own]], starts[at[own]])) for block, own in by_group(block_of(rows_[doc[at]], groups))]
         return pa.table({"block": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
 
     sent = rows.mapInArrow(suffixes, "key long, blob binary")
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, digest: bool = False, g
     docs = docs.drop("n_words", "n_removed")
     names = [] if digest else docs.columns
     picked = docs.select(F.col("doc_id").cast("long").alias("_id"), row_hash().alias("_row"), binary_text().alias("_text"), *([F.struct(*names).alias("_whole")] if names else []))
-    picked = picked.withColumn("_block", F.pmod("_row", F.lit(blocks)))
+    picked = picked.withColumn("_block", F.col("_row").bitwiseAND(F.lit(0xFFFFFFFF)) % blocks)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         found = starts_by_row(right["blob"])
