@@ -117,11 +117,6 @@ def links(distinct: DataFrame, distance: int, *, blocks: int | None = None, pair
     return pairs.unionByName(many.groupBy("c", "key", "lo", "hi").applyInPandas(_forest(distance), "u long, v long"))
 
 
-def _fp_components(nodes: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
-    """``(fp, root)`` for the linked ones of ``nodes(fp)``."""
-    return connected_components(links(nodes.select("fp"), distance, blocks=blocks)).withColumnRenamed("node", "fp")
-
-
 def near_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, seed: int = 42) -> DataFrame:
     """One row a document: ``doc_id, fp, fingerprint, component_id``.
 
@@ -134,7 +129,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, seed:
     """
     rows = kept(fingerprints(docs, width, seed), "fingerprints")
     nodes = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    named = _fp_components(nodes, distance).join(nodes, "fp")
+    named = connected_components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp").join(nodes, "fp")
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = named.select("fp", "root").join(groups, "root").select("fp", "component")
     whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
@@ -142,12 +137,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, seed:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, hash of the row, SimHash of the distinct words, hash of the lower-cased words."""
+    """doc_id, hash of the row, two SimHashes of the distinct words, hash of the lower-cased words."""
     for b in batches:
         raw = [x.as_py().lower() for x in b.column(2)]
-        fps = np.frombuffer(b"".join(fingerprint(x, 1, distinct=True) for x in raw), ">i8").astype(np.int64)
-        own = np.frombuffer(b"".join(xxhash.xxh64_digest(b" ".join(x.split()), 7) for x in raw), ">i8").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array(own)], names=["doc_id", "row", "fp", "words"])
+        longs = lambda parts: pa.array(np.frombuffer(b"".join(parts), ">i8").astype(np.int64))
+        fps = [longs(fingerprint(x, 1, seed, distinct=True) for x in raw) for seed in (42, 43)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *fps, longs(xxhash.xxh64_digest(b" ".join(x.split()), 7) for x in raw)], names=["doc_id", "row", "fp1", "fp2", "words"])
+
+
+def _proposed(texts: DataFrame, name: str, distance: int) -> DataFrame:
+    """Links ``(u, v)`` between nodes of ``texts(node, name)`` whose fingerprints in ``name`` are equal or close."""
+    least = kept(texts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("least")), "fps")
+    near = links(least.select("fp"), distance, blocks=blocks_for(max(1, least.count() >> 5), distance))
+    at = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_least"))
+    equal = texts.select("node", F.col(name).alias("fp")).join(least, "fp").where(F.col("node") != F.col("least"))
+    return near.join(at("u"), "u").join(at("v"), "v").select(F.col("u_least").alias("u"), F.col("v_least").alias("v")).unionByName(equal.select(F.col("node").alias("u"), F.col("least").alias("v")))
 
 
 def _similar(width: int, similarity: float):
@@ -189,31 +193,30 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
     """``docs`` with one document of each group of near duplicates: the smallest doc_id stays.
 
     Two texts are near duplicates when their sets of ``width``-word shingles, A-Z lower-cased, have
-    a Jaccard similarity of ``similarity`` or more; groups are the connected components.  SimHash
-    fingerprints of the distinct words propose: those within ``distance`` bits meet in a block.
-    Fingerprints of longer shingles would differ in up to 17 bits at that similarity, too many for
-    blocks.  Each component of proposals is then checked exactly on its texts' shingles, in chunks
-    of ``chunk`` texts, pair of chunks by pair of chunks, so a large group meets in bounded tasks.
+    a Jaccard similarity of ``similarity`` or more; groups are the connected components.  Two
+    SimHash fingerprints of the distinct words propose: texts within ``distance`` bits in either
+    meet in a block.  (Fingerprints of longer shingles would differ in up to 17 bits at that
+    similarity, too many for blocks.)  Each component of proposals is then checked exactly on its
+    texts' shingles, in chunks of ``chunk`` texts, pair of chunks by pair of chunks, so a large
+    group meets in bounded tasks.
 
     Equal texts are one node and never expanded.  Null and empty texts are copies of each other.  A
     null doc_id counts as the largest.  Of repeated rows one stays; rows that share doc_id and text
     but differ elsewhere count as repeated.  An empty table gives an empty one.
     """
-    rows = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), binary_text().alias("text")).mapInArrow(_digests, "doc_id long, row long, fp long, words long"), "digests")
-    texts = kept(
-        rows.groupBy("fp", "words").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("fp", "words", "least", F.monotonically_increasing_id().alias("node")),
-        "texts",
-    )
-    fps = kept(texts.select("fp").distinct(), "fps")
-    roots = _fp_components(fps, distance, blocks_for(max(1, fps.count() >> 6), distance))
-    named = kept(texts.join(roots, "fp", "left").select("node", "least", "words", "fp", F.coalesce("root", "fp").alias("root")), "named")
-    sizes = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), binary_text().alias("text"))
+    rows = whole.mapInArrow(_digests, "doc_id long, row long, fp1 long, fp2 long, words long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    texts = kept(rows.groupBy("fp1", "fp2", "words").agg(first), "digests")
+    texts = kept(texts.select("fp1", "fp2", "least", F.monotonically_increasing_id().alias("node")), "texts")
+    proposed = connected_components(_proposed(texts, "fp1", distance).unionByName(_proposed(texts, "fp2", distance)))
+    named = kept(texts.select("node", "least").join(proposed, "node", "left").select("node", "least", "root"), "named")
+    sizes = named.where("root is not null").groupBy("root").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    whole = docs.select(F.xxhash64("doc_id", "text").alias("row"), binary_text().alias("text"))
     asked = named.join(sizes, "root").select("root", "node", F.col("least.row").alias("row"), own.alias("own"), parts.alias("parts"))
     meet = (
-        whole.join(asked, "row")
+        whole.select("row", "text").join(asked, "row")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
     )
