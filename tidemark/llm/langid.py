@@ -69,7 +69,7 @@ def fit_languages(labelled: DataFrame, *, rows_per_language: int = 300, chars_pe
     and ``chars_per_row`` characters from the middle of each; more than ``languages`` languages are
     refused.  Counts of rows are over all of ``labelled``.
     """
-    labelled = labelled.where("lang is not null and text is not null")
+    labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     keys = labelled.select("doc_id", "lang").withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
     if len(counts) > languages:
