@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,13 +100,29 @@ def _scan(shared: Broadcast, scope: str, k: int):
     return scan
 
 
+def _possible(rows: DataFrame, asked: pa.Table, scope: str, stamp: str) -> DataFrame:
+    """Rows that some instant of the block may hold for: a filter the scan can take, exact for a single instant."""
+
+    def between(lower: str, upper: str, at: str, text: str) -> Column:
+        ends = pc.min_max(asked[at]).as_py()
+        first, last = (F.expr(text.format(str(ends[x]).removesuffix("+00:00"))) for x in ("min", "max"))
+        return (F.col(lower) <= last) & (F.col(upper).isNull() | (F.col(upper) > first))
+
+    if scope in ("as_of", "one_clock"):
+        rows = rows.where(between("valid_from", "valid_to", "valid_at", "DATE '{}'"))
+    if scope in ("as_of", "believed"):
+        rows = rows.where(between("recorded_at", "recorded_until", "known_at", "TIMESTAMP_NTZ '{}'" if stamp == "timestamp_ntz" else "TIMESTAMP '{}+00:00'"))
+    return rows.where(F.col("recorded_until").isNull()) if scope == "one_clock" else rows
+
+
 def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: str = "as_of", block: int = 4096) -> DataFrame:
     """``question_id, rank, chunk_id, distance``: the ``k`` nearest chunks of every question.
 
     ``questions`` has ``question_id, embedding, valid_at, known_at``.  They are broadcast in blocks
     of at most ``block``, one scan of the chunks a block; a scan multiplies the block with each
-    Arrow batch and keeps ``k`` rows a question, which a window then merges.  Null vectors are left
-    out; vectors of another size are an error.
+    Arrow batch and keeps ``k`` rows a question, which a window then merges.  The span of the
+    block's instants is pushed into the scan.  Null vectors are left out, and questions without an
+    instant where the scope needs one; vectors of another size are an error.
     """
     if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope!r}")
@@ -114,6 +131,9 @@ def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: st
     clocks = [c for c in ("valid_from", "valid_to", "recorded_at", "recorded_until") if c in chunks.columns]
     rows = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *clocks)
     kinds = [f"{c} {t.dataType.simpleString()}" for c, t in (("question_id", questions.schema["question_id"]), ("chunk_id", rows.schema["chunk_id"]))]
+    dated = {"as_of": ("valid_at", "known_at"), "believed": ("known_at",), "one_clock": ("valid_at",), "all": ()}[scope]
+    for c in dated:
+        questions = questions.where(F.col(c).isNotNull())
     wanted = questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding", *(c if c in questions.columns else F.lit(None).cast("date" if c == "valid_at" else stamp).alias(c) for c in ("valid_at", "known_at")))
     total = wanted.count()
     parts = max(1, -(-total // block))
@@ -126,7 +146,7 @@ def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: st
         t = t.combine_chunks()
         vectors = _matrix(t["embedding"].chunk(0))
         shared = spark.sparkContext.broadcast({"ids": t["question_id"].chunk(0), "vectors": vectors, "norms": np.sqrt((vectors * vectors).sum(axis=1)), "days": _days(t["valid_at"].chunk(0), 0), "moments": _days(t["known_at"].chunk(0), 0)})
-        found = rows.mapInArrow(_scan(shared, scope, k), ", ".join([*kinds, "distance double"]))
+        found = _possible(rows, t, scope, stamp).mapInArrow(_scan(shared, scope, k), ", ".join([*kinds, "distance double"]))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], ", ".join([kinds[0], "rank int", kinds[1], "distance double"]))

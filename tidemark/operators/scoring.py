@@ -41,6 +41,11 @@ def margins(ranked: DataFrame) -> DataFrame:
     return two.groupBy("question_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("second"), F.count("*").alias("n")).where("n = 2").select("question_id", F.round(F.col("best") - F.col("second"), 6).alias("margin"))
 
 
+def spread(ranked: DataFrame) -> DataFrame:
+    """Best minus worst similarity among a section's versions by question of ``ranked(question_id, section_key, similarity)``."""
+    return ranked.groupBy("question_id", "section_key").agg(F.round(F.max("similarity") - F.min("similarity"), 6).alias("spread"), F.count("*").alias("versions"))
+
+
 def upper_median(values: Column) -> Column:
     """The value at half the sorted list, rounded up: not interpolated."""
     ordered = F.array_sort(F.collect_list(values))

@@ -150,6 +150,16 @@ def _requests(spark, sf_dir):
     return section.select("section_key", F.explode(probes).alias("p")).select(F.concat_ws("/", "section_key", "p.k").alias("request_id"), "section_key", "p.valid_at", "p.known_at")
 
 
+@query(f"""WITH {VERSIONS_SQL} SELECT v.version_id, o.version_id AS replaced, o.text AS replaced_text, o.valid_to AS replaced_valid_to, l.kind, l.recorded_at AS document_recorded_at
+FROM versions v LEFT JOIN versions o ON o.version_id = v.supersedes JOIN log l ON l.document_id = v.document_id""", days=("replaced_valid_to",))
+def bt_supersedes(spark, sf_dir):
+    v = versions(spark, sf_dir)
+    old = v.select(F.col("version_id").alias("replaced"), F.col("text").alias("replaced_text"), F.col("valid_to").alias("replaced_valid_to"))
+    source = derived.event_documents(spark, sf_dir).select("document_id", "kind", F.col("recorded_at").alias("document_recorded_at"))
+    joined = v.join(old, v["supersedes"] == old["replaced"], "left").join(source, "document_id")
+    return joined.select("version_id", "replaced", "replaced_text", "replaced_valid_to", "kind", "document_recorded_at")
+
+
 @query(f"""WITH {VERSIONS_SQL}, requests AS (SELECT section_key || '/' || k AS request_id, section_key, valid_at, known_at FROM (SELECT DISTINCT user_id::VARCHAR AS section_key FROM events),
   (VALUES (0, DATE '{EARLY.valid_at}', TIMESTAMP '{EARLY.known_utc}'), (1, DATE '{AT.valid_at}', TIMESTAMP '{AT.known_utc}')) p(k, valid_at, known_at)),
 known AS (SELECT q.*, v.version_no, v.text, v.document_id, v.version_no IS NOT NULL AND v.valid_from <= q.valid_at AND (v.valid_to IS NULL OR v.valid_to > q.valid_at) AS force
@@ -340,6 +350,14 @@ def vec_margins(spark, sf_dir):
     return scoring.margins(ranked)
 
 
+@query(f"""WITH {DATED_SQL} SELECT d.question_id, c.section_key, round(max(1 - {DISTANCE.format(q='q')}) - min(1 - {DISTANCE.format(q='q')}), 6) AS spread, count(*) AS versions FROM dated d JOIN chunks c ON c.section_key = d.own GROUP BY ALL""")
+def vec_spread(spark, sf_dir):
+    chunks = derived.vector_chunks(spark, sf_dir)
+    asked = _dated(spark, sf_dir).select("question_id", "own", F.col("embedding").alias("q"))
+    near = chunks.join(F.broadcast(asked), F.col("section_key") == F.col("own")).select("question_id", "section_key", (1 - cosine_distance(F.col("embedding"), F.col("q"))).alias("similarity"))
+    return scoring.spread(near)
+
+
 @query(f"""WITH {DATED_SQL}, {_batch_sql('ranked', 'c.section_key = d.own', 2)}, margins AS (SELECT question_id, round(max(1 - distance) - min(1 - distance), 6) AS margin FROM ranked GROUP BY 1 HAVING count(*) = 2),
 sorted AS (SELECT list(margin ORDER BY margin) AS m FROM margins)
 SELECT m[len(m) // 2 + 1] AS upper_median, m[least(floor(0.95::DOUBLE * len(m)), len(m) - 1)::INT + 1] AS p95, list_max(m) AS greatest FROM sorted""")
