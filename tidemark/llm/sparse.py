@@ -104,7 +104,7 @@ def _found(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarra
         yield block, pack(ids, rows, doc[at[own]], starts[at[own]], origin[own])
 
 
-def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequent: int = 1000, group_words: int = 2_000_000, chunk_words: int = 1_000_000) -> DataFrame:
+def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequent: int = 1000, group_words: int = 2_000_000, chunk_words: int = 400_000) -> DataFrame:
     """``doc_id, start, n_words, of_doc_id``: passages of ``length`` words or more that occur earlier too.
 
     Words are kept as they are.  Earlier is a smaller doc_id, or an earlier start in the same
