@@ -32,8 +32,9 @@ def test_op1_held_out_accuracy(spark):
 def test_lexicon_folds_spares_and_normalises():
     lex = Lexicon({"idiot ": 2.0, "lowei": 1.0, "idio": 0.5}, ["harmless idiot box"])
     assert folded("1D10T іdіоt") == " idiot idiot "
-    assert lex.hits("An 1D10T, an іdіоt!")[:2] == (4.0, 2)
-    assert lex.hits("loweiab loweicd flowei")[:2] == (2.0, 2)
+    assert lex.hits("An 1D10T, an іdіоt!")[:2] == (pytest.approx(2 * (1 + math.log(2))), 2)
+    assert lex.hits("loweiab loweicd flowei")[:2] == (pytest.approx(1 + math.log(2)), 2)
+    assert lex.hits("loweiab idiot")[:2] == (3.0, 2)
     assert lex.hits("a harmless idiot box")[:2] == (0, 0)
     assert lex.score("idiot") > lex.score("idiot " + "fine words " * 300) > lex.score("")
 

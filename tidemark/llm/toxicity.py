@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,28 +61,30 @@ class Lexicon:
         if self._machine is None:
             machine = ahocorasick.Automaton()
             for p, w in self.weights.items():
-                machine.add_word(" " + p, (len(p) + 1, w))
+                machine.add_word(" " + p, (len(p) + 1, w, p))
             for p in self.exceptions:
-                machine.add_word(phrase := folded(p), (len(phrase), None))
+                machine.add_word(phrase := folded(p), (len(phrase), None, p))
             machine.make_automaton()
             self._machine = machine
         return self._machine
 
     def hits(self, text: str) -> tuple[float, int, int]:
-        """Sum of weights, number of hits and of words."""
+        """Sum of weights, number of hits and of words; repeats of a pattern add less and less."""
         if not self.weights:
             return 0.0, 0, 0
         line = folded(text)
-        best: dict[int, tuple[int, float]] = {}
+        best: dict[int, tuple[int, str]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (n, w) in self._automaton().iter(line):
+        for end, (n, w, p) in self._automaton().iter(line):
             start = end - n + 1
             if w is None:
                 spared.append((start, end))
-            elif n > best.get(start, (0, 0.0))[0]:
-                best[start] = (n, w)
-        counted = [w for s, (n, w) in best.items() if not any(a <= s and s + n - 1 <= b for a, b in spared)]
-        return float(sum(counted)), len(counted), line.count(" ") - 1
+            elif n > best.get(start, (0, ""))[0]:
+                best[start] = (n, p)
+        if spared:
+            best = {s: (n, p) for s, (n, p) in best.items() if not any(a <= s and s + n - 1 <= b for a, b in spared)}
+        times = Counter(p for _, p in best.values())
+        return float(sum(self.weights[p] * (1 + math.log(c)) for p, c in times.items())), len(best), line.count(" ") - 1
 
     def features(self, text: str) -> list[float]:
         """1, log of the weight per 100 words, log of the weight."""
@@ -132,16 +135,16 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 6
     sample = kept(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic", "fold"), "toxic-sample")
     schema = "pattern string, n0 long, n1 long, d0 long, d1 long"
     counted = sample.where("fold < 2").select("text", "toxic").mapInPandas(_occurrences(lengths), schema)
-    totals = sample.where("fold < 2").groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()
+    totals = sample.where("fold < 2").groupBy("toxic").agg(F.count("*").alias("n")).collect()
     size = {r["toxic"]: r["n"] or 0 for r in totals}
     if not size.get(0) or not size.get(1):
         return Lexicon({}, list(exceptions))
     share = float(size[1]) / (size[0] + size[1])
-    expected = (F.col("n0") + F.col("n1")) * share
-    weight = F.log((F.col("n1") + 0.5) / F.lit(float(size[1]))) - F.log((F.col("n0") + 0.5) / F.lit(float(size[0])))
+    expected = (F.col("d0") + F.col("d1")) * share
+    weight = F.log((F.col("d1") + 0.5) / F.lit(float(size[1]))) - F.log((F.col("d0") + 0.5) / F.lit(float(size[0])))
     best = (
         counted.groupBy("pattern").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")))
-        .withColumns({"weight": weight, "z": (F.col("n1") - expected) / F.sqrt(expected * (1 - share))})
+        .withColumns({"weight": weight, "z": (F.col("d1") - expected) / F.sqrt(expected * (1 - share))})
         .where((F.col("d1") >= least_docs) & (F.col("weight") >= least_weight) & (F.col("z") >= 5) & (F.length("pattern") >= 3))
         .orderBy(F.desc("z"), "pattern").limit(entries)
     )
