@@ -156,5 +156,28 @@ FROM sums WHERE m >= ceil(len_ * 0.8::DOUBLE) GROUP BY doc_id, text, item_id
 """
 
 
+_WINDOWS_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(0, len(ws) - {length} + 1)) AS s FROM words WHERE len(ws) >= {length}),
+windows AS (SELECT doc_id, s, array_to_string(ws[s + 1:s + {length}], ' ') AS k FROM places),
+later AS (SELECT * FROM (SELECT doc_id, s, row_number() OVER w AS nth, first_value(doc_id) OVER w AS origin FROM windows WINDOW w AS (PARTITION BY k ORDER BY doc_id, s)) WHERE nth > 1)"""
+
+OP7_SQL = (
+    _WINDOWS_SQL.format(length=20)
+    + """,
+gone AS (SELECT DISTINCT doc_id, s + o AS i FROM later, (SELECT unnest(range(20)) AS o)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM words w LEFT JOIN kept k USING (doc_id)"""
+)
+
+OP8_SQL = (
+    _WINDOWS_SQL.format(length=50)
+    + """,
+runs AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, origin ORDER BY s) AS run FROM later)
+SELECT doc_id, min(s)::BIGINT AS start, (count(*) + 49)::BIGINT AS n_words, origin AS of_doc_id FROM runs GROUP BY doc_id, origin, run"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_mixing": OP6_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_sparse_suffix_dedup": OP8_SQL}
