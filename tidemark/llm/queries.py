@@ -160,7 +160,7 @@ _WINDOWS_SQL = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 places AS (SELECT doc_id, ws, unnest(range(0, len(ws) - {length} + 1)) AS s FROM words WHERE len(ws) >= {length}),
 windows AS (SELECT doc_id, s, array_to_string(ws[s + 1:s + {length}], ' ') AS k FROM places),
-later AS (SELECT * FROM (SELECT doc_id, s, row_number() OVER w AS nth, first_value(doc_id) OVER w AS origin FROM windows WINDOW w AS (PARTITION BY k ORDER BY doc_id, s)) WHERE nth > 1)"""
+later AS (SELECT * FROM (SELECT doc_id, s, row_number() OVER w AS nth FROM windows WINDOW w AS (PARTITION BY k ORDER BY doc_id, s)) WHERE nth > 1)"""
 
 OP7_SQL = (
     _WINDOWS_SQL.format(length=20)
@@ -174,8 +174,9 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 OP8_SQL = (
     _WINDOWS_SQL.format(length=50)
     + """,
-runs AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, origin ORDER BY s) AS run FROM later)
-SELECT doc_id, min(s)::BIGINT AS start, (count(*) + 49)::BIGINT AS n_words, origin AS of_doc_id FROM runs GROUP BY doc_id, origin, run"""
+edges AS (SELECT doc_id, s, s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 AS gap FROM later),
+runs AS (SELECT doc_id, s, sum(coalesce(gap, false)::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM edges)
+SELECT doc_id, min(s)::BIGINT AS start, (max(s) - min(s) + 50)::BIGINT AS n_words FROM runs GROUP BY doc_id, run"""
 )
 
 

@@ -80,8 +80,8 @@ def _windows(rows: DataFrame, length: int, anchor: int, groups: int, chunk_words
             idx, own = idx[alive[own]], own[alive[own]]
             prints = mixed(rolling(c.codes, length)[idx])
             doc = c.doc_of()[idx]
-            later, source = later_copies(prints, c.ids[doc], idx - c.first[doc])
-            out = [(groups + block, blob) for block, blob in _found(c.ids, c.rows, doc, idx - c.first[doc], later, source, groups)]
+            later, _ = later_copies(prints, c.ids[doc], idx - c.first[doc])
+            out = [(groups + block, blob) for block, blob in _found(c.ids, c.rows, doc, idx - c.first[doc], later, groups)]
             first = np.flatnonzero(~later)
             spread = np.where(often[own[first]], prints[first], hashes[own[first]])
             for group, part in by_group((mixed(spread) % np.uint64(groups)).astype(np.int64)):
@@ -96,21 +96,19 @@ def _windows(rows: DataFrame, length: int, anchor: int, groups: int, chunk_words
     return rows.mapInArrow(each, "key long, blob binary")
 
 
-def _found(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarray, later: np.ndarray, source: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
-    """Packed later copies by block of their document, each with the document of the earliest copy."""
+def _found(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarray, later: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+    """Packed later copies by block of their document."""
     at = np.flatnonzero(later)
-    origin = ids[doc[source[at]]].view(np.uint64)
     for block, own in by_group(block_of(rows[doc[at]], blocks)):
-        yield block, pack(ids, rows, doc[at[own]], starts[at[own]], origin[own])
+        yield block, pack(ids, rows, doc[at[own]], starts[at[own]])
 
 
 def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequent: int = 1000, group_words: int = 2_000_000, chunk_words: int = 400_000) -> DataFrame:
-    """``doc_id, start, n_words, of_doc_id``: passages of ``length`` words or more that occur earlier too.
+    """``doc_id, start, n_words``: passages of ``length`` words or more that occur earlier too.
 
     Words are kept as they are.  Earlier is a smaller doc_id, or an earlier start in the same
-    document.  ``start`` counts words from 0; a row is a run of repeated windows whose earliest
-    copies lie in one document, ``of_doc_id``.  The union of a document's rows is exactly the words
-    covered by a window of ``length`` words that occurs earlier.
+    document.  A row is a longest run of words that are each covered by a window of ``length``
+    words that occurs earlier; ``start`` counts words from 0.
 
     Null and short texts have no row.  A null doc_id is the smallest and stays null.  Rows that
     share a doc_id are one place.  Repeated rows give their passages once; an empty table gives an
@@ -130,18 +128,19 @@ def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequen
         parts = [unpack(b.as_py()) for b in members["blob"]]
         ids, own, counts, starts, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
         doc = np.repeat(np.arange(len(ids)), counts)
-        found = list(_found(ids, own, doc, starts, *later_copies(prints, ids[doc], starts), groups))
+        found = list(_found(ids, own, doc, starts, later_copies(prints, ids[doc], starts)[0], groups))
         return pa.table({"block": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
 
     def runs(members: pa.Table) -> pa.Table:
         parts = [unpack(b.as_py()) for b in members["blob"]]
-        ids, own, counts, starts, origin = (np.concatenate(x) for x in zip(*parts, strict=True))
-        doc = np.repeat(ids, counts), np.repeat(own, counts)
-        order = np.lexsort((starts, doc[1], doc[0]))
-        ids, own, starts, origin = doc[0][order], doc[1][order], starts[order], origin[order].view(np.int64)
-        new = np.flatnonzero((np.diff(ids, prepend=~ids[:1]) != 0) | (np.diff(own.astype(np.int64), prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1) | (np.diff(origin, prepend=origin[:1]) != 0))
-        return pa.table({"doc_id": ids[new], "start": starts[new].astype(np.int64), "n_words": np.diff(new, append=len(ids)).astype(np.int64) + length - 1, "of_doc_id": origin[new]})
+        ids, own, counts, starts, _ = (np.concatenate(x) if x[0] is not None else None for x in zip(*parts, strict=True))
+        doc, row = np.repeat(ids, counts), np.repeat(own, counts).astype(np.int64)
+        order = np.lexsort((starts, row, doc))
+        doc, row, starts = doc[order], row[order], starts[order]
+        new = np.flatnonzero((np.diff(doc, prepend=~doc[:1]) != 0) | (np.diff(row, prepend=-1) != 0) | (np.diff(starts, prepend=0) > length))
+        last = np.append(new[1:], len(doc)) - 1
+        return pa.table({"doc_id": doc[new], "start": starts[new], "n_words": starts[last] - starts[new] + length})
 
     flags = sent.groupBy("key").applyInArrow(neighbours, "block long, blob binary")
-    spans = flags.groupBy("block").applyInArrow(runs, "doc_id long, start long, n_words long, of_doc_id long")
-    return spans.withColumns({c: F.nullif(F.col(c), F.lit(np.iinfo(np.int64).min)) for c in ("doc_id", "of_doc_id")})
+    spans = flags.groupBy("block").applyInArrow(runs, "doc_id long, start long, n_words long")
+    return spans.withColumn("doc_id", F.nullif("doc_id", F.lit(np.iinfo(np.int64).min)))
