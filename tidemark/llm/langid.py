@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Texts of fewer bytes are encoded twice: alone they are stored raw, and all languages tie.
+SHORT = 96
 
 
 def plain(text: str) -> bytes:
@@ -49,6 +51,8 @@ class CompressionClassifier:
         raw = plain(text or "")
         if not any(map(str.isalpha, raw.decode())) or not self.langs:
             return "und", 0.0, 0.0
+        if len(raw) < SHORT:
+            raw *= 2
         if self._encoders is None:
             self._encoders = [[self._encoder(c) for c in row] for row in self.content]
         sizes, best, margin = [0] * len(self.langs), 0, 0.0
