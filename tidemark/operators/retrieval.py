@@ -104,8 +104,8 @@ def _possible(rows: DataFrame, asked: pa.Table, scope: str, stamp: str) -> DataF
     """Rows that some instant of the block may hold for: a filter the scan can take, exact for a single instant."""
 
     def between(lower: str, upper: str, at: str, text: str) -> Column:
-        ends = pc.min_max(asked[at]).as_py()
-        first, last = (F.expr(text.format(str(ends[x]).removesuffix("+00:00"))) for x in ("min", "max"))
+        ends = pc.min_max(asked[at].cast(pa.timestamp("us")) if at == "known_at" else asked[at]).as_py()  # a zoned timestamp becomes UTC
+        first, last = (F.expr(text.format(ends[x])) for x in ("min", "max"))
         return (F.col(lower) <= last) & (F.col(upper).isNull() | (F.col(upper) > first))
 
     if scope in ("as_of", "one_clock"):
@@ -135,12 +135,16 @@ def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: st
     for c in dated:
         questions = questions.where(F.col(c).isNotNull())
     wanted = questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding", *(c if c in questions.columns else F.lit(None).cast("date" if c == "valid_at" else stamp).alias(c) for c in ("valid_at", "known_at")))
-    total = wanted.count()
-    parts = max(1, -(-total // block))
-    tagged = wanted.withColumn("_part", F.pmod(F.xxhash64("question_id"), F.lit(parts)))
+    typed = wanted.select("question_id", doubles(F.col("embedding")).alias("embedding"), "valid_at", F.col("known_at").cast(stamp).alias("known_at"))
+    whole = typed.limit(block + 1).toArrow()
+    if len(whole) <= block:
+        blocks = iter([whole.sort_by("question_id")])
+    else:
+        parts = -(-2 * typed.count() // block)  # half full on average: hashing is uneven
+        part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
+        blocks = (typed.where(part == k).orderBy("question_id").toArrow() for k in range(parts))
     out = None
-    for part in range(parts):
-        t = tagged.where(F.col("_part") == part).select("question_id", doubles(F.col("embedding")).alias("embedding"), "valid_at", F.col("known_at").cast(stamp).alias("known_at")).orderBy("question_id").toArrow()
+    for t in blocks:
         if not len(t):
             continue
         t = t.combine_chunks()
