@@ -166,10 +166,10 @@ known AS (SELECT q.*, v.version_no, v.text, v.document_id, v.version_no IS NOT N
   FROM requests q LEFT JOIN versions v ON v.section_key = q.section_key AND v.recorded_at <= q.known_at AND (v.recorded_until IS NULL OR v.recorded_until > q.known_at))
 SELECT request_id, section_key, valid_at, known_at,
   CASE WHEN bool_or(force) THEN 'in-force' WHEN count(version_no) > 0 THEN 'no-rule-in-force' ELSE 'no-record' END AS outcome,
-  max(version_no) FILTER (force) AS version_no, max(text) FILTER (force) AS text, max(document_id) FILTER (force) AS document_id
+  coalesce(max(version_no) FILTER (force), 0) AS version_no, max(text) FILTER (force) AS text, max(document_id) FILTER (force) AS document_id
 FROM known GROUP BY ALL""", days=("valid_at",))
 def bt_read_outcomes(spark, sf_dir):
-    return temporal.read_sections(_requests(spark, sf_dir), versions(spark, sf_dir))
+    return temporal.read_sections(_requests(spark, sf_dir), versions(spark, sf_dir)).withColumn("version_no", F.coalesce("version_no", F.lit(0)))
 
 
 @query(f"WITH {VERSIONS_SQL} " + " UNION ALL ".join(f"""SELECT DATE '{at.valid_at}' AS valid_at, TIMESTAMP '{at.known_utc}' AS known_at,
@@ -235,7 +235,7 @@ UNION ALL SELECT 'kind_known', count(*) FROM (SELECT CASE WHEN n % 97 = 0 THEN '
 UNION ALL SELECT 'document_exists', count(*) FROM versions WHERE document_id NOT IN (SELECT document_id FROM log WHERE n % 89 <> 0)
 UNION ALL SELECT 'superseded_exists', count(*) FROM versions WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT version_id FROM versions)""")
 def bt_constraints(spark, sf_dir):
-    v, d = versions(spark, sf_dir), derived.event_documents(spark, sf_dir)
+    v, d = versions(spark, sf_dir).persist(), derived.event_documents(spark, sf_dir)  # read by six of the checks
     return constraints.counted(
         overlap=constraints.overlaps(v),
         interval=constraints.bad_intervals(v),
@@ -545,8 +545,8 @@ def refusal_pair(spark, sf_dir):
 
 
 @query(f"""WITH {VERSIONS_SQL}, truth AS (SELECT section_key, text FROM versions WHERE {holds_sql(AT)} AND {known_sql(AT)}), cases AS (SELECT DISTINCT user_id::VARCHAR AS section_key FROM events)
-SELECT section_key AS case_id, CASE WHEN text IS NULL THEN ['nothing in force'] ELSE list_concat(CASE WHEN contains(text, ':') THEN [] ELSE ['missing :'] END, CASE WHEN contains(text, 'click') THEN ['blended with click'] ELSE [] END) END AS faults
+SELECT section_key AS case_id, array_to_string(CASE WHEN text IS NULL THEN ['nothing in force'] ELSE list_concat(CASE WHEN contains(text, ':') THEN [] ELSE ['missing :'] END, CASE WHEN contains(text, 'click') THEN ['blended with click'] ELSE [] END) END, '; ') AS faults
 FROM cases LEFT JOIN truth USING (section_key) WHERE text IS NULL OR contains(text, 'click') OR NOT contains(text, ':')""")
 def gold_disagreements(spark, sf_dir):
     cases = temporal.sections(derived.event_documents(spark, sf_dir)).select(F.col("section_key").alias("case_id"), "section_key", F.lit(AT.valid_at).alias("valid_at"), F.expr(f"TIMESTAMP_NTZ '{AT.known_utc}'").alias("known_at"), F.array(F.lit(":")).alias("must_contain"), F.array(F.lit("click")).alias("must_not_contain"))
-    return gate.gold_disagreements(cases, versions(spark, sf_dir))
+    return gate.gold_disagreements(cases, versions(spark, sf_dir)).withColumn("faults", F.array_join("faults", "; "))
