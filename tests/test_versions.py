@@ -126,3 +126,18 @@ def test_exactly_one(spark):
     assert one.first()["n"] == 1
     with pytest.raises(Exception, match="more than one row"):
         spark.range(1).select(constraints.exactly_one(F.lit(2).cast("long"), "row").alias("n")).collect()
+
+
+def test_clock_filters_and_pruned_columns_reach_the_scan(spark, tmp_path):
+    from datetime import UTC
+
+    from tidemark.clock import AsOf
+    from tidemark.operators.temporal import as_of
+    from tidemark.sources.derived import event_log
+
+    rebuild_versions(event_log(spark, DATA)).write.parquet(f"{tmp_path}/v")
+    read = as_of(spark.read.parquet(f"{tmp_path}/v"), AsOf(date(2024, 1, 5), datetime(2024, 1, 10, tzinfo=UTC))).select("section_key", "version_no")
+    plan = read._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert all(c in pushed for c in ("LessThanOrEqual(valid_from", "Or(IsNull(valid_to)", "LessThanOrEqual(recorded_at", "Or(IsNull(recorded_until)"))
+    assert "text:" not in next(line for line in plan.splitlines() if "ReadSchema" in line)
