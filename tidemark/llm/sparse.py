@@ -117,7 +117,8 @@ def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequen
     rows = hashed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min)))
     anchors = kept(_anchors(rows, length, anchor, chunk_words), "anchors")
     groups = max(1, -(-anchors.count() * (length - anchor) // (2 * group_words)))
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > frequent).alias("often"))
+    # written, so that the join below shuffles both sides anew and AQE can split a hot anchor
+    repeated = kept(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > frequent).alias("often")), "repeated")
     places = anchors.join(repeated, "h").groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "often")).alias("places"))
     marked = rows.dropDuplicates(["doc_id", "row"]).join(places, ["doc_id", "row"]).select("doc_id", "row", "text", F.col("places.at").alias("at"), F.col("places.often").alias("often"))
     sent = _windows(marked, length, anchor, groups, chunk_words)
