@@ -168,7 +168,7 @@ def covered(n: int, starts: list[np.ndarray], length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, digest: bool = False, group_words: int = 2_000_000, chunk_words: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, digest: bool = False, group_words: int = 1_000_000, chunk_words: int = 1_000_000) -> DataFrame:
     """Remove each word covered by a window of ``length`` words that also starts earlier.
 
     Earlier is a smaller doc_id, or an earlier start in the same document; a null doc_id is the
