@@ -9,8 +9,8 @@ from tidemark.llm.common import kept
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return edges.join(least, "u")
+    """Edges with the least node around ``u``; it is written first, so that AQE can split a hub's join."""
+    return edges.join(kept(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least"), "u")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = kept(_star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         starred = _star(large)
         small = (
             starred.where(F.col("v") != F.col("m"))

@@ -95,7 +95,8 @@ def links(distinct: DataFrame, distance: int, *, blocks: int | None = None, pair
     """
     masks = block_masks(blocks or blocks_for(distinct.count(), distance), distance)
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("c", "key"))
-    sizes = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # what is joined to hot keys is written first: then both sides shuffle anew and AQE can split them
+    sizes = kept(keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = kept(keyed.join(sizes, ["c", "key"]), "blocks")
     few = shared.where(F.col("n") <= pairs_up_to).select("c", "key", "fp")
     diff = F.col("u").bitwiseXOR(F.col("v"))
@@ -132,7 +133,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, seed:
     named = connected_components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp").join(nodes, "fp")
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = named.select("fp", "root").join(groups, "root").select("fp", "component")
-    whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    whole = kept(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "components")
     return rows.join(whole, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -211,7 +212,7 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
     texts = kept(texts.select("fp1", "fp2", "least", F.monotonically_increasing_id().alias("node")), "texts")
     proposed = connected_components(_proposed(texts, "fp1", distance).unionByName(_proposed(texts, "fp2", distance)))
     named = kept(texts.select("node", "least").join(proposed, "node", "left").select("node", "least", "root"), "named")
-    sizes = named.where("root is not null").groupBy("root").agg(F.count("*").alias("n"))
+    sizes = kept(named.where("root is not null").groupBy("root").agg(F.count("*").alias("n")), "sizes")
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     asked = named.join(sizes, "root").select("root", "node", F.col("least.row").alias("row"), own.alias("own"), parts.alias("parts"))
