@@ -93,6 +93,41 @@ def test_near_duplicate_removal_equals_brute_force(spark):
         assert set(root) <= kept and len(kept - set(root)) <= 0.05 * (len(texts) - len(set(root)))  # none wrongly gone; fingerprints miss few
 
 
+def test_near_duplicates_by_appended_cut_and_replaced_blocks(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    line = fresh(30)  # one passage that all texts have
+    texts = []
+    for k in range(60):
+        base = fresh(150) + line
+        block = rng.randrange(100)
+        edited = [base + fresh(40), base[: len(base) - 32], base[:block] + fresh(15) + base[block + 15 :]][k % 3]
+        texts += [base, edited]
+    texts = [" ".join(t) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    root = groups(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert len(set(root)) == 60
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in drop_near_duplicates(frame).collect()} == set(root)
+
+
+def test_pairs_across_groups_in_chunks(spark):
+    from tidemark.llm.simhash import _remaining
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = [f"u{rng.getrandbits(40)}" for _ in range(60)]
+        texts += [base, base + [f"u{rng.getrandbits(40)}" for _ in range(10)], base[:52], base[5:]]
+    rows = [(i, i, i, " ".join(t).encode()) for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for t in (r[3].decode() for r in rows)]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    frame = spark.createDataFrame(rows, "row long, node long, group long, text binary")
+    for options in ({}, {"pairs_up_to": 1, "chunk": 2}):
+        assert {(r.u, r.v) for r in _remaining(frame, frame.drop("text"), width=5, similarity=0.8, **options).collect()} == want
+    assert len(want) > 60
+
+
 def test_edges_of_near_duplicates(spark):
     d = docs(spark)
     found = near_duplicates(d)

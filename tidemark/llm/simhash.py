@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -190,6 +191,139 @@ def _similar(width: int, similarity: float):
     return of
 
 
+_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def _shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles as signed longs, ascending; no words give none."""
+    words = raw.lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    each = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    n = max(1, len(words) - width + 1)
+    run = np.zeros(n, np.uint64)
+    for k in range(min(width, len(words))):
+        run = (run ^ each[k : k + n]) * _MULT[k % len(_MULT)]
+        run ^= run >> np.uint64(29)
+    return np.unique(run.view(np.int64))
+
+
+def _frequent(texts: DataFrame, n: int, width: int, entries: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur often in a sample of ``texts(row, text)``, ascending, and how often.
+
+    They only order the shingles: a sample that misses one costs time and changes no result.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_shingle_hashes(x.as_py(), width) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], names=["s"])
+
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // (8192 + (n >> 6))))) == 0).select("text")
+    counted = sample.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(entries).toArrow()
+    s, times = counted["s"].to_numpy(), counted["n"].to_numpy()
+    order = np.argsort(s)
+    return s[order], times[order]
+
+
+def _prefixes(width: int, similarity: float, frequent):
+    """Arrow function: the rarest shingles of each text, as many as any similar text must share one of."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = frequent.value
+        for b in batches:
+            parts = []
+            for x in b.column(2):
+                own = _shingle_hashes(x.as_py(), width)
+                often = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    often = np.where(known[at] == own, times[at], 0)
+                n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+                parts.append((len(own), own[np.argsort(often, kind="stable")[:n]]))
+            lengths = np.array([len(p) for _, p in parts], np.int64)
+            again = lambda c: pa.array(np.repeat(c, lengths))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([*(p for _, p in parts), np.empty(0, np.int64)])), again(b.column(0).to_numpy()), again(b.column(1).to_numpy()),
+                    again(np.array([n for n, _ in parts], np.int32)), pa.array(np.concatenate([*map(np.arange, lengths), np.empty(0, np.int64)]).astype(np.int32)),
+                ],
+                names=["s", "node", "group", "size", "rank"],
+            )
+
+    return of
+
+
+def _crossing(similarity: float):
+    """Group function: pairs of different groups among the texts with one shingle that sizes and ranks allow."""
+    share = similarity / (1 + similarity)
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("size")
+        node, group, size, rest = (pdf[c].to_numpy(np.int64) for c in ("node", "group", "size", "rest"))
+        out = [np.empty((0, 2), np.int64)]
+        ends = np.searchsorted(size, size / similarity + 1e-6, "right")
+        for i, end in enumerate(ends):
+            near = i + 1 + np.flatnonzero((group[i + 1 : end] != group[i]) & (np.minimum(rest[i], rest[i + 1 : end]) >= share * (size[i] + size[i + 1 : end]) - 1e-6))
+            out.append(np.column_stack([np.minimum(node[i], node[near]), np.maximum(node[i], node[near])]))
+        return pd.DataFrame(np.concatenate(out), columns=["u", "v"])
+
+    return of
+
+
+def _verified(width: int, similarity: float):
+    """Arrow function: the pairs of ``(u, v, u_text, v_text)`` whose shingle sets have that Jaccard similarity."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            right = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = _shingle_hashes(x.as_py(), width), _shingle_hashes(y.as_py(), width)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                right.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield b.select(["u", "v"]).filter(pa.array(right, pa.bool_()))
+
+    return of
+
+
+def _remaining(whole: DataFrame, named: DataFrame, *, width: int, similarity: float, pairs_up_to: int = 64, chunk: int = 4096) -> DataFrame:
+    """Links ``(u, v)`` between different groups of ``named(node, row, group)``: all similar pairs across groups.
+
+    Two similar texts share one of the first ``n - ceil(similarity * n) + 1`` of their ``n`` shingles
+    in any order common to all; here the rarest come first.  Texts with a shingle in common are
+    paired if they are of different groups and sizes and ranks allow the similarity; every pair left
+    is compared on its texts.
+    """
+    texts = whole.select("row", "text")
+    frequent = whole.sparkSession.sparkContext.broadcast(_frequent(texts, named.count(), width))
+    nodes = texts.dropDuplicates(["row"]).join(named, "row").select("node", "group", "text")
+    placed = kept(nodes.mapInArrow(_prefixes(width, similarity, frequent), "s long, node long, group long, size int, rank int"), "prefixes")
+    sizes = kept(placed.groupBy("s").agg(F.count("*").alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).where("a != b").select("s", "n"), "sizes")
+    shared = kept(placed.join(sizes, "s").select("s", "n", "node", "group", "size", (F.col("size") - F.col("rank")).alias("rest")), "shared")
+    few = shared.where(F.col("n") <= pairs_up_to)
+    side = lambda c: few.select("s", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "group", "size", "rest")))
+    both = F.col("u_size") + F.col("v_size")
+    pairs = (
+        side("u").join(side("v"), "s")
+        .where((F.col("u_node") < F.col("v_node")) & (F.col("u_group") != F.col("v_group")))
+        .where(F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size") - 1e-6)
+        .where(F.least("u_rest", "v_rest") >= similarity / (1 + similarity) * both - 1e-6)
+        .select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    )
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    many = (
+        shared.where(F.col("n") > pairs_up_to)
+        .withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+        .select("s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "group", "size", "rest")
+    )
+    asked = kept(pairs.unionByName(many.groupBy("s", "lo", "hi").applyInPandas(_crossing(similarity), "u long, v long")).distinct(), "asked")
+    wanted = named.join(asked.select(F.col("u").alias("node")).unionByName(asked.select(F.col("v").alias("node"))).distinct(), "node").select("row", "node")
+    read = kept(texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "text"), "read")
+    at = lambda c: read.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
+    return asked.join(at("u"), "u").join(at("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(_verified(width, similarity), "u long, v long")
+
+
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 6, chunk: int = 2048) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the smallest doc_id stays.
 
@@ -199,7 +333,8 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
     meet in a block.  (Fingerprints of longer shingles would differ in up to 17 bits at that
     similarity, too many for blocks.)  Each component of proposals is then checked exactly on its
     texts' shingles, in chunks of ``chunk`` texts, pair of chunks by pair of chunks, so a large
-    group meets in bounded tasks.
+    group meets in bounded tasks.  What the fingerprints miss, such as appended, cut or replaced
+    passages, is found by a prefix-filter join on the rarest shingles across the groups so far.
 
     Equal texts are one node and never expanded.  Null and empty texts are copies of each other.  A
     null doc_id counts as the largest.  Of repeated rows one stays; rows that share doc_id and text
@@ -222,7 +357,12 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
         .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
     )
     same = connected_components(meet.groupBy("root", "lo", "hi").applyInPandas(_similar(width, similarity), "u long, v long")).select("node", F.col("root").alias("group"))
-    grouped = named.join(same, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = kept(named.join(same, "node", "left").withColumn("group", F.coalesce("group", "node")).select("node", "least", "group"), "grouped")
+    links_left = kept(_remaining(whole, grouped.select("node", F.col("least.row").alias("row"), "group"), width=width, similarity=similarity), "links")
+    at = lambda c: grouped.select(F.col("node").alias(c), F.col("group").alias(f"{c}_group"))
+    between = links_left.join(at("u"), "u").join(at("v"), "v").select(F.col("u_group").alias("u"), F.col("v_group").alias("v"))
+    merged = connected_components(between).select(F.col("node").alias("group"), F.col("root").alias("merged"))
+    grouped = grouped.join(merged, "group", "left").withColumn("group", F.coalesce("merged", "group"))
     stay = grouped.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
     picked = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.struct("*").alias("_whole")).join(stay, "_row")
     return picked.groupBy("_row").agg(F.first("_whole").alias("_whole")).select("_whole.*")
