@@ -137,6 +137,19 @@ def test_op10_held_out_accuracy(spark):
     assert sum(r.rejected for r in held) / len(held) < 0.01
 
 
+def test_op10_margin_does_not_fall_with_length(spark):
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_languages(table)
+    parts = {}
+    for r in sorted(table.where("text is not null").collect(), key=lambda r: r.doc_id):
+        parts.setdefault(r.lang, []).append(r.text)
+    for lang, texts in parts.items():
+        vocabulary = sorted({w for t in texts for w in t.split()})
+        rng = np.random.default_rng(5)
+        for size in (20_000, 400_000):
+            assert (found := model.judge(" ".join(rng.choice(vocabulary, size))))[0] == lang and found[2] > 0.02, (lang, size, found)
+
+
 def test_op10_edges(spark):
     d = docs(spark)
     out = identify(d, fit_languages(d))
