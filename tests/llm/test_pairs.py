@@ -170,3 +170,19 @@ def test_decontamination_of_planted_passages(spark, limit):
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 6, 7, 8] and left.columns == frame.columns
     assert contaminated(empty(spark), bench).count() == 0 and decontaminate(frame, bench.limit(0)).count() == frame.count()
     assert decontaminate(docs(spark), bench).count() == docs(spark).count()
+
+
+def test_decontamination_is_the_same_with_a_large_benchmark(spark):
+    rng = random.Random(13)
+    word = lambda: f"u{rng.getrandbits(40)}"
+    masked = lambda item, keep: [w if k else word() for w, k in zip(item, keep, strict=True)]
+    bench, texts = [], []
+    for k in range(120):
+        n = 24 if k == 0 else rng.randint(20, 70)
+        item = [word() for _ in range(n)]
+        keep = [c == "1" for c in "101011111111101100111111"] if k == 0 else [rng.random() < 0.78 for _ in range(n)]
+        bench.append((k, " ".join(item)))
+        texts.append((k, " ".join([word() for _ in range(rng.randrange(5))] + masked(item, keep) + [word()])))
+    docs_, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    small, large = (sorted((r.doc_id, r.item_id, r.matched, r.window) for r in contaminated(docs_, items, broadcast_bytes=b).collect()) for b in (64 << 20, 0))
+    assert small == large and (0, 0, 17, 20) in small
