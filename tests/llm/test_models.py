@@ -47,6 +47,22 @@ def test_toxicity_edges(spark):
     assert score_toxicity(empty(spark), lex).count() == 0
 
 
+def test_toxicity_calibration_does_not_depend_on_the_sample(spark):
+    rows = [(i, "vile words" if i % 10 < (9 if i < 300 else 1) else "fine words", int(i < 300)) for i in range(3300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores = [learn_lexicon(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), rows_per_label=n).score("vile words") for n in (6000, 300)]
+    assert abs(scores[0] - scores[1]) < 0.15 and max(scores) < 0.65, scores
+
+
+def test_toxicity_counts_every_clean_document():
+    import pandas as pd
+
+    from tidemark.llm.toxicity import _occurrences
+
+    found = pd.concat(_occurrences((3,))(iter([pd.DataFrame({"text": ["rarely"], "toxic": [0]})] * 2))).groupby("pattern")["d0"].sum()
+    assert found["rarely "] == 2
+
+
 def test_op3_counts_equal_brute_force(spark):
     table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     tokens = {i: [*(t or "").translate(LOWER).encode().split(), None] for i, t in table}

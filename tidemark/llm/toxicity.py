@@ -113,8 +113,7 @@ def _occurrences(lengths: tuple[int, ...]):
                             own[w[:n]] += c
                 seen[y].update(own)
                 docs[y].update(own.keys())
-            # what no toxic text of the batch has matters only if another batch's does
-            keys = [k for k in seen[0].keys() | seen[1].keys() if docs[0][k] + docs[1][k] > 1 or docs[1][k]]
+            keys = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"pattern": keys} | {f"{name}{y}": [src[y][k] for k in keys] for name, src in (("n", seen), ("d", docs)) for y in (0, 1)})
 
     return of
@@ -125,7 +124,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 6
 
     The sample has at most ``rows_per_label`` rows of each label, chosen by a hash of doc_id.  Two
     thirds of it give the weights, log ratios of the occurrence rates in toxic and other texts, for
-    at most ``entries`` patterns; the rest fits the logistic calibration.  Null labels are ignored.
+    at most ``entries`` patterns; the rest fits the logistic calibration, where each label weighs as
+    in all of ``labels``, not as in the sample.  Null labels are ignored.
     Without both labels the lexicon is empty and every score is low.
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -152,7 +152,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 6
     rows = bounded_rows(_features(sample.where("fold = 2"), lexicon), 2 * rows_per_label + 1000, "the calibration sample")
     if rows:
         x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-        lexicon.coef = tuple(_logistic(x, y))
+        known = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        lexicon.coef = tuple(_logistic(x, y, np.array([known[t] / min(known[t], rows_per_label) for t in y.astype(int)])))
     return lexicon
 
 
@@ -167,13 +168,13 @@ def _features(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
     return sample.select("toxic", x("text").alias("x"))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; each label weighs as in the sample."""
+def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; ``each`` says how many rows a row stands for."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - ridge * w), -5, 5)
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(h, x.T @ (each * (y - p)) - ridge * w), -5, 5)
     return w
 
 
