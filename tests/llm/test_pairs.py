@@ -149,12 +149,50 @@ def test_op2_equals_sql(spark):
     assert sorted(tuple(r) for r in queries.op2_decontamination(spark, DATA).collect()) == want and want
 
 
-def test_masks_survive_four_substitutions():
+def test_masks_survive_a_fifth_of_substitutions():
     from itertools import combinations
+    from math import ceil
+
+    for n in range(8, 21):
+        places = [{s + o for o, c in enumerate(m) if c == "1"} for m, least, most in MASKS if least <= n and (most is None or n <= most) for s in range(n - len(m) + 1)]
+        assert all(any(p.isdisjoint(gone) for p in places) for gone in combinations(range(n), n - ceil(0.8 * n))), n
+
+
+def naive_contamination(texts, bench):
+    """Every alignment and every window, token by token: the whole item, or 20 tokens, at 0.8; under 8 tokens all."""
+    out = set()
+    for i, t in texts:
+        w = (t or "").translate(LOWER).split()
+        for k, b in bench:
+            b = (b or "").translate(LOWER).split()
+            n = min(20, len(b))
+            best = 0
+            for d in range(-len(b), len(w) + 1):
+                same = [0 <= d + j < len(w) and w[d + j] == b[j] for j in range(len(b))]
+                best = max([best, *(sum(same[s : s + n]) for s in range(len(b) - n + 1))])
+            if n >= 5 and best >= (n if n < 8 else -(-4 * n // 5)):
+                out.add((i, k, best, n))
+    return out
 
-    shapes = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-    for gone in combinations(range(20), 4):
-        assert any(all(s + o not in gone for o in shape) for m, shape in zip(MASKS, shapes, strict=True) for s in range(20 - len(m) + 1))
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_decontamination_equals_every_window(spark, limit):
+    rng = random.Random(21)
+    word = lambda: f"u{rng.getrandbits(40)}"
+    bench = [(k, " ".join(word() for _ in range(3 + k % 38))) for k in range(40)]
+    probe = [word() for _ in range(40)]
+    bench.append((900, " ".join(probe)))
+    texts = [(900, " ".join(w if i in (0, 1, 2, 3, 7) or 12 <= i < 32 and i not in (16, 20, 23, 24) else word() for i, w in enumerate(probe)))]
+    for k, t in bench:
+        for share in (0.15, 0.2, 0.25):
+            w = t.split()
+            for i in rng.sample(range(len(w)), int(share * len(w))):
+                w[i] = word()
+            texts.append((len(texts), " ".join([word() for _ in range(rng.randrange(4))] + w + [word() for _ in range(rng.randrange(4))])))
+    texts += [(5000, bench[4][1]), (5001, bench[4][1] + " and more"), (5002, None)]
+    docs_, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.matched, r.window) for r in contaminated(docs_, items, broadcast_bytes=limit).collect()}
+    assert found == naive_contamination(texts, bench) and (900, 900, 16, 20) in found and {(5000, 4, 7, 7), (5001, 4, 7, 7)} <= found
 
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])

@@ -140,15 +140,16 @@ WITH words AS (
   SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
 items AS (
   SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS b FROM benchmark),
-masks(k, o, span) AS (VALUES (0, [0, 2, 4, 7, 8], 9), (1, [0, 1, 2, 3, 7], 8)),
-at_doc AS (SELECT *, unnest(range(0, len(w) - 7)) AS i FROM words),
+masks(k, o, span, least, most) AS (VALUES (0, [0, 2, 4, 7, 8], 9, 8, 9999999), (1, [0, 1, 2, 3, 7], 8, 8, 9999999), (2, [0, 1, 3, 4], 5, 8, 19),
+  (3, [0, 1, 2, 3, 4], 5, 5, 5), (4, [0, 1, 2, 3, 4, 5], 6, 6, 6), (5, [0, 1, 2, 3, 4, 5, 6], 7, 7, 7)),
+at_doc AS (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM words),
 doc_seeds AS (SELECT doc_id, text, w, i, k, list_transform(o, lambda x: w[i + x + 1]) AS s FROM at_doc, masks WHERE i + span <= len(w)),
-at_item AS (SELECT *, unnest(range(0, len(b) - 7)) AS j FROM items),
-item_seeds AS (SELECT item_id, b, j, k, list_transform(o, lambda x: b[j + x + 1]) AS s FROM at_item, masks WHERE j + span <= len(b)),
+at_item AS (SELECT *, unnest(range(0, len(b) - 4)) AS j FROM items),
+item_seeds AS (SELECT item_id, b, j, k, span, list_transform(o, lambda x: b[j + x + 1]) AS s FROM at_item, masks WHERE j + span <= len(b) AND len(b) BETWEEN least AND most),
 hits AS (
-  SELECT DISTINCT d.doc_id, d.text, d.w, i.item_id, i.b, d.i - i.j AS off, i.j, least(20, len(i.b)) AS len_
+  SELECT DISTINCT d.doc_id, d.text, d.w, i.item_id, i.b, d.i - i.j AS off, i.j, i.span, least(20, len(i.b)) AS len_
   FROM doc_seeds d JOIN item_seeds i USING (k, s)),
-starts AS (SELECT *, unnest(range(greatest(0, j + 8 - len_), least(j, len(b) - len_) + 1)) AS s FROM hits),
+starts AS (SELECT *, unnest(range(greatest(0, j + span - len_), least(j, len(b) - len_) + 1)) AS s FROM hits),
 sums AS (
   SELECT doc_id, text, item_id, len_, list_sum(list_transform(range(s, s + len_), lambda t: CASE WHEN off + t >= 0 AND off + t < len(w) AND w[off + t + 1] = b[t + 1] THEN 1 ELSE 0 END)) AS m FROM starts)
 SELECT doc_id, item_id, max(m)::INT AS matched, max(len_)::INT AS "window"
