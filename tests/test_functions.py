@@ -14,52 +14,75 @@ from tidemark.operators.versions import rebuild_versions
 from tidemark.sources.corpus import clause_log
 
 CORPUS = f"{__file__.rpartition('/')[0]}/corpus"
+#: Question, day it is read for (None: no single day), and whether it asks what was said that day.  Asked on 2032-03-03 at 09:30.
 CASES = [
-    ("What was the meal cap on 2026-02-01?", "stated", "2026-02-01", False),
-    ("What was the rule on 1 March 2026?", "stated", "2026-03-01", False),
-    ("What applied in march 2026?", "stated", "2026-03-01", False),
-    ("How much parental leave do I get?", "assumed-today", "2026-06-01", False),
-    ("What did you tell me on 2026-02-01 about meals?", "stated", "2026-02-01", True),
-    ("How much applied in 2024?", "ambiguous-date", None, False),
-    ("Is the 2024 rule in force today?", "assumed-today", "2026-06-01", False),
-    ("What was it when I joined?", "ambiguous-date", None, False),
-    ("Was it 75 on 2026-01-01 or 90 on 2026-05-01?", "ambiguous-date", None, False),
-    ("What did it say back then?", "ambiguous-date", None, False),
-    ("What held on 15 March 2026?", "ambiguous-date", None, False),
-    ("What held on 2026-02-30?", "ambiguous-date", None, False),
-    ("What held on 31 June 2026?", "ambiguous-date", None, False),
-    ("According to your records at the time, 2026-02-01?", "ambiguous-date", None, False),
-    ("", "assumed-today", "2026-06-01", False),
+    *((f"May dogs swim {vague}?", None, False) for vague in ("recently", "soon", "before the merger", "a while ago", "last year")),
+    *((f"Since {written} the diving board is closed, why?", "2031-09-07", False) for written in ("2031-09-07",)),
+    *((f"Was the {written} tariff lower?", "2031-09-01", False) for written in ("September 2031", "SEPTEMBER  2031", "1 september 2031")),
+    *((f"Is the pool heated {word}?", "2032-03-03", False) for word in ("today", "right now", "these days", "on weekdays")),
+    ("Is the tariff of 2030 still charged at the moment?", "2032-03-03", False),
+    ("Which tariff did 2030 have?", None, False),
+    ("Compare 2031-01-01 with 2031-01-02.", None, False),
+    ("Compare 2031-01-01 with 1 January 2031.", "2031-01-01", False),
+    ("Were you saying on 2031-12-24 that the pool is open?", "2031-12-24", True),
+    ("What did we print on 2031-12-24?", "2031-12-24", True),
+    ("Did it open on 24 December 2031?", None, False),
+    ("Who swam on 2031-11-31?", None, False),
+    ("Who swam on 29 February 2031?", None, False),
+    (" ", "2032-03-03", False),
 ]
 
 
 def test_resolution(spark):
     q = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, q string")
-    now = F.lit("2026-06-01 12:00:00").cast("timestamp")
-    rows = q.select("i", dates.resolve(F.col("q"), now).alias("r"), dates.describe(dates.resolve(F.col("q"), now)).alias("d")).orderBy("i").collect()
-    for row, (text, outcome, day, moved) in zip(rows, CASES, strict=True):
-        assert row.r.outcome == outcome, text
+    asked = datetime(2032, 3, 3, 9, 30)
+    resolution = dates.resolve(F.col("q"), F.lit(str(asked)).cast("timestamp"))
+    for row in q.select("i", resolution.alias("r"), dates.describe(resolution).alias("d")).collect():
+        text, day, moved = CASES[row.i]
         assert (str(row.r.valid_at) if row.r.valid_at else None) == day, text
-        if day:
-            assert row.r.known_at == (datetime(2026, 2, 1, 12) if moved else datetime(2026, 6, 1, 12)), text
-        assert row.d.startswith("could not pin" if outcome == "ambiguous-date" else "in force on")
-    once = q.where("i = 10").select(dates.resolve(F.col("q"), now, contained_once=True).alias("r")).first().r
-    assert (once.outcome, str(once.valid_at)) == ("stated", "2026-03-15")
-
-
-def fold_model(text):
-    """Markers by folding with an index map, the slow way."""
-    kept = [(i, c) for i, c in enumerate(text) if c not in fence.INVISIBLE]
-    table = str.maketrans(fence.LOOKALIKES, fence.STAND_FOR)
-    folded = "".join(c for _, c in kept).translate(table)
-    out, last = [], 0
-    for m in re.finditer(r"<<<\s*/?\s*untrusted\s*:[^>]{0,64}>>>", folded, re.I):
-        out += [text[last : kept[m.start()][0]], fence.REDACTED]
-        last = kept[m.end() - 1][0] + 1
-    return "".join(out) + text[last:]
-
-
-def test_neutralise_equals_folding(spark):
+        stated = bool(row.r.matched)
+        assert row.r.outcome == ("ambiguous-date" if day is None else "stated" if stated else "assumed-today"), text
+        assert day is None or row.r.known_at == (asked.replace(year=2031, month=12, day=24) if moved else asked), text
+        assert row.d.startswith(day or "no single day: ") and ("taken from the question" in row.d) == stated, row.d
+    once = spark.range(1).select(dates.resolve(F.lit("Did it open on 24 December 2031?"), F.lit(str(asked)).cast("timestamp"), contained_once=True).alias("r")).first().r
+    assert (once.outcome, str(once.valid_at)) == ("stated", "2031-12-24")
+
+
+def marker_from(text, i):
+    """End of the marker that starts at ``i``, or None: its fixed shape read character by character."""
+    seen = dict(zip(fence.LOOKALIKES, fence.STAND_FOR, strict=True))
+    at = last = i
+
+    def skip():
+        nonlocal at
+        while at < len(text) and text[at] in fence.INVISIBLE:
+            at += 1
+        return seen.get(text[at], text[at]).lower() if at < len(text) else ""
+
+    def take(allowed, least=1, most=1):
+        nonlocal at, last
+        n = 0
+        while n < most and (c := skip()) and allowed(c):
+            last = at = at + 1
+            n += 1
+        return n >= least
+
+    shape = [(lambda c: c == "<", 3, 3), (str.isspace, 0, 99), (lambda c: c == "/", 0, 1), (str.isspace, 0, 99)]
+    shape += [(lambda c, w=w: c == w, 1, 1) for w in fence.WORD] + [(str.isspace, 0, 99), (lambda c: c == ":", 1, 1)]
+    shape += [(lambda c: c != ">", 0, fence.BODY), (lambda c: c == ">", 3, 3)]
+    return last if text[i] not in fence.INVISIBLE and all(take(*part) for part in shape) else None
+
+
+def without_markers(text):
+    out, i = [], 0
+    while i < len(text):
+        end = marker_from(text, i)
+        out.append(text[i] if end is None else fence.REDACTED)
+        i = i + 1 if end is None else end
+    return "".join(out)
+
+
+def test_neutralise_equals_reading_by_character(spark):
     import random
 
     rng = random.Random(1)
@@ -68,7 +91,7 @@ def test_neutralise_equals_folding(spark):
     texts += ["".join(rng.choice(parts) for _ in range(rng.randint(3, 12))) for _ in range(600)]
     texts += ["a" + rng.choice(["<<<", "＜<<", "<‍<<"]) + rng.choice(["", "/", " / "]) + rng.choice(["untrusted", "untruͼted", "UNΤRUSTED"]) + rng.choice([":", " :"]) + "0" * rng.randint(0, 66) + ">>>b" for _ in range(200)]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fence.neutralise(F.col("t")).alias("c")).orderBy("i").collect()
-    assert [r.c for r in rows] == [fold_model(t) for t in texts]
+    assert [r.c for r in rows] == [without_markers(t) for t in texts]
 
 
 def test_wrap_and_token(spark):
@@ -110,7 +133,7 @@ def test_corpus_errors_and_indexes(spark, tmp_path):
     assert read_documents(spark, str(tmp_path), strict=False).first()["error"]
     docs = read_documents(spark, CORPUS)
     published = {r.chunk_id: r.text for r in published_index(docs).collect()}
-    assert len(published) == 10 and published["FIX:5.2"].startswith("Remote work, put right\nIt was 55")
-    assert published["BASE:4.1"].startswith("4.1 Leave\nStaff")
+    assert len(published) == 10 and published["AUDIT:lockers"].startswith("Audit of the lockers\nThe signs")
+    assert published["CHARTER:sauna"].startswith("sauna Sauna\nThe sauna")
     index = [r.chunk_id for r in version_index(rebuild_versions(clause_log(docs))).collect()]
-    assert len(index) == 14 and index[:2] == ["4.1@v1", "4.2@v1"]
+    assert len(index) == 16 and index[:2] == ["cafe@v1", "cafe@v2"]

@@ -58,9 +58,9 @@ def test_clustered_corpus_is_found_by_its_centroid(spark):
 
 def test_command_line(spark, tmp_path, capsys):
     main(["ingest", CORPUS, f"{tmp_path}/v"])
-    assert capsys.readouterr().out == "14 versions\n"
-    main(["show", f"{tmp_path}/v", "5.1", "--valid-at", "2026-02-01", "--known-at", "2026-03-01"])
-    assert "75 EUR" in capsys.readouterr().out
-    main(["history", f"{tmp_path}/v", "5.1"])
-    assert capsys.readouterr().out.count("| 5.1 |") == 3
+    assert capsys.readouterr().out == "16 versions\n"
+    main(["show", f"{tmp_path}/v", "cafe", "--valid-at", "2031-09-15", "--known-at", "2032-01-01"])
+    assert "18:00" in capsys.readouterr().out
+    main(["history", f"{tmp_path}/v", "cafe"])
+    assert capsys.readouterr().out.count("| cafe |") == 3
     assert percent(1, 4) == "1/4 (25%)" and markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |"

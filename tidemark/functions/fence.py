@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 LOOKALIKES = "АВЕКМНОРСТУХаеорсухіԁͼοΑΒΕΚΜΝΟΡΤΧ＜＞：／"
 STAND_FOR = "ABEKMHOPCTYXaeopcyxidsoABEKMNOPTX<>:/"
 INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad\u034f\u061c\u180e"
+# Fixed values too: a marker's word, the most characters of its body, and what is put in a marker's place.
 WORD, BODY, REDACTED = "untrusted", 64, "[marker removed]"
 PREFIX = "tidemark-fence:"
 

@@ -417,7 +417,10 @@ def idx_missing_vectors(spark, sf_dir):
     return plan.missing_vectors(v, kept)
 
 
-TEMPLATES = ("What held on 2026-02-01?", "What held on 1 March 2026?", "What held in March 2026?", "How much is it?", "What did you tell me on 2026-02-01?", "How much applied in 2024?", "What was it when I joined?", "Was it 2026-01-01 or 2026-05-01?", "What did it say back then?", "What held on 15 March 2026?", "What held on 2026-02-30?", "Is the 2024 rule in force today?")
+TEMPLATES = (
+    "Who may swim before the reorg?", "Were the doors open on 2031-12-24?", "Who paid in 2030?", "Compare 2031-01-01 and 7 July 2031.", "What did we print on 2031-05-05?", "Is the 2030 tariff charged these days?",
+    "Since may 2031, who cleans?", "Is it shut on 2031-02-30?", "According to your records then, 2031-08-08?", "Who keeps the keys?", "Did it open on 24 December 2031?", "Was it dearer last year?", "What cost 3 on 1 June 2031?", "What will be charged soon?",
+)
 NOW = "2026-06-01 12:00:00"
 _MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]"
 
@@ -479,8 +482,8 @@ def _answers(spark, sf_dir, options=ENGINE):
     return plan.ask(derived.vector_questions(spark, sf_dir).drop("section_key"), derived.vector_chunks(spark, sf_dir), _documents(spark, sf_dir), F.lit(ASKED_AT).cast("timestamp"), options)
 
 
-_USER = r"""'Question: ' || d.question || chr(10) || chr(10) || 'Answer for the rule in force on ' || d.valid_at || ',' || chr(10) || 'from what was known at ' || strftime(d.known_at, '%Y-%m-%d %H:%M') || ' UTC.' || chr(10) || chr(10) || 'Passages:' || chr(10) || chr(10)
-  || string_agg('<<<untrusted:' || tok || '>>>' || chr(10) || 'section: ' || c.section_key || chr(10) || 'in force: ' || c.valid_from || ' to ' || coalesce(c.valid_to::VARCHAR, 'open') || chr(10) || 'text: ' || c.text || chr(10) || '<<</untrusted:' || tok || '>>>' || chr(10), chr(10) ORDER BY b.rank)"""
+_USER = r"""'as-of ' || d.valid_at || ' recorded-by ' || strftime(d.known_at, '%Y-%m-%dT%H:%MZ') || chr(10) || 'task: ' || d.question || chr(10)
+  || string_agg('[' || b.rank || '] ' || c.section_key || ' | ' || c.valid_from || ' .. ' || coalesce(c.valid_to::VARCHAR, 'open') || chr(10) || '<<<untrusted:' || tok || '>>>' || chr(10) || c.text || chr(10) || '<<</untrusted:' || tok || '>>>', chr(10) ORDER BY b.rank)"""
 _SYSTEM_SQL = "'" + plan.SYSTEM.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 ASK_SQL = f"""WITH {CHUNKS_SQL}, {REV_SQL},
 told(i, question, resolution, valid_at, known_at, reason) AS (VALUES

@@ -1,4 +1,7 @@
-"""Bitemporal relations derived from the star-schema test tables, the same in Spark and in SQL."""
+"""Bitemporal relations derived from the star-schema test tables, the same in Spark and in SQL.
+
+The strides, spans and shares of the clocks are fixed values that the SQL repeats.
+"""
 
 from __future__ import annotations
 
