@@ -54,13 +54,63 @@ def test_toxicity_calibration_does_not_depend_on_the_sample(spark):
     assert abs(scores[0] - scores[1]) < 0.15 and max(scores) < 0.65, scores
 
 
-def test_toxicity_counts_every_clean_document():
-    import pandas as pd
-
-    from tidemark.llm.toxicity import _occurrences
-
-    found = pd.concat(_occurrences((3,))(iter([pd.DataFrame({"text": ["rarely"], "toxic": [0]})] * 2))).groupby("pattern")["d0"].sum()
-    assert found["rarely "] == 2
+def toxic_frame(spark, copies=1, parts=3):
+    """Toxic texts hold "vile"; so do clean ones that speak of the vile river."""
+    rows = []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = [f"w{(i * 7 + k) % 40}" for k in range(12)]
+        if toxic or i % 3 == 1:
+            words[5:5] = ["vile"] if toxic else ["vile", "river"]
+        rows.append((i, " ".join(words), int(toxic)))
+    return spark.createDataFrame(rows * copies, "doc_id long, text string, toxic int").repartition(parts)
+
+
+def test_toxicity_learns_exception_phrases(spark):
+    frame = toxic_frame(spark)
+    lex = learn_lexicon(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), least_weight=0.5)
+    assert any(p.startswith("vile") for p in lex.weights) and "vile river" in lex.exceptions
+    assert lex.hits("the vile river")[1] == 0 and lex.hits("a vile deed")[1] == 1 and lex.score("a vile deed") > 0.5 > lex.score("the vile river")
+
+
+def test_toxicity_fit_takes_repeats_and_any_batch_size(spark):
+    once = toxic_frame(spark)
+    fits = []
+    for frame, batch in ((once, 10_000), (once, 7), (toxic_frame(spark, 40, 5), 10_000)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        fits.append(learn_lexicon(frame.select("doc_id", "text"), once.select("doc_id", "toxic"), rows_per_label=300, least_weight=0.5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for f in fits[1:]:
+        assert f.weights == fits[0].weights and f.exceptions == fits[0].exceptions and np.allclose(f.coef, fits[0].coef)
+
+
+def naive_hits(lex, text):
+    """Every pattern tried at every word, every phrase at every place."""
+    line = folded(text)
+    starts = [i for i, c in enumerate(line) if c == " "]
+    spared = [(i, i + len(folded(p))) for p in lex.exceptions for i in range(len(line)) if line.startswith(folded(p), i)]
+    out = Counter()
+    for i in starts:
+        fits = [p for p in lex.weights if line.startswith(" " + p, i)]
+        if fits:
+            p = max(fits, key=len)
+            if not any(a <= i and i + 1 + len(p) <= b for a, b in spared):
+                out[p] += 1
+    return sum(lex.weights[p] * (1 + math.log(c)) for p, c in out.items()), sum(out.values()), len(line.split())
+
+
+def test_automaton_equals_naive_matching(spark):
+    import random
+
+    frame = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    lex = learn_lexicon(frame, spark.read.parquet(f"{DATA}/labels.parquet"), least_docs=2, least_weight=0.3)
+    rng = random.Random(3)
+    texts = [r.text for r in frame.collect() if len(r.text or "") < 3000]
+    words = sorted({w for t in texts if t for w in folded(t).split()})
+    lex = Lexicon(lex.weights | {w[:3]: 0.5 for w in rng.sample(words, 20)} | {f"{w} ": 1.5 for w in rng.sample(words, 20)}, [*lex.exceptions, *(" ".join(folded(t).split()[4:6]) for t in texts[:60] if t and len(t.split()) > 9)])
+    assert lex.weights and lex.exceptions
+    for t in texts:
+        assert lex.hits(t or "") == pytest.approx(naive_hits(lex, t or "")), t
 
 
 def test_op3_counts_equal_brute_force(spark):
@@ -166,6 +216,42 @@ def test_op10_margin_does_not_fall_with_length(spark):
             assert (found := model.judge(" ".join(rng.choice(vocabulary, size))))[0] == lang and found[2] > 0.02, (lang, size, found)
 
 
+def test_op10_equals_naive_encoding(spark):
+    import zstandard
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_languages(table)
+    for r in identify(table, model).collect():
+        raw = " ".join("".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split())
+        if not raw:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        raw = f" {raw} ".encode()
+        raw = raw * 2 if len(raw) < 96 else raw
+        n = -(-len(raw) // 8192)
+        pieces = [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)]
+        sizes = Counter()
+        for row in model.content:
+            for lang, content in zip(model.langs, row, strict=True):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=6)
+                sizes[lang] += sum(len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x)) for x in pieces)
+            least, second = sorted(sizes.values())[:2]
+            if (second - least) / second >= 0.03:
+                break
+        assert sizes[r.lang_pred] == least and r.margin == pytest.approx((second - least) / second) and r.rejected == (r.margin < 0.005)
+
+
+def test_op10_fit_takes_repeats(spark):
+    one = [(i, f"{'the and of' if i % 2 else 'der die das'} w{i}", "en" if i % 2 else "de") for i in range(1000)]
+    hot = [(7, "the same row again", "en")] * 3000
+    once = fit_languages(spark.createDataFrame([*one, hot[0]], "doc_id long, text string, lang string").repartition(3))
+    many = fit_languages(spark.createDataFrame(one + hot, "doc_id long, text string, lang string").repartition(5))
+    assert set(once.langs) == set(many.langs) == {"en", "de"}
+    order = {k: i for i, k in enumerate(many.langs)}
+    assert all(row[i] == other[order[k]] for row, other in zip(once.content, many.content, strict=True) for i, k in enumerate(once.langs))
+
+
 def test_op10_edges(spark):
     d = docs(spark)
     out = identify(d, fit_languages(d))

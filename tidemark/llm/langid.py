@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_rows
+
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Texts of fewer bytes are encoded twice: alone they are stored raw, and all languages tie.
 SHORT = 96
@@ -73,24 +75,42 @@ class CompressionClassifier:
         return self.langs[best], min(1.0, 0.5 + 5 * margin), margin
 
 
-def fit_languages(labelled: DataFrame, *, rows_per_language: int = 300, chars_per_row: int = 2000, languages: int = 400, dictionaries: int = 8, dictionary_bytes: int = 32 << 10, level: int = 6, narrow: float = 0.03) -> CompressionClassifier:
+def fit_languages(
+    labelled: DataFrame, *, rows_per_language: int = 300, chars_per_row: int = 2000, languages: int = 400,
+    dictionaries: int = 8, dictionary_bytes: int = 32 << 10, level: int = 6, narrow: float = 0.03,
+) -> CompressionClassifier:
     """Fit on a bounded sample of ``labelled(doc_id, text, lang)``.
 
-    The sample has at most ``rows_per_language`` rows of each language, chosen by a hash of doc_id,
-    and ``chars_per_row`` characters from the middle of each; more than ``languages`` languages are
-    refused.  Counts of rows are over all of ``labelled``.
+    The sample has at most ``rows_per_language`` rows of each language, those least by a hash of
+    doc_id and text, and ``chars_per_row`` characters from the middle of each.  Rows are drawn where
+    they lie, by a threshold on that hash from the language's (estimated) number of different rows,
+    so no task sees a whole language.  More than ``languages`` languages are refused.
+
+    Counts of rows are over all of ``labelled``; they only order languages that tie.  Null texts and
+    null languages are left out.  Rows repeated with doc_id, text and language are drawn as one; rows
+    that share a doc_id and differ in text are different rows.  A table without any row gives a
+    classifier that answers ``und``.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    keys = labelled.select("doc_id", "lang").withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
-    if len(counts) > languages:
-        raise ValueError(f"more than {languages} languages")
-    first = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).where(F.col("rank") <= rows_per_language)
+    top = 1 << 62
+    labelled = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    per_lang = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.03).alias("different"))
+    found = bounded_rows(per_lang, languages, "the list of languages")
+    if not found:
+        return CompressionClassifier({}, {}, dictionaries=dictionaries, dictionary_bytes=dictionary_bytes, level=level, narrow=narrow)
+    # half as many again as needed: the estimate is 3 % off, the draw a few standard deviations
+    wanted = 1.5 * rows_per_language + 50
+    limits = [(r["lang"], int(top * min(1.0, wanted / max(1, r["different"])))) for r in found]
+    limit = F.create_map(*[F.lit(x) for pair in limits for x in pair])
     start = F.greatest(F.lit(1), ((F.length("text") - chars_per_row) / 2).cast("int") + 1)
-    pieces = labelled.join(F.broadcast(first.select("doc_id", "lang", "rank").distinct()), ["doc_id", "lang"]).select("lang", "rank", F.substring("text", start, F.lit(chars_per_row)).alias("piece"))
+    piece = F.substring("text", start, F.lit(chars_per_row))
+    drawn = labelled.where(F.col("h") <= limit[F.col("lang")]).select("lang", "h", piece.alias("piece")).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     samples: dict[str, list[str]] = {}
-    for r in sorted(pieces.collect(), key=lambda r: (r["lang"], r["rank"], r["piece"])):
-        samples.setdefault(r["lang"], []).append(r["piece"])
+    for r in sorted(bounded_rows(drawn, int(2 * wanted) * len(found), "the sample"), key=lambda r: (r["lang"], r["h"])):
+        own = samples.setdefault(r["lang"], [])
+        if len(own) < rows_per_language:
+            own.append(r["piece"])
+    counts = {r["lang"]: r["n"] for r in found}
     return CompressionClassifier(samples, counts, dictionaries=dictionaries, dictionary_bytes=dictionary_bytes, level=level, narrow=narrow)
 
 
@@ -99,8 +119,10 @@ def identify(docs: DataFrame, model: CompressionClassifier, reject_below: float
 
     ``rejected`` marks ``und`` and texts whose margin, (second - best) / second of the compressed
     sizes, is below ``reject_below``.  Null texts and texts without a letter are ``und``, score 0.
-    Whole texts are encoded, long ones in pieces.  Repeated rows repeat; an empty table gives an empty one; without any
-    learned language all is ``und``.
+    Whole texts are encoded: long ones in pieces of ``PIECE`` bytes, those under ``SHORT`` bytes twice
+    over, for a shorter one would be stored raw under every dictionary.  Among equal sizes the
+    language with more learned rows is predicted, with margin 0, hence rejected.  Repeated rows
+    repeat; an empty table gives an empty one; without any learned language all is ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_rows, kept
@@ -68,11 +71,8 @@ class Lexicon:
             self._machine = machine
         return self._machine
 
-    def hits(self, text: str) -> tuple[float, int, int]:
-        """Sum of weights, number of hits and of words; repeats of a pattern add less and less."""
-        if not self.weights:
-            return 0.0, 0, 0
-        line = folded(text)
+    def found(self, line: str) -> dict[int, tuple[int, str]]:
+        """Length and pattern of the hit that counts, by its start in the folded text."""
         best: dict[int, tuple[int, str]] = {}
         spared: list[tuple[int, int]] = []
         for end, (n, w, p) in self._automaton().iter(line):
@@ -82,7 +82,19 @@ class Lexicon:
             elif n > best.get(start, (0, ""))[0]:
                 best[start] = (n, p)
         if spared:
-            best = {s: (n, p) for s, (n, p) in best.items() if not any(a <= s and s + n - 1 <= b for a, b in spared)}
+            spared.sort()
+            starts = [a for a, _ in spared]
+            reach = list(accumulate((b for _, b in spared), max))
+            inside = lambda s, n: (k := bisect.bisect_right(starts, s)) > 0 and s + n - 1 <= reach[k - 1]
+            best = {s: (n, p) for s, (n, p) in best.items() if not inside(s, n)}
+        return best
+
+    def hits(self, text: str) -> tuple[float, int, int]:
+        """Sum of weights, number of hits and of words; repeats of a pattern add less and less."""
+        if not self.weights:
+            return 0.0, 0, 0
+        line = folded(text)
+        best = self.found(line)
         times = Counter(p for _, p in best.values())
         return float(sum(self.weights[p] * (1 + math.log(c)) for p, c in times.items())), len(best), line.count(" ") - 1
 
@@ -98,58 +110,94 @@ class Lexicon:
 
 
 def _occurrences(lengths: tuple[int, ...]):
-    """Counts for each pattern of a batch of labelled texts: occurrences and documents by label."""
+    """Documents by label for each whole word and word beginning of a batch of labelled texts."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen = {0: Counter(), 1: Counter()}
             docs = {0: Counter(), 1: Counter()}
             for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
-                own: Counter = Counter()
-                for w, c in Counter(folded(text or "").split()).items():
-                    own[w[:40] + " "] += c
-                    for n in lengths:
-                        if len(w) >= n:
-                            own[w[:n]] += c
-                seen[y].update(own)
-                docs[y].update(own.keys())
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"pattern": keys} | {f"{name}{y}": [src[y][k] for k in keys] for name, src in (("n", seen), ("d", docs)) for y in (0, 1)})
+                words = set(folded(text or "").split())
+                docs[y].update({w + " " for w in words} | {w[:n] for n in lengths for w in words if len(w) >= n})
+            keys = list(docs[0].keys() | docs[1].keys())
+            yield pd.DataFrame({"pattern": keys} | {f"d{y}": [docs[y][k] for k in keys] for y in (0, 1)})
 
     return of
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 6000, entries: int = 5000, lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8), least_docs: int = 6, least_weight: float = 1.2, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Learn pattern weights and the calibration from ``labels(doc_id, toxic)``.
+def _contexts(lexicon: Broadcast):
+    """Documents by label for each phrase of two or three words about a hit."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            docs = {0: Counter(), 1: Counter()}
+            for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
+                line = folded(text or "")
+                words, own = line.split(), set()
+                edges = np.flatnonzero(np.array([c == " " for c in line]))
+                for k in np.searchsorted(edges, sorted(lexicon.value.found(line))).tolist():
+                    for a, b in ((k - 1, k + 1), (k, k + 2), (k - 1, k + 2)):
+                        if a >= 0 and b <= len(words):
+                            own.add(" ".join(words[a:b]))
+                docs[y].update(own)
+            keys = list(docs[0].keys() | docs[1].keys())
+            yield pd.DataFrame({"phrase": keys} | {f"d{y}": [docs[y][k] for k in keys] for y in (0, 1)})
+
+    return of
+
+
+def _log_ratio(size: dict[int, int]) -> Column:
+    """How much likelier a toxic document holds it than another: log of the ratio of the two rates."""
+    return F.log((F.col("d1") + 0.5) / F.lit(float(size[1]))) - F.log((F.col("d0") + 0.5) / F.lit(float(size[0])))
+
+
+def learn_lexicon(
+    docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 6000, entries: int = 5000, phrases: int = 2000, lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8),
+    least_docs: int = 6, least_weight: float = 1.2, exceptions: tuple[str, ...] = (),
+) -> Lexicon:
+    """Learn pattern weights, exception phrases and the calibration from ``labels(doc_id, toxic)``.
+
+    The sample has at most ``rows_per_label`` rows of each label, least by a hash of doc_id.  Two
+    thirds of it give the weights, log ratios of the document rates in toxic and other texts, for
+    at most ``entries`` patterns, the most significant ones.  The same two thirds give at most
+    ``phrases`` exceptions beside those of ``exceptions``: two or three words about a hit that
+    ``least_docs`` documents hold and that other texts hold oftener than toxic ones, by the weight a
+    pattern needs.  The rest fits the logistic calibration, where each label weighs as in all of
+    ``labels``, not as in the sample.
 
-    The sample has at most ``rows_per_label`` rows of each label, chosen by a hash of doc_id.  Two
-    thirds of it give the weights, log ratios of the occurrence rates in toxic and other texts, for
-    at most ``entries`` patterns; the rest fits the logistic calibration, where each label weighs as
-    in all of ``labels``, not as in the sample.  Null labels are ignored.
-    Without both labels the lexicon is empty and every score is low.
+    Null labels and labels other than 0 and 1 are ignored; a doc_id labelled both ways is toxic.
+    Rows repeated under one doc_id count once, with the least of their texts.  Patterns that tie
+    in significance are taken in code point order.  Without both labels, as in empty tables, the
+    lexicon is empty and every score is low.
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("order", order)
     drawn = labels.where("toxic = 1").orderBy("order").limit(rows_per_label).unionAll(labels.where("toxic = 0").orderBy("order").limit(rows_per_label))
     drawn = drawn.withColumn("fold", F.conv(F.substring("order", 1, 6), 16, 10).cast("long") % 3)
-    sample = kept(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic", "fold"), "toxic-sample")
-    schema = "pattern string, n0 long, n1 long, d0 long, d1 long"
-    counted = sample.where("fold < 2").select("text", "toxic").mapInPandas(_occurrences(lengths), schema)
-    totals = sample.where("fold < 2").groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    size = {r["toxic"]: r["n"] or 0 for r in totals}
+    text = F.min(F.coalesce("text", F.lit("")))
+    sample = kept(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic", "fold").agg(text.alias("text")), "toxic-sample")
+    learned = sample.where("fold < 2").select("text", "toxic")
+    size = {r["toxic"]: r["n"] or 0 for r in learned.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Lexicon({}, list(exceptions))
     share = float(size[1]) / (size[0] + size[1])
     expected = (F.col("d0") + F.col("d1")) * share
-    weight = F.log((F.col("d1") + 0.5) / F.lit(float(size[1]))) - F.log((F.col("d0") + 0.5) / F.lit(float(size[0])))
+    counted = learned.mapInPandas(_occurrences(lengths), "pattern string, d0 long, d1 long")
     best = (
-        counted.groupBy("pattern").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")))
-        .withColumns({"weight": weight, "z": (F.col("d1") - expected) / F.sqrt(expected * (1 - share))})
+        counted.groupBy("pattern").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+        .withColumns({"weight": _log_ratio(size), "z": (F.col("d1") - expected) / F.sqrt(expected * (1 - share))})
         .where((F.col("d1") >= least_docs) & (F.col("weight") >= least_weight) & (F.col("z") >= 5) & (F.length("pattern") >= 3))
         .orderBy(F.desc("z"), "pattern").limit(entries)
     )
     lexicon = Lexicon({r["pattern"]: float(r["weight"]) for r in best.collect()}, list(exceptions))
-    rows = bounded_rows(_features(sample.where("fold = 2"), lexicon), 2 * rows_per_label + 1000, "the calibration sample")
+    if lexicon.weights:
+        about = learned.mapInPandas(_contexts(docs.sparkSession.sparkContext.broadcast(lexicon)), "phrase string, d0 long, d1 long")
+        harmless = (
+            about.groupBy("phrase").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+            .where((F.col("d0") >= least_docs) & (_log_ratio(size) <= -least_weight))
+            .orderBy(F.desc("d0"), "phrase").limit(phrases)
+        )
+        lexicon = Lexicon(lexicon.weights, [*exceptions, *(r["phrase"] for r in harmless.collect())])
+    rows = bounded_rows(_features(sample.where("fold = 2"), lexicon), 2 * rows_per_label, "the calibration sample")
     if rows:
         x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
         known = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
