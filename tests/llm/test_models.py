@@ -10,7 +10,7 @@ import pytest
 from tests.llm.edges import DATA, docs, empty
 from tidemark.llm import queries
 from tidemark.llm.langid import fit_languages, identify
-from tidemark.llm.lm import GatedLM, Vocabulary, count_words, fit_lm, fit_vocabulary, score_documents, train
+from tidemark.llm.lm import GatedLM, Lanes, Vocabulary, _sequences, count_words, fit_lm, fit_vocabulary, gradients, score_documents, train
 from tidemark.llm.suffixes import Chunk
 from tidemark.llm.toxicity import Lexicon, folded, learn_lexicon, score_toxicity
 
@@ -154,34 +154,84 @@ def test_op3_state_crosses_windows_and_lanes():
         assert s == pytest.approx(scores[0], rel=1e-5)
 
 
-def test_op3_gradients_and_learning():
+def test_op3_gradients_across_a_window_edge():
+    """Every kind of weight against differences of the loss of the second window, its first state given."""
     model, text = small_model()
-    h = np.random.default_rng(1).normal(size=(4, 5))
     model.weights = {k: np.ascontiguousarray(w, np.float64) for k, w in model.weights.items()}
-    y = np.array([0, 3, 5, 6])
-    _, dh, grads = model.outputs(h, y, back=True)
+    c = Chunk(np.arange(3), np.zeros(3, np.int64), [text[:40], b"a b c", b"c d h e f g a"])
+    _, number = model.vocabulary.encode(c)
+    x, y, start = _sequences(c.first, number, model.vocabulary.end)
+    plan = Lanes(np.diff(c.first) + 1, 2)
+    state = gradients(model, x, y, start, plan, np.zeros((2, 5)), 0, 6)[1]
+    grads, _, n, loss = gradients(model, x, y, start, plan, state, 6, 12)
+    assert n > 6 and loss > 0 and start[np.concatenate([plan.at(t, start)[0] for t in range(6, 12)])].any()
     step = 1e-6
-    for name in ("C", "O", "o"):
-        flat = model.weights[name].reshape(-1)
-        for k in (0, len(flat) // 2):
+    for name, g in grads.items():
+        flat, own = model.weights[name].reshape(-1), g.reshape(-1)
+        for k in {0, len(flat) // 2, len(flat) - 1, int(np.abs(own).argmax())}:
             was = flat[k]
             flat[k] = was + step
-            up = -model.outputs(h, y)[0].sum()
+            up = gradients(model, x, y, start, plan, state, 6, 12)[3]
             flat[k] = was - step
-            down = -model.outputs(h, y)[0].sum()
+            down = gradients(model, x, y, start, plan, state, 6, 12)[3]
             flat[k] = was
-            assert grads[name].reshape(-1)[k] == pytest.approx((up - down) / (2 * step), abs=1e-4)
+            assert own[k] == pytest.approx((up - down) / (2 * step), abs=1e-5), (name, k)
+    assert all(np.abs(grads[k]).max() > 1e-3 for k in ("U", "W", "E", "b", "C", "O"))
+
+
+def test_op3_learns():
     model, text = small_model()
     c = Chunk(np.arange(1), np.zeros(1, np.int64), [text])
     before = model.score(c)["model"][0]
     assert train(model, [text] * 4, passes=20, rate=0.02, lanes=2, window=8).score(c)["model"][0] > before + 10
 
 
+def naive_score(model, text, known):
+    """Log10 probability of a text, token by token in plain arithmetic; ``known`` counts the words by code."""
+    v, w = model.vocabulary, {k: a.astype(float) for k, a in model.weights.items()}
+    c = Chunk(np.arange(1), np.zeros(1, np.int64), [text])
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    soft = lambda a: np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    h, x, out, n = np.zeros(len(w["U"])), v.end, 0.0, len(w["U"])
+    for code, ending in [*zip(c.codes.tolist(), c.endings.tolist(), strict=True), (0, None)]:
+        gates, a = w["E"][x] @ w["W"] + w["b"], h @ w["U"]
+        z, r = sigmoid(gates[:n] + a[:n]), sigmoid(gates[n : 2 * n] + a[n : 2 * n])
+        h = z * h + (1 - z) * np.tanh(gates[2 * n :] + r * a[2 * n :])
+        at = np.flatnonzero(v.codes == np.uint64(code))
+        slot = int(v.slot[at[0]]) if len(at) else -1
+        p = soft(h @ w["C"] + w["c"])
+        if slot >= 0:
+            out += math.log10(p[slot // 32] * soft(w["O"][slot // 32] @ h + w["o"][slot // 32])[slot % 32])
+            x = slot
+        else:
+            tail = int(v.tail_of[ending])
+            out += math.log10(p[len(w["o"]) + tail]) + math.log10(known[code] + 1) - v.tail_log[tail]
+            x = v.head + tail
+    return out
+
+
+def test_op3_score_equals_naive_scoring(spark):
+    frame = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    counts = count_words(frame)
+    model = fit_lm(frame, counts, head=60, tail_classes=5, entries=200, replica_words=2000, fan_in=3, piece_words=300)
+    known = Counter({r.code % (1 << 64): r.n for r in counts.collect()})
+    texts = {r.doc_id: (r.text or "").translate(LOWER).encode() for r in frame.collect() if len(r.text or "") < 4000}
+    assert len(texts) > 20
+    for r in score_documents(frame, model, counts).collect():
+        if r.doc_id in texts:
+            assert r.score == pytest.approx(naive_score(model, texts[r.doc_id], known), rel=1e-4)
+
+
+def test_op3_a_very_long_text_takes_memory_by_its_words():
+    plan = Lanes(np.array([3, 2_000_000, 5, 4]), 256)
+    assert len(plan.flat) == 2_000_012 and plan.steps == 2_000_000 and sorted(plan.at(0, np.zeros(3_000_000, bool))[0].tolist()) == [0, 3, 2_000_003, 2_000_008]
+
+
 def test_op3_edges_and_words_outside_the_dictionary(spark):
     d = docs(spark)
     counts = count_words(d)
     for options in ({}, {"entries": 3, "head": 2, "tail_classes": 2}):
-        model = fit_lm(d, counts, sample_rows=50, **options)
+        model = fit_lm(d, counts, **options)
         assert len(model.vocabulary.codes) <= options.get("entries", 1 << 19) + 1
         rows = score_documents(d, model, counts).collect()
         assert len(rows) == d.count() and all(math.isfinite(r.score) and r.n_known == r.n_tokens for r in rows)
