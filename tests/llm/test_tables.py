@@ -77,6 +77,23 @@ def test_op9_recall_and_order(spark):
     assert not got and hit >= 0.9 * 10 * (ids % 100 == 0).sum()
 
 
+@pytest.mark.parametrize("kind", ["plain", "clustered"])
+def test_op9_recall_over_many_shards(spark, kind):
+    rng = np.random.default_rng(8)
+    n, size = 4800, 24
+    x = rng.normal(size=(n, size))
+    if kind == "clustered":
+        x = 3 * rng.normal(size=(40, size))[rng.integers(0, 40, n)] + 0.2 * x
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    rows = nearest(frame, frame.where("vec_id % 100 = 0"), k=10, shard_rows=600, block_rows=20).collect()
+    assert len(rows) == 10 * n // 100
+    best = {}
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        best[q] = {int(i) for i in np.argsort(d, kind="stable") if i != q and d[i] <= np.sort(d)[10]}
+    assert sum(r.vec_id in best[r.query_id] for r in rows) >= 0.9 * len(rows)
+
+
 def test_op9_edges(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [inf, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (100, [0.0, 1.0]), (200, [0.0, 0.0])]

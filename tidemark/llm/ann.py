@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,54 +132,76 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shard_rows: int = 8192, block_rows: int = 4096, links: int = 16, ef_build: int = 64, ef_search: int = 128) -> DataFrame:
+def nearest(
+    vectors: DataFrame, queries: DataFrame, *, k: int = 10, shard_rows: int = 4096, block_rows: int = 4096, block_bytes: int = 64 << 20,
+    links: int = 16, ef_build: int = 64, ef_search: int = 128,
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query, nearest first.
 
     Both tables have ``vec_id, embedding``.  Every row is indexed: distinct vectors are dealt by
-    hash to shards of about ``shard_rows``, each shard builds its graph in one task, and graphs are
-    kept in the shared folder.  Queries meet every shard in blocks of ``block_rows``; the results of
-    the shards are merged.  Copies of a vector are one node with its ``k + 1`` smallest vec_ids,
-    which is all that ties to smaller ids can let through.  ``score`` is the Euclidean distance of
-    the original vectors in double precision.
+    hash to shards of about ``shard_rows``, each on a partition of its own, whose task builds the
+    graph; graphs are kept in the shared folder, one row a shard.  Queries are broadcast in blocks of
+    about ``block_rows``, fewer where ``block_bytes`` asks for it; each block is searched where the
+    graphs are read, so neither graphs nor queries are shuffled.  A block's results are kept before
+    the next one starts, then the results of the shards are merged.  Copies of a vector are one node with its
+    ``k + 1`` smallest vec_ids, which is all that ties to smaller ids can let through.  ``score`` is
+    the Euclidean distance of the original vectors in double precision.
 
     Vectors null, zero, or with null or non-finite components take no part, nor do null vec_ids.
     Rows of the query's own vec_id are no candidates; repeated rows count once.  Vectors meet only
     those of their length.  Fewer candidates than ``k`` are all returned; empty tables give none.
     """
+    spark = vectors.sparkSession
     once = usable(vectors).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     nodes = kept(once.select("v", "vec_id", "nth"), "vectors")
     asked = kept(usable(queries).distinct(), "queries")
     shards = max(1, -(-nodes.where("nth = 1").count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_rows))
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "vec_id"], kind="stable")
-        own = pdf.groupby("h", sort=False)["vec_id"].agg(list)  # xxhash64 collisions are told apart below
-        firsts = pdf[pdf["nth"] == 1]
-        if len(own) != len(firsts):
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        shard = pd.concat(parts)
+        for size, pdf in shard.groupby(shard["v"].map(len)):
             tags = pdf["v"].map(lambda v: v.tobytes())
-            own = pdf.groupby(tags, sort=False)["vec_id"].agg(list)
-        x = np.stack(firsts["v"].to_numpy())
-        graph = SmallWorld(x, links=links, ef=ef_build, seed=int(key[1])).flatten()
-        return pd.DataFrame({"size": [key[0]], "shard": [key[1]], "graph": [pickle.dumps((graph, x, own.tolist()), protocol=5)]})
-
-    keyed = nodes.select(F.size("v").alias("size"), F.xxhash64("v").alias("h"), "v", "vec_id", "nth").withColumn("shard", F.pmod("h", F.lit(shards)))
-    graphs = kept(keyed.groupBy("size", "shard").applyInPandas(build, "size int, shard long, graph binary"), "graphs")
-
-    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        for raw in left["graph"]:
-            graph, x, own = pickle.loads(raw)
-            for query, v in zip(right["vec_id"].tolist(), right["v"], strict=True):
-                at = graph.search(v, max(ef_search, 2 * k))
-                dist = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
-                found = sorted((d, i) for d, j in zip(dist.tolist(), at.tolist(), strict=True) for i in own[j] if i != query)
-                out += [(query, i, d) for d, i in found[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": float})
-
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.select(F.size("v").alias("size"), "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = left.groupBy("size", "shard", "block").cogroup(right.groupBy("size", "shard", "block")).applyInPandas(ask, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            pdf = pdf.assign(tag=tags).sort_values(["tag", "vec_id"])
+            own = pdf.groupby("tag")["vec_id"].agg(list)
+            x = np.stack(pdf[pdf["nth"] == 1]["v"].to_numpy())
+            graph = SmallWorld(x, links=links, ef=ef_build, seed=int(pdf["shard"].iloc[0])).flatten()
+            yield pd.DataFrame({"size": [size], "shard": [pdf["shard"].iloc[0]], "graph": [pickle.dumps((graph, x, own.tolist()), protocol=5)]})
+
+    keyed = nodes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "vec_id", "nth")
+    graphs = kept(keyed.repartitionById(shards, F.col("shard")).mapInPandas(build, "size int, shard int, graph binary"), "graphs")
+
+    def search(block: Broadcast):
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for size, raw in zip(pdf["size"], pdf["graph"], strict=True):
+                    ids, x = block.value.get(size, ((), ()))
+                    graph, own_x, own = pickle.loads(raw)
+                    out: list[tuple] = []
+                    for query, v in zip(ids, x, strict=True):
+                        at = graph.search(v, max(ef_search, 2 * k))
+                        dist = np.sqrt(((own_x[at] - v) ** 2).sum(axis=1))
+                        found = sorted((d, i) for d, j in zip(dist.tolist(), at.tolist(), strict=True) for i in own[j] if i != query)
+                        out += [(query, i, d) for d, i in found[:k]]
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": float})
+
+        return of
+
+    schema = "query_id long, vec_id long, score double"
+    results: list[DataFrame] = []
+    sizes = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("size")).first()
+    blocks = max(1, -(-sizes["n"] // max(1, min(block_rows, block_bytes // (8 * sizes["size"])))))
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+        by_size: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        for i, v in zip(rows["vec_id"].to_pylist(), rows["v"], strict=True):
+            own = by_size.setdefault(len(v), ([], []))
+            own[0].append(i), own[1].append(np.array(v.values))
+        shared = spark.sparkContext.broadcast(by_size)
+        results.append(kept(graphs.mapInPandas(search(shared), schema), "found"))
+        shared.unpersist()
+    once = reduce(DataFrame.unionByName, results).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
