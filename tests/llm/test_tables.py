@@ -140,4 +140,26 @@ def test_pipeline_keeps_columns_and_takes_effect(spark, tmp_path):
 def test_pipeline_run(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, DATA)
-    assert out.count() > 100 and {"doc_id", "taken"} <= set(out.columns)
+    assert out.count() > 100 and {"doc_id", "text", "lang", "taken"} <= set(out.columns)
+    assert out.where("text is not null and size > 0 and taken > 0").count() > 50
+
+
+def test_scratch_spares_what_was_kept_before(spark):
+    from tidemark.llm.common import kept, scratch
+
+    before = kept(spark.range(3), "before")
+    with scratch(spark):
+        inside = kept(spark.range(5), "inside")
+        assert inside.count() == 5
+    assert spark.read.parquet(before.inputFiles()[0].rsplit("/", 1)[0]).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(inside.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
+def test_mix_with_whole_rows(spark):
+    d = docs(spark)
+    plain, wide = mix(d), mix(d, whole=True)
+    assert set(wide.columns) == {*d.columns, "size", "source_size", "target", "taken"}
+    cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    assert sorted(map(str, wide.select(cols).collect())) == sorted(map(str, plain.select(cols).collect()))
+    assert sorted(str(r.text) for r in wide.collect()) == sorted(str(r.text) for r in d.collect())

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
     It cuts lineage as ``checkpoint()`` does, but stays columnar and compressed, and survives the
-    loss of any executor.  ``release`` removes such tables once their results are consumed.
+    loss of any executor.  ``scratch`` and ``release`` remove such tables once their results are consumed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
@@ -51,13 +53,26 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table ``kept`` has written; call it after the last result was consumed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables ``kept`` has written, those after the first ``since``; call it after the last result was consumed."""
+    while len(_written) > since:
+        delete(spark, _written.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies; a missing one is fine."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Release what is kept inside the block when it ends, also by an error; tables kept before stay."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def fold_case(col: Column) -> Column:

@@ -29,7 +29,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return filled.withColumn("fits", fits).select("source", "source_size", F.least("cap", F.coalesce(F.col("fits") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2, seed: str = "mix", digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2, seed: str = "mix", digits: int = 3, whole: bool = False) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken``: the words the mix takes of each document.
 
     Documents of a source are ordered by a hash-random key, ``md5(doc_id:seed)``.  Key prefixes of
@@ -39,25 +39,30 @@ def mix(docs: DataFrame, size: Column | None = None, *, weights: tuple[float, ..
     cut exactly there: full epochs first, then the documents before the cut once more, the one at
     the cut in part.  Reruns agree, as nothing depends on the partitioning.
 
+    With ``whole``, every column of ``docs`` is returned too, the four computed ones put in place of
+    columns of their names; texts are then shuffled once, to the document's range partition.
+
     Null source is a source of its own.  Null text has size 0 and takes 0.  Repeated doc_ids are
-    ordered by size and share a key; equal rows are interchangeable.  An empty table gives an empty one.
+    ordered by size, then text, and share a key; equal rows are interchangeable.  An empty table gives an empty one.
     """
     size = word_count(F.col("text")) if size is None else size
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    sized = kept(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "sizes").withColumn("bucket", F.substring("key", 1, digits))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "size", "source_size", "target", "taken")] if whole else []
+    wide = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *([F.struct(*rest).alias("rest")] if rest else []))
+    sized = (wide if whole else kept(wide, "sizes")).withColumn("bucket", F.substring("key", 1, digits))
+    sums = kept(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "bucket-sizes")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
     targets = source_targets(sums.select("source", F.col("bucket_size").alias("size")), weights, share, epochs)
     plan = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "bucket", "offset", "source_size", "target")
-    inside = Window.partitionBy("s.source", "s.bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s.source", "s.bucket").orderBy("key", "doc_id", "size", *([F.xxhash64(F.col("rest.text"))] if "text" in rest else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.alias("s")
         .join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.bucket") == F.col("p.bucket")))
-        .select("doc_id", "s.source", "size", "source_size", "target", (F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("start"))
+        .select("doc_id", "s.source", *(["rest"] if rest else []), "size", "source_size", "target", (F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("start"))
     )
     budget = F.floor("target")
     full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = budget - full * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (full * F.col("size") + part).cast("long").alias("taken"))
+    left = budget - full * F.col("source_size")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start")))
+    return placed.select("doc_id", "source", *(F.col("rest")[c].alias(c) for c in rest), "size", "source_size", "target", (full * F.col("size") + part).cast("long").alias("taken"))

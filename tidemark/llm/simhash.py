@@ -58,10 +58,13 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in (sum(c) for c in combinations(parts, blocks - distance))]
 
 
-def blocks_for(n: int, distance: int) -> int:
-    """Fewest blocks whose keys have at least three bits more than ``log2(n)``: keys stay selective."""
+def blocks_for(n: int, distance: int, members: int = 32) -> int:
+    """Fewest blocks whose keys are long enough that ``n`` random fingerprints put about ``members`` under one.
+
+    At distance 4 that is 15 keys a fingerprint up to 2**25 of them, 35 up to 2**31 and 70 up to 2**36.
+    """
     m = distance + 2
-    while m < 3 * distance and 64 * (m - distance) // m < n.bit_length() + 3:
+    while m < 2 * distance and 64 * (m - distance) // m < n.bit_length() - members.bit_length() + 1:
         m += 1
     return m
 
@@ -139,18 +142,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, seed:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, hash of the row, two SimHashes of the distinct words, hash of the lower-cased words."""
+    """doc_id, hash of the row, two SimHashes of the distinct words, hash of the lower-cased words, bytes."""
     for b in batches:
         raw = [x.as_py().lower() for x in b.column(2)]
         longs = lambda parts: pa.array(np.frombuffer(b"".join(parts), ">i8").astype(np.int64))
         fps = [longs(fingerprint(x, 1, seed, distinct=True) for x in raw) for seed in (42, 43)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *fps, longs(xxhash.xxh64_digest(b" ".join(x.split()), 7) for x in raw)], names=["doc_id", "row", "fp1", "fp2", "words"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *fps, longs(xxhash.xxh64_digest(b" ".join(x.split()), 7) for x in raw), pa.array([len(x) for x in raw], pa.int64())], names=["doc_id", "row", "fp1", "fp2", "words", "bytes"])
 
 
 def _proposed(texts: DataFrame, name: str, distance: int) -> DataFrame:
     """Links ``(u, v)`` between nodes of ``texts(node, name)`` whose fingerprints in ``name`` are equal or close."""
     least = kept(texts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("least")), "fps")
-    near = links(least.select("fp"), distance, blocks=blocks_for(max(1, least.count() >> 5), distance))
+    near = links(least.select("fp"), distance, blocks=blocks_for(least.count(), distance))
     at = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_least"))
     equal = texts.select("node", F.col(name).alias("fp")).join(least, "fp").where(F.col("node") != F.col("least"))
     return near.join(at("u"), "u").join(at("v"), "v").select(F.col("u_least").alias("u"), F.col("v_least").alias("v")).unionByName(equal.select(F.col("node").alias("u"), F.col("least").alias("v")))
@@ -324,7 +327,7 @@ def _remaining(whole: DataFrame, named: DataFrame, *, width: int, similarity: fl
     return asked.join(at("u"), "u").join(at("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(_verified(width, similarity), "u long, v long")
 
 
-def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 6, chunk: int = 2048) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 6, chunk: int = 2048, chunk_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the smallest doc_id stays.
 
     Two texts are near duplicates when their sets of ``width``-word shingles, A-Z lower-cased, have
@@ -338,19 +341,20 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
 
     Equal texts are one node and never expanded.  Null and empty texts are copies of each other.  A
     null doc_id counts as the largest.  Of repeated rows one stays; rows that share doc_id and text
-    but differ elsewhere count as repeated.  An empty table gives an empty one.
+    but differ elsewhere count as repeated, and the one with the least hash of all its columns (maps
+    left out) stays.  An empty table gives an empty one.
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), binary_text().alias("text"))
-    rows = whole.mapInArrow(_digests, "doc_id long, row long, fp1 long, fp2 long, words long")
+    rows = whole.mapInArrow(_digests, "doc_id long, row long, fp1 long, fp2 long, words long, bytes long")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    texts = kept(rows.groupBy("fp1", "fp2", "words").agg(first), "digests")
-    texts = kept(texts.select("fp1", "fp2", "least", F.monotonically_increasing_id().alias("node")), "texts")
+    texts = kept(rows.groupBy("fp1", "fp2", "words").agg(first, F.max("bytes").alias("bytes")), "digests")
+    texts = kept(texts.select("fp1", "fp2", "least", "bytes", F.monotonically_increasing_id().alias("node")), "texts")
     proposed = connected_components(_proposed(texts, "fp1", distance).unionByName(_proposed(texts, "fp2", distance)))
-    named = kept(texts.select("node", "least").join(proposed, "node", "left").select("node", "least", "root"), "named")
-    sizes = kept(named.where("root is not null").groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
+    named = kept(texts.select("node", "least", "bytes").join(proposed, "node", "left").select("node", "least", "bytes", "root"), "named")
+    sizes = kept(named.where("root is not null").groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "sizes")
+    parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    asked = named.join(sizes, "root").select("root", "node", F.col("least.row").alias("row"), own.alias("own"), parts.alias("parts"))
+    asked = named.drop("bytes").join(sizes, "root").select("root", "node", F.col("least.row").alias("row"), own.alias("own"), parts.alias("parts"))
     meet = (
         whole.select("row", "text").join(asked, "row")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -363,6 +367,8 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
     between = links_left.join(at("u"), "u").join(at("v"), "v").select(F.col("u_group").alias("u"), F.col("v_group").alias("v"))
     merged = connected_components(between).select(F.col("node").alias("group"), F.col("root").alias("merged"))
     grouped = grouped.join(merged, "group", "left").withColumn("group", F.coalesce("merged", "group"))
-    stay = grouped.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    picked = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.struct("*").alias("_whole")).join(stay, "_row")
-    return picked.groupBy("_row").agg(F.first("_whole").alias("_whole")).select("_whole.*")
+    stay = grouped.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"), F.col("least.doc_id").alias("_id"))
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    picked = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.xxhash64(*plain).alias("_order"), F.struct("*").alias("_whole"))
+    picked = picked.join(stay, (picked["_row"] == stay["_row"]) & F.col("_whole.doc_id").cast("long").eqNullSafe(F.col("_id"))).select(picked["_row"], "_id", "_order", "_whole")
+    return picked.groupBy("_row", "_id").agg(F.min_by("_whole", "_order").alias("_whole")).select("_whole.*")
