@@ -150,6 +150,38 @@ def test_each_break_shows(spark, store, name, red):
         assert plan.resolved(q, now(), options).first()["resolution"] == "assumed-today"
 
 
+def test_ablation_matrix_tells_a_crash_from_red(spark, store):
+    from tidemark.plans.ablate import ablate
+
+    def run(options):
+        if not options.check_coverage:
+            raise RuntimeError("the store is gone")
+        return outcomes(spark, store, options)
+
+    shown = {a.name: a for a in ablate(run, {k: plan.BREAKS[k] for k in ("drop-coverage-check", "drop-distance-floor", "fixed-fence-token")})}
+    assert shown["drop-coverage-check"].error == "RuntimeError: the store is gone" and not shown["drop-coverage-check"].newly_red
+    assert shown["drop-distance-floor"].newly_red == ("weather",) and shown["fixed-fence-token"].newly_red == () and shown["fixed-fence-token"].error is None
+
+
+def test_resolution_cases_are_part_of_the_gate(spark, store):
+    rows = [("a", "Who swam on 2031-05-05?", "stated", date(2031, 5, 5), False), ("b", "Who swam on 2031-05-05?", "stated", date(2031, 5, 6), False), ("c", "What did we say on 2031-05-05?", "stated", None, True), ("d", "Who swam last year?", "assumed-today", None, False)]
+    cases = spark.createDataFrame(rows, "case_id string, question string, expected string, valid_at date, moves_known_at boolean")
+    every = gate.all_outcomes(outcomes(spark, store), gate.resolution_scored(cases, now()))
+    assert {r.case_id: r.faults for r in every.where("status <> 'ok'").collect()} == {"b": ["day 2031-05-05"], "d": ["outcome ambiguous-date"]}
+    assert {r.klass: r.n for r in gate.by_class(every).collect()}["resolution"] == 4
+
+
+def test_index_is_complete_and_built_once(spark, store):
+    versions = store[1]
+    vectors = versions.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), F.array(F.lit(1.0)).alias("embedding")).distinct()
+    whole = plan.build_index(versions, vectors, 1, model="m")
+    assert whole.count() == versions.count()
+    assert plan.build_index(versions, vectors, 1, model="m", existing=whole).count() == 0
+    assert plan.build_index(versions, vectors, 1, model="other", existing=whole).count() == versions.count()
+    with pytest.raises(Exception, match="no vector for version"):
+        plan.build_index(versions, vectors.limit(2), 1).collect()
+
+
 def test_unknown_break_and_wrong_size(spark, store):
     with pytest.raises(ValueError, match="unknown break"):
         plan.broken("nothing")

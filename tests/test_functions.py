@@ -126,6 +126,9 @@ def test_engine_never_reads_the_wall_clock():
 def test_corpus_errors_and_indexes(spark, tmp_path):
     assert "unknown kind" in parse_document("---\nkind: memo\n---\nx")["error"]
     assert parse_document("no front matter")["error"]
+    amendment = "---\nid: a\nkind: amendment\ntitle: t\neffective_from:\nrecorded_at: 2025-01-01T00:00:00\namends:\n  - section: s\n    text: x\n---\nx"
+    correction = "---\nid: a\nkind: correction\ntitle: t\nrecorded_at: 2025-01-01T00:00:00\ncorrects:\n  - section: s\n    versions:\n      - {valid_from: , text: x}\n---\nx"
+    assert "effective_from has no date" in parse_document(amendment)["error"] and "valid_from has no date" in parse_document(correction)["error"]
     assert "not a timestamp" in parse_document("---\nid: a\nkind: amendment\ntitle: t\neffective_from: 2025-01-01\nrecorded_at: 2025-01-01\namends: []\n---\nx")["error"]
     (tmp_path / "bad.md").write_text("nothing")
     with pytest.raises(Exception, match="Error"):

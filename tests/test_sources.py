@@ -57,10 +57,36 @@ def test_clustered_corpus_is_found_by_its_centroid(spark):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    main(["ingest", CORPUS, f"{tmp_path}/v"])
-    assert capsys.readouterr().out == "16 versions\n"
-    main(["show", f"{tmp_path}/v", "cafe", "--valid-at", "2031-09-15", "--known-at", "2032-01-01"])
-    assert "18:00" in capsys.readouterr().out
-    main(["history", f"{tmp_path}/v", "cafe"])
-    assert capsys.readouterr().out.count("| cafe |") == 3
+    said = lambda *args: (main([*map(str, args)]), capsys.readouterr().out)[1]
+    store = tmp_path / "store"
+    assert said("ingest", CORPUS, store) == "6 new documents, 16 versions\n" and said("ingest", CORPUS, store) == "0 new documents, 16 versions\n"
+    assert "18:00" in said("show", store, "cafe", "--valid-at", "2031-09-15", "--known-at", "2032-01-01")
+    assert said("history", store, "cafe").count("| cafe |") == 3
+    assert said("index", store) == "11 texts embedded\n" and said("index", store) == "0 texts embedded\n"
+    told = said("ask", store, "Until when is the cafe open, when does it close?", "--now", "2032-03-03T09:30:00", "--valid-at", "2031-09-15", "--known-at", "2032-01-01")
+    assert "answered: The cafe closes at 18:00" in told and "cafe (cafe@v1)" in told
+    assert "ambiguous-date" in said("ask", store, "When did the cafe close last year?", "--now", "2032-03-03T09:30:00")
+    assert said("ask", store, "Until when is the cafe open, when does it close?", "--now", "2032-03-03T09:30:00", "--valid-at", "2031-09-15", "--known-at", "2032-01-01") == told
+    verdicts = said("replay", store)
+    assert verdicts.count("| reproduced |") == 3 and "| 2 | 2 |" in verdicts
     assert percent(1, 4) == "1/4 (25%)" and markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |"
+
+
+def test_ingest_refuses_what_breaks_a_constraint(spark, tmp_path):
+    from tidemark.plans.ingest import ingest, stored
+    from tidemark.sources.corpus import parse_documents
+
+    doc = lambda k, start: f'---\nid: "{k}"\nkind: base\ntitle: t\neffective_from: {start}\nrecorded_at: 2031-01-0{k}T00:00:00\nsections:\n  - section: s\n    text: rule {k}\n---\nx'
+    docs = lambda *texts: parse_documents(spark.createDataFrame([(t,) for t in texts], "content string"))
+    assert ingest(spark, docs(doc(1, "2031-01-01"), doc(1, "2031-01-01")), f"{tmp_path}/s") == 1
+    with pytest.raises(ValueError, match="overlap"):
+        ingest(spark, docs(doc(2, "2031-02-01")), f"{tmp_path}/s")
+    assert stored(spark, f"{tmp_path}/s/documents").count() == 1
+
+
+def test_plan_text_elides_vectors(spark):
+    from tidemark.functions.vectors import literal
+    from tidemark.plans.dump import plan_text
+
+    shown = plan_text(spark.range(2).select("id", literal([k / 7 for k in range(64)]).alias("v")))
+    assert "[64 numbers]" in shown and "0.857" not in shown

@@ -46,16 +46,24 @@ def spread(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("question_id", "section_key").agg(F.round(F.max("similarity") - F.min("similarity"), 6).alias("spread"), F.count("*").alias("versions"))
 
 
-def upper_median(values: Column) -> Column:
-    """The value at half the sorted list, rounded up: not interpolated."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def order_statistics(values: DataFrame, column: str, **shares: float) -> DataFrame:
+    """One row: for each name the value at place ``min(int(share * n), n - 1)`` of the sorted column, and ``greatest``.
+
+    Not interpolated; a share of a half is the upper median.  The aggregation keeps a count for each
+    *different* value: two million at most for similarities rounded at six digits, whatever the
+    number of rows.  Nulls are left out; no values give nulls.
+    """
+    rows = values.where(F.col(column).isNotNull())
+    n = rows.count()
+    at = {name: (min(int(share * n), n - 1) + 0.5) / max(1, n) for name, share in shares.items()}
+    picked = [F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY {column})").alias(name) for name, p in at.items()] if n else [F.lit(None).cast("double").alias(name) for name in shares]
+    return rows.agg(*picked, F.max(column).alias("greatest"))
 
 
-def order_statistic(values: Column, share: float) -> Column:
-    """The value at ``min(int(share * n), n - 1)`` of the sorted list."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * share), F.size(ordered) - 1).cast("int"))
+def separated(distances: DataFrame) -> DataFrame:
+    """``distances(own, other)`` as they are; an error unless rows lie nearer to their own centroid than to another."""
+    message = F.concat(F.lit("clusters do not separate: own "), F.col("own").cast("string"), F.lit(", other "), F.col("other").cast("string"))
+    return distances.withColumn("own", F.when(F.col("own") < F.col("other"), F.col("own")).otherwise(F.raise_error(message).cast("double")))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -82,7 +90,11 @@ def distance_stats(distances: DataFrame) -> DataFrame:
 
 
 def corpus_revision(documents: DataFrame) -> DataFrame:
-    """First 12 digits of the md5 of all content hashes in order of recording; empty for no documents."""
+    """First 12 digits of the md5 of all content hashes in order of recording; empty for no documents.
+
+    The definition is one string of all hashes, so one task holds 65 bytes a document: the list of a
+    million documents takes about 100 MB, and 33 million are the most a row can hold.
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("recorded_at", "content_hash"))), lambda d: d["content_hash"])
     return documents.agg(F.when(F.count("*") == 0, "").otherwise(F.substring(F.md5(F.array_join(ordered, ",").cast("binary")), 1, 12)).alias("corpus_rev"))
 

@@ -80,19 +80,33 @@ def read_sections(requests: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def coverage(rows: DataFrame, instants: Sequence[AsOf]) -> DataFrame:
-    """``(valid_at, known_at, outcome)`` of the whole store for each instant, in one pass over it.
+    """``(valid_at, known_at, outcome)`` of the whole store for each instant of a list."""
+    stamp = rows.schema["recorded_at"].dataType.simpleString()
+    schema = "valid_at date, known_at string"
+    asked = rows.sparkSession.createDataFrame([(at.valid_at, at.known_utc) for at in instants], schema)
+    text = F.col("known_at") if stamp == "timestamp_ntz" else F.concat("known_at", F.lit("+00:00"))
+    return coverage_of(rows, asked.select("valid_at", text.cast(stamp).alias("known_at")))
+
 
-    The instants are a driver-side list; every one adds two flags to a single aggregation.
+def coverage_of(rows: DataFrame, instants: DataFrame, block: int = 100_000) -> DataFrame:
+    """``(valid_at, known_at, outcome)`` for each distinct pair of ``instants(valid_at, known_at)``.
+
+    Instants are broadcast in blocks of about ``block``, after their number is known; the rows are
+    scanned once a block and aggregated by instant before anything is shuffled.  Null instants get
+    no row.
     """
-    stamp = rows.schema["recorded_at"].dataType.simpleString()
-    flags = []
-    for at in instants:
-        known = holds(F.col("recorded_at"), F.col("recorded_until"), moment(at, rows))
-        flags += [F.struct(_day(at).alias("valid_at"), moment(at, rows).cast(stamp).alias("known_at"), F.coalesce(F.bool_or(known), F.lit(False)).alias("known"), F.coalesce(F.bool_or(known & holds(F.col("valid_from"), F.col("valid_to"), _day(at))), F.lit(False)).alias("force"))]
-    if not flags:
-        return rows.sparkSession.createDataFrame([], f"valid_at date, known_at {stamp}, outcome string")
-    outcome = F.when(F.col("c.force"), IN_FORCE).when(F.col("c.known"), NO_RULE).otherwise(NO_RECORD)
-    return rows.agg(F.array(*flags).alias("all")).select(F.explode("all").alias("c")).select("c.valid_at", "c.known_at", outcome.alias("outcome"))
+    once = instants.where("valid_at is not null and known_at is not null").distinct()
+    blocks = max(1, -(-once.count() // block))
+    known = holds(F.col("v.recorded_at"), F.col("v.recorded_until"), F.col("i.known_at"))
+    force = holds(F.col("v.valid_from"), F.col("v.valid_to"), F.col("i.valid_at"))
+    clocks = rows.select("valid_from", "valid_to", "recorded_at", "recorded_until")
+    found = None
+    for b in range(blocks):
+        part = once.where(F.pmod(F.xxhash64("valid_at", "known_at"), F.lit(blocks)) == b)
+        seen = clocks.alias("v").join(F.broadcast(part.alias("i")), known).groupBy("i.valid_at", "i.known_at").agg(F.bool_or(force).alias("force"))
+        found = seen if found is None else found.unionByName(seen)
+    outcome = F.when(F.col("force"), IN_FORCE).when(F.col("force").isNotNull(), NO_RULE).otherwise(NO_RECORD)
+    return once.join(found, ["valid_at", "known_at"], "left").select("valid_at", "known_at", outcome.alias("outcome"))
 
 
 def retroactive_changes(rows: DataFrame, valid_at: AsOf, before: AsOf) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import dates
 from tidemark.operators.scoring import missing_needles
 from tidemark.operators.temporal import as_of_join
 from tidemark.plans.ask import ANSWERED
@@ -49,3 +50,33 @@ def refusal_pair(outcomes: DataFrame) -> DataFrame:
 def newly_failed(failures: DataFrame, baseline: DataFrame) -> DataFrame:
     """Per break, failures that the whole engine does not have."""
     return failures.join(baseline.select("case_id"), "case_id", "left_anti").groupBy("break_name").agg(F.count_distinct("case_id").alias("newly_red"))
+
+
+def resolution_scored(cases: DataFrame, now: Column) -> DataFrame:
+    """Outcomes, in the columns of ``scored``, of cases ``(case_id, question, expected, valid_at, moves_known_at)``.
+
+    A fault is another outcome than expected, another day where one is given, or a ``known_at`` that
+    moved, or stayed, against expectation.  What a question's date is hangs on no corpus: a
+    failure is a regression, never stale.
+    """
+    r = F.col("_r")
+    none = F.array().cast("array<string>")
+    moved = r["known_at"].isNotNull() & (r["known_at"] != now.cast("timestamp"))
+    faults = F.concat(
+        F.when(r["outcome"] != F.col("expected"), F.array(F.concat(F.lit("outcome "), r["outcome"]))).otherwise(none),
+        F.when(F.col("valid_at").isNotNull() & ~r["valid_at"].eqNullSafe(F.col("valid_at")), F.array(F.concat(F.lit("day "), F.coalesce(r["valid_at"].cast("string"), F.lit("none"))))).otherwise(none),
+        F.when(moved != F.coalesce("moves_known_at", F.lit(False)), F.array(F.when(moved, "known_at moved").otherwise("known_at stayed"))).otherwise(none),
+    )
+    rows = cases.withColumn("_r", dates.resolve(F.col("question"), now)).withColumn("faults", faults)
+    status = F.when(F.size("faults") == 0, "ok").otherwise("REGRESSION")
+    return rows.select("case_id", F.lit("resolution").alias("klass"), "expected", r["outcome"].alias("outcome"), "faults", status.alias("status"))
+
+
+def all_outcomes(answers: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """Outcomes of both kinds of cases, one after the other."""
+    return answers.unionByName(resolutions)
+
+
+def replayed(verdicts: DataFrame, reproduced: str = "reproduced") -> DataFrame:
+    """How many answers were replayed, and how many of them reproduce."""
+    return verdicts.agg(F.count("*").alias("replayed"), F.count_if(F.col("verdict") == reproduced).alias("reproduced"))

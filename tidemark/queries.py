@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from tidemark.clock import AsOf
 from tidemark.functions import dates, fence
-from tidemark.functions.vectors import cosine, cosine_distance, literal
+from tidemark.functions.vectors import cosine, cosine_distance, literal, unit
 from tidemark.operators import constraints, retrieval, scoring, temporal
-from tidemark.operators.versions import KINDS, rebuild_versions
+from tidemark.operators.versions import KINDS, ingest_new, rebuild_versions
 from tidemark.plans import ask as plan
 from tidemark.plans import gate
+from tidemark.plans.ingest import violations
 from tidemark.plans.replay import replay
 from tidemark.ship import ship
 from tidemark.sources import derived
+from tidemark.sources.corpus import clause_log, document_uid, parse_documents, published_index
 from tidemark.sources.derived import table
 
 AT = AsOf(date(2024, 1, 5), datetime(2024, 1, 10, tzinfo=UTC))
@@ -346,7 +348,7 @@ SELECT question_id, round(max(1 - distance) - min(1 - distance), 6) AS margin FR
 def vec_margins(spark, sf_dir):
     chunks = derived.vector_chunks(spark, sf_dir)
     asked = _dated(spark, sf_dir).select("question_id", "own", F.col("embedding").alias("q"))
-    ranked = chunks.join(F.broadcast(asked), F.col("section_key") == F.col("own")).select("question_id", (1 - cosine_distance(F.col("embedding"), F.col("q"))).alias("similarity"))
+    ranked = chunks.join(asked, F.col("section_key") == F.col("own")).select("question_id", (1 - cosine_distance(F.col("embedding"), F.col("q"))).alias("similarity"))
     return scoring.margins(ranked)
 
 
@@ -354,7 +356,7 @@ def vec_margins(spark, sf_dir):
 def vec_spread(spark, sf_dir):
     chunks = derived.vector_chunks(spark, sf_dir)
     asked = _dated(spark, sf_dir).select("question_id", "own", F.col("embedding").alias("q"))
-    near = chunks.join(F.broadcast(asked), F.col("section_key") == F.col("own")).select("question_id", "section_key", (1 - cosine_distance(F.col("embedding"), F.col("q"))).alias("similarity"))
+    near = chunks.join(asked, F.col("section_key") == F.col("own")).select("question_id", "section_key", (1 - cosine_distance(F.col("embedding"), F.col("q"))).alias("similarity"))
     return scoring.spread(near)
 
 
@@ -362,8 +364,7 @@ def vec_spread(spark, sf_dir):
 sorted AS (SELECT list(margin ORDER BY margin) AS m FROM margins)
 SELECT m[len(m) // 2 + 1] AS upper_median, m[least(floor(0.95::DOUBLE * len(m)), len(m) - 1)::INT + 1] AS p95, list_max(m) AS greatest FROM sorted""")
 def vec_margin_stats(spark, sf_dir):
-    m = F.col("margin")
-    return vec_margins(spark, sf_dir).agg(scoring.upper_median(m).alias("upper_median"), scoring.order_statistic(m, 0.95).alias("p95"), F.max(m).alias("greatest"))
+    return scoring.order_statistics(vec_margins(spark, sf_dir), "margin", upper_median=0.5, p95=0.95)
 
 
 @query(f"""WITH {DATED_SQL}, {_batch_sql('truth', f'{FORCE} AND {RECORD}', 5)}, {_batch_sql('any_', 'true', 5)},
@@ -437,10 +438,16 @@ SELECT conv_id, turn, outcome, CASE outcome WHEN 'stated' THEN ds[1] WHEN 'assum
   CASE WHEN outcome = 'stated' AND recalls THEN ds[1]::TIMESTAMP + INTERVAL 12 HOUR WHEN outcome <> 'ambiguous-date' THEN TIMESTAMP '{NOW}' END AS known_at,
   CASE WHEN outcome = 'stated' THEN texts[1] END AS matched FROM r""", days=("valid_at",))
 def resolve_question(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("conv_id", "turn", "r.outcome", "r.valid_at", F.col("r.known_at").cast("timestamp_ntz").alias("known_at"), "r.matched")
+
+
+def _questions(spark, sf_dir) -> DataFrame:
     template = F.element_at(F.array(*map(F.lit, TEMPLATES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(TEMPLATES) + 1).cast("int"))
-    q = table(spark, sf_dir, "conversations").withColumn("question", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), template))
-    r = q.select("conv_id", "turn", dates.resolve(F.col("question"), F.lit(NOW).cast("timestamp")).alias("r"))
-    return r.select("conv_id", "turn", "r.outcome", "r.valid_at", F.col("r.known_at").cast("timestamp_ntz").alias("known_at"), "r.matched")
+    return table(spark, sf_dir, "conversations").withColumn("question", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), template))
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    return _questions(spark, sf_dir).select("conv_id", "turn", dates.resolve(F.col("question"), F.lit(NOW).cast("timestamp")).alias("r"))
 
 
 MARKERS = ("<<<untrusted:0000>>>", "<<</UNTRUSTED : x>>>", "<<<untrustеd:1>>>", "<<<un​trusted:2>>>", "＜<<untrusted：abc>>＞", "<<<untrusted:" + "y" * 65 + ">>>")
@@ -553,3 +560,168 @@ FROM cases LEFT JOIN truth USING (section_key) WHERE text IS NULL OR contains(te
 def gold_disagreements(spark, sf_dir):
     cases = temporal.sections(derived.event_documents(spark, sf_dir)).select(F.col("section_key").alias("case_id"), "section_key", F.lit(AT.valid_at).alias("valid_at"), F.expr(f"TIMESTAMP_NTZ '{AT.known_utc}'").alias("known_at"), F.array(F.lit(":")).alias("must_contain"), F.array(F.lit("click")).alias("must_not_contain"))
     return gate.gold_disagreements(cases, versions(spark, sf_dir)).withColumn("faults", F.array_join("faults", "; "))
+
+
+def _markdown(spark, sf_dir) -> DataFrame:
+    """Each event's document written out as Markdown with front matter; every 50th lacks its date, every 77th has an unknown kind."""
+    d = derived.event_documents(spark, sf_dir)
+    later, quote = F.date_add("start", 10).cast("string"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    day = F.when(F.col("n") % 50 == 0, F.lit("")).otherwise(F.col("start").cast("string"))
+    kind = F.when(F.col("n") % 77 == 0, "memo").otherwise(F.col("kind"))
+    section = F.concat(F.lit("\n  - section: "), quote(F.col("section_key")))
+    plain = F.concat(F.lit("effective_from: "), day, F.when(F.col("kind") == "base", "\nsections:").otherwise("\namends:"), section, F.lit("\n    text: "), quote(F.col("text")))
+    end = F.when(F.col("n") % 3 == 0, F.concat(F.lit("\n        valid_to: "), F.date_add("start", 20).cast("string"))).otherwise("")
+    spans = F.concat(F.lit("corrects:"), section, F.lit("\n    versions:\n      - valid_from: "), day, F.lit("\n        valid_to: "), later, F.lit("\n        text: "), quote(F.col("text")), F.lit("\n      - valid_from: "), later, end, F.lit("\n        text: "), quote(F.concat("text", F.lit(":b"))))
+    head = F.concat(F.lit('---\nid: "'), F.col("document_id"), F.lit('"\nkind: '), kind, F.lit("\ntitle: Event "), F.col("document_id"), F.lit("\nrecorded_at: "), F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("\n"))
+    content = F.concat(head, F.when(F.col("kind") == "correction", spans).otherwise(plain), F.lit("\n---\nNoted as "), F.col("text"), F.lit(".\n"))
+    return d.select("n", content.alias("content"))
+
+
+def _parsed(spark, sf_dir) -> DataFrame:
+    return parse_documents(_markdown(spark, sf_dir).select("content"), strict=False)
+
+
+@query(f"""WITH {LOG_SQL}, good AS (SELECT *, n % 50 = 0 OR n % 77 = 0 AS bad FROM log),
+firsts AS (SELECT document_id, min(valid_from) AS first_day, count(*) AS clauses FROM clauses GROUP BY 1)
+SELECT CASE WHEN NOT bad THEN document_id END AS doc_id, CASE WHEN NOT bad THEN kind END AS kind, CASE WHEN NOT bad THEN 'Event ' || document_id END AS title, CASE WHEN NOT bad THEN first_day END AS effective_from,
+  CASE WHEN NOT bad THEN recorded_at END AS recorded_at, CASE WHEN NOT bad THEN 'Noted as ' || text || '.' END AS body, CASE WHEN bad THEN 0 ELSE clauses END AS clauses, bad AS refused FROM good JOIN firsts USING (document_id)""", days=("effective_from",))
+def src_parse_documents(spark, sf_dir):
+    d = _parsed(spark, sf_dir)
+    return d.select("doc_id", "kind", "title", "effective_from", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"), "body", F.coalesce(F.size("clauses"), F.lit(0)).cast("long").alias("clauses"), F.col("error").isNotNull().alias("refused"))
+
+
+@query(f"""WITH {LOG_SQL} SELECT section_key, kind, recorded_at, document_id, clause_no, text, valid_from, valid_to FROM clauses WHERE document_id::BIGINT % 50 <> 0 AND document_id::BIGINT % 77 <> 0""", days=("valid_from", "valid_to"))
+def src_clause_log(spark, sf_dir):
+    return clause_log(_parsed(spark, sf_dir).where("error is null")).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
+
+
+def _hashed(spark, sf_dir) -> DataFrame:
+    d = derived.event_documents(spark, sf_dir)
+    return d.select("document_id", "n", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+
+
+_UID_SQL = "concat_ws('-', u[1:8], u[9:12], u[13:16], u[17:20], u[21:32])"
+
+
+@query(f"""WITH h AS (SELECT event_id, sha256(event_type || ':' || event_id) AS content_hash FROM events), k AS (SELECT *, sha256('tidemark-document:' || content_hash) AS u FROM h)
+SELECT event_id::VARCHAR AS document_id, content_hash, {_UID_SQL} AS document_uid FROM k WHERE event_id % 3 <> 0""")
+def ingest_only_new(spark, sf_dir):
+    d = _hashed(spark, sf_dir)
+    return ingest_new(d.where("n % 3 = 0"), d.unionByName(d)).select("document_id", "content_hash", document_uid(F.col("content_hash")).alias("document_uid"))
+
+
+@query(f"""WITH {VERSIONS_SQL} SELECT unnest(['overlap', 'interval', 'version_no_unique', 'version_id_unique', 'content_unique', 'kind_known', 'document_exists', 'superseded_exists']) AS constraint_name, 0::BIGINT AS violations""")
+def ingest_violations(spark, sf_dir):
+    d = derived.event_documents(spark, sf_dir)
+    return violations(versions(spark, sf_dir), d.select(F.col("document_id").alias("doc_id"), "kind", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")))
+
+
+@query(f"""WITH {LOG_SQL} SELECT document_id || ':' || section_key AS chunk_id, section_key, CASE WHEN kind = 'base' THEN text ELSE 'Event ' || document_id || chr(10) || 'Noted as ' || text || '.' END AS text, document_id
+FROM log WHERE n % 50 <> 0 AND n % 77 <> 0""")
+def idx_published(spark, sf_dir):
+    return published_index(_parsed(spark, sf_dir).where("error is null"))
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT version_id AS chunk_id, section_key, text, document_id, version_no, row_number() OVER (PARTITION BY section_key ORDER BY version_no)::INT AS position FROM versions")
+def idx_versions(spark, sf_dir):
+    from tidemark.sources.corpus import version_index
+
+    return version_index(versions(spark, sf_dir)).withColumn("position", F.row_number().over(Window.partitionBy("section_key").orderBy("version_no")))
+
+
+def _text_vectors(v: DataFrame) -> DataFrame:
+    return v.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), F.array(F.length("text").cast("double"), F.lit(1.0)).alias("embedding")).distinct()
+
+
+_INDEX_SQL = "version_id AS chunk_id, section_key, valid_from, valid_to, recorded_at, recorded_until, length(text)::DOUBLE AS first"
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT {_INDEX_SQL} FROM versions", days=("valid_from", "valid_to"))
+def idx_build(spark, sf_dir):
+    v = versions(spark, sf_dir)
+    return plan.build_index(v, _text_vectors(v), 2).select("chunk_id", "section_key", "valid_from", "valid_to", "recorded_at", "recorded_until", F.get("embedding", 0).alias("first"))
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT {_INDEX_SQL}, 'lengths' AS model FROM versions WHERE NOT (version_no <= 3 AND version_no <> 2)", days=("valid_from", "valid_to"))
+def idx_build_missing(spark, sf_dir):
+    v = versions(spark, sf_dir)
+    had = v.where("version_no <= 3").select(F.col("version_id").alias("chunk_id"), F.when(F.col("version_no") == 2, "other").otherwise("lengths").alias("model"))
+    built = plan.build_index(v, _text_vectors(v), 2, model="lengths", existing=had)
+    return built.select("chunk_id", "section_key", "valid_from", "valid_to", "recorded_at", "recorded_until", F.get("embedding", 0).alias("first"), "model")
+
+
+@query(f"""WITH r AS (SELECT * FROM ({SQL['resolve_question']}))
+SELECT conv_id, turn, CASE WHEN outcome = 'ambiguous-date' THEN 'no single day' ELSE valid_at || CASE WHEN outcome = 'stated' THEN ', taken from the question' ELSE ', the day of asking' END || '; record of ' || strftime(known_at, '%Y-%m-%d %H:%M') END AS described FROM r""")
+def date_describe(spark, sf_dir):
+    r = _resolved(spark, sf_dir)
+    return r.select("conv_id", "turn", F.split_part(dates.describe(F.col("r")), F.lit(": "), F.lit(1)).alias("described")).withColumn("described", F.when(F.col("described").contains("record of"), F.col("described")).otherwise("no single day"))
+
+
+_FOLD_SQL = f"translate({{c}}, '{fence.LOOKALIKES}{fence.INVISIBLE}', '{fence.STAND_FOR}')"
+
+
+@query(f"""WITH marked AS (SELECT doc_id, coalesce(text, '') || [{', '.join(f"'{m}'" for m in MARKERS)}][(doc_id % {len(MARKERS)} + 1)::INT] AS t FROM documents)
+SELECT doc_id, sha256({_FOLD_SQL.format(c='t')}) AS folded, sha256('<<<untrusted:' || substr(sha256('{fence.PREFIX}' || doc_id), 1, 16) || '>>>' || chr(10) || 'text: ' || regexp_replace(t, '{fence.marker_pattern("(?i)")}', '{fence.REDACTED}', 'g') || chr(10) || '<<</untrusted:' || substr(sha256('{fence.PREFIX}' || doc_id), 1, 16) || '>>>') AS wrapped FROM marked""")
+def fence_wrap(spark, sf_dir):
+    marker = F.element_at(F.array(*map(F.lit, MARKERS)), (F.col("doc_id") % len(MARKERS) + 1).cast("int"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), marker).alias("t"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return t.select("doc_id", sha(fence.fold(F.col("t"))).alias("folded"), sha(fence.wrap(F.col("doc_id").cast("string"), {"text": F.col("t")})).alias("wrapped"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x)) / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) + 0.0 AS unit_sum FROM embeddings")
+def vec_unit(spark, sf_dir):
+    v = F.col("embedding").cast("array<double>")
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(add(F.transform(v, lambda x: x * x))), 5).alias("norm"), (F.round(add(unit(v)), 5) + 0.0).alias("unit_sum"))
+
+
+@query(f"""WITH {DATED_SQL}, {_batch_sql('everything', 'true', 1)}, {_batch_sql('current', f"c.recorded_until IS NULL AND {FORCE}", 1)}, {_batch_sql('two_clocks', f'{FORCE} AND {RECORD}', 1)},
+found AS (SELECT 'all' AS scope, * FROM everything UNION ALL SELECT 'one_clock', * FROM current UNION ALL SELECT 'as_of', * FROM two_clocks)
+SELECT scope, count(*) AS n, count(*) FILTER (c.section_key = d.own) AS right_section, count(*) FILTER (c.section_key = d.own AND {FORCE} AND {RECORD}) AS right_version FROM found f JOIN dated d USING (question_id) JOIN chunks c USING (chunk_id) GROUP BY scope""")
+def vec_headline(spark, sf_dir):
+    chunks, asked = derived.vector_chunks(spark, sf_dir), _dated(spark, sf_dir)
+    right = temporal.holds(F.col("valid_from"), F.col("valid_to"), F.col("valid_at")) & temporal.holds(F.col("recorded_at"), F.col("recorded_until"), F.col("known_at"))
+    found = None
+    for scope in ("all", "one_clock", "as_of"):
+        best = retrieval.batch_nearest(chunks, asked, 1, scope).select(F.lit(scope).alias("scope"), "question_id", "chunk_id")
+        found = best if found is None else found.unionByName(best)
+    rows = found.join(chunks.drop("embedding", "text"), "chunk_id").join(asked.drop("embedding"), "question_id")
+    same = F.col("section_key") == F.col("own")
+    return rows.groupBy("scope").agg(F.count("*").alias("n"), F.count_if(same).alias("right_section"), F.count_if(same & right).alias("right_version"))
+
+
+@query(f"""WITH r AS (SELECT * FROM ({SQL['resolve_question']})), c AS (SELECT *, (conv_id + turn) % 3 AS k FROM r),
+e AS (SELECT conv_id || '/' || turn AS case_id, outcome, CASE k WHEN 0 THEN 'stated' WHEN 1 THEN 'assumed-today' ELSE 'ambiguous-date' END AS expected, CASE WHEN k = 1 THEN '2026-06-01' END AS day, k = 0 AS moves, valid_at, known_at IS NOT NULL AND known_at <> TIMESTAMP '{NOW}' AS moved FROM c)
+SELECT case_id, expected, outcome, CASE WHEN outcome = expected AND (day IS NULL OR valid_at IS NOT DISTINCT FROM day) AND moved = moves THEN 'ok' ELSE 'REGRESSION' END AS status FROM e""")
+def gate_resolutions(spark, sf_dir):
+    return gate.resolution_scored(_resolution_cases(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("case_id", "expected", "outcome", "status")
+
+
+def _resolution_cases(spark, sf_dir) -> DataFrame:
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    expected = F.when(k == 0, dates.STATED).when(k == 1, dates.ASSUMED).otherwise(dates.AMBIGUOUS)
+    return _questions(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("case_id"), "question", expected.alias("expected"), F.when(k == 1, F.lit("2026-06-01").cast("date")).alias("valid_at"), (k == 0).alias("moves_known_at"))
+
+
+@query(GATE_SQL + f""", res AS ({SQL['gate_resolutions']}) SELECT klass, count(*) AS n, count(*) FILTER (status = 'ok') AS passed FROM (SELECT klass, status FROM gate UNION ALL SELECT 'resolution', status FROM res) GROUP BY 1""")
+def gate_all_outcomes(spark, sf_dir):
+    answers = gate.scored(_cases(spark, sf_dir).withColumn("case_id", F.col("case_id").cast("string")), _answers(spark, sf_dir).withColumn("question_id", F.col("question_id").cast("string")))
+    return gate.by_class(gate.all_outcomes(answers, gate.resolution_scored(_resolution_cases(spark, sf_dir), F.lit(NOW).cast("timestamp"))))
+
+
+@query(f"SELECT count(*) AS replayed, count(*) FILTER (verdict = 'reproduced') AS reproduced FROM ({SQL['replay_verdict']})")
+def replayed_count(spark, sf_dir):
+    return gate.replayed(replay_verdict(spark, sf_dir))
+
+
+_STRICT_SQL = ASK_SQL.replace("nearest > 0.7", "nearest > 0.4").replace("ld <= 0.7", "ld <= 0.4")
+
+
+@query(GATE_SQL + f""", strict AS (SELECT question_id FROM ({_STRICT_SQL} SELECT question_id, outcome, answer_text, own FROM answers JOIN asked USING (question_id))
+  WHERE NOT (outcome = CASE WHEN (question_id / 20)::INT % 5 >= 3 THEN 'ambiguous-date' ELSE 'answered' END AND (outcome <> 'answered' OR contains(answer_text, 'section ' || own))))
+SELECT 'strict-floor' AS break_name, count(DISTINCT question_id) AS newly_red FROM strict WHERE question_id NOT IN (SELECT question_id FROM gate WHERE status <> 'ok') HAVING count(*) > 0""")
+def ablation_newly_red(spark, sf_dir):
+    cases = _cases(spark, sf_dir)
+    red = lambda options: gate.scored(cases, _answers(spark, sf_dir, options)).where("status <> 'ok'")
+    return gate.newly_failed(red(plan.Options(floor=0.4)).withColumn("break_name", F.lit("strict-floor")), red(ENGINE))

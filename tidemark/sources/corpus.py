@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.versions import KINDS
@@ -25,6 +25,13 @@ def _day(value: object) -> dt.date | None:
     return value
 
 
+def _known_day(value: object, of: str) -> dt.date:
+    day = _day(value)
+    if day is None:
+        raise ValueError(f"{of} has no date")
+    return day
+
+
 def _moment(value: object) -> dt.datetime:
     if not isinstance(value, dt.datetime):
         raise ValueError(f"{value!r} is not a timestamp")
@@ -34,12 +41,12 @@ def _moment(value: object) -> dt.datetime:
 def _clauses(front: dict, kind: str) -> tuple[list[dict], dt.date]:
     row = lambda of, x, start, end: {"section": str(of["section"]), "heading": of.get("heading"), "text": x["text"].strip(), "valid_from": start, "valid_to": end}
     if kind == "correction":
-        found = [row(of, v, _day(v["valid_from"]), _day(v.get("valid_to"))) for of in front["corrects"] for v in of["versions"]]
+        found = [row(of, v, _known_day(v["valid_from"], "valid_from"), _day(v.get("valid_to"))) for of in front["corrects"] for v in of["versions"]]
         return found, min(c["valid_from"] for c in found)
-    start = _day(front["effective_from"])
+    start = _known_day(front["effective_from"], "effective_from")
     if kind == "amendment":
         return [row(of, of, start, None) for of in front["amends"]], start
-    return [row(of, of, _day(of.get("valid_from", start)), _day(of.get("valid_to"))) for of in front["sections"]], start
+    return [row(of, of, _known_day(of.get("valid_from", start), "valid_from"), _day(of.get("valid_to"))) for of in front["sections"]], start
 
 
 def parse_document(raw: str) -> dict:
@@ -66,17 +73,29 @@ def read_documents(spark: SparkSession, folder: str, strict: bool = True) -> Dat
 
     A document that cannot be parsed is an error; with ``strict=False`` it has ``error`` and nulls.
     """
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").withColumnRenamed("value", "content")
+    return parse_documents(files, strict).orderBy("recorded_at", "content_hash")
+
+
+def parse_documents(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """``raw(content)`` parsed: the columns of ``PARSED``, content, its hash, and the id that follows from the hash."""
 
     @F.pandas_udf(PARSED)
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for raw in batches:
-            yield pd.DataFrame([parse_document(t) for t in raw], columns=["doc_id", "kind", "title", "effective_from", "recorded_at", "body", "clauses", "error"])
+        for texts in batches:
+            yield pd.DataFrame([parse_document(t) for t in texts], columns=["doc_id", "kind", "title", "effective_from", "recorded_at", "body", "clauses", "error"])
 
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
-    docs = files.select(F.col("value").alias("content"), F.sha2(F.col("value").cast("binary"), 256).alias("content_hash"), parsed("value").alias("p")).select("p.*", "content", "content_hash", F.lit(None).cast("date").alias("effective_to"))
+    hashed = raw.select("content", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), parsed("content").alias("p"))
+    docs = hashed.select("p.*", "content", "content_hash", document_uid(F.col("content_hash")).alias("document_uid"), F.lit(None).cast("date").alias("effective_to"))
     if strict:
         docs = docs.withColumn("doc_id", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("doc_id")))
-    return docs.orderBy("recorded_at", "content_hash")
+    return docs
+
+
+def document_uid(content_hash: Column) -> Column:
+    """An id in the form of a UUID that the content alone decides: the same text is the same document anywhere."""
+    h = F.sha2(F.concat(F.lit("tidemark-document:"), content_hash).cast("binary"), 256)
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
 def clause_log(documents: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ fallback: an unknown model, a failing embedder or a wrong number or size of vect
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,10 +18,25 @@ Embedder = Callable[[list[str]], list[list[float]]]
 EMBEDDERS: dict[str, Embedder] = {}
 
 
+def word_hash(texts: list[str], size: int = 256) -> list[list[float]]:
+    """An embedder without a model: lower-cased words, and their first four letters, counted in ``size`` buckets."""
+    out = []
+    for text in texts:
+        v = [0.0] * size
+        for word in re.findall(r"\w+", text.lower()):
+            for part in (word, word[:4]):
+                v[zlib.crc32(part.encode()) % size] += 1.0
+        out.append(v)
+    return out
+
+
 def register(model: str, embedder: Embedder) -> None:
     EMBEDDERS[model] = embedder
 
 
+register("word-hash-256", word_hash)
+
+
 def embed(texts: DataFrame, model: str, dimension: int, batch: int = 256) -> DataFrame:
     """``(model, text_sha, embedding)`` for the distinct texts of ``texts(text_sha, text)``, in batches."""
     if model not in EMBEDDERS:
