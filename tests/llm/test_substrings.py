@@ -3,10 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tests.llm.edges import DATA, docs, empty
 from tidemark.llm import queries
-from tidemark.llm.sparse import find_repeats
-from tidemark.llm.subtree import remove_repeats
+from tidemark.llm.sparse import find_repeats, ranks
+from tidemark.llm.subtree import count_prefixes, deep_nodes, hashed, remove_repeats
+from tidemark.llm.suffixes import Chunk, later_copies, minimisers, pack_runs, unpack_runs
 
 
 def brute(table, length):
@@ -92,3 +95,45 @@ def test_op8_edges(spark):
     found = find_repeats(docs(spark))
     assert {tuple(r) for r in found.collect()} == {(10, 0, 60), (11, 1, 60)}
     assert find_repeats(empty(spark)).count() == 0
+
+
+def weak(monkeypatch):
+    """Hash codes of three bits: hundreds of words collide."""
+    from tidemark.llm.suffixes import Chunk
+
+    strong = Chunk._hash
+    monkeypatch.setattr(Chunk, "_hash", staticmethod(lambda raw, starts, sizes: (strong(raw, starts, sizes) & np.uint64(7)) + np.uint64(1)))
+
+
+def test_equal_hashes_of_different_words_remove_nothing(monkeypatch):
+    """Chunks, runs and both ways to tell windows apart, with words whose hashes collide."""
+    weak(monkeypatch)
+    table = [(i, t) for i, t in random_table(60)]
+    want = {(i, s) for i, words, _ in brute(table, 20) for s in range(len(words) - 19)}
+    c = Chunk(np.array([i for i, _ in table]), np.arange(len(table)), [t.encode() for _, t in table])
+    exact, doc = c.exact(), c.doc_of()
+    idx, at, _ = minimisers(c, 20, 5)
+    assert {(int(c.ids[doc[i]]), int(i - c.first[doc[i]])) for i in idx} == want and ((at >= idx) & (at <= idx + 15)).all()
+    seen, later = {}, set()
+    for i in idx:
+        key = tuple(c.texts[doc[i]].split()[i - c.first[doc[i]] :][:20])
+        if seen.setdefault(key, i) != i:
+            later.add(int(i))
+    for judge in (deep_nodes, ranks):
+        assert set(idx[later_copies(judge(exact[0], idx, 20), c.ids[doc[idx]], idx - c.first[doc[idx]])].tolist()) == later and later
+    ids, rows, starts, words, places = unpack_runs([pack_runs(c, exact, idx[k::2], np.zeros(len(idx[k::2]), bool), 20) for k in (0, 1)], 20)
+    found = later_copies(deep_nodes(words, places, 20), ids, starts)
+    assert sorted(zip(ids[found].tolist(), starts[found].tolist(), strict=True)) == sorted((int(c.ids[doc[i]]), int(i - c.first[doc[i]])) for i in later)
+    assert (rows == ids).all()
+
+
+def test_op7_frequent_prefixes_are_lengthened(spark):
+    """A beginning that all texts share, with varied ends, does not stay in one group."""
+    rng = random.Random(6)
+    head = [f"h{i}" for i in range(16)]
+    table = [(i, " ".join(head + [rng.choice("abc") for _ in range(8)])) for i in range(400)]
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(6)
+    want = {(i, *digest(w, g)) for i, w, g in brute(table, 20)}
+    prefixes = count_prefixes(hashed(frame), 20, 5, group_words=100, chunk_words=300, least=4)
+    assert len(prefixes.frequent) and prefixes.groups > 10
+    assert {tuple(r) for r in remove_repeats(frame, length=20, digest=True, group_words=100, chunk_words=300).collect()} == want

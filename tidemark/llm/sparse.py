@@ -3,9 +3,10 @@
 Of all word suffixes only those at minimiser positions are retained: in every window of ``length``
 words the ``anchor``-word sequence with the least hash.  Equal windows have it at the same place, so
 no repeat of ``length`` words is missed, and about one suffix in twenty is kept.  The retained
-suffixes are sorted and compared by their first ``anchor`` words; one without an equal neighbour
-starts no repeat and goes.  The others are extended left and right to the windows they own, and
-sorting these brings a passage's copies together.
+suffixes are sorted by a hash of their first ``anchor`` words; one without an equal neighbour
+starts no repeat and goes.  The others travel with their words, as far to the left and right as the
+windows they are the minimiser of reach.  There they are sorted by those words, with ranks by doubled
+lengths as in the construction of a suffix array; neighbours of equal rank are a passage's copies.
 """
 
 from __future__ import annotations
@@ -18,26 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import kept
-from tidemark.llm.subtree import block_of, by_group, hashed
-from tidemark.llm.suffixes import Chunk, chunks, later_copies, mixed, pack, rolling, unpack
+from tidemark.llm.subtree import hashed, out
+from tidemark.llm.suffixes import by_group, chunks, later_copies, minimisers, mixed, pack_runs, places, rolling, unpack, unpack_runs
 
-_PLACE = np.uint64(26)
 
+def ranks(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the ``length`` words from each place ``at``: equal for equal words and for no others.
 
-def minimisers(c: Chunk, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, the position of each window's minimiser, and the hashes of all anchors.
-
-    Among equal hashes the leftmost position counts, so it depends on the window's words alone.
+    Ranks of one word become those of two, four, eight: a pair of ranks is ranked by sorting.
+    ``words`` are exact numbers; only places whose words lie inside one run are looked at.
     """
-    idx, _ = c.windows(length)
-    hashes = mixed(rolling(c.codes, anchor))
-    least = (hashes >> _PLACE << _PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    width, size = length - anchor + 1, 1
-    while 2 * size <= width:
-        least = np.minimum(least[:-size], least[size:])
+    rank, size = words.astype(np.int64), 1
+    pair = lambda a, b: np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+    while 2 * size <= length:
+        rank = pair(rank[: len(rank) - size], rank[size:])
         size *= 2
-    least = np.minimum(least[idx], least[idx + width - size])
-    return idx, (least & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64), hashes
+    return pair(rank[at], rank[at + length - size])
 
 
 def _anchors(rows: DataFrame, length: int, anchor: int, chunk_words: int) -> DataFrame:
@@ -71,39 +68,29 @@ def _windows(rows: DataFrame, length: int, anchor: int, groups: int, chunk_words
                 yield b
 
         for c in chunks(noted(), chunk_words):
-            idx, own, hashes = minimisers(c, length, anchor)
+            exact = c.exact()
+            idx, at, hashes = minimisers(c, length, anchor)
             alive, often = np.zeros(c.words, bool), np.zeros(c.words, bool)
             for k, key in enumerate(zip(c.ids.tolist(), c.rows.tolist(), strict=True)):
-                at, hot = marks.get(key, (None, None))
-                if at is not None:
-                    alive[c.first[k] + at], often[c.first[k] + at] = True, hot
-            idx, own = idx[alive[own]], own[alive[own]]
-            prints = mixed(rolling(c.codes, length)[idx])
+                own, hot = marks.pop(key, (None, None))
+                if own is not None:
+                    alive[c.first[k] + own], often[c.first[k] + own] = True, hot
+            idx, at = idx[alive[at]], at[alive[at]]
             doc = c.doc_of()[idx]
-            later, _ = later_copies(prints, c.ids[doc], idx - c.first[doc])
-            out = [(groups + block, blob) for block, blob in _found(c.ids, c.rows, doc, idx - c.first[doc], later, groups)]
-            first = np.flatnonzero(~later)
-            spread = np.where(often[own[first]], prints[first], hashes[own[first]])
-            for group, part in by_group((mixed(spread) % np.uint64(groups)).astype(np.int64)):
-                at = first[part]
-                out.append((group, pack(c.ids, c.rows, doc[at], idx[at] - c.first[doc[at]], prints[at])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["key", "blob"])
-            live = set(zip(c.ids.tolist(), c.rows.tolist(), strict=True))
-            for key in [k for k in marks if k in live]:
-                del marks[key]
+            later = later_copies(ranks(exact[0], idx, length), c.ids[doc], idx - c.first[doc])
+            found = [(groups + block, blob) for block, blob in places(c.ids, c.rows, doc[later], (idx - c.first[doc])[later], groups)]
+            idx, at = idx[~later], at[~later]
+            cuts = often[at] | (np.diff(at, prepend=-1) != 0)
+            spread = np.where(often[at], rolling(c.codes, length)[idx], hashes[at])
+            for group, own in by_group((mixed(spread) % np.uint64(groups)).astype(np.int64)):
+                found.append((group, pack_runs(c, exact, idx[own], cuts[own], length)))
+            if found:
+                yield out(found)
 
     return rows.mapInArrow(each, "key long, blob binary")
 
 
-def _found(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarray, later: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
-    """Packed later copies by block of their document."""
-    at = np.flatnonzero(later)
-    for block, own in by_group(block_of(rows[doc[at]], blocks)):
-        yield block, pack(ids, rows, doc[at[own]], starts[at[own]])
-
-
-def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequent: int = 1000, group_words: int = 2_000_000, chunk_words: int = 400_000) -> DataFrame:
+def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequent: int = 1000, group_words: int = 500_000, chunk_words: int = 400_000) -> DataFrame:
     """``doc_id, start, n_words``: passages of ``length`` words or more that occur earlier too.
 
     Words are kept as they are.  Earlier is a smaller doc_id, or an earlier start in the same
@@ -119,22 +106,21 @@ def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequen
     groups = max(1, -(-anchors.count() * (length - anchor) // (2 * group_words)))
     # written, so that the join below shuffles both sides anew and AQE can split a hot anchor
     repeated = kept(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > frequent).alias("often")), "repeated")
-    places = anchors.join(repeated, "h").groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "often")).alias("places"))
-    marked = rows.dropDuplicates(["doc_id", "row"]).join(places, ["doc_id", "row"]).select("doc_id", "row", "text", F.col("places.at").alias("at"), F.col("places.often").alias("often"))
+    placed = anchors.join(repeated, "h").groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "often")).alias("places"))
+    marked = rows.dropDuplicates(["doc_id", "row"]).join(placed, ["doc_id", "row"]).select("doc_id", "row", "text", F.col("places.at").alias("at"), F.col("places.often").alias("often"))
     sent = _windows(marked, length, anchor, groups, chunk_words)
 
     def neighbours(key: tuple, members: pa.Table) -> pa.Table:
         if key[0].as_py() >= groups:  # found within their chunk
             return pa.table({"block": pa.array([key[0].as_py() - groups] * len(members), pa.int64()), "blob": members["blob"]})
-        parts = [unpack(b.as_py()) for b in members["blob"]]
-        ids, own, counts, starts, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-        doc = np.repeat(np.arange(len(ids)), counts)
-        found = list(_found(ids, own, doc, starts, later_copies(prints, ids[doc], starts)[0], groups))
+        ids, own, starts, words, at = unpack_runs((b.as_py() for b in members["blob"]), length)
+        later = later_copies(ranks(words, at, length), ids, starts)
+        found = list(places(ids[later], own[later], np.arange(later.sum()), starts[later], groups))
         return pa.table({"block": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
 
     def runs(members: pa.Table) -> pa.Table:
         parts = [unpack(b.as_py()) for b in members["blob"]]
-        ids, own, counts, starts, _ = (np.concatenate(x) if x[0] is not None else None for x in zip(*parts, strict=True))
+        ids, own, counts, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
         doc, row = np.repeat(ids, counts), np.repeat(own, counts).astype(np.int64)
         order = np.lexsort((starts, row, doc))
         doc, row, starts = doc[order], row[order], starts[order]

@@ -1,11 +1,16 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
 The word suffixes of all documents form one suffix tree.  It is never held whole: suffixes are
-partitioned by a variable-length prefix (one word; two, four, eight or sixteen where a prefix is
-frequent), so each partition is a subtree that fits in a task's memory.  In a subtree, suffixes
-with equal first ``length`` words meet at one internal node of that depth; those nodes are the
-repeats, and every suffix below one but the earliest starts a repeated window.  Edges below the
-partitioning prefix are compared by a 64-bit hash of the window's words.
+partitioned by a variable-length prefix, so that each partition is a subtree that fits in a task's
+memory.  The prefix is taken at the suffix's minimiser, the ``anchor``-word sequence of least hash
+among its first ``length`` words: suffixes that agree so far have it at the same place, and
+neighbouring suffixes mostly share it, so a run of suffixes travels to its subtree with its words
+once.  Where a prefix is too frequent for one partition, it is lengthened to all ``length`` words.
+
+A task sorts the suffixes of its subtree by their words and takes the lengths of the prefixes that
+neighbours share.  Intervals of neighbours that share ``length`` words are the subtree's deep
+internal nodes; every leaf below one but the earliest starts a repeated window, and windows that
+follow each other in a document make up its maximal repeats.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import binary_text
-from tidemark.llm.suffixes import Chunk, chunks, later_copies, mixed, pack, rolling, unpack
+from tidemark.llm.suffixes import by_group, chunks, later_copies, minimisers, mixed, pack_runs, places, rolling, unpack, unpack_runs
 
-#: Prefix lengths in words; each is tried while the shorter one is frequent.
-PREFIXES = (1, 2, 4, 8, 16)
+#: Words of the shorter prefix.
+ANCHOR = 5
 
 
 def row_hash() -> Column:
@@ -35,113 +40,93 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 class Prefixes:
-    """The partition of suffixes: frequent prefixes by level, and the number of groups."""
+    """The partition of suffixes: the frequent short prefixes, by hash and ascending, and the number of groups."""
 
-    def __init__(self, frequent: dict[int, np.ndarray], groups: int) -> None:
+    def __init__(self, frequent: np.ndarray, groups: int) -> None:
         self.frequent, self.groups = frequent, groups
 
-    def group_of(self, c: Chunk, idx: np.ndarray, length: int) -> np.ndarray:
-        """Group of each suffix: a hash of its shortest prefix that is not frequent."""
-        key = c.codes[idx]
-        left = np.arange(len(idx))
-        for level, longer in zip(PREFIXES, (*PREFIXES[1:], 0), strict=True):
-            often = self.frequent.get(level)
-            if often is None or not len(often) or not 0 < longer <= length:
-                break
-            at = np.searchsorted(often, key[left])
-            left = left[often[np.minimum(at, len(often) - 1)] == key[left]]
-            key[left] = rolling(c.codes, longer)[idx[left]]
-        return (mixed(key) % np.uint64(self.groups)).astype(np.int64)
-
-
-def count_prefixes(rows: DataFrame, length: int, *, group_words: int, chunk_words: int, least: int = 64, entries: int = 50_000) -> Prefixes:
+    def often(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes are those of frequent prefixes."""
+        if not len(self.frequent):
+            return np.zeros(len(h), bool)
+        return self.frequent[np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)] == h
+
+
+def count_prefixes(rows: DataFrame, length: int, anchor: int, *, group_words: int, chunk_words: int, least: int = 64, entries: int = 50_000) -> Prefixes:
     """Count the suffixes and their frequent prefixes over all documents.
 
     A chunk reports the prefixes it has ``least`` times or more; Spark sums them.  A prefix is
-    frequent from an eighth of a group on, and at most ``entries`` a level are, by that share.
+    frequent from an eighth of a group on, and at most ``entries`` are, by that share.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, chunk_words):
-            idx, _ = c.windows(length)
-            levels, keys, sums = [0], [np.zeros(1, np.uint64)], [np.array([len(idx)])]
-            for level in (x for x in PREFIXES if x <= length):
-                h = rolling(c.codes, level)[idx]
-                key, n = np.unique(h, return_counts=True)
-                key, n = key[n >= least], n[n >= least]
-                if not len(key):
-                    break
-                at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-                idx = idx[key[at] == h]
-                levels += [level] * len(key)
-                keys.append(key), sums.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sums).astype(np.int64))], names=["level", "prefix", "n"])
-
-    seen = rows.mapInArrow(count, "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
-    # the sum of all windows comes first: no prefix has more
-    top = seen.where(F.col("level") == 0).first()
+            idx, at, hashes = minimisers(c, length, anchor)
+            key, n = np.unique(hashes[at], return_counts=True)
+            key, n = key[n >= least], n[n >= least]
+            sums = [pa.array(np.append(False, np.ones(len(key), bool))), pa.array(np.append(np.uint64(0), key).view(np.int64)), pa.array(np.append(len(idx), n).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(sums, names=["of_prefix", "prefix", "n"])
+
+    seen = rows.mapInArrow(count, "of_prefix boolean, prefix long, n long").groupBy("of_prefix", "prefix").agg(F.sum("n").alias("n"))
+    # the sum of all suffixes comes first: no prefix has more
+    top = seen.where(~F.col("of_prefix")).first()
     total = top["n"] if top else 0
-    often = seen.where((F.col("level") > 0) & (F.col("n") >= max(group_words // 8, total // entries, least))).select("level", "prefix").collect()
-    frequent = {k: np.sort(np.array([r["prefix"] for r in often if r["level"] == k], np.int64).view(np.uint64)) for k in {r["level"] for r in often}}
-    return Prefixes(frequent, max(1, -(-total // group_words)))
+    often = seen.where(F.col("of_prefix") & (F.col("n") >= max(group_words // 8, total // entries, least))).select("prefix").collect()
+    return Prefixes(np.sort(np.array([r["prefix"] for r in often], np.int64).view(np.uint64)), max(1, -(-total // group_words)))
 
 
-def _out(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def out(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["key", "blob"])
 
 
-def by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each group with the indices it has, in order."""
-    if not len(group):
-        return
-    order = np.argsort(group.astype(np.uint16) if group.max() < 65536 else group, kind="stable")
-    new = np.flatnonzero(np.diff(group[order], prepend=-1))
-    for a, b in zip(new, np.append(new[1:], len(order)), strict=True):
-        yield int(group[order[a]]), order[a:b]
-
-
-def places_of(c: Chunk, idx: np.ndarray, at: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
-    """Packed places ``idx[at]`` by block of their document."""
-    doc = c.doc_of()[idx[at]]
-    for block, own in by_group(block_of(c.rows, blocks)[doc]):
-        yield block, pack(c.ids, c.rows, doc[own], (idx[at] - c.first[doc])[own])
+def deep_nodes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each suffix at ``depth``: a number that suffixes share if, and only if, their first ``depth`` words are equal.
 
-
-def block_of(rows: np.ndarray, blocks: int) -> np.ndarray:
-    """Block of a row hash: of its low 32 bits, which is what packed places keep of it."""
-    return (rows.astype(np.int64) & 0xFFFFFFFF) % blocks
-
-
-def repeated_windows(rows: DataFrame, length: int, prefixes: Prefixes, chunk_words: int) -> DataFrame:
+    The suffixes are sorted by their words; a node is an interval of neighbours that share ``depth`` words.
+    """
+    prefix = words[at[:, None] + np.arange(depth)]
+    wide = np.pad(prefix, ((0, 0), (0, depth % 2))).astype(np.int64)
+    order = np.lexsort((wide[:, 0::2] << 32 | wide[:, 1::2]).T[::-1])
+    shared = np.ones(max(0, len(at) - 1), bool)  # neighbours whose longest common prefix reaches the depth
+    for k in range(depth):
+        column = prefix[order, k]
+        shared &= column[1:] == column[:-1]
+    node = np.empty(len(at), np.int64)
+    node[order] = np.cumsum(np.append(np.zeros(min(1, len(at)), bool), ~shared))
+    return node
+
+
+def repeated_windows(rows: DataFrame, length: int, anchor: int, prefixes: Prefixes, chunk_words: int) -> DataFrame:
     """``(block, blob)``: packed places at which a window of ``length`` words starts that starts earlier too.
 
-    A chunk keeps only the earliest of its equal windows and reports the others at once, so a
-    passage that a third of all documents hold reaches its subtree once a chunk.
+    A chunk is a small subtree of its own: it keeps only the earliest of its equal windows and
+    reports the others at once, so a passage that a third of all documents hold reaches its
+    partition once a chunk.
     """
     groups = prefixes.groups
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, chunk_words):
-            idx, prints = c.windows(length)
+            exact = c.exact()
+            idx, at, hashes = minimisers(c, length, anchor)
             doc = c.doc_of()[idx]
-            later, _ = later_copies(prints, c.ids[doc], idx - c.first[doc])
-            out = [(groups + block, blob) for block, blob in places_of(c, idx, np.flatnonzero(later), groups)]
-            first = np.flatnonzero(~later)
-            for group, own in by_group(prefixes.group_of(c, idx[first], length)):
-                at = first[own]
-                out.append((group, pack(c.ids, c.rows, doc[at], idx[at] - c.first[doc[at]], prints[at])))
-            if out:
-                yield _out(out)
+            later = later_copies(deep_nodes(exact[0], idx, length), c.ids[doc], idx - c.first[doc])
+            rows = [(groups + block, blob) for block, blob in places(c.ids, c.rows, doc[later], (idx - c.first[doc])[later], groups)]
+            idx, at = idx[~later], at[~later]
+            often = prefixes.often(hashes[at])
+            key = np.where(often, rolling(c.codes, length)[idx], hashes[at])
+            cuts = often | (np.diff(at, prepend=-1) != 0)
+            for group, own in by_group((mixed(key) % np.uint64(groups)).astype(np.int64)):
+                rows.append((group, pack_runs(c, exact, idx[own], cuts[own], length)))
+            if rows:
+                yield out(rows)
 
     def subtree(key: tuple, members: pa.Table) -> pa.Table:
         if key[0].as_py() >= groups:  # found within their chunk
             return pa.table({"block": pa.array([key[0].as_py() - groups] * len(members), pa.int64()), "blob": members["blob"]})
-        parts = [unpack(b.as_py()) for b in members["blob"]]
-        ids, rows_, counts, starts, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-        doc = np.repeat(np.arange(len(ids)), counts)
-        later, _ = later_copies(prints, ids[doc], starts)
-        at = np.flatnonzero(later)
-        found = [(block, pack(ids, rows_, doc[at[own]], starts[at[own]])) for block, own in by_group(block_of(rows_[doc[at]], groups))]
+        ids, own, starts, words, at = unpack_runs((b.as_py() for b in members["blob"]), length)
+        later = later_copies(deep_nodes(words, at, length), ids, starts)
+        found = list(places(ids[later], own[later], np.arange(later.sum()), starts[later], groups))
         return pa.table({"block": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
 
     sent = rows.mapInArrow(suffixes, "key long, blob binary")
@@ -152,7 +137,7 @@ def starts_by_row(blobs: pa.ChunkedArray) -> dict[tuple[int, int], list[np.ndarr
     """Flagged starts of each (doc_id, row hash) of a block."""
     out: dict[tuple[int, int], list[np.ndarray]] = {}
     for b in blobs:
-        ids, rows, counts, starts, _ = unpack(b.as_py())
+        ids, rows, counts, starts = unpack(b.as_py())
         ends = np.cumsum(counts)
         for i, r, s, e in zip(ids.tolist(), rows.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
             out.setdefault((i, r), []).append(starts[s:e])
@@ -168,7 +153,7 @@ def covered(n: int, starts: list[np.ndarray], length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, digest: bool = False, group_words: int = 1_000_000, chunk_words: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, digest: bool = False, anchor: int = ANCHOR, group_words: int = 500_000, chunk_words: int = 500_000) -> DataFrame:
     """Remove each word covered by a window of ``length`` words that also starts earlier.
 
     Earlier is a smaller doc_id, or an earlier start in the same document; a null doc_id is the
@@ -182,9 +167,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, digest: bool = False, g
     other.  Repeated rows stay repeated; an empty table gives an empty one.
     """
     rows = hashed(docs)
-    prefixes = count_prefixes(rows, length, group_words=group_words, chunk_words=chunk_words)
+    prefixes = count_prefixes(rows, length, anchor, group_words=group_words, chunk_words=chunk_words)
     blocks = prefixes.groups
-    flags = repeated_windows(rows, length, prefixes, chunk_words)
+    flags = repeated_windows(rows, length, anchor, prefixes, chunk_words)
     docs = docs.drop("n_words", "n_removed")
     names = [] if digest else docs.columns
     picked = docs.select(F.col("doc_id").cast("long").alias("_id"), row_hash().alias("_row"), binary_text().alias("_text"), *([F.struct(*names).alias("_whole")] if names else []))

@@ -1,4 +1,6 @@
-"""Word suffixes of batches of documents as numpy arrays: codes, window fingerprints and packed lists.
+"""Word suffixes of batches of documents as numpy arrays: hash codes, exact numbers, runs of windows and packed lists.
+
+Hashes choose positions and groups; which windows are equal is decided by the words themselves.
 
 Tasks hold a chunk of documents as flat arrays, so the cost of a word is a few nanoseconds and not a
 Python object.  What tasks exchange is packed into a few binary rows for each chunk and group.
@@ -6,11 +8,13 @@ Python object.  What tasks exchange is packed into a few binary rows for each ch
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -38,6 +42,7 @@ class Chunk:
         order = np.lexsort((rows, ids))
         self.ids, self.rows = ids[order], rows[order]
         texts = [texts[i] for i in order]
+        self.texts = texts
         raw = b"\n".join(texts) + b"\n" + bytes(8)
         a = np.frombuffer(raw, np.uint8)[: len(raw) - 8]
         edge = np.diff(_SPACE[a].view(np.int8), prepend=np.int8(1))
@@ -62,6 +67,11 @@ class Chunk:
             h[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]], 7)
         return np.maximum(h, np.uint64(1))
 
+    def exact(self) -> tuple[np.ndarray, list[bytes]]:
+        """A number for each word, equal for equal words and for no others, and the words by number."""
+        known: dict[bytes, int] = {}
+        return np.fromiter((known.setdefault(w, len(known)) for w in b"\n".join(self.texts).split()), np.int32, self.words), list(known)
+
     def doc_of(self) -> np.ndarray:
         """Index of the document of each word."""
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.first))
@@ -129,8 +139,8 @@ def _numbers(raw: memoryview, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
 
 
-def pack(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarray, prints: np.ndarray | None = None) -> bytes:
-    """Pack places ``(document, start)``, in that order, and their fingerprints if given."""
+def pack(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> bytes:
+    """Pack places ``(document, start)``, in that order."""
     new = np.flatnonzero(np.diff(doc, prepend=-1))
     counts = np.diff(new, append=len(doc)).astype(np.uint32)
     steps = np.diff(starts, prepend=0)
@@ -138,11 +148,11 @@ def pack(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarray,
     own = doc[new]
     head = np.array([len(new), len(doc)], np.uint32).tobytes()
     body = _planes(ids[own]) + (rows[own] & 0xFFFFFFFF).astype(np.uint32).tobytes() + _planes(counts) + _planes(steps.astype(np.uint32))
-    return head + body + (prints.astype(np.uint64).tobytes() if prints is not None else b"")
+    return head + body
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """``ids, rows, counts`` of the documents, ``starts`` and fingerprints of the places."""
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ids, rows, counts`` of the documents and ``starts`` of the places."""
     m = memoryview(blob)
     nd, n = (int(x) for x in np.frombuffer(m, np.uint32, 2))
     at = 8
@@ -152,34 +162,96 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     counts = _numbers(m[at:], "<u4", nd).astype(np.int64)
     at += 4 * nd
     steps = _numbers(m[at:], "<u4", n).astype(np.int64)
-    at += 4 * n
-    prints = np.frombuffer(m, np.uint64, n, at) if len(blob) > at else None
     new = np.cumsum(counts) - counts
     run = np.cumsum(steps)
     starts = run - np.repeat(run[new] - steps[new], counts)
-    return ids, rows, counts, starts, prints
+    return ids, rows, counts, starts
 
 
-def later_copies(prints: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which places have an equal fingerprint at an earlier place; index of the earliest for each.
+def minimisers(c: Chunk, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts, the position of each window's minimiser, and the hashes of all anchors.
 
-    Sorting brings equal fingerprints together, as the leaves below one deep node of the subtree.
+    Among equal hashes the leftmost position counts, so it depends on the window's words alone.
     """
+    idx, _ = c.windows(length)
+    hashes = mixed(rolling(c.codes, anchor))
+    order = np.argsort(hashes, kind="stable")  # equal hashes stay in order of position
+    least = np.empty(len(order), np.int64)
+    least[order] = np.arange(len(order))
+    width, size = length - anchor + 1, 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    return idx, order[np.minimum(least[idx], least[idx + width - size])], hashes
+
+
+def by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group with the indices it has, in order."""
+    if not len(group):
+        return
+    order = np.argsort(group.astype(np.uint16) if group.max() < 65536 else group, kind="stable")
+    new = np.flatnonzero(np.diff(group[order], prepend=-1))
+    for a, b in zip(new, np.append(new[1:], len(order)), strict=True):
+        yield int(group[order[a]]), order[a:b]
+
+
+def block_of(rows: np.ndarray, blocks: int) -> np.ndarray:
+    """Block of a row hash: of its low 32 bits, which is what packed places keep of it."""
+    return (rows.astype(np.int64) & 0xFFFFFFFF) % blocks
+
+
+def places(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, starts: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+    """Packed places ``(document, start)`` by block of their document."""
+    order = np.lexsort((starts, doc))
+    doc, starts = doc[order], starts[order]
+    for block, own in by_group(block_of(rows[doc], blocks)):
+        yield block, pack(ids, rows, doc[own], starts[own])
+
+
+def _ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges ``first[k] .. first[k] + sizes[k]``, one after another."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def pack_runs(c: Chunk, exact: tuple[np.ndarray, list[bytes]], windows: np.ndarray, cuts: np.ndarray, length: int) -> bytes:
+    """Windows that start at words ``windows``, as runs with their words; a run begins wherever ``cuts`` is set.
+
+    Neighbouring windows share a run, so a word travels once a run and not once a window.
+    """
+    new = np.flatnonzero(cuts | (np.diff(windows, prepend=-2) != 1))
+    counts = np.diff(new, append=len(windows))
+    first = windows[new]
+    doc = np.searchsorted(c.first, first, "right") - 1
+    words = b"\n".join(map(exact[1].__getitem__, exact[0][_ragged(first, counts + length - 1)].tolist()))
+    own = (c.ids[doc], (c.rows[doc] & 0xFFFFFFFF).astype(np.uint32), (first - c.first[doc]).astype(np.uint32), counts.astype(np.uint32), words)
+    return zstandard.compress(pickle.dumps(own, protocol=5), 1)
+
+
+def unpack_runs(blobs: Iterator[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ids, rows, starts`` of every window of the runs, the words of all runs as exact numbers, and where in them each window starts."""
+    known: dict[bytes, int] = {}
+    heads, words = [], []
+    for b in blobs:
+        *head, text = pickle.loads(zstandard.decompress(b))
+        heads.append(head)
+        words.append(np.fromiter((known.setdefault(w, len(known)) for w in text.split(b"\n")), np.int32))
+    ids, rows, starts, counts = (np.concatenate(x) for x in zip(*heads, strict=True))
+    counts = counts.astype(np.int64)
+    sizes = counts + length - 1
+    return np.repeat(ids, counts), np.repeat(rows, counts), _ragged(starts.astype(np.int64), counts), np.concatenate(words), _ragged(np.cumsum(sizes) - sizes, counts)
+
+
+def later_copies(node: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which places have an equal ``node`` number at an earlier place ``(id, start)``."""
     _, rank = np.unique(ids, return_inverse=True)
     place = (rank.astype(np.uint64) << np.uint64(32)) | starts.astype(np.uint64)
-    order = np.argsort(prints)
-    new = np.flatnonzero(np.diff(prints[order], prepend=~prints[order[:1]] if len(order) else 0))
+    order = np.argsort(node, kind="stable")
+    new = np.flatnonzero(np.diff(node[order], prepend=node[order[:1]] - 1 if len(order) else 0))
     sizes = np.diff(new, append=len(order))
     many = np.repeat(sizes > 1, sizes)
-    order, sizes = order[many], sizes[sizes > 1]  # only nodes with several leaves
-    later = np.zeros(len(prints), bool)
-    source = np.arange(len(prints))
+    order, sizes = order[many], sizes[sizes > 1]
+    later = np.zeros(len(node), bool)
     if len(order):
-        node = np.repeat(np.arange(len(sizes)), sizes)
-        own = np.lexsort((place[order], node))
-        order = order[own]
-        first = order[np.cumsum(sizes) - sizes]
-        least = np.repeat(first, sizes)
-        later[order] = place[order] > place[least]
-        source[order] = least
-    return later, source
+        least = np.minimum.reduceat(place[order], np.cumsum(sizes) - sizes)
+        later[order] = place[order] > np.repeat(least, sizes)
+    return later
