@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import binary_text
-from tidemark.llm.suffixes import by_group, chunks, later_copies, minimisers, mixed, pack_runs, places, rolling, unpack, unpack_runs
+from tidemark.llm.suffixes import by_group, chunks, later_copies, minimisers, mixed, pack_runs, places, repeated, rolling, unpack, unpack_runs
 
 #: Words of the shorter prefix.
-ANCHOR = 5
+ANCHOR = 4
 
 
 def row_hash() -> Column:
@@ -96,6 +97,18 @@ def deep_nodes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
+def later_leaves(words: np.ndarray, at: np.ndarray, prints: np.ndarray, ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Which suffixes hang below a node at ``depth`` without being its earliest leaf.
+
+    ``prints`` hash the first ``depth`` words.  A suffix whose hash is alone leaves the tree above the
+    depth and is not sorted; those that share one are sorted by their words.
+    """
+    own = np.flatnonzero(repeated(prints))
+    later = np.zeros(len(at), bool)
+    later[own] = later_copies(deep_nodes(words, at[own], depth), ids[own], starts[own])
+    return later
+
+
 def repeated_windows(rows: DataFrame, length: int, anchor: int, prefixes: Prefixes, chunk_words: int) -> DataFrame:
     """``(block, blob)``: packed places at which a window of ``length`` words starts that starts earlier too.
 
@@ -110,11 +123,12 @@ def repeated_windows(rows: DataFrame, length: int, anchor: int, prefixes: Prefix
             exact = c.exact()
             idx, at, hashes = minimisers(c, length, anchor)
             doc = c.doc_of()[idx]
-            later = later_copies(deep_nodes(exact[0], idx, length), c.ids[doc], idx - c.first[doc])
+            prints = rolling(c.codes, length)[idx]
+            later = later_leaves(exact[0], idx, prints, c.ids[doc], idx - c.first[doc], length)
             rows = [(groups + block, blob) for block, blob in places(c.ids, c.rows, doc[later], (idx - c.first[doc])[later], groups)]
-            idx, at = idx[~later], at[~later]
+            idx, at, prints = idx[~later], at[~later], prints[~later]
             often = prefixes.often(hashes[at])
-            key = np.where(often, rolling(c.codes, length)[idx], hashes[at])
+            key = np.where(often, prints, hashes[at])
             cuts = often | (np.diff(at, prepend=-1) != 0)
             for group, own in by_group((mixed(key) % np.uint64(groups)).astype(np.int64)):
                 rows.append((group, pack_runs(c, exact, idx[own], cuts[own], length)))
@@ -125,7 +139,8 @@ def repeated_windows(rows: DataFrame, length: int, anchor: int, prefixes: Prefix
         if key[0].as_py() >= groups:  # found within their chunk
             return pa.table({"block": pa.array([key[0].as_py() - groups] * len(members), pa.int64()), "blob": members["blob"]})
         ids, own, starts, words, at = unpack_runs((b.as_py() for b in members["blob"]), length)
-        later = later_copies(deep_nodes(words, at, length), ids, starts)
+        prints = rolling(mixed(words.astype(np.uint64) + np.uint64(1)), length)[at]
+        later = later_leaves(words, at, prints, ids, starts, length)
         found = list(places(ids[later], own[later], np.arange(later.sum()), starts[later], groups))
         return pa.table({"block": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
 
@@ -172,14 +187,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, digest: bool = False, a
     flags = repeated_windows(rows, length, anchor, prefixes, chunk_words)
     docs = docs.drop("n_words", "n_removed")
     names = [] if digest else docs.columns
-    picked = docs.select(F.col("doc_id").cast("long").alias("_id"), row_hash().alias("_row"), binary_text().alias("_text"), *([F.struct(*names).alias("_whole")] if names else []))
+    carried = F.struct(*names).alias("_whole") if names else binary_text().alias("_text")
+    picked = docs.select(F.col("doc_id").cast("long").alias("_id"), row_hash().alias("_row"), carried)
     picked = picked.withColumn("_block", F.col("_row").bitwiseAND(F.lit(0xFFFFFFFF)) % blocks)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         found = starts_by_row(right["blob"])
         n_words, n_removed, result = [], [], []
-        for i, r, text in zip(left["_id"].to_pylist(), left["_row"].to_pylist(), left["_text"], strict=True):
-            words = text.as_py().split()
+        texts = left["_text"] if digest else pc.cast(pc.struct_field(left["_whole"], "text"), pa.binary())
+        for i, r, text in zip(left["_id"].to_pylist(), left["_row"].to_pylist(), texts, strict=True):
+            words = (text.as_py() or b"").split()
             starts = found.get((np.iinfo(np.int64).min if i is None else i, r & 0xFFFFFFFF))
             gone = 0
             if starts:

@@ -224,7 +224,7 @@ def pack_runs(c: Chunk, exact: tuple[np.ndarray, list[bytes]], windows: np.ndarr
     doc = np.searchsorted(c.first, first, "right") - 1
     words = b"\n".join(map(exact[1].__getitem__, exact[0][_ragged(first, counts + length - 1)].tolist()))
     own = (c.ids[doc], (c.rows[doc] & 0xFFFFFFFF).astype(np.uint32), (first - c.first[doc]).astype(np.uint32), counts.astype(np.uint32), words)
-    return zstandard.compress(pickle.dumps(own, protocol=5), 1)
+    return zstandard.compress(pickle.dumps(own, protocol=5), 3)
 
 
 def unpack_runs(blobs: Iterator[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,6 +241,17 @@ def unpack_runs(blobs: Iterator[bytes], length: int) -> tuple[np.ndarray, np.nda
     return np.repeat(ids, counts), np.repeat(rows, counts), _ragged(starts.astype(np.int64), counts), np.concatenate(words), _ragged(np.cumsum(sizes) - sizes, counts)
 
 
+def repeated(prints: np.ndarray) -> np.ndarray:
+    """Which numbers occur more than once."""
+    order = np.argsort(prints)
+    run = prints[order]
+    same = np.zeros(len(run) + 1, bool)
+    same[1:-1] = run[1:] == run[:-1]
+    out = np.empty(len(run), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
 def later_copies(node: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which places have an equal ``node`` number at an earlier place ``(id, start)``."""
     _, rank = np.unique(ids, return_inverse=True)
