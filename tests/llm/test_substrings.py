@@ -9,7 +9,7 @@ from tests.llm.edges import DATA, docs, empty
 from tidemark.llm import queries
 from tidemark.llm.sparse import find_repeats, ranks
 from tidemark.llm.subtree import count_prefixes, deep_nodes, hashed, remove_repeats
-from tidemark.llm.suffixes import Chunk, later_copies, minimisers, pack_runs, unpack_runs
+from tidemark.llm.suffixes import Chunk, exact_numbers, later_copies, later_windows, minimisers, pack_runs, unpack_runs
 
 
 def brute(table, length):
@@ -111,7 +111,8 @@ def test_equal_hashes_of_different_words_remove_nothing(monkeypatch):
     table = [(i, t) for i, t in random_table(60)]
     want = {(i, s) for i, words, _ in brute(table, 20) for s in range(len(words) - 19)}
     c = Chunk(np.array([i for i, _ in table]), np.arange(len(table)), [t.encode() for _, t in table])
-    exact, doc = c.exact(), c.doc_of()
+    words, doc = c.word_list(), c.doc_of()
+    numbers = exact_numbers(words, np.ones(c.words, bool))
     idx, at, _ = minimisers(c, 20, 5)
     assert {(int(c.ids[doc[i]]), int(i - c.first[doc[i]])) for i in idx} == want and ((at >= idx) & (at <= idx + 15)).all()
     seen, later = {}, set()
@@ -120,10 +121,11 @@ def test_equal_hashes_of_different_words_remove_nothing(monkeypatch):
         if seen.setdefault(key, i) != i:
             later.add(int(i))
     for judge in (deep_nodes, ranks):
-        assert set(idx[later_copies(judge(exact[0], idx, 20), c.ids[doc[idx]], idx - c.first[doc[idx]])].tolist()) == later and later
-    ids, rows, starts, words, places = unpack_runs([pack_runs(c, exact, idx[k::2], np.zeros(len(idx[k::2]), bool), 20) for k in (0, 1)], 20)
-    found = later_copies(deep_nodes(words, places, 20), ids, starts)
-    assert sorted(zip(ids[found].tolist(), starts[found].tolist(), strict=True)) == sorted((int(c.ids[doc[i]]), int(i - c.first[doc[i]])) for i in later)
+        assert set(idx[later_copies(judge(numbers, idx, 20), c.ids[doc[idx]], idx - c.first[doc[idx]])].tolist()) == later and later
+    ids, rows, starts, words, codes, places = unpack_runs([pack_runs(c, words, idx[k::2], np.zeros(len(idx[k::2]), bool), 20) for k in (0, 1)], 20)
+    for judge in (deep_nodes, ranks):
+        found = later_windows(words, codes, places, ids, starts, 20, judge)
+        assert sorted(zip(ids[found].tolist(), starts[found].tolist(), strict=True)) == sorted((int(c.ids[doc[i]]), int(i - c.first[doc[i]])) for i in later)
     assert (rows == ids).all()
 
 

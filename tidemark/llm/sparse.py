@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import kept
 from tidemark.llm.subtree import hashed, out
-from tidemark.llm.suffixes import by_group, chunks, later_copies, minimisers, mixed, pack_runs, places, rolling, unpack, unpack_runs
+from tidemark.llm.suffixes import by_group, chunks, later_windows, minimisers, mixed, pack_runs, places, rolling, unpack, unpack_runs
 
 
 def ranks(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def _windows(rows: DataFrame, length: int, anchor: int, groups: int, chunk_words
                 yield b
 
         for c in chunks(noted(), chunk_words):
-            exact = c.exact()
+            words = c.word_list()
             idx, at, hashes = minimisers(c, length, anchor)
             alive, often = np.zeros(c.words, bool), np.zeros(c.words, bool)
             for k, key in enumerate(zip(c.ids.tolist(), c.rows.tolist(), strict=True)):
@@ -77,13 +77,13 @@ def _windows(rows: DataFrame, length: int, anchor: int, groups: int, chunk_words
                     alive[c.first[k] + own], often[c.first[k] + own] = True, hot
             idx, at = idx[alive[at]], at[alive[at]]
             doc = c.doc_of()[idx]
-            later = later_copies(ranks(exact[0], idx, length), c.ids[doc], idx - c.first[doc])
+            later = later_windows(words, c.codes, idx, c.ids[doc], idx - c.first[doc], length, ranks)
             found = [(groups + block, blob) for block, blob in places(c.ids, c.rows, doc[later], (idx - c.first[doc])[later], groups)]
             idx, at = idx[~later], at[~later]
             cuts = often[at] | (np.diff(at, prepend=-1) != 0)
             spread = np.where(often[at], rolling(c.codes, length)[idx], hashes[at])
             for group, own in by_group((mixed(spread) % np.uint64(groups)).astype(np.int64)):
-                found.append((group, pack_runs(c, exact, idx[own], cuts[own], length)))
+                found.append((group, pack_runs(c, words, idx[own], cuts[own], length)))
             if found:
                 yield out(found)
 
@@ -113,8 +113,8 @@ def find_repeats(docs: DataFrame, *, length: int = 50, anchor: int = 10, frequen
     def neighbours(key: tuple, members: pa.Table) -> pa.Table:
         if key[0].as_py() >= groups:  # found within their chunk
             return pa.table({"block": pa.array([key[0].as_py() - groups] * len(members), pa.int64()), "blob": members["blob"]})
-        ids, own, starts, words, at = unpack_runs((b.as_py() for b in members["blob"]), length)
-        later = later_copies(ranks(words, at, length), ids, starts)
+        ids, own, starts, words, codes, at = unpack_runs((b.as_py() for b in members["blob"]), length)
+        later = later_windows(words, codes, at, ids, starts, length, ranks)
         found = list(places(ids[later], own[later], np.arange(later.sum()), starts[later], groups))
         return pa.table({"block": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
 

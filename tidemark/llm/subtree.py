@@ -7,7 +7,8 @@ among its first ``length`` words: suffixes that agree so far have it at the same
 neighbouring suffixes mostly share it, so a run of suffixes travels to its subtree with its words
 once.  Where a prefix is too frequent for one partition, it is lengthened to all ``length`` words.
 
-A task sorts the suffixes of its subtree by their words and takes the lengths of the prefixes that
+A suffix whose hash of ``length`` words is alone in its subtree is a leaf that hangs above that depth.
+The task sorts the others by their words and takes the lengths of the prefixes that
 neighbours share.  Intervals of neighbours that share ``length`` words are the subtree's deep
 internal nodes; every leaf below one but the earliest starts a repeated window, and windows that
 follow each other in a document make up its maximal repeats.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import binary_text
-from tidemark.llm.suffixes import by_group, chunks, later_copies, minimisers, mixed, pack_runs, places, repeated, rolling, unpack, unpack_runs
+from tidemark.llm.suffixes import by_group, chunks, later_windows, minimisers, mixed, pack_runs, places, rolling, unpack, unpack_runs
 
 #: Words of the shorter prefix.
 ANCHOR = 4
@@ -97,18 +98,6 @@ def deep_nodes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
-def later_leaves(words: np.ndarray, at: np.ndarray, prints: np.ndarray, ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Which suffixes hang below a node at ``depth`` without being its earliest leaf.
-
-    ``prints`` hash the first ``depth`` words.  A suffix whose hash is alone leaves the tree above the
-    depth and is not sorted; those that share one are sorted by their words.
-    """
-    own = np.flatnonzero(repeated(prints))
-    later = np.zeros(len(at), bool)
-    later[own] = later_copies(deep_nodes(words, at[own], depth), ids[own], starts[own])
-    return later
-
-
 def repeated_windows(rows: DataFrame, length: int, anchor: int, prefixes: Prefixes, chunk_words: int) -> DataFrame:
     """``(block, blob)``: packed places at which a window of ``length`` words starts that starts earlier too.
 
@@ -120,27 +109,25 @@ def repeated_windows(rows: DataFrame, length: int, anchor: int, prefixes: Prefix
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, chunk_words):
-            exact = c.exact()
+            words = c.word_list()
             idx, at, hashes = minimisers(c, length, anchor)
             doc = c.doc_of()[idx]
-            prints = rolling(c.codes, length)[idx]
-            later = later_leaves(exact[0], idx, prints, c.ids[doc], idx - c.first[doc], length)
+            later = later_windows(words, c.codes, idx, c.ids[doc], idx - c.first[doc], length, deep_nodes)
             rows = [(groups + block, blob) for block, blob in places(c.ids, c.rows, doc[later], (idx - c.first[doc])[later], groups)]
-            idx, at, prints = idx[~later], at[~later], prints[~later]
+            idx, at = idx[~later], at[~later]
             often = prefixes.often(hashes[at])
-            key = np.where(often, prints, hashes[at])
+            key = np.where(often, rolling(c.codes, length)[idx], hashes[at])
             cuts = often | (np.diff(at, prepend=-1) != 0)
             for group, own in by_group((mixed(key) % np.uint64(groups)).astype(np.int64)):
-                rows.append((group, pack_runs(c, exact, idx[own], cuts[own], length)))
+                rows.append((group, pack_runs(c, words, idx[own], cuts[own], length)))
             if rows:
                 yield out(rows)
 
     def subtree(key: tuple, members: pa.Table) -> pa.Table:
         if key[0].as_py() >= groups:  # found within their chunk
             return pa.table({"block": pa.array([key[0].as_py() - groups] * len(members), pa.int64()), "blob": members["blob"]})
-        ids, own, starts, words, at = unpack_runs((b.as_py() for b in members["blob"]), length)
-        prints = rolling(mixed(words.astype(np.uint64) + np.uint64(1)), length)[at]
-        later = later_leaves(words, at, prints, ids, starts, length)
+        ids, own, starts, words, codes, at = unpack_runs((b.as_py() for b in members["blob"]), length)
+        later = later_windows(words, codes, at, ids, starts, length, deep_nodes)
         found = list(places(ids[later], own[later], np.arange(later.sum()), starts[later], groups))
         return pa.table({"block": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
 

@@ -9,7 +9,9 @@ Python object.  What tasks exchange is packed into a few binary rows for each ch
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +69,9 @@ class Chunk:
             h[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]], 7)
         return np.maximum(h, np.uint64(1))
 
-    def exact(self) -> tuple[np.ndarray, list[bytes]]:
-        """A number for each word, equal for equal words and for no others, and the words by number."""
-        known: dict[bytes, int] = {}
-        return np.fromiter((known.setdefault(w, len(known)) for w in b"\n".join(self.texts).split()), np.int32, self.words), list(known)
+    def word_list(self) -> list[bytes]:
+        """The words themselves, in order."""
+        return b"\n".join(self.texts).split()
 
     def doc_of(self) -> np.ndarray:
         """Index of the document of each word."""
@@ -213,7 +214,7 @@ def _ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def pack_runs(c: Chunk, exact: tuple[np.ndarray, list[bytes]], windows: np.ndarray, cuts: np.ndarray, length: int) -> bytes:
+def pack_runs(c: Chunk, words: list[bytes], windows: np.ndarray, cuts: np.ndarray, length: int) -> bytes:
     """Windows that start at words ``windows``, as runs with their words; a run begins wherever ``cuts`` is set.
 
     Neighbouring windows share a run, so a word travels once a run and not once a window.
@@ -222,23 +223,52 @@ def pack_runs(c: Chunk, exact: tuple[np.ndarray, list[bytes]], windows: np.ndarr
     counts = np.diff(new, append=len(windows))
     first = windows[new]
     doc = np.searchsorted(c.first, first, "right") - 1
-    words = b"\n".join(map(exact[1].__getitem__, exact[0][_ragged(first, counts + length - 1)].tolist()))
-    own = (c.ids[doc], (c.rows[doc] & 0xFFFFFFFF).astype(np.uint32), (first - c.first[doc]).astype(np.uint32), counts.astype(np.uint32), words)
+    text = b"\n".join(map(words.__getitem__, _ragged(first, counts + length - 1).tolist()))
+    own = (c.ids[doc], (c.rows[doc] & 0xFFFFFFFF).astype(np.uint32), (first - c.first[doc]).astype(np.uint32), counts.astype(np.uint32), text)
     return zstandard.compress(pickle.dumps(own, protocol=5), 3)
 
 
-def unpack_runs(blobs: Iterator[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``ids, rows, starts`` of every window of the runs, the words of all runs as exact numbers, and where in them each window starts."""
-    known: dict[bytes, int] = {}
-    heads, words = [], []
+def unpack_runs(blobs: Iterator[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """``ids, rows, starts`` of every window of the runs, the words of all runs and their codes, and where in them each window starts."""
+    heads, texts = [], []
     for b in blobs:
         *head, text = pickle.loads(zstandard.decompress(b))
-        heads.append(head)
-        words.append(np.fromiter((known.setdefault(w, len(known)) for w in text.split(b"\n")), np.int32))
+        heads.append(head), texts.append(text)
     ids, rows, starts, counts = (np.concatenate(x) for x in zip(*heads, strict=True))
     counts = counts.astype(np.int64)
     sizes = counts + length - 1
-    return np.repeat(ids, counts), np.repeat(rows, counts), _ragged(starts.astype(np.int64), counts), np.concatenate(words), _ragged(np.cumsum(sizes) - sizes, counts)
+    raw = b"\n".join(texts) + b"\n" + bytes(8)
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8)[: len(raw) - 8] == 10)
+    first = np.append(0, ends[:-1] + 1)
+    return np.repeat(ids, counts), np.repeat(rows, counts), _ragged(starts.astype(np.int64), counts), raw[: len(raw) - 9].split(b"\n"), Chunk._hash(raw, first, ends - first), _ragged(np.cumsum(sizes) - sizes, counts)
+
+
+def exact_numbers(words: list[bytes], needed: np.ndarray) -> np.ndarray:
+    """A number for each needed word, equal for equal words and for no others; 0 for the rest."""
+    known: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+    at = np.flatnonzero(needed)
+    out = np.zeros(len(words), np.int32)
+    out[at] = np.fromiter(map(known.__getitem__, map(words.__getitem__, at.tolist())), np.int32, len(at))
+    return out
+
+
+Judge = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def later_windows(words: list[bytes], codes: np.ndarray, at: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int, judge: Judge) -> np.ndarray:
+    """Which windows of ``length`` words, starting at words ``at``, have equal words at an earlier place ``(id, start)``.
+
+    A window whose hash is alone has no equal and is left out.  The others are told apart by their
+    words: ``judge(numbers, at, length)`` gives equal windows, and no others, equal numbers.
+    """
+    own = np.flatnonzero(repeated(rolling(codes, length)[at]))
+    edge = np.zeros(len(words) + length + 1, np.int32)
+    np.add.at(edge, at[own], 1)
+    np.add.at(edge, at[own] + length, -1)
+    exact = exact_numbers(words, np.cumsum(edge)[: len(words)] > 0)
+    later = np.zeros(len(at), bool)
+    later[own] = later_copies(judge(exact, at[own], length), ids[own], starts[own])
+    return later
 
 
 def repeated(prints: np.ndarray) -> np.ndarray:
