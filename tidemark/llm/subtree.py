@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -148,10 +149,8 @@ def starts_by_row(blobs: pa.ChunkedArray) -> dict[tuple[int, int], list[np.ndarr
 
 def covered(n: int, starts: list[np.ndarray], length: int) -> np.ndarray:
     """Which of ``n`` words some window covers."""
-    edge = np.zeros(n + 1, np.int32)
-    for s in starts:
-        np.add.at(edge, s, 1)
-        np.add.at(edge, np.minimum(s + length, n), -1)
+    at = np.concatenate(starts)
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + length, n), minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -189,7 +188,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, digest: bool = False, a
             if starts:
                 cover = covered(len(words), starts, length)
                 gone = int(cover.sum())
-                words = [w for w, c in zip(words, cover.tolist(), strict=True) if not c]
+                words = list(compress(words, (~cover).tolist()))
             n_words.append(len(words) + gone), n_removed.append(gone)
             joined = b" ".join(words)
             result.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode() if gone else None)
