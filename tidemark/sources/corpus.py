@@ -56,7 +56,7 @@ def parse_document(raw: str) -> dict:
     out = dict.fromkeys(("doc_id", "kind", "title", "effective_from", "recorded_at", "body", "clauses", "error"))
     try:
         empty, front_text, body = raw.split("---\n", 2)
-        front = yaml.safe_load(front_text)
+        front = yaml.load(front_text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
         if empty or not isinstance(front, dict):
             raise ValueError("front matter is not a mapping at the start")
         kind = front["kind"]
@@ -80,13 +80,15 @@ def read_documents(spark: SparkSession, folder: str, strict: bool = True) -> Dat
 def parse_documents(raw: DataFrame, strict: bool = True) -> DataFrame:
     """``raw(content)`` parsed: the columns of ``PARSED``, content, its hash, and the id that follows from the hash."""
 
-    @F.pandas_udf(PARSED)
-    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([parse_document(t) for t in texts], columns=["doc_id", "kind", "title", "effective_from", "recorded_at", "body", "clauses", "error"])
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = pd.DataFrame([parse_document(t) for t in b["content"]], columns=["doc_id", "kind", "title", "effective_from", "recorded_at", "body", "clauses", "error"])
+            yield found.assign(content=b["content"].to_numpy())
 
-    hashed = raw.select("content", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), parsed("content").alias("p"))
-    docs = hashed.select("p.*", "content", "content_hash", document_uid(F.col("content_hash")).alias("document_uid"), F.lit(None).cast("date").alias("effective_to"))
+    # not a column expression: a filter on ``error`` would be pushed below it and parse every text twice
+    docs = raw.select("content").mapInPandas(parsed, f"{PARSED}, content string")
+    docs = docs.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+    docs = docs.withColumns({"document_uid": document_uid(F.col("content_hash")), "effective_to": F.lit(None).cast("date")})
     if strict:
         docs = docs.withColumn("doc_id", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("doc_id")))
     return docs
@@ -106,11 +108,21 @@ def clause_log(documents: DataFrame) -> DataFrame:
 
 
 def published_index(documents: DataFrame) -> DataFrame:
-    """Chunks as published, time ignored: base clauses under their heading, each memo once a section."""
-    each = documents.select("doc_id", "kind", "title", "body", F.posexplode("clauses").alias("no", "c"))
-    base = each.where("kind = 'base'").select("doc_id", "c.section", F.concat_ws("\n", F.when(F.col("c.heading").isNotNull(), F.concat_ws(" ", "c.section", "c.heading")), "c.text").alias("text"))
-    memo = each.where("kind <> 'base'").groupBy("doc_id", "c.section").agg(F.first(F.concat_ws("\n", "title", "body")).alias("text")).select("doc_id", "section", "text")
-    return base.unionByName(memo).select(F.concat_ws(":", "doc_id", "section").alias("chunk_id"), F.col("section").alias("section_key"), "text", F.col("doc_id").alias("document_id"))
+    """Chunks as published, time ignored: base clauses under their heading, each memo once a section.
+
+    A document holds all its clauses, so this is one pass without a shuffle.
+    """
+    whole = F.concat_ws("\n", "title", "body")
+
+    def clause(c: Column) -> Column:
+        headed = F.when(c["heading"].isNotNull(), F.concat_ws(" ", c["section"], c["heading"]))
+        return F.struct(c["section"].alias("section"), F.concat_ws("\n", headed, c["text"]).alias("text"))
+
+    base = F.transform("clauses", clause)
+    memo = F.array_distinct(F.transform("clauses", lambda c: F.struct(c["section"].alias("section"), whole.alias("text"))))
+    chunks = F.when(F.col("kind") == "base", base).otherwise(memo)
+    each = documents.select("doc_id", F.explode(chunks).alias("c"))
+    return each.select(F.concat_ws(":", "doc_id", "c.section").alias("chunk_id"), F.col("c.section").alias("section_key"), "c.text", F.col("doc_id").alias("document_id"))
 
 
 def version_index(versions: DataFrame) -> DataFrame:
