@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.ann import nearest
+from tidemark.llm.codes import compress_vectors
 from tidemark.llm.common import crc_mod
 from tidemark.llm.decontam import contaminated
 from tidemark.llm.langid import fit_languages, identify
@@ -80,10 +81,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "margin", "rejected")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity, op2_decontamination, op3_lm_scoring, op4_url_filters, op5_simhash,
         op6_mixing, op7_substring_dedup, op8_sparse_suffix_dedup, op9_nearest_neighbours, op10_language_id,
+        op12_vector_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -181,5 +187,27 @@ SELECT doc_id, min(s)::BIGINT AS start, (max(s) - min(s) + 50)::BIGINT AS n_word
 )
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds of op12 written out, one pair of steps a round."""
+    gap = "list_sum(list_transform(range(1, len(c) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = [
+        """rows AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS nth, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "parts AS (SELECT nth, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM rows, (SELECT unnest(range(8)) AS p))",
+        "book0 AS (SELECT p, nth - 1 AS e, x AS c FROM parts WHERE nth <= 16)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"near{r} AS MATERIALIZED (SELECT nth, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT nth, p, x, e, {gap} AS d FROM parts JOIN book{r} USING (p)) GROUP BY nth, p)")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+  SELECT p, e, list((s - ((s % n + n) % n)) // n ORDER BY i) AS c FROM (SELECT p, e, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{r}) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    steps.append(f"digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS sha FROM book{rounds})")
+    steps.append(f"coded AS (SELECT nth, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY nth)")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM coded JOIN rows USING (nth), digest"
+
+
+OP12_SQL = _codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_sparse_suffix_dedup": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_sparse_suffix_dedup": OP8_SQL, "op12_vector_codes": OP12_SQL}
