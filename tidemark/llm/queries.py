@@ -11,6 +11,7 @@ from tidemark.llm.ann import nearest
 from tidemark.llm.codes import compress_vectors
 from tidemark.llm.common import crc_mod
 from tidemark.llm.decontam import contaminated
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.langid import fit_languages, identify
 from tidemark.llm.lm import count_words, fit_lm, score_documents
 from tidemark.llm.mixing import mix
@@ -85,11 +86,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity, op2_decontamination, op3_lm_scoring, op4_url_filters, op5_simhash,
         op6_mixing, op7_substring_dedup, op8_sparse_suffix_dedup, op9_nearest_neighbours, op10_language_id,
-        op12_vector_codes,
+        op12_vector_codes, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
@@ -209,5 +214,29 @@ def _codes_sql(rounds: int = 6) -> str:
 OP12_SQL = _codes_sql()
 
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+each AS (SELECT doc, lang, source, unnest(ts) AS term FROM docs),
+kept AS (SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM each SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+whole AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM counts GROUP BY lang, term),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * v))::BIGINT AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c USING (lang, source, term)),
+own AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v))::BIGINT AS q FROM whole JOIN sizes USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+above AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares JOIN own USING (lang, term) WHERE n > 0 AND p > q),
+parts AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM above)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM parts QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_sparse_suffix_dedup": OP8_SQL, "op12_vector_codes": OP12_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_sparse_suffix_dedup": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_source_divergence": OP13_SQL}
