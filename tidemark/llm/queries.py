@@ -18,6 +18,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.sparse import find_repeats
 from tidemark.llm.subtree import remove_repeats
+from tidemark.llm.tokens import read_digests, write_tokens
 from tidemark.llm.toxicity import learn_lexicon, score_toxicity
 from tidemark.llm.urlfilter import judge_urls
 from tidemark.ship import ship
@@ -82,6 +83,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "margin", "rejected")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return read_digests(write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
@@ -94,7 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity, op2_decontamination, op3_lm_scoring, op4_url_filters, op5_simhash,
         op6_mixing, op7_substring_dedup, op8_sparse_suffix_dedup, op9_nearest_neighbours, op10_language_id,
-        op12_vector_codes, op13_source_divergence,
+        op11_token_files, op12_vector_codes, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
