@@ -20,9 +20,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,7 +37,10 @@ MAGIC, BLOCK = b"TIDEPFR1", 1024
 _HEAD, _TRAILER = struct.Struct("<IBH"), struct.Struct("<5QI8s")
 _MANIFEST = "part int, nth int, path string, documents long, tokens long, blocks long, bytes long"
 #: Words whose ids a task remembers, the longest that is remembered, and texts encoded in one go.
-_REMEMBERED, _LONG_WORD, _TEXTS = 400_000, 64, 256
+_REMEMBERED, _LONG_WORD, _TEXTS = 600_000, 64, 4096
+#: A split that never lets letters and punctuation share a piece, as tokenizer files spell it, and
+#: punctuation that no contraction of that split holds.
+_LETTERS_APART, _TAIL = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 class Encoder:
@@ -42,43 +48,69 @@ class Encoder:
 
     Holds for tokenizers that never join or look across ASCII white space, as those that drop it
     before they split: the ids of a text are then those of its words in turn.  ``by_words=False``
-    encodes whole texts instead.
+    encodes whole texts instead.  Where the tokenizer also keeps letters and punctuation apart, a
+    word of letters and its punctuation are remembered each for itself.
     """
 
     def __init__(self, path: str, by_words: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        marks = self.tokenizer.get_added_tokens_decoder().items()
+        plain = [(i, t.content) for i, t in marks if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.mark, self.between = plain[0] if plain else (None, None)
+        self.parts_tails = _LETTERS_APART in self.tokenizer.to_str() and not any(t.content.strip(_TAIL) != t.content for _, t in marks)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array in one row, and how many each text has."""
         if not self.by_words:
-            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        table = self._ids(distinct)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        start = np.cumsum(size) - size
+        at = words.indices.to_numpy(zero_copy_only=False)
+        sizes = size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], sizes)
+        offsets = split.offsets.to_numpy()
+        return np.frombuffer(b"".join(table), "<u4")[place], np.diff(ends[offsets - offsets[0]])
+
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > _REMEMBERED:  # words not met since the last turn are forgotten
             self.known, self.older = {}, self.known
-        fresh = set().union(*split) - self.known.keys()
+        fresh = set(words) - self.known.keys()
         again = fresh & self.older.keys()
         self.known |= {w: self.older[w] for w in again}
-        self.known |= self._of_words(sorted(fresh - again))
-        found = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
-        for w in fresh:
-            if len(w) > _LONG_WORD:
-                self.known.pop(w)
+        new = sorted(fresh - again)
+        tailed = []
+        if self.parts_tails:
+            cut = ((w, w.rstrip(_TAIL)) for w in new)
+            tailed = [(w, core, w[len(core) :]) for w, core in cut if core != w and core.isalpha() and (core.isascii() or normalize("NFC", core).lower().isalpha())]
+            rest = {c for _, *both in tailed for c in both}.union(new).difference([w for w, _, _ in tailed])
+            new = sorted(rest - self.known.keys())
+        alone = [w for w in new if self.mark is None or self.between in w]
+        self.known |= dict(zip(alone, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)), strict=True))
+        self.known |= self._joined([w for w in new if self.mark is not None and self.between not in w])
+        self.known |= {w: self.known[core] + self.known[tail] for w, core, tail in tailed}
+        found = list(map(self.known.__getitem__, words))
+        for w in (w for w in chain(new, (w for w, _, _ in tailed)) if len(w) > _LONG_WORD):
+            self.known.pop(w, None)
         return found
 
-    def _of_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """All words in one call, told apart by where their ids come from."""
+    def _joined(self, words: list[str]) -> dict[str, bytes]:
+        """Words encoded in one call, a special token between them."""
         if not words:
             return {}
-        text = [w.decode() for w in words]
-        e = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(t) + 1 for t in text)])[:-1]
-        owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids)), "right")
-        ends = 4 * np.cumsum(np.bincount(owner, minlength=len(words) + 1))
-        ids = np.array(e.ids, "<u4").tobytes()
-        return {w: ids[ends[k] : ends[k + 1]] for k, w in enumerate(words)}
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])
+        raw, low, high = ids.tobytes(), (4 * (cut[:-1] + 1)).tolist(), (4 * cut[1:]).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, low, high, strict=True)}
 
 
 @functools.lru_cache(maxsize=2)
@@ -141,11 +173,13 @@ class _Writer:
         self.path, self.percentile, self.out = path, percentile, fs.open_output_stream(place)
         self.blocks, self.ids, self.starts, self.waiting, self.held, self.tokens, self.size = [0], [], [0], [], 0, 0, 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
+        """One document, its ids in pieces."""
         self.ids.append(doc_id)
-        self.waiting.append(ids)
-        self.held += len(ids)
-        self.tokens += len(ids)
+        self.waiting += ids
+        n = sum(map(len, ids))
+        self.held += n
+        self.tokens += n
         self.starts.append(self.tokens)
         if self.held >= 256 * BLOCK:
             self._flush(self.held - self.held % BLOCK)
@@ -225,11 +259,11 @@ def _written(folder: str, tokenizer: str, by_words: bool, end_id: int, percentil
         part, made, writer = TaskContext.get().partitionId(), [], None
         for b in batches:
             for piece in (b.slice(at, _TEXTS) for at in range(0, b.num_rows, _TEXTS)):
-                ids = encode(piece.column("text").to_pylist())
-                for doc_id, own in zip(piece.column("doc_id").to_pylist(), ids, strict=True):
+                ids, sizes = encode(piece.column("text"))
+                for doc_id, own in zip(piece.column("doc_id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                     if writer is None:
                         writer = _Writer(f"{folder}/part-{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.ids", percentile)
-                    writer.add(doc_id, np.concatenate([own, end]))
+                    writer.add(doc_id, own, end)
                     if writer.tokens >= file_tokens:
                         made.append(writer.close())
                         writer = None
@@ -259,8 +293,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/tables/tokens-{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     partitions = max(1, -(-total // partition_bytes))
     ordered = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return kept(ordered.mapInArrow(_written(folder, tokenizer, by_words, end_id, percentile, file_tokens), _MANIFEST), "token-files")
