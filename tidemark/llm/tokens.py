@@ -36,8 +36,8 @@ from tidemark.llm.common import kept, shared_dir
 MAGIC, BLOCK = b"TIDEPFR1", 1024
 _HEAD, _TRAILER = struct.Struct("<IBH"), struct.Struct("<5QI8s")
 _MANIFEST = "part int, nth int, path string, documents long, tokens long, blocks long, bytes long"
-#: Words whose ids a task remembers, the longest that is remembered, and texts encoded in one go.
-_REMEMBERED, _LONG_WORD, _TEXTS = 600_000, 64, 4096
+#: Words whose ids a task remembers, the longest that is remembered, and bytes of text encoded in one go.
+_REMEMBERED, _LONG_WORD, _SLICE = 250_000, 64, 5 << 20
 #: A split that never lets letters and punctuation share a piece, as tokenizer files spell it, and
 #: punctuation that no contraction of that split holds.
 _LETTERS_APART, _TAIL = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -253,12 +253,22 @@ class TokenFile:
                 document += 1
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``_SLICE`` bytes of text, one at least."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _written(folder: str, tokenizer: str, by_words: bool, end_id: int, percentile: float, file_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(tokenizer, by_words), np.array([end_id], np.uint32)
         part, made, writer = TaskContext.get().partitionId(), [], None
         for b in batches:
-            for piece in (b.slice(at, _TEXTS) for at in range(0, b.num_rows, _TEXTS)):
+            for piece in _slices(b):
                 ids, sizes = encode(piece.column("text"))
                 for doc_id, own in zip(piece.column("doc_id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                     if writer is None:
