@@ -37,7 +37,7 @@ MAGIC, BLOCK = b"TIDEPFR1", 1024
 _HEAD, _TRAILER = struct.Struct("<IBH"), struct.Struct("<5QI8s")
 _MANIFEST = "part int, nth int, path string, documents long, tokens long, blocks long, bytes long"
 #: Words whose ids a task remembers, the longest that is remembered, and bytes of text encoded in one go.
-_REMEMBERED, _LONG_WORD, _SLICE = 250_000, 64, 5 << 20
+_REMEMBERED, _LONG_WORD, _SLICE = 600_000, 64, 4 << 20
 #: A split that never lets letters and punctuation share a piece, as tokenizer files spell it, and
 #: punctuation that no contraction of that split holds.
 _LETTERS_APART, _TAIL = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -82,26 +82,25 @@ class Encoder:
         return np.frombuffer(b"".join(table), "<u4")[place], np.diff(ends[offsets - offsets[0]])
 
     def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self.known) > _REMEMBERED:  # words not met since the last turn are forgotten
             self.known, self.older = {}, self.known
-        fresh = set(words) - self.known.keys()
-        again = fresh & self.older.keys()
-        self.known |= {w: self.older[w] for w in again}
-        new = sorted(fresh - again)
-        tailed = []
+        found = list(map(self.known.get, words))
+        fresh = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        more = {w: self.older[w] for w in fresh if w in self.older}
+        tailed, new = [], [w for w in fresh if w not in more]
         if self.parts_tails:
-            cut = ((w, w.rstrip(_TAIL)) for w in new)
-            tailed = [(w, core, w[len(core) :]) for w, core in cut if core != w and core.isalpha() and (core.isascii() or normalize("NFC", core).lower().isalpha())]
-            rest = {c for _, *both in tailed for c in both}.union(new).difference([w for w, _, _ in tailed])
-            new = sorted(rest - self.known.keys())
+            cores = [w.rstrip(_TAIL) for w in new]
+            tailed = [(w, c) for w, c in zip(new, cores, strict=True) if len(c) < len(w) and c.isalpha() and (c.isascii() or normalize("NFC", c).lower().isalpha())]
+            pieces = {c for _, c in tailed} | {w[len(c) :] for w, c in tailed} | set(new).difference(w for w, _ in tailed)
+            more |= {w: self.known[w] for w in pieces if w in self.known}
+            new = [w for w in pieces if w not in more]
         alone = [w for w in new if self.mark is None or self.between in w]
-        self.known |= dict(zip(alone, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)), strict=True))
-        self.known |= self._joined([w for w in new if self.mark is not None and self.between not in w])
-        self.known |= {w: self.known[core] + self.known[tail] for w, core, tail in tailed}
-        found = list(map(self.known.__getitem__, words))
-        for w in (w for w in chain(new, (w for w, _, _ in tailed)) if len(w) > _LONG_WORD):
-            self.known.pop(w, None)
-        return found
+        more |= dict(zip(alone, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)), strict=True))
+        more |= self._joined([w for w in new if self.between not in w] if self.mark is not None else [])
+        more |= {w: more[c] + more[w[len(c) :]] for w, c in tailed}
+        self.known |= {w: ids for w, ids in more.items() if len(w) <= _LONG_WORD}
+        return [more[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
 
     def _joined(self, words: list[str]) -> dict[str, bytes]:
         """Words encoded in one call, a special token between them."""
