@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.clock import AsOf
+from tidemark.operators.coverage import covered
 
 IN_FORCE, NO_RULE, NO_RECORD = "in-force", "no-rule-in-force", "no-record"
 
@@ -88,25 +89,10 @@ def coverage(rows: DataFrame, instants: Sequence[AsOf]) -> DataFrame:
     return coverage_of(rows, asked.select("valid_at", text.cast(stamp).alias("known_at")))
 
 
-def coverage_of(rows: DataFrame, instants: DataFrame, block: int = 100_000) -> DataFrame:
-    """``(valid_at, known_at, outcome)`` for each distinct pair of ``instants(valid_at, known_at)``.
-
-    Instants are broadcast in blocks of about ``block``, after their number is known; the rows are
-    scanned once a block and aggregated by instant before anything is shuffled.  Null instants get
-    no row.
-    """
-    once = instants.where("valid_at is not null and known_at is not null").distinct()
-    blocks = max(1, -(-once.count() // block))
-    known = holds(F.col("v.recorded_at"), F.col("v.recorded_until"), F.col("i.known_at"))
-    force = holds(F.col("v.valid_from"), F.col("v.valid_to"), F.col("i.valid_at"))
-    clocks = rows.select("valid_from", "valid_to", "recorded_at", "recorded_until")
-    found = None
-    for b in range(blocks):
-        part = once.where(F.pmod(F.xxhash64("valid_at", "known_at"), F.lit(blocks)) == b)
-        seen = clocks.alias("v").join(F.broadcast(part.alias("i")), known).groupBy("i.valid_at", "i.known_at").agg(F.bool_or(force).alias("force"))
-        found = seen if found is None else found.unionByName(seen)
-    outcome = F.when(F.col("force"), IN_FORCE).when(F.col("force").isNotNull(), NO_RULE).otherwise(NO_RECORD)
-    return once.join(found, ["valid_at", "known_at"], "left").select("valid_at", "known_at", outcome.alias("outcome"))
+def coverage_of(rows: DataFrame, instants: DataFrame) -> DataFrame:
+    """``(valid_at, known_at, outcome)`` for each distinct pair of ``instants(valid_at, known_at)``, by the sweep of ``covered``."""
+    outcome = F.when(F.col("force"), IN_FORCE).when(F.col("live"), NO_RULE).otherwise(NO_RECORD)
+    return covered(rows, instants).select("valid_at", "known_at", outcome.alias("outcome"))
 
 
 def retroactive_changes(rows: DataFrame, valid_at: AsOf, before: AsOf) -> DataFrame:

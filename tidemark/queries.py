@@ -180,6 +180,21 @@ def bt_coverage(spark, sf_dir):
     return temporal.coverage(versions(spark, sf_dir), [EARLY, AT, NEVER, LAPSED])
 
 
+INSTANTS_SQL = "SELECT DISTINCT ts::DATE + (event_id * 11 % 61 - 30)::INT AS valid_at, ts + to_hours((event_id % 37 - 18)::INT) AS known_at FROM events"
+
+
+@query(f"""WITH {VERSIONS_SQL}, instants AS ({INSTANTS_SQL}),
+known AS (SELECT DISTINCT valid_at, known_at FROM instants JOIN versions ON recorded_at <= known_at AND coalesce(recorded_until, TIMESTAMP '9999-12-31') > known_at),
+force AS (SELECT DISTINCT valid_at, known_at FROM instants JOIN versions ON recorded_at <= known_at AND coalesce(recorded_until, TIMESTAMP '9999-12-31') > known_at AND valid_from <= valid_at AND coalesce(valid_to, DATE '9999-12-31') > valid_at)
+SELECT i.valid_at, i.known_at, CASE WHEN f.known_at IS NOT NULL THEN 'in-force' WHEN k.known_at IS NOT NULL THEN 'no-rule-in-force' ELSE 'no-record' END AS outcome
+FROM instants i LEFT JOIN known k USING (valid_at, known_at) LEFT JOIN force f USING (valid_at, known_at)""", days=("valid_at",))
+def bt_coverage_many(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    day = F.date_add(F.col("ts").cast("date"), (F.col("event_id") * 11 % 61 - 30).cast("int"))
+    moment = F.timestamp_add("HOUR", (F.col("event_id") % 37 - 18).cast("int"), F.col("ts"))
+    return temporal.coverage_of(versions(spark, sf_dir), e.select(day.alias("valid_at"), moment.alias("known_at")))
+
+
 @query(f"WITH {VERSIONS_SQL} SELECT section_key, version_no, recorded_at, recorded_until, valid_from, valid_to, row_number() OVER (PARTITION BY section_key ORDER BY recorded_at, valid_from, version_no)::INT AS position FROM versions", days=("valid_from", "valid_to"))
 def bt_history(spark, sf_dir):
     order = Window.partitionBy("section_key").orderBy("recorded_at", "valid_from", "version_no")
