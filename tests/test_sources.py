@@ -72,18 +72,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert percent(1, 4) == "1/4 (25%)" and markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |"
 
 
-def test_ingest_refuses_what_breaks_a_constraint(spark, tmp_path):
-    from tidemark.plans.ingest import ingest, stored
-    from tidemark.sources.corpus import parse_documents
-
-    doc = lambda k, start: f'---\nid: "{k}"\nkind: base\ntitle: t\neffective_from: {start}\nrecorded_at: 2031-01-0{k}T00:00:00\nsections:\n  - section: s\n    text: rule {k}\n---\nx'
-    docs = lambda *texts: parse_documents(spark.createDataFrame([(t,) for t in texts], "content string"))
-    assert ingest(spark, docs(doc(1, "2031-01-01"), doc(1, "2031-01-01")), f"{tmp_path}/s") == 1
-    with pytest.raises(ValueError, match="overlap"):
-        ingest(spark, docs(doc(2, "2031-02-01")), f"{tmp_path}/s")
-    assert stored(spark, f"{tmp_path}/s/documents").count() == 1
-
-
 def test_plan_text_elides_vectors(spark):
     from tidemark.functions.vectors import literal
     from tidemark.plans.dump import plan_text

@@ -16,7 +16,7 @@ from tidemark.clock import AsOf
 from tidemark.operators import temporal
 from tidemark.plans import ask as plan
 from tidemark.plans.gate import replayed
-from tidemark.plans.ingest import ingest, stored, versions_of
+from tidemark.plans.ingest import documents_of, ingest, stored, versions_of
 from tidemark.plans.replay import replay
 from tidemark.ship import ship
 from tidemark.sources.corpus import append, read_documents
@@ -51,7 +51,7 @@ def answer(spark: SparkSession, store: str, question: str, now: datetime, valid_
     asked = spark.createDataFrame([(key, question, question, valid_at, known_at)], "question_id string, question string, text string, valid_at date, known_at timestamp")
     vector = embed(asked.select(F.col("question_id").alias("text_sha"), "text"), MODEL, SIZE).select(F.col("text_sha").alias("question_id"), "embedding")
     at = F.lit(now).cast("timestamp")
-    found = plan.ask(asked.drop("text").join(vector, "question_id"), spark.read.parquet(f"{store}/index"), spark.read.parquet(f"{store}/documents"), at, plan.Options(floor=floor))
+    found = plan.ask(asked.drop("text").join(vector, "question_id"), spark.read.parquet(f"{store}/index"), documents_of(spark, store), at, plan.Options(floor=floor))
     append(found, f"{store}/asked/{key}")
     found = spark.read.parquet(f"{store}/asked/{key}")
     if not (known := stored(spark, f"{store}/answers")) or not known.where(F.col("question_id") == key).count():

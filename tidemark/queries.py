@@ -15,7 +15,7 @@ from tidemark.operators import constraints, retrieval, scoring, temporal
 from tidemark.operators.versions import KINDS, ingest_new, rebuild_versions
 from tidemark.plans import ask as plan
 from tidemark.plans import gate
-from tidemark.plans.ingest import violations
+from tidemark.plans.ingest import refolded, violations
 from tidemark.plans.replay import replay
 from tidemark.ship import ship
 from tidemark.sources import derived
@@ -625,10 +625,46 @@ def ingest_only_new(spark, sf_dir):
     return ingest_new(d.where("n % 3 = 0"), d.unionByName(d)).select("document_id", "content_hash", document_uid(F.col("content_hash")).alias("document_uid"))
 
 
-@query(f"""WITH {VERSIONS_SQL} SELECT unnest(['overlap', 'interval', 'version_no_unique', 'version_id_unique', 'content_unique', 'kind_known', 'document_exists', 'superseded_exists']) AS constraint_name, 0::BIGINT AS violations""")
+def _faulty(v: DataFrame) -> DataFrame:
+    """Versions with every fault a constraint is there for: empty ranges, references to nothing, overlapping copies, numbers taken twice."""
+    closed, no = F.col("recorded_until").isNotNull(), F.col("version_no")
+    v = v.withColumns({
+        "recorded_until": F.when(closed & (no % 11 == 3), F.col("recorded_at")).otherwise(F.col("recorded_until")),
+        "supersedes": F.when(no % 13 == 5, F.concat(F.lit("gone@v"), no)).otherwise(F.col("supersedes")),
+    })
+    twice = v.where(F.col("recorded_until").isNotNull() & (no % 17 == 4)).withColumn("recorded_until", F.col("recorded_at"))
+    return _with_faults(v).unionByName(twice)
+
+
+@query(f"""WITH {VERSIONS_SQL}, spoilt AS (SELECT * REPLACE (CASE WHEN recorded_until IS NOT NULL AND version_no % 11 = 3 THEN recorded_at ELSE recorded_until END AS recorded_until,
+  CASE WHEN version_no % 13 = 5 THEN 'gone@v' || version_no ELSE supersedes END AS supersedes) FROM versions),
+v AS (SELECT * FROM spoilt UNION ALL SELECT * REPLACE (recorded_at + INTERVAL 1 SECOND AS recorded_at, version_no + 1000000 AS version_no) FROM spoilt WHERE recorded_until IS NULL AND version_no % 5 = 0
+  UNION ALL SELECT * REPLACE (recorded_at AS recorded_until) FROM spoilt WHERE recorded_until IS NOT NULL AND version_no % 17 = 4),
+full_ranges AS (SELECT * FROM v WHERE valid_from < coalesce(valid_to, DATE '9999-12-31') AND recorded_at < coalesce(recorded_until, TIMESTAMP '9999-12-31')),
+d AS (SELECT document_id, CASE WHEN n % 97 = 0 THEN 'memo' ELSE kind END AS kind, sha256(text) AS content_hash FROM log WHERE n % 89 <> 0 UNION ALL SELECT document_id || '-copy', kind, sha256(text) FROM log WHERE n % 31 = 0)
+SELECT 'overlap' AS constraint_name, count(*) AS violations FROM (SELECT DISTINCT b.section_key, b.version_no FROM full_ranges a JOIN full_ranges b ON a.section_key = b.section_key AND (a.recorded_at, a.version_no) < (b.recorded_at, b.version_no)
+  AND a.valid_from < coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from < coalesce(a.valid_to, DATE '9999-12-31')
+  AND a.recorded_at < coalesce(b.recorded_until, TIMESTAMP '9999-12-31') AND b.recorded_at < coalesce(a.recorded_until, TIMESTAMP '9999-12-31'))
+UNION ALL SELECT 'interval', count(*) FROM v WHERE valid_to <= valid_from OR recorded_until <= recorded_at
+UNION ALL SELECT 'version_no_unique', count(*) FROM (SELECT 1 FROM v GROUP BY section_key, version_no HAVING count(*) > 1)
+UNION ALL SELECT 'version_id_unique', count(*) FROM (SELECT 1 FROM v GROUP BY version_id HAVING count(*) > 1)
+UNION ALL SELECT 'content_unique', count(*) FROM (SELECT 1 FROM d GROUP BY content_hash HAVING count(*) > 1)
+UNION ALL SELECT 'kind_known', count(*) FROM d WHERE kind NOT IN ('base', 'amendment', 'correction')
+UNION ALL SELECT 'document_exists', count(*) FROM v WHERE document_id NOT IN (SELECT document_id FROM d)
+UNION ALL SELECT 'superseded_exists', count(*) FROM v WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT version_id FROM v)""")
 def ingest_violations(spark, sf_dir):
-    d = derived.event_documents(spark, sf_dir)
-    return violations(versions(spark, sf_dir), d.select(F.col("document_id").alias("doc_id"), "kind", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")))
+    d = derived.event_documents(spark, sf_dir).select("n", F.col("document_id").alias("doc_id"), "kind", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    kept = d.where("n % 89 <> 0").withColumn("kind", F.when(F.col("n") % 97 == 0, "memo").otherwise(F.col("kind")))
+    copies = d.where("n % 31 = 0").withColumn("doc_id", F.concat("doc_id", F.lit("-copy")))
+    return violations(_faulty(versions(spark, sf_dir)), kept.unionByName(copies))
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT section_key, version_no, text, valid_from, valid_to, recorded_at, recorded_until, document_id, supersedes FROM versions", days=("valid_from", "valid_to"))
+def ingest_refolded(spark, sf_dir):
+    log = derived.event_log(spark, sf_dir)
+    late = F.col("document_id").cast("long") % 1000 == 7
+    old = log.where(~late)
+    return refolded(rebuild_versions(old), old, log.where(late)).drop("version_id")
 
 
 @query(f"""WITH {LOG_SQL} SELECT document_id || ':' || section_key AS chunk_id, section_key, CASE WHEN kind = 'base' THEN text ELSE 'Event ' || document_id || chr(10) || 'Noted as ' || text || '.' END AS text, document_id
