@@ -13,41 +13,75 @@ from pyspark.sql import functions as F
 _FAR = 1 << 62
 
 
+class Live:
+    """Accepted rows of a section that are on record, disjoint in validity, by when they leave."""
+
+    def __init__(self) -> None:
+        self.ranges: list[tuple[int, int]] = []
+        self.ends: list[tuple[int, int, int]] = []
+
+    def advance(self, t: int) -> None:
+        """Forget what left by ``t``."""
+        while self.ends and self.ends[0][0] <= t:
+            gone = heapq.heappop(self.ends)[1:]
+            self.ranges.pop(bisect_left(self.ranges, gone))
+
+    def clashes(self, start: int, end: int) -> bool:
+        at = bisect_left(self.ranges, (start, end))
+        return any(r[0] < end and start < r[1] for r in self.ranges[max(0, at - 1) : at + 1])
+
+    def add(self, start: int, end: int, until: int) -> None:
+        insort(self.ranges, (start, end))
+        heapq.heappush(self.ends, (until, start, end))
+
+
+_INTS = {"valid_from": pa.int32(), "valid_to": pa.int32(), "recorded_at": pa.int64(), "recorded_until": pa.int64()}
+
+
+def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch, clocks as integers."""
+    return zip(*((b.column(n).cast(_INTS[n]) if n in _INTS else b.column(n)).to_pylist() for n in b.schema.names), strict=True)
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, live, ends = None, [], []
+    key, live = None, Live()
     for b in batches:
         refused = []
-        ints = {"valid_from": pa.int32(), "valid_to": pa.int32(), "recorded_at": pa.int64(), "recorded_until": pa.int64()}
-        rows = zip(*((b.column(n).cast(ints[n]) if n in ints else b.column(n)).to_pylist() for n in b.schema.names), strict=True)
-        for section, version, start, end, t, until in rows:
+        for section, version, start, end, t, until in rows_of(b):
             if section != key:
-                key, live, ends = section, [], []
+                key, live = section, Live()
             end, until = (_FAR if x is None else x for x in (end, until))
-            while ends and ends[0][0] <= t:
-                gone = heapq.heappop(ends)[1:]
-                live.pop(bisect_left(live, gone))
+            live.advance(t)
             if start is None or start >= end or t >= until:
                 continue  # an empty range overlaps nothing; the interval check reports it
-            at = bisect_left(live, (start, end))
-            clash = [r for r in live[max(0, at - 1) : at + 1] if r[0] < end and start < r[1]]
-            if clash:
+            if live.clashes(start, end):
                 refused.append((section, version))
             else:
-                insort(live, (start, end))
-                heapq.heappush(ends, (until, start, end))
+                live.add(start, end, until)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in refused], pa.string()), pa.array([v for _, v in refused], pa.int32())], names=["section_key", "version_no"])
 
 
-def overlaps(versions: DataFrame) -> DataFrame:
+def overlaps(versions: DataFrame, hot: int | None = None) -> DataFrame:
     """``(section_key, version_no)`` that an exclusion constraint on both ranges would refuse.
 
     Rows come in order of recording; one that overlaps an accepted row of its section on both clocks
     is refused, an overlap on one clock is fine.  Accepted rows of a moment are disjoint, so a sorted
     list of them and a look at the neighbours decide: a sweep instead of a self-join of pairs.
+
+    A section is swept by one task; with ``hot``, sections of more rows than that are swept in slabs
+    of recorded time by many, see ``hotoverlap``, with the same rows.
     """
     cols = versions.select(F.col("section_key").cast("string").alias("section_key"), F.col("version_no").cast("int").alias("version_no"), "valid_from", "valid_to", "recorded_at", "recorded_until")
-    ordered = cols.repartition("section_key").sortWithinPartitions("section_key", "recorded_at", "version_no")
-    return ordered.mapInArrow(_sweep, "section_key string, version_no int")
+    large = {}
+    if hot is not None:
+        from tidemark.operators.hotoverlap import overlaps_hot
+
+        counts = cols.groupBy("section_key").count().where(F.col("count") > hot)
+        large = {r["section_key"]: r["count"] for r in counts.collect()}  # at most one in ``hot`` rows
+    apart = F.coalesce(F.col("section_key").isin([k for k in large if k is not None]), F.lit(None in large))
+    ordered = (cols.where(~apart) if large else cols).repartition("section_key").sortWithinPartitions("section_key", "recorded_at", "version_no")
+    out = ordered.mapInArrow(_sweep, "section_key string, version_no int")
+    return out.unionByName(overlaps_hot(cols.where(apart), large, hot)) if large else out
 
 
 def bad_intervals(versions: DataFrame) -> DataFrame:

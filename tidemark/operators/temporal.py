@@ -101,8 +101,21 @@ def retroactive_changes(rows: DataFrame, valid_at: AsOf, before: AsOf) -> DataFr
     return read(valid_at).exceptAll(read(before))
 
 
-def as_of_join(facts: DataFrame, versions: DataFrame, key: str, day: str, known: str) -> DataFrame:
-    """Facts with the version of their key that held on their day as known at their moment: an interval join on the key."""
-    f, v = facts.alias("f"), versions.alias("v")
+def as_of_join(facts: DataFrame, versions: DataFrame, key: str, day: str, known: str, hot: int | None = None) -> DataFrame:
+    """Facts with the version of their key that held on their day as known at their moment: an interval join on the key.
+
+    With ``hot``, keys of more facts than that are not joined but swept in slabs by many tasks, see
+    ``hotasof``, with the same rows as long as versions of a key never overlap on both clocks.
+    """
+    large = {}
+    if hot is not None:
+        from tidemark.operators.hotasof import join_hot
+
+        counts = facts.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot)
+        large = {r[key]: r["count"] for r in counts.collect()}  # at most one in ``hot`` facts
+    apart = F.coalesce(F.col(key).isin(list(large)), F.lit(False))
+    f, v = ((facts.where(~apart), versions.where(~apart)) if large else (facts, versions))
+    f, v = f.alias("f"), v.alias("v")
     on = (F.col(f"f.{key}") == F.col(f"v.{key}")) & holds(F.col("v.valid_from"), F.col("v.valid_to"), F.col(f"f.{day}")) & holds(F.col("v.recorded_at"), F.col("v.recorded_until"), F.col(f"f.{known}"))
-    return f.join(v, on).select("f.*", *(F.col(f"v.{c}").alias(c) for c in versions.columns if c not in facts.columns))
+    out = f.join(v, on).select("f.*", *(F.col(f"v.{c}").alias(c) for c in versions.columns if c not in facts.columns))
+    return out.unionByName(join_hot(facts.where(apart), versions.where(apart), key, day, known, large, hot)) if large else out

@@ -27,9 +27,15 @@ class _Section:
     def __init__(self, key: str) -> None:
         self.key, self.rows, self.count, self.document = key, [], 0, None
 
-    def add(self, row: list) -> None:
+    def number(self) -> object:
         self.count += 1
-        row[0] = self.count
+        return self.count
+
+    def name(self, row: list) -> object:
+        return f"{self.key}@v{row[0]}"
+
+    def add(self, row: list) -> None:
+        row[0] = self.number()
         at = len(self.rows)
         while at and self.rows[at - 1][2] > row[2]:
             at -= 1
@@ -47,7 +53,7 @@ class _Section:
             closed = self.close(len(self.rows) - at, t, out)
             for r in closed:
                 if r[2] <= start:
-                    supersedes = f"{self.key}@v{r[0]}"
+                    supersedes = self.name(r)
                 if r[2] < start:  # what it still covers is recorded anew, with its own source
                     self.add([0, r[1], r[2], start, t, r[5], None])
         self.add([0, text, start, end, t, document, supersedes])
@@ -91,7 +97,7 @@ def _given(name: str, kind: str) -> Column:
     return F.coalesce(F.col(name), F.raise_error(F.lit(f"{name} is null in the log")).cast(kind)).alias(name)
 
 
-def rebuild_versions(log: DataFrame) -> DataFrame:
+def rebuild_versions(log: DataFrame, hot: int | None = None) -> DataFrame:
     """Clause versions with both clocks from a log of clauses (columns ``LOG``).
 
     * ``base`` clauses start a section; nothing is closed.
@@ -104,12 +110,26 @@ def rebuild_versions(log: DataFrame) -> DataFrame:
     version an amendment replaces at its start.  Equal times of one section are taken in order of
     document_id.  A null section is a section of its own; a null ``valid_from`` or
     ``recorded_at`` is an error; an empty log gives no versions.
+
+    A section is folded by one task; with ``hot``, sections of more clauses than that are cut into
+    spans of time of about ``hot`` clauses and folded by many, see ``hotfold``, with the same rows.
     """
     stamp = log.schema["recorded_at"].dataType.simpleString()
     schema = f"section_key string, version_no int, text string, valid_from date, valid_to date, recorded_at {stamp}, recorded_until {stamp}, document_id string, supersedes string"
     typed = log.select(F.col("section_key").cast("string"), "kind", "recorded_at", F.col("document_id").cast("string"), F.col("clause_no").cast("int"), "text", _given("valid_from", "date"), "valid_to").withColumn("recorded_at", _given("recorded_at", stamp))
-    ordered = typed.repartition("section_key").sortWithinPartitions("section_key", "recorded_at", "document_id", "clause_no")
-    return ordered.mapInArrow(_fold, schema).withColumn("version_id", F.concat("section_key", F.lit("@v"), "version_no"))
+    large = {}
+    if hot is not None:
+        from tidemark.operators.hotfold import fold_hot
+
+        counts = typed.groupBy("section_key").count().where(F.col("count") > hot)
+        large = {r["section_key"]: r["count"] for r in counts.collect()}  # at most one in ``hot`` clauses
+    apart = F.coalesce(F.col("section_key").isin([k for k in large if k is not None]), F.lit(None in large))
+    cold = typed.where(~apart) if large else typed
+    ordered = cold.repartition("section_key").sortWithinPartitions("section_key", "recorded_at", "document_id", "clause_no")
+    out = ordered.mapInArrow(_fold, schema)
+    if large:
+        out = out.unionByName(fold_hot(typed.where(apart), large, hot))
+    return out.withColumn("version_id", F.concat("section_key", F.lit("@v"), "version_no"))
 
 
 def ingest_new(log: DataFrame, documents: DataFrame, content_hash: str = "content_hash") -> DataFrame:

@@ -21,6 +21,10 @@ from tidemark.sources import files
 from tidemark.sources.corpus import clause_log
 
 
+#: Clauses of a section, and versions of one, beyond which many tasks share it.
+HOT = 2_000_000
+
+
 class StaleStore(RuntimeError):
     """Another writer committed first; nothing of this one's is in the store."""
 
@@ -63,10 +67,10 @@ def bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def violations(versions: DataFrame, documents: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def violations(versions: DataFrame, documents: DataFrame, sources: DataFrame | None = None, hot: int | None = None) -> DataFrame:
     """``(constraint_name, violations)`` of a store, every constraint one row; ``sources(doc_id)`` are the documents versions may come from."""
     return constraints.counted(
-        overlap=constraints.overlaps(versions),
+        overlap=constraints.overlaps(versions, hot),
         interval=constraints.bad_intervals(versions),
         version_no_unique=constraints.duplicates(versions, "section_key", "version_no"),
         version_id_unique=constraints.duplicates(versions, "version_id"),
@@ -126,7 +130,7 @@ def prepare(spark: SparkSession, documents: DataFrame, store: str, buckets: int
         keyed.write.partitionBy("bucket").parquet(f"{path}/log")
         touched = sorted(int(n.split("=")[1]) for n in files.names(spark, f"{path}/log") if n.startswith("bucket="))
         log = _tables(spark, store, (*base.log, f"{own}/log")).where(F.col("bucket").isin(touched))
-        folded = rebuild_versions(log.drop("bucket")).withColumn("bucket", bucket(F.col("section_key"), base.buckets))
+        folded = rebuild_versions(log.drop("bucket"), HOT).withColumn("bucket", bucket(F.col("section_key"), base.buckets))
         folded.repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").parquet(f"{path}/versions")
         now = spark.read.schema(folded.schema).parquet(f"{path}/versions")
         before = [base.versions[str(b)] for b in touched if str(b) in base.versions]
@@ -134,7 +138,7 @@ def prepare(spark: SparkSession, documents: DataFrame, store: str, buckets: int
         if before:
             sources = sources.unionByName(_tables(spark, store, before).select(F.col("document_id").alias("doc_id")))
         documents_now = new if held is None else new.unionByName(held.select(*new.columns))
-        broken = [f"{r['constraint_name']} ({r['violations']})" for r in violations(now, documents_now, sources).where("violations > 0").collect()]
+        broken = [f"{r['constraint_name']} ({r['violations']})" for r in violations(now, documents_now, sources, HOT).where("violations > 0").collect()]
         if broken:
             raise ValueError("the documents would break: " + ", ".join(sorted(broken)))
         made = {n.split("=")[1]: f"{own}/versions/{n}" for n in files.names(spark, f"{path}/versions") if n.startswith("bucket=")}

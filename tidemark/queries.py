@@ -268,15 +268,34 @@ def bt_constraints(spark, sf_dir):
 facts AS (SELECT o_custkey, l_orderkey, l_linenumber, l_shipdate::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT h.o_orderpriority, count(*) AS items, count(*) FILTER (h.o_orderkey = f.l_orderkey) AS own_order FROM facts f JOIN history h ON f.o_custkey = h.o_custkey AND h.valid_from <= f.day AND (h.valid_to IS NULL OR h.valid_to > f.day) GROUP BY 1""")
 def orders_asof_customer(spark, sf_dir):
+    return _orders_asof(spark, sf_dir, None)
+
+
+def _orders_asof(spark, sf_dir, hot):
     day = F.col("o_orderdate").cast("date")
     order = Window.partitionBy("o_custkey").orderBy(day, "o_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
     history = orders.select("o_custkey", "o_orderkey", "o_orderpriority", day.alias("valid_from"), F.lead(day).over(order).alias("valid_to"), F.lit(0).alias("recorded_at"), F.lit(None).cast("int").alias("recorded_until"))
     facts = table(spark, sf_dir, "lineitem").join(orders.select("o_custkey", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("o_custkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"), F.lit(0).alias("known"))
-    joined = temporal.as_of_join(facts, history, "o_custkey", "day", "known")
+    joined = temporal.as_of_join(facts, history, "o_custkey", "day", "known", hot)
     return joined.groupBy("o_orderpriority").agg(F.count("*").alias("items"), F.count_if(F.col("o_orderkey") == F.col("l_orderkey")).alias("own_order"))
 
 
+@query(SQL["orders_asof_customer"])
+def orders_asof_hot(spark, sf_dir):
+    return _orders_asof(spark, sf_dir, 80)
+
+
+@query(SQL["bt_rebuild_versions"], days=("valid_from", "valid_to"))
+def bt_rebuild_hot(spark, sf_dir):
+    return rebuild_versions(derived.event_log(spark, sf_dir), hot=40)
+
+
+@query(SQL["bt_overlaps"])
+def bt_overlaps_hot(spark, sf_dir):
+    return constraints.overlaps(_with_faults(versions(spark, sf_dir)), hot=60)
+
+
 def _probe(spark, sf_dir) -> Column:
     return literal(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == PROBE).first()["embedding"])
 
