@@ -2,7 +2,7 @@
 
 The clocks lie on the chunk, so the predicate is pushed into the scan and distances are computed for
 surviving rows only.  One question is an ordinary ``orderBy(...).limit(k)``; a batch of questions is
-scanned against the chunks in one pass, every Arrow batch returning only its own ``k`` best.
+scanned against the chunks in one pass, every task returning only its own ``k`` best.
 """
 
 from __future__ import annotations
@@ -65,37 +65,71 @@ def _matrix(c: pa.Array) -> np.ndarray:
     return flat.reshape(len(c), -1)
 
 
-def _scan(shared: Broadcast, scope: str, k: int):
+#: Distances computed at a time, and bytes of question vectors that a scan of the chunks holds.
+_TILE, _RESIDENT = 4_000_000, 256 << 20
+
+
+class _Best:
+    """The ``k`` nearest of each question of a block so far, sorted by question, distance and id."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k, self.kth = k, np.full(questions, np.inf)
+        self.own, self.distance, self.ids = np.empty(0, np.int64), np.empty(0), None
+
+    def merge(self, own: list[np.ndarray], distance: list[np.ndarray], ids: list[np.ndarray]) -> None:
+        if self.ids is not None:
+            own, distance, ids = [self.own, *own], [self.distance, *distance], [self.ids, *ids]
+        own, distance, ids = (np.concatenate(c) for c in (own, distance, ids))
+        order = np.lexsort((ids, distance, own))
+        own, distance, ids = own[order], distance[order], ids[order]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        rank = np.arange(len(own)) - np.repeat(starts, np.diff([*starts, len(own)]))
+        best = rank < self.k
+        self.own, self.distance, self.ids = own[best], distance[best], ids[best]
+        last = np.flatnonzero(rank == self.k - 1)
+        self.kth[own[last]] = distance[last]
+
+
+def _scan(shared: list[Broadcast], scope: str, k: int):
+    """A task's ``k`` nearest of every question of all blocks, one row each, after its last batch."""
+
+    def distances(q: dict, rows: pa.RecordBatch, x: np.ndarray) -> np.ndarray:
+        size = q["norms"][:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+        cos = np.divide(q["vectors"] @ x.T, size, out=np.zeros_like(size), where=size > 0)
+        dist = np.round(1 - cos, 6) + 0.0  # no negative zero
+        if scope in ("as_of", "one_clock"):
+            start, end = _days(rows.column("valid_from"), _OPEN), _days(rows.column("valid_to"), _OPEN)
+            dist[(start[None, :] > q["days"][:, None]) | (end[None, :] <= q["days"][:, None])] = np.inf
+        if scope in ("as_of", "believed"):
+            start, end = _days(rows.column("recorded_at"), _OPEN), _days(rows.column("recorded_until"), _OPEN)
+            dist[(start[None, :] > q["moments"][:, None]) | (end[None, :] <= q["moments"][:, None])] = np.inf
+        if scope == "one_clock":
+            dist[:, ~rows.column("recorded_until").is_null().to_numpy(zero_copy_only=False)] = np.inf
+        return dist
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
+        best = [_Best(len(b.value["norms"]), k) for b in shared]
+        kind = None
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column("embedding"))
-            if x.shape[1] != q["vectors"].shape[1]:
-                raise ValueError(f"chunks have {x.shape[1]} dimensions, questions {q['vectors'].shape[1]}")
-            size = np.sqrt((x * x).sum(axis=1))[:, None] * q["norms"][None, :]
-            cos = np.divide(x @ q["vectors"].T, size, out=np.zeros_like(size), where=size > 0)
-            dist = np.round(1 - cos, 6) + 0.0  # no negative zero
+            x, kind = _matrix(b.column("embedding")), b.schema.field("chunk_id").type
             ids = b.column("chunk_id").to_numpy(zero_copy_only=False)
-            ok = np.ones_like(dist, bool)
-            if scope in ("as_of", "one_clock"):
-                start, end = _days(b.column("valid_from"), _OPEN), _days(b.column("valid_to"), _OPEN)
-                ok &= (start[:, None] <= q["days"]) & (end[:, None] > q["days"])
-            if scope in ("as_of", "believed"):
-                start, end = _days(b.column("recorded_at"), _OPEN), _days(b.column("recorded_until"), _OPEN)
-                ok &= (start[:, None] <= q["moments"]) & (end[:, None] > q["moments"])
-            if scope == "one_clock":
-                ok &= b.column("recorded_until").is_null().to_numpy(zero_copy_only=False)[:, None]
-            found = []
-            for j in range(dist.shape[1]):
-                at = np.flatnonzero(ok[:, j])
-                if len(at) > k:  # all that tie with the k-th, then the smaller ids
-                    at = at[dist[at, j] <= np.partition(dist[at, j], k - 1)[k - 1]]
-                found.append((j, at[np.lexsort((ids[at], dist[at, j]))][:k]))
-            own = np.concatenate([np.full(len(at), j) for j, at in found])
-            at = np.concatenate([at for _, at in found])
-            yield pa.RecordBatch.from_arrays([pa.array(q["ids"]).take(pa.array(own)), b.column("chunk_id").take(pa.array(at)), pa.array(dist[at, own])], names=["question_id", "chunk_id", "distance"])
+            for q, top in zip((s.value for s in shared), best, strict=True):
+                if x.shape[1] != q["vectors"].shape[1]:
+                    raise ValueError(f"chunks have {x.shape[1]} dimensions, questions {q['vectors'].shape[1]}")
+                step = max(k, _TILE // len(q["norms"]))
+                found: tuple[list, list, list] = [], [], []
+                for at in range(0, b.num_rows, step):
+                    dist = distances(q, b.slice(at, step), x[at : at + step])
+                    limit = top.kth if dist.shape[1] <= k else np.minimum(top.kth, np.partition(dist, k - 1, axis=1)[:, k - 1])
+                    own, near = np.nonzero((dist <= limit[:, None]) & (dist < np.inf))
+                    for held, new in zip(found, (own, dist[own, near], ids[at + near]), strict=True):
+                        held.append(new)
+                top.merge(*found)
+        for q, top in zip((s.value for s in shared), best, strict=True):
+            if top.ids is not None and len(top.own):
+                yield pa.RecordBatch.from_arrays([q["ids"].take(pa.array(top.own)), pa.array(top.ids, kind), pa.array(top.distance)], names=["question_id", "chunk_id", "distance"])
 
     return scan
 
@@ -115,14 +149,16 @@ def _possible(rows: DataFrame, asked: pa.Table, scope: str, stamp: str) -> DataF
     return rows.where(F.col("recorded_until").isNull()) if scope == "one_clock" else rows
 
 
-def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: str = "as_of", block: int = 4096) -> DataFrame:
+def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: str = "as_of", block: int = 4096, resident: int = _RESIDENT) -> DataFrame:
     """``question_id, rank, chunk_id, distance``: the ``k`` nearest chunks of every question.
 
     ``questions`` has ``question_id, embedding, valid_at, known_at``.  They are broadcast in blocks
-    of at most ``block``, one scan of the chunks a block; a scan multiplies the block with each
-    Arrow batch and keeps ``k`` rows a question, which a window then merges.  The span of the
-    block's instants is pushed into the scan.  Null vectors are left out, and questions without an
-    instant where the scope needs one; vectors of another size are an error.
+    of at most ``block``; one scan of the chunks multiplies all blocks with each Arrow batch, tile by
+    tile, and a task returns ``k`` rows a question, however many batches it saw, which a window then
+    merges.  Only where the vectors take more than ``resident`` bytes is there another scan for each
+    such part of them.  The span of the questions' instants is pushed into the scan.  Null vectors
+    are left out, and questions without an instant where the scope needs one; vectors of another
+    size are an error; ties go to the smaller chunk_id.
     """
     if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope!r}")
@@ -136,23 +172,37 @@ def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: st
         questions = questions.where(F.col(c).isNotNull())
     wanted = questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding", *(c if c in questions.columns else F.lit(None).cast("date" if c == "valid_at" else stamp).alias(c) for c in ("valid_at", "known_at")))
     typed = wanted.select("question_id", doubles(F.col("embedding")).alias("embedding"), "valid_at", F.col("known_at").cast(stamp).alias("known_at"))
-    whole = typed.limit(block + 1).toArrow()
-    if len(whole) <= block:
-        blocks = iter([whole.sort_by("question_id")])
-    else:
-        parts = -(-2 * typed.count() // block)  # half full on average: hashing is uneven
-        part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
-        blocks = (typed.where(part == k).orderBy("question_id").toArrow() for k in range(parts))
     out = None
-    for t in blocks:
-        if not len(t):
-            continue
-        t = t.combine_chunks()
-        vectors = _matrix(t["embedding"].chunk(0))
-        shared = spark.sparkContext.broadcast({"ids": t["question_id"].chunk(0), "vectors": vectors, "norms": np.sqrt((vectors * vectors).sum(axis=1)), "days": _days(t["valid_at"].chunk(0), 0), "moments": _days(t["known_at"].chunk(0), 0)})
+    for t in _resident(typed, block, resident):
+        shared = [spark.sparkContext.broadcast(_block(t.slice(at, block).combine_chunks())) for at in range(0, len(t), block)]
         found = _possible(rows, t, scope, stamp).mapInArrow(_scan(shared, scope, k), ", ".join([*kinds, "distance double"]))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], ", ".join([kinds[0], "rank int", kinds[1], "distance double"]))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "distance")
+
+
+def _resident(questions: DataFrame, block: int, resident: int) -> Iterator[pa.Table]:
+    """The questions, sorted by id, in parts whose vectors take at most ``resident`` bytes; a first job tells how many there are."""
+    first = questions.limit(block + 1).toArrow()
+    if not len(first):
+        return
+    most = max(1, resident // max(1, 8 * len(first["embedding"][0])))
+    if len(first) <= min(block, most):
+        yield first.sort_by("question_id")
+        return
+    parts = -(-questions.count() // most)
+    if parts == 1:
+        yield questions.toArrow().sort_by("question_id")
+        return
+    parts *= 2  # half full on average: hashing is uneven
+    for k in range(parts):
+        t = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == k).orderBy("question_id").toArrow()
+        if len(t):
+            yield t
+
+
+def _block(t: pa.Table) -> dict:
+    vectors = _matrix(t["embedding"].chunk(0))
+    return {"ids": t["question_id"].chunk(0), "vectors": vectors, "norms": np.sqrt((vectors * vectors).sum(axis=1)), "days": _days(t["valid_at"].chunk(0), 0), "moments": _days(t["known_at"].chunk(0), 0)}
