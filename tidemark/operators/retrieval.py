@@ -206,3 +206,112 @@ def _resident(questions: DataFrame, block: int, resident: int) -> Iterator[pa.Ta
 def _block(t: pa.Table) -> dict:
     vectors = _matrix(t["embedding"].chunk(0))
     return {"ids": t["question_id"].chunk(0), "vectors": vectors, "norms": np.sqrt((vectors * vectors).sum(axis=1)), "days": _days(t["valid_at"].chunk(0), 0), "moments": _days(t["known_at"].chunk(0), 0)}
+
+
+def _extremes(shared: list[Broadcast]):
+    """A task's two best, worst and count of similarities of each question within its section."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = [np.tile(np.array([[-np.inf], [-np.inf], [np.inf], [0.0]]), len(s.value["norms"])) for s in shared]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("embedding"))
+            coded = b.column("section_key").dictionary_encode()
+            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for c, section in enumerate(coded.dictionary.to_pylist()):
+                rows = x[code == c]
+                for q, top in zip((s.value for s in shared), state, strict=True):
+                    at = q["of"].get(section)
+                    if at is None:
+                        continue
+                    if rows.shape[1] != q["vectors"].shape[1]:
+                        raise ValueError(f"chunks have {rows.shape[1]} dimensions, questions {q['vectors'].shape[1]}")
+                    step = max(2, _TILE // len(at))
+                    for part in (rows[k : k + step] for k in range(0, len(rows), step)):
+                        size = q["norms"][at][:, None] * np.sqrt((part * part).sum(axis=1))[None, :]
+                        cos = np.divide(q["vectors"][at] @ part.T, size, out=np.zeros_like(size), where=size > 0)
+                        near = 1 - np.round(1 - cos, 6)
+                        both = np.concatenate([top[:2, at].T, near if near.shape[1] < 3 else np.partition(near, -2, axis=1)[:, -2:]], axis=1)
+                        top[:2, at] = np.sort(both, axis=1)[:, :-3:-1].T
+                        top[2, at] = np.minimum(top[2, at], near.min(axis=1))
+                        top[3, at] += near.shape[1]
+        for q, top in zip((s.value for s in shared), state, strict=True):
+            seen = np.flatnonzero(top[3] > 0)
+            best = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * 2, pa.int32()), pa.array(top[:2, seen].T.ravel()))
+            place = pa.array(seen)
+            yield pa.RecordBatch.from_arrays([q["ids"].take(place), q["sections"].take(place), best, pa.array(top[2, seen]), pa.array(top[3, seen].astype(np.int64))], names=["question_id", "section_key", "best", "worst", "n"])
+
+    return scan
+
+
+def section_extremes(chunks: DataFrame, questions: DataFrame, block: int = 4096, resident: int = _RESIDENT) -> DataFrame:
+    """``question_id, section_key, best, second, worst, versions``: a question's similarities within its own section.
+
+    ``questions(question_id, section_key, embedding)`` are broadcast as in ``batch_nearest``; a scan
+    multiplies the chunks of each section with the questions about it and keeps four numbers a
+    question, so what a task returns grows with the questions and not with the pairs.  ``second`` is
+    null for a section of one chunk; a question whose section has no chunk gets no row; null sections
+    and vectors are left out.
+    """
+    spark = chunks.sparkSession
+    rows = chunks.where("embedding is not null and section_key is not null").select(F.col("section_key").cast("string").alias("section_key"), "embedding")
+    asked = questions.where("embedding is not null and section_key is not null").select("question_id", F.col("section_key").cast("string").alias("section_key"), doubles(F.col("embedding")).alias("embedding"))
+    kind = questions.schema["question_id"].dataType.simpleString()
+    out = None
+    for t in _resident(asked, block, resident):
+        shared = []
+        for part in (t.slice(at, block).combine_chunks() for at in range(0, len(t), block)):
+            vectors, sections = _matrix(part["embedding"].chunk(0)), part["section_key"].chunk(0)
+            of: dict = {}
+            for k, section in enumerate(sections.to_pylist()):
+                of.setdefault(section, []).append(k)
+            shared.append(spark.sparkContext.broadcast({"ids": part["question_id"].chunk(0), "sections": sections, "vectors": vectors, "norms": np.sqrt((vectors * vectors).sum(axis=1)), "of": {s: np.array(k) for s, k in of.items()}}))
+        found = rows.mapInArrow(_extremes(shared), f"question_id {kind}, section_key string, best array<double>, worst double, n long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], f"question_id {kind}, section_key string, best double, second double, worst double, versions long")
+    merged = out.groupBy("question_id", "section_key").agg(F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("best"), F.min("worst").alias("worst"), F.sum("n").alias("versions"))  # two numbers a task
+    second = F.when(F.col("versions") > 1, F.get("best", 1))
+    return merged.select("question_id", "section_key", F.get("best", 0).alias("best"), second.alias("second"), "worst", "versions")
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = _matrix(b.column("embedding"))
+        coded = b.column("section_key").dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        for c, section in enumerate(coded.dictionary.to_pylist()):
+            own = x[code == c]
+            n, s = total.get(section, (0, 0.0))
+            total[section] = n + len(own), s + own.sum(axis=0)
+    if total:
+        vectors = [s for _, s in total.values()]
+        if len({len(v) for v in vectors}) > 1:
+            raise ValueError("vectors have several sizes")
+        offsets = pa.array(np.arange(len(vectors) + 1) * len(vectors[0]), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([n for n, _ in total.values()]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(vectors)))], names=["section_key", "n", "total"])
+
+
+def centroids_by_section(chunks: DataFrame) -> DataFrame:
+    """``section_key, centroid``: the mean vector of each section.
+
+    A task adds up whole vectors and returns one sum a section, which a second stage adds up again:
+    no row a coordinate is made.  Null sections and vectors are left out.
+    """
+    rows = chunks.where("embedding is not null and section_key is not null").select(F.col("section_key").cast("string").alias("section_key"), "embedding")
+    partial = rows.mapInArrow(_sums, "section_key string, n long, total array<double>")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for b in batches:
+            for section, n, total in zip(b.column("section_key").to_pylist(), b.column("n").to_pylist(), b.column("total"), strict=True):
+                had, s = found.get(section, (0, 0.0))
+                found[section] = had + n, s + np.asarray(total.values)
+        means = [s / n for n, s in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(means, pa.list_(pa.float64()))], names=["section_key", "centroid"])
+
+    return partial.repartition("section_key").mapInArrow(merged, "section_key string, centroid array<double>")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.vectors import cosine
+
 
 def question_scores(hits: DataFrame, k: int = 5) -> DataFrame:
     """Per question of ``hits(question_id, klass, rank, section, correct, same_section)``.
@@ -34,16 +36,14 @@ def class_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def margins(ranked: DataFrame) -> DataFrame:
-    """Best minus second-best similarity by question of ``ranked(question_id, similarity)``; one row alone has none."""
-    order = Window.partitionBy("question_id").orderBy(F.desc("similarity"))
-    two = ranked.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
-    return two.groupBy("question_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("second"), F.count("*").alias("n")).where("n = 2").select("question_id", F.round(F.col("best") - F.col("second"), 6).alias("margin"))
+def margins(extremes: DataFrame) -> DataFrame:
+    """Best minus second-best similarity by question of ``extremes(question_id, best, second)``; one row alone has none."""
+    return extremes.where("second is not null").select("question_id", F.round(F.col("best") - F.col("second"), 6).alias("margin"))
 
 
-def spread(ranked: DataFrame) -> DataFrame:
-    """Best minus worst similarity among a section's versions by question of ``ranked(question_id, section_key, similarity)``."""
-    return ranked.groupBy("question_id", "section_key").agg(F.round(F.max("similarity") - F.min("similarity"), 6).alias("spread"), F.count("*").alias("versions"))
+def spread(extremes: DataFrame) -> DataFrame:
+    """Best minus worst similarity among a section's versions by question of ``extremes(question_id, section_key, best, worst, versions)``."""
+    return extremes.select("question_id", "section_key", F.round(F.col("best") - F.col("worst"), 6).alias("spread"), "versions")
 
 
 def order_statistics(values: DataFrame, column: str, **shares: float) -> DataFrame:
@@ -60,10 +60,30 @@ def order_statistics(values: DataFrame, column: str, **shares: float) -> DataFra
     return rows.agg(*picked, F.max(column).alias("greatest"))
 
 
+def separation(chunks: DataFrame, centroids: DataFrame, other: Column) -> DataFrame:
+    """One row ``(own, other)``: mean distances of chunks to the centroid of their section and to that of the section ``other`` names.
+
+    ``centroids(section_key, centroid)`` has a row a section, far fewer than the chunks; Spark decides
+    by its size whether to broadcast it.
+    """
+    mine, far = centroids.select(F.col("section_key").alias("_own"), F.col("centroid").alias("_a")), centroids.select(F.col("section_key").alias("_far"), F.col("centroid").alias("_b"))
+    rows = chunks.withColumn("_other", other).join(mine, F.col("section_key") == F.col("_own")).join(far, F.col("_other") == F.col("_far"))
+    mean = lambda v: F.round(F.avg(1 - cosine(F.col("embedding"), v)), 5)
+    return rows.agg(mean(F.col("_a")).alias("own"), mean(F.col("_b")).alias("other"))
+
+
+def judged_separation(distances: DataFrame) -> DataFrame:
+    """``distances(own, other)`` with ``separates``: rows lie no further from their own centroid than half the way to another."""
+    return distances.withColumn("separates", F.col("own") <= F.col("other") / 2)
+
+
 def separated(distances: DataFrame) -> DataFrame:
-    """``distances(own, other)`` as they are; an error unless rows lie nearer to their own centroid than to another."""
+    """``distances(own, other)`` as they are; an error where they do not separate.
+
+    Figures of retrieval over vectors that do not separate say nothing, so a bench stops here.
+    """
     message = F.concat(F.lit("clusters do not separate: own "), F.col("own").cast("string"), F.lit(", other "), F.col("other").cast("string"))
-    return distances.withColumn("own", F.when(F.col("own") < F.col("other"), F.col("own")).otherwise(F.raise_error(message).cast("double")))
+    return judged_separation(distances).select(F.when(F.col("separates"), F.col("own")).otherwise(F.raise_error(message).cast("double")).alias("own"), "other")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.clock import AsOf
 from tidemark.functions import dates, fence
-from tidemark.functions.vectors import cosine, cosine_distance, literal, unit
+from tidemark.functions.vectors import literal, unit
 from tidemark.operators import constraints, retrieval, scoring, temporal
 from tidemark.operators.versions import KINDS, ingest_new, rebuild_versions
 from tidemark.plans import ask as plan
@@ -380,18 +380,16 @@ def vec_class_scores(spark, sf_dir):
 @query(f"""WITH {DATED_SQL}, {_batch_sql('ranked', 'c.section_key = d.own', 2)}
 SELECT question_id, round(max(1 - distance) - min(1 - distance), 6) AS margin FROM ranked GROUP BY 1 HAVING count(*) = 2""")
 def vec_margins(spark, sf_dir):
-    chunks = derived.vector_chunks(spark, sf_dir)
-    asked = _dated(spark, sf_dir).select("question_id", "own", F.col("embedding").alias("q"))
-    ranked = chunks.join(asked, F.col("section_key") == F.col("own")).select("question_id", (1 - cosine_distance(F.col("embedding"), F.col("q"))).alias("similarity"))
-    return scoring.margins(ranked)
+    return scoring.margins(_extremes(spark, sf_dir))
+
+
+def _extremes(spark, sf_dir):
+    return retrieval.section_extremes(derived.vector_chunks(spark, sf_dir), _dated(spark, sf_dir).withColumnRenamed("own", "section_key"))
 
 
 @query(f"""WITH {DATED_SQL} SELECT d.question_id, c.section_key, round(max(1 - {DISTANCE.format(q='q')}) - min(1 - {DISTANCE.format(q='q')}), 6) AS spread, count(*) AS versions FROM dated d JOIN chunks c ON c.section_key = d.own GROUP BY ALL""")
 def vec_spread(spark, sf_dir):
-    chunks = derived.vector_chunks(spark, sf_dir)
-    asked = _dated(spark, sf_dir).select("question_id", "own", F.col("embedding").alias("q"))
-    near = chunks.join(asked, F.col("section_key") == F.col("own")).select("question_id", "section_key", (1 - cosine_distance(F.col("embedding"), F.col("q"))).alias("similarity"))
-    return scoring.spread(near)
+    return scoring.spread(_extremes(spark, sf_dir))
 
 
 @query(f"""WITH {DATED_SQL}, {_batch_sql('ranked', 'c.section_key = d.own', 2)}, margins AS (SELECT question_id, round(max(1 - distance) - min(1 - distance), 6) AS margin FROM ranked GROUP BY 1 HAVING count(*) = 2),
@@ -414,15 +412,12 @@ def vec_post_filter_recall(spark, sf_dir):
 
 @query(f"""WITH {CHUNKS_SQL}, coordinates AS (SELECT section_key, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM chunks), means AS (SELECT section_key, i, avg(x) AS x FROM coordinates GROUP BY ALL),
 centroids AS (SELECT section_key, list(x ORDER BY i) AS c FROM means GROUP BY 1)
-SELECT round(avg(1 - list_cosine_similarity(v, o.c)), 5) AS own, round(avg(1 - list_cosine_similarity(v, x.c)), 5) AS other FROM chunks k JOIN centroids o ON o.section_key = k.section_key JOIN centroids x ON x.section_key::INT = (k.section_key::INT + 1) % 10""")
+SELECT *, own <= other / 2 AS separates FROM (SELECT round(avg(1 - list_cosine_similarity(v, o.c)), 5) AS own, round(avg(1 - list_cosine_similarity(v, x.c)), 5) AS other FROM chunks k JOIN centroids o ON o.section_key = k.section_key JOIN centroids x ON x.section_key::INT = (k.section_key::INT + 1) % 10)""")
 def vec_separation(spark, sf_dir):
     chunks = derived.vector_chunks(spark, sf_dir)
-    means = chunks.select("section_key", F.posexplode("embedding").alias("i", "x")).groupBy("section_key", "i").agg(F.avg("x").alias("x"))
-    c = means.groupBy("section_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
-    own, other = c.select("section_key", F.col("centroid").alias("a")), c.select(F.col("section_key").alias("neighbour"), F.col("centroid").alias("b"))
-    rows = chunks.withColumn("neighbour", ((F.col("section_key").cast("int") + 1) % 10).cast("string")).join(own, "section_key").join(other, "neighbour")
-    far = lambda v: F.round(F.avg(1 - cosine(F.col("embedding"), v)), 5)
-    return rows.agg(far(F.col("a")).alias("own"), far(F.col("b")).alias("other"))
+    following = ((F.col("section_key").cast("int") + 1) % 10).cast("string")
+    apart = scoring.separation(chunks, retrieval.centroids_by_section(chunks), following)
+    return scoring.judged_separation(apart)
 
 
 FLOORS = (0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7)
