@@ -41,3 +41,18 @@ def test_centroids_and_separation(spark):
     assert scoring.separated(distances(0.4, 1.0)).first()["own"] == 0.4 and scoring.judged_separation(distances(0.5, 1.0)).first()["separates"]
     with pytest.raises(Exception, match="do not separate"):
         scoring.separated(distances(0.9, 1.0)).collect()
+
+
+def test_chained_digest_equals_one_string(spark, monkeypatch):
+    import hashlib
+    import random
+
+    monkeypatch.setattr(scoring, "_PIECE", 7)
+    rng = random.Random(2)
+    rows = [(rng.randrange(40), hashlib.sha256(str(k).encode()).hexdigest()) for k in range(500)] + [(3, "twin"), (3, "twin"), (4, None)]
+    df = spark.createDataFrame(rows, "recorded_at int, content_hash string").repartition(5)
+    want = hashlib.md5(",".join(h for _, h in sorted(r for r in rows if r[1])).encode()).hexdigest()[:12]
+    assert [r.corpus_rev for r in scoring.corpus_revision(df).collect()] == [want]
+    assert [r.corpus_rev for r in scoring.corpus_revision(df.limit(0)).collect()] == [""]
+    plan = scoring.corpus_revision(df)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan

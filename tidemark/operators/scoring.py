@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,14 +112,42 @@ def distance_stats(distances: DataFrame) -> DataFrame:
     return distances.groupBy("on_topic").agg(F.min("distance").alias("least"), F.round(F.percentile("distance", F.lit(0.5)), 6).alias("median"), F.max("distance").alias("greatest"), F.count("*").alias("n"))
 
 
+#: Hashes that travel together to the digest.
+_PIECE = 16_384
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of a sorted range as long strings, numbered."""
+    part, nth = TaskContext.get().partitionId(), 0
+    for b in batches:
+        for at in range(0, b.num_rows, _PIECE):
+            text = ",".join(b.column("content_hash").slice(at, _PIECE).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([text])], names=["part", "nth", "hashes"])
+            nth += 1
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of all strings in turn: its state goes on from one to the next."""
+    digest, any_yet = hashlib.md5(), False
+    for text in (t for b in batches for t in b.column("hashes").to_pylist()):
+        digest.update((("," if any_yet else "") + text).encode())
+        any_yet = True
+    if any_yet:
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:12]])], names=["corpus_rev"])
+
+
 def corpus_revision(documents: DataFrame) -> DataFrame:
-    """First 12 digits of the md5 of all content hashes in order of recording; empty for no documents.
+    """One row: the first 12 digits of the md5 of all content hashes in order of recording, joined by commas.
 
-    The definition is one string of all hashes, so one task holds 65 bytes a document: the list of a
-    million documents takes about 100 MB, and 33 million are the most a row can hold.
+    Ranges of documents are sorted side by side and packed into strings of thousands of hashes; one
+    task takes the strings in order and carries the digest on, 65 bytes a document, so that its
+    memory does not grow with them.  Documents of one moment are in order of their hashes; those
+    without a hash are left out; no documents give an empty text.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("recorded_at", "content_hash"))), lambda d: d["content_hash"])
-    return documents.agg(F.when(F.count("*") == 0, "").otherwise(F.substring(F.md5(F.array_join(ordered, ",").cast("binary")), 1, 12)).alias("corpus_rev"))
+    hashed = documents.where(F.col("content_hash").isNotNull()).select("recorded_at", F.col("content_hash").cast("string").alias("content_hash"))
+    ordered = hashed.repartitionByRange("recorded_at", "content_hash").sortWithinPartitions("recorded_at", "content_hash")
+    pieces = ordered.mapInArrow(_pieces, "part int, nth int, hashes string").repartition(1).sortWithinPartitions("part", "nth")
+    return pieces.mapInArrow(_chained, "corpus_rev string").agg(F.coalesce(F.max("corpus_rev"), F.lit("")).alias("corpus_rev"))
 
 
 def missing_needles(text: Column, must: Column, must_not: Column) -> Column:
