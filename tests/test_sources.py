@@ -101,3 +101,32 @@ def test_plan_text_elides_vectors(spark):
 
     shown = plan_text(spark.range(2).select("id", literal([k / 7 for k in range(64)]).alias("v")))
     assert "[64 numbers]" in shown and "0.857" not in shown
+
+
+def test_measured_plan_counts_rows(spark, tmp_path):
+    from datetime import UTC, date, datetime
+
+    from tidemark.clock import AsOf
+    from tidemark.operators.temporal import as_of
+    from tidemark.plans.dump import measured, measured_text
+
+    clustered_chunks(spark, 700, dimension=4, clusters=3).write.parquet(f"{tmp_path}/c")
+    read = lambda: as_of(spark.read.parquet(f"{tmp_path}/c"), AsOf(date(2025, 1, 1), datetime(2025, 6, 1, tzinfo=UTC))).groupBy("section_key").count()
+    kept = sum(r["count"] for r in read().collect())
+    steps = measured(read())
+    clocks = next(s for s in steps if s.name == "Filter")
+    assert clocks.rows == kept and clocks.rows + clocks.removed == 700 and any(s.name.startswith("Scan") and s.rows == 700 for s in steps)
+    text = measured_text(read())
+    assert f"{kept} rows, {700 - kept} removed" in text and "scanTime" in text and "Exchange" in text
+
+
+def test_index_bench_needs_vectors_that_separate(spark):
+    from tidemark.plans.index_bench import at_place, index_bench
+
+    chunks = clustered_chunks(spark, 600, dimension=16, clusters=4).withColumn("section_key", (F.col("chunk_id") % 4).cast("string")).cache()
+    asked = clustered_questions(spark, 6, "2025-01-01", "2025-06-01 00:00:00", dimension=16, clusters=4)
+    found = index_bench(chunks, {"all": (asked, "all"), "then": (asked, "as_of")}, ((F.col("chunk_id") + 1) % 4).cast("string"), singles=2)
+    assert found["separation"]["own"] < 0.05 and found["all"]["p50_ms"] > 0 and 0 < found["then"]["survives"] < 1 and 0 <= found["then"]["post_filter_recall"] < 1
+    with pytest.raises(Exception, match="do not separate"):
+        index_bench(chunks.withColumn("section_key", (F.col("chunk_id") % 7).cast("string")), {}, ((F.col("chunk_id") + 1) % 7).cast("string"))
+    assert at_place([0.3, 0.1, 0.2, 0.4], 0.5) == 300.0 and at_place([0.1], 0.95) == 100.0
