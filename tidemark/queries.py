@@ -16,6 +16,7 @@ from tidemark.operators.versions import KINDS, ingest_new, rebuild_versions
 from tidemark.plans import ask as plan
 from tidemark.plans import gate
 from tidemark.plans.ingest import refolded, violations
+from tidemark.plans.measure import exact, headline
 from tidemark.plans.replay import replay
 from tidemark.ship import ship
 from tidemark.sources import derived
@@ -790,3 +791,48 @@ def ablation_newly_red(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     red = lambda options: gate.scored(cases, _answers(spark, sf_dir, options)).where("status <> 'ok'")
     return gate.newly_failed(red(plan.Options(floor=0.4)).withColumn("break_name", F.lit("strict-floor")), red(ENGINE))
+
+
+def _mixed(vectors: DataFrame, rows: DataFrame, near: Column, far: Column, share: float) -> DataFrame:
+    """``rows`` with a vector that lies near one of 500 stored vectors, moved a little towards another."""
+    a = vectors.select(F.col("vec_id").alias("_a"), F.col("embedding").cast("array<double>").alias("_x"))
+    b = vectors.select(F.col("vec_id").alias("_b"), F.col("embedding").cast("array<double>").alias("_y"))
+    joined = rows.withColumns({"_a": near % 500, "_b": far % 500}).join(a, "_a").join(b, "_b")
+    return joined.withColumn("embedding", F.zip_with("_x", "_y", lambda x, y: x + F.lit(share) * y)).drop("_a", "_b", "_x", "_y")
+
+
+def _documents_with_clauses(spark, sf_dir) -> DataFrame:
+    log = derived.event_log(spark, sf_dir)
+    clause = F.struct(F.col("section_key").alias("section"), F.lit(None).cast("string").alias("heading"), "text", "valid_from", "valid_to")
+    grouped = log.groupBy("document_id", "kind").agg(F.array_sort(F.collect_list(F.struct("clause_no", clause.alias("c")))).alias("cs"))
+    return grouped.select(F.col("document_id").alias("doc_id"), "kind", F.concat(F.lit("Event "), "document_id").alias("title"), F.lit("Noted.").alias("body"), F.transform("cs", lambda c: c["c"]).alias("clauses"))
+
+
+_MIX_SQL = "list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE + {share}::DOUBLE * b.embedding[i]::DOUBLE)"
+_HEADLINE_SQL = f"""WITH {VERSIONS_SQL},
+vectors AS (SELECT document_id, section_key, {_MIX_SQL.format(share=0.05)} AS v FROM log JOIN embeddings a ON a.vec_id = section_key::BIGINT * 7 % 500 JOIN embeddings b ON b.vec_id = document_id::BIGINT % 500),
+cases AS (SELECT section_key AS question_id, section_key AS own, version_id, document_id AS source, {_MIX_SQL.format(share=0.02)} AS q
+  FROM versions JOIN embeddings a ON a.vec_id = section_key::BIGINT * 7 % 500 JOIN embeddings b ON b.vec_id = section_key::BIGINT * 3 % 500 WHERE {holds_sql(AT)} AND {known_sql(AT)}),
+published AS (SELECT document_id || ':' || section_key AS chunk_id, section_key, document_id, v FROM vectors),
+every AS (SELECT version_id AS chunk_id, n.section_key, document_id, v FROM versions n JOIN vectors USING (document_id)),
+current AS (SELECT * FROM every WHERE chunk_id IN (SELECT version_id FROM versions WHERE {holds_sql(AT)} AND {known_sql(AT)})),
+pool AS (SELECT 'published' AS index_name, * FROM published UNION ALL SELECT 'versions', * FROM every UNION ALL SELECT 'as_of', * FROM current),
+ranked AS (SELECT * FROM (SELECT index_name, c.*, p.chunk_id, p.section_key, p.document_id, row_number() OVER (PARTITION BY index_name, question_id ORDER BY {DISTANCE.format(q='q')}, p.chunk_id) AS rank FROM cases c, pool p) WHERE rank <= 5),
+hits AS (SELECT *, CASE WHEN index_name = 'published' THEN section_key = own AND document_id = source ELSE chunk_id = version_id END AS correct FROM ranked),
+scores AS (SELECT index_name, question_id, min(rank) FILTER (correct) AS correct_rank, count(section_key) > count(DISTINCT section_key) AS blended, bool_or(rank = 1 AND section_key = own AND NOT correct) AS superseded FROM hits GROUP BY ALL)
+SELECT index_name, count(*) AS n, count(*) FILTER (correct_rank = 1) AS top1, count(correct_rank) AS recalled, count(*) FILTER (superseded) AS superseded, count(*) FILTER (blended) AS blended FROM scores GROUP BY index_name"""
+
+
+@query(_HEADLINE_SQL)
+def idx_headline(spark, sf_dir):
+    """The published index, the index of all versions, and all versions under the clocks, searched for the rule in force."""
+    from tidemark.sources.corpus import version_index
+
+    vectors, v = table(spark, sf_dir, "embeddings"), versions(spark, sf_dir)
+    section, document = F.col("section_key").cast("long"), F.col("document_id").cast("long")
+    published = _mixed(vectors, published_index(_documents_with_clauses(spark, sf_dir)), section * 7, document, 0.05)
+    clocks = v.select(F.col("version_id").alias("chunk_id"), "valid_from", "valid_to", "recorded_at", "recorded_until")
+    every = _mixed(vectors, version_index(v).join(clocks, "chunk_id"), section * 7, document, 0.05)
+    force = temporal.as_of(v, AT).select(F.col("section_key").alias("question_id"), "section_key", F.col("version_id").alias("chunk_id"), "document_id")
+    cases = _mixed(vectors, force, section * 7, section * 3, 0.02).withColumns({"valid_at": F.lit(AT.valid_at), "known_at": temporal.moment(AT, v)})
+    return headline({"published": (published, exact(published), False), "versions": (every, exact(every), True), "as_of": (every, exact(every, "as_of"), True)}, cases)
