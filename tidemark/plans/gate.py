@@ -52,6 +52,24 @@ def newly_failed(failures: DataFrame, baseline: DataFrame) -> DataFrame:
     return failures.join(baseline.select("case_id"), "case_id", "left_anti").groupBy("break_name").agg(F.count_distinct("case_id").alias("newly_red"))
 
 
+def ablation_matrix(cases: DataFrame, answers: DataFrame, whole: str) -> DataFrame:
+    """``break_name, newly_red, changed`` of every engine of ``answers(engine, ...)`` but ``whole``.
+
+    ``newly_red`` are cases that fail under the break and pass in the whole engine; ``changed`` are
+    those whose record differs in any way: outcome, answer, prompt, fence or number of citations.
+    """
+    names = answers.select("engine").distinct()
+    record = F.struct("outcome", "answer_text", "prompt_sha256", "fence_token", F.coalesce(F.size("citations"), F.lit(-1)).alias("cited"))
+    told = answers.select("engine", "question_id", record.alias("record"))
+    each = cases.crossJoin(F.broadcast(names)).withColumn("case_id", F.concat_ws("/", "engine", "case_id"))  # as many rows as answers
+    keyed = answers.withColumn("question_id", F.concat_ws("/", "engine", "question_id"))
+    red = scored(each, keyed).select("case_id", (F.col("status") != "ok").alias("red"))
+    rows = told.withColumn("case_id", F.concat_ws("/", "engine", "question_id")).join(red, "case_id")
+    base = rows.where(F.col("engine") == whole).select("question_id", F.col("red").alias("_red"), F.col("record").alias("_record"))
+    compared = rows.where(F.col("engine") != whole).join(base, "question_id")
+    return compared.groupBy(F.col("engine").alias("break_name")).agg(F.count_if(F.col("red") & ~F.col("_red")).alias("newly_red"), F.count_if(~F.col("record").eqNullSafe(F.col("_record"))).alias("changed"))
+
+
 def resolution_scored(cases: DataFrame, now: Column) -> DataFrame:
     """Outcomes, in the columns of ``scored``, of cases ``(case_id, question, expected, valid_at, moves_known_at)``.
 

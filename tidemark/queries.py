@@ -836,3 +836,45 @@ def idx_headline(spark, sf_dir):
     force = temporal.as_of(v, AT).select(F.col("section_key").alias("question_id"), "section_key", F.col("version_id").alias("chunk_id"), "document_id")
     cases = _mixed(vectors, force, section * 7, section * 3, 0.02).withColumns({"valid_at": F.lit(AT.valid_at), "known_at": temporal.moment(AT, v)})
     return headline({"published": (published, exact(published), False), "versions": (every, exact(every), True), "as_of": (every, exact(every, "as_of"), True)}, cases)
+
+
+def _broken_sql(name: str) -> str:
+    """``ASK_SQL`` of an engine without one layer."""
+    best, fixed = _batch_sql("best", f"{FORCE} AND {RECORD}", 3, "d"), "resolution = 'ambiguous-date'"
+    tops = {"drop-temporal-predicate": "d.valid_at IS NOT NULL", "collapse-two-clocks": f"c.recorded_until IS NULL AND {FORCE}"}
+    lapse = "coalesce(nearest - ld > 0.05 AND ld <= 0.7 AND ls <> section, false)"
+    sql = ASK_SQL
+    if name in tops:
+        sql = sql.replace(best, _batch_sql("best", tops[name], 3, "d"))
+    elif name == "post-filter":
+        sql = sql.replace(best, _batch_sql("any_", "d.valid_at IS NOT NULL", 3, "d") + f""", best AS (SELECT a.question_id, a.chunk_id, a.section_key, a.distance, row_number() OVER (PARTITION BY a.question_id ORDER BY a.rank)::INT AS rank
+  FROM any_ a JOIN d USING (question_id) JOIN chunks c USING (chunk_id) WHERE {FORCE} AND {RECORD})""")
+    elif name == "default-missing-date-to-today":
+        today = f"SELECT i, question, 'assumed-today' AS resolution, DATE '2025-06-01' AS valid_at, TIMESTAMP '{ASKED_AT}' AS known_at, NULL AS reason FROM fixed_ WHERE {fixed}"
+        sql = sql.replace("fixed AS (", "fixed_ AS (", 1).replace("\nd AS (SELECT", f"\nfixed AS (SELECT * FROM fixed_ WHERE NOT ({fixed}) UNION ALL {today}),\nd AS (SELECT", 1)
+    elif name == "drop-distance-floor":
+        sql = sql.replace("nearest > 0.7", "nearest > 1.0").replace("ld <= 0.7", "ld <= 1.0")
+    elif name == "drop-lapse-detector":
+        sql = sql.replace(lapse, "false")
+    elif name == "drop-coverage-check":
+        sql = sql.replace(f"(SELECT CASE WHEN bool_or({FORCE} AND {RECORD}) THEN 2 WHEN bool_or({RECORD}) THEN 1 ELSE 0 END FROM chunks c) AS cov", "2 AS cov")
+    elif name == "fixed-fence-token":
+        sql = sql.replace("|| a.question_id), 1, 16) AS tok", "|| 'fixed'), 1, 16) AS tok").replace("|| question_id), 1, 16) AS fence_token", "|| 'fixed'), 1, 16) AS fence_token")
+    cited = "0" if name == "drop-citation-storage" else "n_citations"
+    return f"SELECT '{name}' AS engine, question_id, outcome, answer_text, prompt_sha256, fence_token, {cited} AS cited FROM ({sql} SELECT * FROM answers)"
+
+
+_RED = """outcome IS DISTINCT FROM CASE WHEN (question_id / 20)::INT % 5 >= 3 THEN 'ambiguous-date' ELSE 'answered' END OR (outcome = 'answered' AND NOT contains(answer_text, 'section ' || own))"""
+
+
+@query(f"""WITH told AS ({' UNION ALL '.join(_broken_sql(n) for n in ('whole', *plan.BREAKS))}),
+rows AS (SELECT t.*, {_RED} AS red FROM told t JOIN (SELECT vec_id AS question_id, label::VARCHAR AS own FROM embeddings WHERE vec_id % 20 = 0) USING (question_id))
+SELECT b.engine AS break_name, count(*) FILTER (b.red AND NOT w.red) AS newly_red,
+  count(*) FILTER ((b.outcome, b.answer_text, b.prompt_sha256, b.fence_token, b.cited) IS DISTINCT FROM (w.outcome, w.answer_text, w.prompt_sha256, w.fence_token, w.cited)) AS changed
+FROM rows b JOIN rows w USING (question_id) WHERE b.engine <> 'whole' AND w.engine = 'whole' GROUP BY 1""")
+def ablation_ten(spark, sf_dir):
+    """Every named break of the engine, asked together in one plan."""
+    engines = {"whole": ENGINE} | {name: plan.broken(name, **({} if name == "drop-distance-floor" else {"floor": 0.7})) for name in plan.BREAKS}
+    asked = derived.vector_questions(spark, sf_dir).drop("section_key")
+    answers = plan.ask_each(asked, derived.vector_chunks(spark, sf_dir), _documents(spark, sf_dir), F.lit(ASKED_AT).cast("timestamp"), engines)
+    return gate.ablation_matrix(_cases(spark, sf_dir), answers, "whole")
