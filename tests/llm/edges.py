@@ -5,7 +5,8 @@ import random
 DATA = "/root/testdata/sf0.001"
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, row long, h long, fp long, words string, node long, score string, rank int, at int,"
-    " lang_pred string, rejected string, target string, key string, block string, n_words string, item_id string"
+    " lang_pred string, rejected string, target string, key string, block string, n_words string, item_id string,"
+    " _found string, _best string, _label string"
 )
 
 
@@ -21,7 +22,7 @@ def rows():
     ]
     out = []
     for k, (i, t) in enumerate(texts):
-        out.append((i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", len(t or ""), 1, 1, 1, "w", 1, "s", 1, 1, "l", "r", "t", "k", "b", "n", "i"))
+        out.append((i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", len(t or ""), 1, 1, 1, "w", 1, "s", 1, 1, "l", "r", "t", "k", "b", "n", "i", "f", "b", "l"))
     return out
 
 

@@ -156,6 +156,35 @@ def test_scratch_spares_what_was_kept_before(spark):
         spark.read.parquet(inside.inputFiles()[0].rsplit("/", 1)[0]).count()
 
 
+def test_scratch_spares_what_another_thread_keeps(spark):
+    from threading import Thread
+
+    from tidemark.llm.common import kept, scratch
+
+    theirs = []
+    with scratch(spark):
+        other = Thread(target=lambda: theirs.append(kept(spark.range(4), "theirs")))
+        other.start()
+        other.join()
+        with scratch(spark):
+            kept(spark.range(2), "inner")
+        mine = kept(spark.range(6), "mine")
+        assert mine.count() == 6
+    assert theirs[0].count() == 4
+
+
+def test_columns_of_any_name_stay(spark):
+    from tidemark.llm.langid import fit_languages, identify
+
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    pages = spark.createDataFrame([("http://a.net/", "f", "F", "b")], "url string, _found string, _found_ string, _best string")
+    for trie_rules in (1000, 0):
+        r = judge_urls(pages, rules, trie_rules=trie_rules).first()
+        assert (r["_found"], r["_found_"], r["_best"], r["verdict"]) == ("f", "F", "b", "block")
+    texts = spark.createDataFrame([(1, "ein kurzer Text", "de", "f")], "doc_id long, text string, lang string, _found string")
+    assert identify(texts, fit_languages(texts)).first()["_found"] == "f"
+
+
 def test_mix_with_whole_rows(spark):
     d = docs(spark)
     plain, wide = mix(d), mix(d, whole=True)

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _local_dir: list[str] = []
-_written: list[str] = []
+#: Paths of the tables kept outside any ``scratch`` block, and those of the block that the running code is in.
+_outside: list[str] = []
+_scope: ContextVar[list[str]] = ContextVar("tidemark_scratch", default=_outside)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,14 +52,15 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _scope.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables ``kept`` has written, those after the first ``since``; call it after the last result was consumed."""
-    while len(_written) > since:
-        delete(spark, _written.pop())
+def release(spark: SparkSession) -> None:
+    """Delete the tables ``kept`` has written in the present scope; call it after the last result was consumed."""
+    paths = _scope.get()
+    while paths:
+        delete(spark, paths.pop())
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -67,12 +71,25 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Release what is kept inside the block when it ends, also by an error; tables kept before stay."""
-    since = len(_written)
+    """Release what is kept inside the block when it ends, also by an error.
+
+    The block has a list of its own, seen by its thread only: tables kept before it, around it or by
+    another thread stay.
+    """
+    token = _scope.set([])
     try:
         yield
     finally:
-        release(spark, since)
+        release(spark)
+        _scope.reset(token)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold_case(col: Column) -> Column:

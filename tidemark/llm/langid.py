@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_rows
+from tidemark.llm.common import bounded_rows, unused
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Texts of fewer bytes are encoded twice: alone they are stored raw, and all languages tie.
@@ -133,5 +133,6 @@ def identify(docs: DataFrame, model: CompressionClassifier, reject_below: float
 
     for name in ("lang_pred", "score", "margin", "rejected"):
         docs = docs.drop(name)
-    found = docs.withColumn("_found", judge("text")).select("*", "_found.*").drop("_found")
+    own = unused(docs, "_found")
+    found = docs.withColumn(own, judge("text")).select("*", f"{own}.*").drop(own)
     return found.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < reject_below))

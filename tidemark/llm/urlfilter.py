@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_rows, fold_case
+from tidemark.llm.common import bounded_rows, fold_case, unused
 
 #: Rules a broadcast trie may hold; beyond it ``judge_urls`` joins instead.
 TRIE_RULES = 200_000
@@ -97,7 +97,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", trie_
             found = [trie.value.find(h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
-    return parsed.withColumn("_found", find("host", "path")).select("*", "_found.*").drop("_found")
+    own = unused(parsed, "_found")
+    return parsed.withColumn(own, find("host", "path")).select("*", f"{own}.*").drop(own)
 
 
 def _joined(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
@@ -110,13 +111,14 @@ def _joined(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     lengths = best.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths")).withColumnRenamed("host", "rule_host")
     tried = asked.join(hosts.join(lengths, "rule_host"), "host").select("host", "path", "rule_host", F.explode("lengths").alias("n"))
     tried = tried.where(F.col("n") <= F.length("path")).withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
+    own = unused(parsed, "_best")
     won = (
         tried.join(best.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("_v")), ["rule_host", "rule_path"])
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule_host"), "n", F.concat("rule_host", "rule_path").alias("rule"), "_v")).alias("_best"))
+        .agg(F.max(F.struct(F.length("rule_host"), "n", F.concat("rule_host", "rule_path").alias("rule"), "_v")).alias(own))
     )
     return (
         parsed.join(won, ["host", "path"], "left")
-        .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best._v", F.lit(default))})
-        .drop("_best")
+        .withColumns({"rule": F.col(f"{own}.rule"), "verdict": F.coalesce(f"{own}._v", F.lit(default))})
+        .drop(own)
     )
