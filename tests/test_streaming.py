@@ -1,5 +1,6 @@
 """Versions from a stream of clauses equal those of one rebuild."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -30,6 +31,19 @@ def test_foreach_batch_rebuild(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/versions")) == rows(rebuild_versions(log))
 
 
+def test_batch_that_breaks_a_constraint_stops_the_stream(spark, tmp_path):
+    log = log_files(spark, f"{tmp_path}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = lambda: rebuild_on_arrival(spark, stream, f"{tmp_path}/log", f"{tmp_path}/versions", f"{tmp_path}/cp").awaitTermination()
+    run()
+    had = rows(spark.read.parquet(f"{tmp_path}/versions")), spark.read.parquet(f"{tmp_path}/log").count()
+    again = log.where("kind = 'base'").limit(1).withColumns({"document_id": F.lit("twice"), "recorded_at": F.lit("2024-03-01").cast("timestamp"), "valid_from": F.lit("2001-01-01").cast("date")})
+    again.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="would break: overlap"):
+        run()
+    assert (rows(spark.read.parquet(f"{tmp_path}/versions")), spark.read.parquet(f"{tmp_path}/log").count()) == had
+
+
 def test_stateful_changes(spark, tmp_path):
     log = log_files(spark, f"{tmp_path}/in")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")

@@ -22,6 +22,7 @@ from tidemark.ship import ship
 from tidemark.sources import derived
 from tidemark.sources.corpus import clause_log, document_uid, parse_documents, published_index
 from tidemark.sources.derived import table
+from tidemark.sources.embedding import embed
 
 AT = AsOf(date(2024, 1, 5), datetime(2024, 1, 10, tzinfo=UTC))
 EARLY = AsOf(date(2024, 1, 3), datetime(2024, 1, 1, 8, tzinfo=UTC))
@@ -298,7 +299,10 @@ def bt_overlaps_hot(spark, sf_dir):
 
 
 def _probe(spark, sf_dir) -> Column:
-    return literal(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == PROBE).first()["embedding"])
+    found = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == PROBE).first()
+    if found is None:
+        raise ValueError(f"there is no vector {PROBE} to ask with")
+    return literal(found["embedding"])
 
 
 def _top_sql(where: str) -> str:
@@ -456,14 +460,17 @@ NOW = "2026-06-01 12:00:00"
 _MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]"
 
 
-@query(f"""WITH q AS (SELECT conv_id, turn, coalesce(text, '') || ' ' || [{', '.join(f"'{t}'" for t in TEMPLATES)}][((conv_id * 7 + turn) % {len(TEMPLATES)} + 1)::INT] AS s FROM conversations),
+_DATES_SQL = f"""WITH q AS (SELECT conv_id, turn, coalesce(text, '') || ' ' || [{', '.join(f"'{t}'" for t in TEMPLATES)}][((conv_id * 7 + turn) % {len(TEMPLATES)} + 1)::INT] AS s FROM conversations),
 m AS (SELECT conv_id, turn, s, regexp_extract_all(s, '(?i){dates._ISO}', 1) AS iso, regexp_extract_all(s, '(?i){dates._DMY}', 1) AS dmy, regexp_extract_all(s, '(?i){dates._MY}', 1) AS my,
   regexp_extract(s, '(?i){dates.phrase(dates.UNRESOLVABLE)}', 1) AS gesture, regexp_extract(s, '(?i){dates._YEAR}', 1) AS year,
   regexp_matches(s, '(?i){dates.phrase(dates.TODAY)}') AS today, regexp_matches(s, '(?i){dates.phrase(dates.RECOLLECTION)}') AS recalls FROM q),
 p AS (SELECT *, list_concat(iso, dmy, my) AS texts, list_concat(list_transform(iso, lambda x: try_cast(x AS DATE)),
   list_transform(list_concat(dmy, my), lambda x: try_cast(string_split(regexp_replace(x, '\\s+', ' ', 'g'), ' ')[-1] || '-' || list_position({_MONTH_LIST}, lower(string_split(regexp_replace(x, '\\s+', ' ', 'g'), ' ')[-2])) || '-' ||
     CASE WHEN len(string_split(regexp_replace(x, '\\s+', ' ', 'g'), ' ')) = 3 THEN string_split(x, ' ')[1] ELSE '1' END AS DATE))) AS ds FROM m),
-r AS (SELECT *, CASE WHEN gesture <> '' THEN 'ambiguous-date' WHEN len(list_filter(ds, lambda d: d IS NULL)) > 0 THEN 'ambiguous-date' WHEN len(list_distinct(ds)) > 1 THEN 'ambiguous-date' WHEN len(ds) = 0 AND year <> '' AND NOT today THEN 'ambiguous-date' WHEN len(ds) = 0 THEN 'assumed-today' ELSE 'stated' END AS outcome FROM p)
+r AS (SELECT *, CASE WHEN gesture <> '' THEN 'ambiguous-date' WHEN len(list_filter(ds, lambda d: d IS NULL)) > 0 THEN 'ambiguous-date' WHEN len(list_distinct(ds)) > 1 THEN 'ambiguous-date' WHEN len(ds) = 0 AND year <> '' AND NOT today THEN 'ambiguous-date' WHEN len(ds) = 0 THEN 'assumed-today' ELSE 'stated' END AS outcome FROM p)"""
+
+
+@query(_DATES_SQL + f"""
 SELECT conv_id, turn, outcome, CASE outcome WHEN 'stated' THEN ds[1] WHEN 'assumed-today' THEN DATE '2026-06-01' END AS valid_at,
   CASE WHEN outcome = 'stated' AND recalls THEN ds[1]::TIMESTAMP + INTERVAL 12 HOUR WHEN outcome <> 'ambiguous-date' THEN TIMESTAMP '{NOW}' END AS known_at,
   CASE WHEN outcome = 'stated' THEN texts[1] END AS matched FROM r""", days=("valid_at",))
@@ -716,11 +723,15 @@ def idx_build_missing(spark, sf_dir):
     return built.select("chunk_id", "section_key", "valid_from", "valid_to", "recorded_at", "recorded_until", F.get("embedding", 0).alias("first"), "model")
 
 
-@query(f"""WITH r AS (SELECT * FROM ({SQL['resolve_question']}))
-SELECT conv_id, turn, CASE WHEN outcome = 'ambiguous-date' THEN 'no single day' ELSE valid_at || CASE WHEN outcome = 'stated' THEN ', taken from the question' ELSE ', the day of asking' END || '; record of ' || strftime(known_at, '%Y-%m-%d %H:%M') END AS described FROM r""")
+@query(_DATES_SQL + f""",
+said AS (SELECT *, CASE WHEN gesture <> '' THEN '''' || gesture || ''' cannot be turned into a date' WHEN len(list_filter(ds, lambda d: d IS NULL)) > 0 THEN 'the question names a date that does not exist'
+    WHEN len(list_distinct(ds)) > 1 THEN 'more than one date is named (' || array_to_string(list_transform(list_sort(list_distinct(ds)), lambda d: d::VARCHAR), ', ') || ')'
+    ELSE year || ' is a year, and a rule can change within one' END AS reason,
+  CASE WHEN outcome = 'stated' AND recalls THEN ds[1]::TIMESTAMP + INTERVAL 12 HOUR ELSE TIMESTAMP '{NOW}' END AS known_at FROM r)
+SELECT conv_id, turn, CASE outcome WHEN 'ambiguous-date' THEN 'no single day: ' || reason WHEN 'stated' THEN ds[1] || ', taken from the question; record of ' || strftime(known_at, '%Y-%m-%d %H:%M')
+  ELSE '2026-06-01, the day of asking; record of ' || strftime(known_at, '%Y-%m-%d %H:%M') END AS described FROM said""")
 def date_describe(spark, sf_dir):
-    r = _resolved(spark, sf_dir)
-    return r.select("conv_id", "turn", F.split_part(dates.describe(F.col("r")), F.lit(": "), F.lit(1)).alias("described")).withColumn("described", F.when(F.col("described").contains("record of"), F.col("described")).otherwise("no single day"))
+    return _resolved(spark, sf_dir).select("conv_id", "turn", dates.describe(F.col("r")).alias("described"))
 
 
 _FOLD_SQL = f"translate({{c}}, '{fence.LOOKALIKES}{fence.INVISIBLE}', '{fence.STAND_FOR}')"
@@ -878,3 +889,20 @@ def ablation_ten(spark, sf_dir):
     asked = derived.vector_questions(spark, sf_dir).drop("section_key")
     answers = plan.ask_each(asked, derived.vector_chunks(spark, sf_dir), _documents(spark, sf_dir), F.lit(ASKED_AT).cast("timestamp"), engines)
     return gate.ablation_matrix(_cases(spark, sf_dir), answers, "whole")
+
+
+@query(f"""WITH {VERSIONS_SQL} SELECT section_key, count(*) FILTER ({holds_sql(AT)} AND {known_sql(AT)}) AS in_force FROM versions GROUP BY 1""")
+def bt_exactly_one(spark, sf_dir):
+    """How many versions of each section are in force, an error beyond one."""
+    v = versions(spark, sf_dir)
+    force = temporal.holds(F.col("valid_from"), F.col("valid_to"), F.lit(AT.valid_at)) & temporal.holds(F.col("recorded_at"), F.col("recorded_until"), temporal.moment(AT, v))
+    return v.groupBy("section_key").agg(F.count_if(force).alias("n")).select("section_key", constraints.exactly_one(F.col("n"), "version in force").alias("in_force"))
+
+
+@query("""WITH texts AS (SELECT DISTINCT sha256(text) AS text_sha, text FROM documents WHERE text IS NOT NULL)
+SELECT text_sha, 'letters-26' AS model, list_transform(range(26), lambda i: (length(text) - length(replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr((97 + i)::INT), '')))::VARCHAR).array_to_string(',') AS counts FROM texts""")
+def src_embedded(spark, sf_dir):
+    """The distinct texts through a registered embedder."""
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), "text")
+    made = embed(texts, "letters-26", 26)
+    return made.select("text_sha", "model", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("counts"))

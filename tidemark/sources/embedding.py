@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from string import ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,11 +31,17 @@ def word_hash(texts: list[str], size: int = 256) -> list[list[float]]:
     return out
 
 
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """How often each letter a to z, of either case, occurs: the plainest embedder there is."""
+    return [[float(t.count(c) + t.count(c.upper())) for c in ascii_lowercase] for t in texts]
+
+
 def register(model: str, embedder: Embedder) -> None:
     EMBEDDERS[model] = embedder
 
 
 register("word-hash-256", word_hash)
+register("letters-26", letter_counts)
 
 
 def embed(texts: DataFrame, model: str, dimension: int, batch: int = 256) -> DataFrame:

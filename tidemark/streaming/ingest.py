@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators import constraints
 from tidemark.operators.versions import LOG, _Section, rebuild_versions
+from tidemark.plans.ingest import bucket, stored
 
 CHANGES = "section_key string, version_no int, text string, valid_from date, valid_to date, recorded_at timestamp, recorded_until timestamp, document_id string, supersedes string, change string"
 
@@ -67,24 +69,39 @@ def latest(changes: DataFrame) -> DataFrame:
     return kept.groupBy("section_key", "version_no").agg(F.max_by(F.struct("text", "valid_from", "valid_to", "recorded_at", "recorded_until", "document_id", "supersedes"), F.col("change") == "close").alias("v")).select("section_key", "version_no", "v.*")
 
 
-def rebuild_on_arrival(spark: SparkSession, stream: DataFrame, log_path: str, versions_path: str, checkpoint: str) -> StreamingQuery:
+def rebuild_on_arrival(spark: SparkSession, stream: DataFrame, log_path: str, versions_path: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
     """Append each batch of clauses to the log and rebuild the versions of the sections it touches.
 
     A batch that is run again after a failure appends nothing twice: clauses are keyed by section,
-    document and number.  Versions are written by bucket of sections, so untouched ones stay.
+    document and number.  Versions are written by bucket of sections, so untouched ones stay.  The
+    rebuilt buckets are checked before anything is written: a batch that breaks a constraint fails
+    the stream and leaves log and versions as they were.
     """
+    key = ["section_key", "document_id", "clause_no"]
 
     def apply(batch: DataFrame, _: int) -> None:
-        exists = spark._jvm.org.apache.hadoop.fs.Path(log_path)
-        known = exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists)
-        part = F.pmod(F.xxhash64("section_key"), F.lit(64)).cast("int").alias("part")
-        new = batch.select(*LOG, part).dropDuplicates(["section_key", "document_id", "clause_no"])
-        if known:
-            new = new.join(spark.read.parquet(log_path).select("section_key", "document_id", "clause_no"), ["section_key", "document_id", "clause_no"], "left_anti")
-        new.write.mode("append").partitionBy("part").parquet(log_path)
-        touched = [r[0] for r in batch.select(part).distinct().collect()]  # at most 64
-        log = spark.read.parquet(log_path).where(F.col("part").isin(touched)) if touched else spark.read.parquet(log_path).limit(0)
-        rebuilt = rebuild_versions(log).withColumn("part", F.pmod(F.xxhash64("section_key"), F.lit(64)).cast("int"))
-        rebuilt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(versions_path)
+        part = bucket(F.col("section_key"), parts).alias("part")
+        new = batch.select(*LOG, part).dropDuplicates(key)
+        touched = [r[0] for r in new.select("part").distinct().collect()]  # at most ``parts``
+        if not touched:
+            return
+        before = stored(spark, log_path)
+        if before is not None:
+            before = before.where(F.col("part").isin(touched))
+            new = new.join(before.select(*key), key, "left_anti").select(*LOG, "part")
+        log = new if before is None else before.select(*LOG, "part").unionByName(new)
+        rebuilt = rebuild_versions(log).withColumn("part", part).persist()
+        try:
+            found = constraints.counted(
+                overlap=constraints.overlaps(rebuilt), interval=constraints.bad_intervals(rebuilt),
+                version_no_unique=constraints.duplicates(rebuilt, "section_key", "version_no"), superseded_exists=constraints.orphans(rebuilt, "supersedes", rebuilt, "version_id"),
+            )
+            broken = [f"{r['constraint_name']} ({r['violations']})" for r in found.where("violations > 0").collect()]
+            if broken:
+                raise ValueError("the clauses would break: " + ", ".join(sorted(broken)))
+            new.write.mode("append").partitionBy("part").parquet(log_path)
+            rebuilt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(versions_path)
+        finally:
+            rebuilt.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
