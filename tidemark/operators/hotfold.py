@@ -30,7 +30,8 @@ from tidemark.operators.versions import LOG, _Section
 _FAR, _NEVER, _LATER = 1 << 40, -(1 << 40), -(1 << 62)
 _KEY = ("span", "place", "fresh")
 _ROW = "section_key string, span int, place int, fresh int, text string, valid_from int, valid_to int, t long, document_id string"
-_BORN = f"{_ROW}, until long, nth int, old_span int, old_place int, old_fresh int"
+_EVENT = f"{_ROW}, until long, old_span int, old_place int, old_fresh int"
+_MERGED = f"{_EVENT}, nth int"
 
 
 class _Span(_Section):
@@ -42,7 +43,7 @@ class _Span(_Section):
 
     def __init__(self, key: str | None, span: int, rows: list | None = None) -> None:
         super().__init__(key)
-        self.span, self.place, self.rows, self.born = span, -1, rows or [], {}
+        self.span, self.place, self.rows = span, -1, rows or []
 
     def number(self) -> tuple:
         return self.span, self.place, 0
@@ -56,14 +57,8 @@ class _Span(_Section):
 
     def apply(self, kind: str, t: int, document: str, text: str, start: int, end: int | None, out: list) -> None:
         self.place += 1
-        before = len(self.born)
-        self.latest = None
-        cut = [r for r in self.rows if kind == "amendment" and r[2] < start and (r[3] is None or r[3] > start)]
         super().apply(kind, t, document, text, start, end, out)
-        if cut:
-            self.born[self.span, self.place, 0] = before
-        self.latest[0] = self.span, self.place, 1
-        self.born[self.latest[0]] = len(self.born)
+        self.latest[0] = self.span, self.place, 1  # the clause's own row comes last
 
 
 @dataclass
@@ -210,12 +205,26 @@ def _folded(effects: dict):
             out = []
             for where, text, start, end, t, until, document, old in found:
                 until = _LATER if where in open_here else until  # closed by a later span, which says when
-                out.append((key, *where, text, start, end, t, document, until, fold.born.get(where), *(old or (None, None, None))))
-            yield _batch(out, _BORN)
+                out.append((key, *where, text, start, end, t, document, until, *(old or (None, None, None))))
+            yield _batch(out, _EVENT)
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row once, numbered within its span: one closed by a later span is said twice, born and closed."""
+    for key, span, rows in _by_span(batches):
+        out: list[tuple] = []
+        for r in rows:  # (place, fresh, text, from, to, t, document, until, old...)
+            if out and out[-1][2:4] == r[:2]:
+                same = out.pop()
+                born, closed = (same, r[7]) if same[9] == _LATER else ((key, span, *r), same[9])
+                out.append((*born[:9], closed, *born[10:13], len(out)))
+            else:
+                out.append((key, span, *r, len(out)))
+        yield _batch(out, _MERGED)
+
+
 def micros(column: str, stamp: str) -> F.Column:
     """A timestamp of either kind as microseconds."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', {column})") if stamp == "timestamp_ntz" else F.unix_micros(column)
@@ -281,16 +290,14 @@ def fold_hot(log: DataFrame, counts: dict[str | None, int], clauses: int) -> Dat
     )
     none = {c: F.lit(None).cast("int") for c in ("born_span", "born_place", "born_fresh")}
     second = spans.withColumns(none).unionByName(as_rows).repartition("section_key", "span").sortWithinPartitions("section_key", "span", "flag", "recorded_at", "document_id", "clause_no")
-    events = second.mapInArrow(_folded(effects), _BORN)
-    # a row closed by a later span is said twice: born, with its number, and closed, with its end
-    rows = events.groupBy("section_key", *_KEY).agg(
-        *(F.max(c).alias(c) for c in ("text", "valid_from", "valid_to", "t", "document_id", "nth")), F.max("until").alias("until"), F.max(F.struct("old_span", "old_place", "old_fresh")).alias("old")
-    )
+    events = second.mapInArrow(_folded(effects), _EVENT)
+    # the last step takes all columns, so that the exchange below it is one for all who read these rows
+    rows = events.repartition("section_key", "span").sortWithinPartitions("section_key", *_KEY).mapInArrow(_merged, _MERGED)
     before = Window.partitionBy("section_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    offset = rows.groupBy("section_key", "span").agg(F.count("*").alias("n")).select("section_key", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = rows.join(offset, [rows["section_key"].eqNullSafe(offset["section_key"]), rows["span"] == offset["span"]]).select(rows["*"], (F.col("offset") + F.col("nth") + 1).cast("int").alias("version_no"))
+    offset = rows.groupBy("section_key", "span").agg(F.count("*").alias("n")).select(F.col("section_key").alias("_section"), F.col("span").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = rows.join(offset, [F.col("section_key").eqNullSafe(F.col("_section")), F.col("span") == F.col("_of")]).withColumn("version_no", (F.col("offset") + F.col("nth") + 1).cast("int")).drop("_section", "_of", "offset")
     older = numbered.select(F.col("section_key").alias("_key"), *(F.col(c).alias(f"_{c}") for c in _KEY), F.col("version_no").alias("old_no"))
-    on = [numbered["section_key"].eqNullSafe(F.col("_key")), *(F.col(f"old.old_{c}") == F.col(f"_{c}") for c in _KEY)]
+    on = [numbered["section_key"].eqNullSafe(F.col("_key")), *(F.col(f"old_{c}") == F.col(f"_{c}") for c in _KEY)]
     moment = lambda c: F.expr(f"timestampadd(MICROSECOND, {c}, TIMESTAMP_NTZ '1970-01-01')") if stamp == "timestamp_ntz" else F.timestamp_micros(c)
     day = lambda c: F.date_from_unix_date(c)
     return numbered.join(older, on, "left").select(

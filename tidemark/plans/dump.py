@@ -76,8 +76,9 @@ def measured(df: DataFrame) -> list[Step]:
     for k, (depth, node, metrics) in enumerate(found):
         rows, removed = metrics.get("numOutputRows"), None
         if node.nodeName() == "Filter" and rows is not None:
-            below = next((m["numOutputRows"] for _, _, m in found[k + 1 :] if "numOutputRows" in m), None)
-            removed = None if below is None else below - rows
+            # what it read is what the next counting operator passed on, if only operators that keep rows lie between
+            at = next((j for j in range(k + 1, len(found)) if found[j][1].nodeName() not in ("Project", "ColumnarToRow")), k)
+            removed = found[at][2]["numOutputRows"] - rows if "numOutputRows" in found[at][2] and at > k else None
         out.append(Step(depth, node.nodeName(), elided(node.simpleString(400)), rows, removed, metrics))
     return out
 

@@ -22,7 +22,7 @@ from tidemark.sources.corpus import clause_log
 
 
 #: Clauses of a section, and versions of one, beyond which many tasks share it.
-HOT = 2_000_000
+HOT = 20_000_000
 
 
 class StaleStore(RuntimeError):
