@@ -53,7 +53,18 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scope.get().append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._kept_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``kept`` returned, before their scope ends: nothing that is still to run may read them."""
+    for table in tables:
+        delete(table.sparkSession, table._kept_path)
+        for paths in (_scope.get(), _outside):
+            if table._kept_path in paths:
+                paths.remove(table._kept_path)
 
 
 def release(spark: SparkSession) -> None:

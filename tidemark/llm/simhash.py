@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary_text, kept
+from tidemark.llm.common import binary_text, discard, kept
 from tidemark.llm.components import connected_components
 
 
@@ -303,6 +303,7 @@ def _remaining(whole: DataFrame, named: DataFrame, *, width: int, similarity: fl
     placed = kept(nodes.mapInArrow(_prefixes(width, similarity, frequent), "s long, node long, group long, size int, rank int"), "prefixes")
     sizes = kept(placed.groupBy("s").agg(F.count("*").alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).where("a != b").select("s", "n"), "sizes")
     shared = kept(placed.join(sizes, "s").select("s", "n", "node", "group", "size", (F.col("size") - F.col("rank")).alias("rest")), "shared")
+    discard(placed, sizes)
     few = shared.where(F.col("n") <= pairs_up_to)
     side = lambda c: few.select("s", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "group", "size", "rest")))
     both = F.col("u_size") + F.col("v_size")
@@ -321,6 +322,7 @@ def _remaining(whole: DataFrame, named: DataFrame, *, width: int, similarity: fl
         .select("s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "group", "size", "rest")
     )
     asked = kept(pairs.unionByName(many.groupBy("s", "lo", "hi").applyInPandas(_crossing(similarity), "u long, v long")).distinct(), "asked")
+    discard(shared)
     wanted = named.join(asked.select(F.col("u").alias("node")).unionByName(asked.select(F.col("v").alias("node"))).distinct(), "node").select("row", "node")
     read = kept(texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "text"), "read")
     at = lambda c: read.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
