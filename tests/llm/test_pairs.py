@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tests.llm.edges import DATA, docs, empty
 from tidemark.llm import queries
 from tidemark.llm.components import connected_components
 from tidemark.llm.decontam import MASKS, contaminated, decontaminate
-from tidemark.llm.simhash import _forest, block_masks, drop_near_duplicates, links, near_duplicates
+from tidemark.llm.simhash import _SHORT, _apart, _folded, _forest, _parity, _unlike, block_masks, drop_near_duplicates, links, near_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -128,6 +129,25 @@ def test_pairs_across_groups_in_chunks(spark):
     assert len(want) > 60
 
 
+def test_parity_maps_are_bounds():
+    rng = np.random.default_rng(5)
+    told = 0
+    for _ in range(2000):
+        n, extra = int(rng.integers(1, 900)), int(rng.integers(0, 300))
+        pool = rng.integers(-(1 << 63), (1 << 63) - 1, n + extra)
+        u, v = np.unique(pool[:n]), np.unique(pool[rng.random(n + extra) < rng.random()])
+        apart = len(np.setxor1d(u, v))
+        x, y = _parity(u), _parity(v)
+        assert _apart(x.tobytes(), y.tobytes()) <= apart
+        short = np.bitwise_count(_folded(x, _SHORT // 8) ^ _folded(y, _SHORT // 8)).sum()
+        assert short <= apart
+        similar = len(np.intersect1d(u, v)) >= 0.8 * len(np.union1d(u, v))
+        possible = _apart(x.tobytes(), y.tobytes()) <= _unlike(0.8) * (len(u) + len(v)) + 1e-6
+        assert possible or not similar
+        told += possible == similar
+    assert told > 1900
+
+
 def test_edges_of_near_duplicates(spark):
     d = docs(spark)
     found = near_duplicates(d)

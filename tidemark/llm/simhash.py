@@ -211,10 +211,11 @@ def _shingle_hashes(raw: bytes, width: int) -> np.ndarray:
     return np.unique(run.view(np.int64))
 
 
-def _frequent(texts: DataFrame, n: int, width: int, entries: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(texts: DataFrame, n: int, width: int, share: int = 8, entries: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur often in a sample of ``texts(row, text)``, ascending, and how often.
 
-    They only order the shingles: a sample that misses one costs time and changes no result.
+    They only order the shingles: a sample that misses one costs time and changes no result.  From
+    ``8192 * share`` texts on, one in ``share`` is read, so what counts as frequent is the same at any size.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,20 +223,56 @@ def _frequent(texts: DataFrame, n: int, width: int, entries: int = 1 << 20) -> t
             found = [_shingle_hashes(x.as_py(), width) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], names=["s"])
 
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // (8192 + (n >> 6))))) == 0).select("text")
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, min(share, n // 8192)))) == 0).select("text")
     counted = sample.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(entries).toArrow()
     s, times = counted["s"].to_numpy(), counted["n"].to_numpy()
     order = np.argsort(s)
     return s[order], times[order]
 
 
+#: Bits of the short map that travels with every prefix row, and the sizes for which it can tell sets apart.
+_SHORT, _SHORT_SIZES = 256, 640
+_MAPS = [f"m{k}" for k in range(_SHORT // 64)]
+
+
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Parity map of a set of hashes as bytes: a bit says whether an odd number of them falls there.
+
+    Two maps differ in at most as many bits as the sets have members that are not in both.  There
+    are four bits a member or more, a power of two, so that a longer map folds to a shorter one.
+    """
+    bits = max(_SHORT, 1 << (4 * len(own) - 1).bit_length())
+    return np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(np.uint8))
+
+
+def _folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """The parity map of the same set in ``size`` bytes."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
+
+
+def _apart(u: bytes, v: bytes) -> int:
+    """Least number of members in which the sets of two parity maps differ."""
+    size = min(len(u), len(v))
+    x, y = (_folded(np.frombuffer(m, np.uint8), size) for m in (u, v))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _unlike(similarity: float) -> float:
+    """Largest share of the members of two sets, both sizes added, that may be in one set only."""
+    return (1 - similarity) / (1 + similarity)
+
+
 def _prefixes(width: int, similarity: float, frequent):
-    """Arrow function: the rarest shingles of each text, as many as any similar text must share one of."""
+    """Arrow function: the rarest shingles of each text, as many as any similar text must share one of.
+
+    Every row has the short parity map of the text's set (zeros where the set is too large for it),
+    the row of rank 0 the whole map.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = frequent.value
         for b in batches:
-            parts = []
+            parts, maps = [], []
             for x in b.column(2):
                 own = _shingle_hashes(x.as_py(), width)
                 often = np.zeros(len(own), np.int64)
@@ -244,36 +281,57 @@ def _prefixes(width: int, similarity: float, frequent):
                     often = np.where(known[at] == own, times[at], 0)
                 n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
                 parts.append((len(own), own[np.argsort(often, kind="stable")[:n]]))
+                maps.append(_parity(own))
             lengths = np.array([len(p) for _, p in parts], np.int64)
+            sizes = np.array([n for n, _ in parts], np.int32)
+            rank = np.concatenate([*map(np.arange, lengths), np.empty(0, np.int64)]).astype(np.int32)
+            short = np.concatenate([*(_folded(m, _SHORT // 8) for m in maps), np.empty(0, np.uint8)]).view(np.int64).reshape(len(maps), len(_MAPS))
+            short = np.where((sizes < _SHORT_SIZES)[:, None], short, 0)
             again = lambda c: pa.array(np.repeat(c, lengths))
+            whole = pa.array([m.tobytes() for m in maps], pa.binary()).take(pa.array(np.repeat(np.arange(len(maps)), lengths), mask=rank > 0))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([*(p for _, p in parts), np.empty(0, np.int64)])), again(b.column(0).to_numpy()), again(b.column(1).to_numpy()),
-                    again(np.array([n for n, _ in parts], np.int32)), pa.array(np.concatenate([*map(np.arange, lengths), np.empty(0, np.int64)]).astype(np.int32)),
+                    again(sizes), pa.array(rank), *(again(short[:, k]) for k in range(len(_MAPS))), whole,
                 ],
-                names=["s", "node", "group", "size", "rank"],
+                names=["s", "node", "group", "size", "rank", *_MAPS, "parity"],
             )
 
     return of
 
 
 def _crossing(similarity: float):
-    """Group function: pairs of different groups among the texts with one shingle that sizes and ranks allow."""
+    """Group function: pairs of different groups among the texts with one shingle that sizes, ranks and short maps allow."""
     share = similarity / (1 + similarity)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").sort_values("size")
         node, group, size, rest = (pdf[c].to_numpy(np.int64) for c in ("node", "group", "size", "rest"))
+        maps = pdf[_MAPS].to_numpy(np.int64).view(np.uint64)
         out = [np.empty((0, 2), np.int64)]
         ends = np.searchsorted(size, size / similarity + 1e-6, "right")
         for i, end in enumerate(ends):
             near = i + 1 + np.flatnonzero((group[i + 1 : end] != group[i]) & (np.minimum(rest[i], rest[i + 1 : end]) >= share * (size[i] + size[i + 1 : end]) - 1e-6))
+            apart = np.bitwise_count(maps[near] ^ maps[i]).sum(axis=1)
+            near = near[(size[near] >= _SHORT_SIZES) | (apart <= _unlike(similarity) * (size[i] + size[near]) + 1e-6)]
             out.append(np.column_stack([np.minimum(node[i], node[near]), np.maximum(node[i], node[near])]))
         return pd.DataFrame(np.concatenate(out), columns=["u", "v"])
 
     return of
 
 
+def _possible(similarity: float):
+    """Arrow function: the pairs of ``(u, v, u_parity, v_parity, both)`` whose whole parity maps allow the similarity."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parity = zip(b.column(2), b.column(3), b.column(4).to_pylist(), strict=True)
+            right = [_apart(x.as_py(), y.as_py()) <= _unlike(similarity) * both + 1e-6 for x, y, both in parity]
+            yield b.select(["u", "v"]).filter(pa.array(right, pa.bool_()))
+
+    return of
+
+
 def _verified(width: int, similarity: float):
     """Arrow function: the pairs of ``(u, v, u_text, v_text)`` whose shingle sets have that Jaccard similarity."""
 
@@ -294,24 +352,28 @@ def _remaining(whole: DataFrame, named: DataFrame, *, width: int, similarity: fl
 
     Two similar texts share one of the first ``n - ceil(similarity * n) + 1`` of their ``n`` shingles
     in any order common to all; here the rarest come first.  Texts with a shingle in common are
-    paired if they are of different groups and sizes and ranks allow the similarity; every pair left
-    is compared on its texts.
+    paired if they are of different groups and sizes, ranks and short parity maps allow the
+    similarity.  Maps are bounds, never estimates: no similar pair is lost.  The whole maps, far
+    shorter than texts, are compared next, and every pair still left is compared on its texts.
     """
     texts = whole.select("row", "text")
     frequent = whole.sparkSession.sparkContext.broadcast(_frequent(texts, named.count(), width))
     nodes = texts.dropDuplicates(["row"]).join(named, "row").select("node", "group", "text")
-    placed = kept(nodes.mapInArrow(_prefixes(width, similarity, frequent), "s long, node long, group long, size int, rank int"), "prefixes")
+    placed = kept(nodes.mapInArrow(_prefixes(width, similarity, frequent), f"s long, node long, group long, size int, rank int, {', '.join(f'{m} long' for m in _MAPS)}, parity binary"), "prefixes")
+    parity = kept(placed.where("rank = 0").select("node", "size", "parity"), "parity")
     sizes = kept(placed.groupBy("s").agg(F.count("*").alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).where("a != b").select("s", "n"), "sizes")
-    shared = kept(placed.join(sizes, "s").select("s", "n", "node", "group", "size", (F.col("size") - F.col("rank")).alias("rest")), "shared")
+    shared = kept(placed.join(sizes, "s").select("s", "n", "node", "group", "size", (F.col("size") - F.col("rank")).alias("rest"), *_MAPS), "shared")
     discard(placed, sizes)
     few = shared.where(F.col("n") <= pairs_up_to)
-    side = lambda c: few.select("s", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "group", "size", "rest")))
+    side = lambda c: few.select("s", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "group", "size", "rest", *_MAPS)))
+    apart = sum((F.bit_count(F.col(f"u_{m}").bitwiseXOR(F.col(f"v_{m}"))) for m in _MAPS), F.lit(0))
     both = F.col("u_size") + F.col("v_size")
     pairs = (
         side("u").join(side("v"), "s")
         .where((F.col("u_node") < F.col("v_node")) & (F.col("u_group") != F.col("v_group")))
         .where(F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size") - 1e-6)
         .where(F.least("u_rest", "v_rest") >= similarity / (1 + similarity) * both - 1e-6)
+        .where((F.greatest("u_size", "v_size") >= _SHORT_SIZES) | (apart <= _unlike(similarity) * both + 1e-6))
         .select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
     )
     parts = F.ceil(F.col("n") / chunk).cast("int")
@@ -319,10 +381,14 @@ def _remaining(whole: DataFrame, named: DataFrame, *, width: int, similarity: fl
     many = (
         shared.where(F.col("n") > pairs_up_to)
         .withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
-        .select("s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "group", "size", "rest")
+        .select("s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "group", "size", "rest", *_MAPS)
     )
-    asked = kept(pairs.unionByName(many.groupBy("s", "lo", "hi").applyInPandas(_crossing(similarity), "u long, v long")).distinct(), "asked")
+    crossing = kept(pairs.unionByName(many.groupBy("s", "lo", "hi").applyInPandas(_crossing(similarity), "u long, v long")).distinct(), "crossing")
     discard(shared)
+    at = lambda c: parity.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("parity").alias(f"{c}_parity"))
+    mapped = crossing.join(at("u"), "u").join(at("v"), "v").select("u", "v", "u_parity", "v_parity", (F.col("u_size") + F.col("v_size")).alias("both"))
+    asked = kept(mapped.mapInArrow(_possible(similarity), "u long, v long"), "asked")
+    discard(crossing, parity)
     wanted = named.join(asked.select(F.col("u").alias("node")).unionByName(asked.select(F.col("v").alias("node"))).distinct(), "node").select("row", "node")
     read = kept(texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "text"), "read")
     at = lambda c: read.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
