@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.llm.edges import DATA, docs, empty
 from tidemark.llm import queries
 from tidemark.llm.ann import SmallWorld, nearest
-from tidemark.llm.mixing import mix, source_targets
+from tidemark.llm.mixing import mix, range_digits, source_targets
 from tidemark.llm.urlfilter import judge_urls
 
 
@@ -57,6 +57,9 @@ def test_mix_budgets(spark):
         by.setdefault(r.source, [0, r.target])[0] += r.taken
     assert all(abs(t - target) <= 1 for t, target in by.values())
     assert sorted(map(str, rows)) == sorted(map(str, mix(d.repartition(7)).collect()))
+    for digits in (1, 4):
+        assert sorted(map(str, rows)) == sorted(map(str, mix(d, digits=digits).collect()))
+    assert [range_digits(n, 100) for n in (0, 409_600, 409_601, 10**10)] == [3, 3, 4, 7]
     assert mix(empty(spark)).count() == 0
 
 

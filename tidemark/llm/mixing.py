@@ -29,12 +29,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return filled.withColumn("fits", fits).select("source", "source_size", F.least("cap", F.coalesce(F.col("fits") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2, seed: str = "mix", digits: int = 3, whole: bool = False) -> DataFrame:
+def range_digits(rows: int, range_rows: int) -> int:
+    """Hex digits of a key prefix so that ``rows`` uniform keys put about ``range_rows`` under each; at least three."""
+    digits = 3
+    while rows > range_rows * 16**digits:
+        digits += 1
+    return digits
+
+
+def mix(docs: DataFrame, size: Column | None = None, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2, seed: str = "mix", digits: int | None = None, range_rows: int = 50_000, whole: bool = False) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken``: the words the mix takes of each document.
 
     Documents of a source are ordered by a hash-random key, ``md5(doc_id:seed)``.  Key prefixes of
     ``digits`` hex digits are its range partitions: a source's keys are uniform, so even a hot
-    source spreads over ``16 ** digits`` groups.  Sums of the groups give each its offset, a window
+    source spreads over ``16 ** digits`` groups.  Unless given, ``digits`` follows the counted rows:
+    one source with all of them would have ranges of about ``range_rows`` rows; three at least.
+    The rows are the same for any ``digits``.  Sums of the groups give each its offset, a window
     inside the group gives the document's prefix sum, and the source's budget ``floor(target)`` is
     cut exactly there: full epochs first, then the documents before the cut once more, the one at
     the cut in part.  Reruns agree, as nothing depends on the partitioning.
@@ -49,7 +59,10 @@ def mix(docs: DataFrame, size: Column | None = None, *, weights: tuple[float, ..
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     rest = [c for c in docs.columns if c not in ("doc_id", "source", "size", "source_size", "target", "taken")] if whole else []
     wide = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *([F.struct(*rest).alias("rest")] if rest else []))
-    sized = (wide if whole else kept(wide, "sizes")).withColumn("bucket", F.substring("key", 1, digits))
+    sized = wide if whole else kept(wide, "sizes")
+    if digits is None:
+        digits = range_digits((docs if whole else sized).count(), range_rows)
+    sized = sized.withColumn("bucket", F.substring("key", 1, digits))
     sums = kept(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "bucket-sizes")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
