@@ -32,6 +32,8 @@ def test_op1_held_out_accuracy(spark):
 def test_lexicon_folds_spares_and_normalises():
     lex = Lexicon({"idiot ": 2.0, "lowei": 1.0, "idio": 0.5}, ["harmless idiot box"])
     assert folded("1D10T іdіоt") == " idiot idiot "
+    assert folded("id!ot! $hit ïdîöt") == " idiot shit idiot "
+    assert folded("5 13 7, $5 !") == folded("") == "  "
     assert lex.hits("An 1D10T, an іdіоt!")[:2] == (pytest.approx(2 * (1 + math.log(2))), 2)
     assert lex.hits("loweiab loweicd flowei")[:2] == (pytest.approx(1 + math.log(2)), 2)
     assert lex.hits("loweiab idiot")[:2] == (3.0, 2)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,24 +25,38 @@ LOOKALIKES = dict(zip("аеорсухіјѕԁԛԝһʏѵгкмтвн", "aeopcyxij
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a"}
 
 
+SIGNS = {"!": "i", "$": "s"}
+_BANG, _DOLLAR = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])"), re.compile(r"\$(?=[^\W\d_])")
+_INSIDE, _OUTSIDE = str.maketrans(DIGITS), str.maketrans(dict.fromkeys(SIGNS, " "))
+
+
 class _Fold(dict):
-    """Code point to folded character; letters stay, all else is a space.  Filled as needed."""
+    """Code point to folded character: letters without accents; signs that may stand for one stay, all else is a space.  Filled as needed."""
 
     def __missing__(self, c: int) -> str:
         ch = chr(c)
         if 0xFF01 <= c <= 0xFF5E:  # full-width forms
             ch = chr(c - 0xFEE0).lower()
-        ch = LOOKALIKES.get(ch, DIGITS.get(ch, ch))
-        self[c] = ch if ch.isalpha() else "" if c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF) else " "
+        base = unicodedata.normalize("NFD", ch)[0]
+        ch = LOOKALIKES.get(ch, base if base.isascii() else ch)
+        joined = c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF) or 0x300 <= c <= 0x36F
+        self[c] = ch if ch.isalpha() or ch in DIGITS or ch in SIGNS else "" if joined else " "
         return self[c]
 
 
 _FOLD = _Fold()
 
 
+def _letters(word: str) -> list[str]:
+    """The words in a run of letters, digits and signs: "!" counts between letters, "$" before one, digits and "@" beside letters."""
+    runs = _DOLLAR.sub(SIGNS["$"], _BANG.sub(SIGNS["!"], word)).translate(_OUTSIDE).split()
+    return [r.translate(_INSIDE) for r in runs if any(map(str.isalpha, r))]
+
+
 def folded(text: str) -> str:
-    """Lower case, look-alikes folded, words of letters set apart by single spaces, one at each end."""
-    return " " + " ".join(text.lower().translate(_FOLD).split()) + " "
+    """Lower case, accents off, look-alikes folded, words of letters set apart by single spaces, one at each end; numbers are no words."""
+    words = text.lower().translate(_FOLD).split()
+    return " " + " ".join(x for w in words for x in ((w,) if w.isalpha() else _letters(w))) + " "
 
 
 @dataclass
