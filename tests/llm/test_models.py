@@ -3,12 +3,14 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.edges import DATA, docs, empty
-from tidemark.llm import queries
+from tidemark.llm import lm, queries
 from tidemark.llm.langid import fit_languages, identify
 from tidemark.llm.lm import GatedLM, Lanes, Vocabulary, _sequences, count_words, fit_lm, fit_vocabulary, gradients, score_documents, train
 from tidemark.llm.suffixes import Chunk
@@ -224,6 +226,43 @@ def test_op3_score_equals_naive_scoring(spark):
             assert r.score == pytest.approx(naive_score(model, texts[r.doc_id], known), rel=1e-4)
 
 
+def test_op3_every_learning_row_trains(spark, monkeypatch):
+    """Texts of all rows, repeats included, reach the network, in even shares of all replicas of every round."""
+    rows = [(i, f"w{i % 50} a b") for i in range(9000)] + [(7, "again and again")] * 1000
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rounds, collect = [], lm.bounded_rows
+    monkeypatch.setattr(lm, "bounded_rows", lambda *a: rounds.append(collect(*a)) or rounds[-1])
+    fit_lm(frame, count_words(frame), replica_words=2500)
+    assert sum(r[1] for found in rounds for r in found) == 40_000
+    assert all(len(found) == 4 and min(r[1] for r in found) > 2000 for found in rounds)
+
+
+def test_op3_pieces_hold_every_token_once():
+    model, text = small_model()
+    texts = [text, b"", b"a b c d", b"a b c d"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 3]), pa.array([5, 6, 7, 7]), pa.array(texts, pa.binary())], names=["doc_id", "row", "text"])
+    found = [r for b in lm._pieces(SimpleNamespace(value=model), 7, 1000)(iter([batch])) for r in b.to_pylist()]
+    c = Chunk(np.array([1, 2, 3, 3]), np.array([5, 6, 7, 7]), texts)
+    x, y, _ = _sequences(c.first, model.vocabulary.encode(c)[1], model.vocabulary.end)
+    pieces = [np.frombuffer(r["piece"], np.uint16).astype(int) for r in found]
+    assert [n for p in pieces for n in p[:-1]] == x.tolist() and [n for p in pieces for n in p[1:]] == y.tolist()
+    assert [r["tokens"] for r in found] == [len(p) - 1 for p in pieces] and max(r["tokens"] for r in found) <= 7
+    assert [(r["h"], r["nth"]) for r in found if r["h"] != 5] == [(6, 0), (7, 0), (7, 1)] and [r["no"] for r in found if r["h"] == 5] == list(range(23))
+
+
+def test_op3_large_logits_are_shifted(monkeypatch):
+    model, _ = small_model()
+    h, y = np.random.default_rng(2).normal(size=(50, 5)).astype(np.float32), np.arange(50) % 7
+    plain = model.outputs(h, y, back=True)
+    monkeypatch.setattr(lm, "_SAFE", 0)
+    shifted = model.outputs(h, y, back=True)
+    assert shifted[0] == pytest.approx(plain[0], rel=1e-4) and np.allclose(shifted[1], plain[1], atol=1e-5)
+    assert all(np.allclose(shifted[2][k], plain[2][k], atol=1e-4) for k in "CcOo")
+    monkeypatch.undo()
+    model.weights["C"] = model.weights["C"] * np.float32(1e4)
+    assert np.isfinite(model.outputs(h, y, back=True)[0]).all()
+
+
 def test_op3_a_very_long_text_takes_memory_by_its_words():
     plan = Lanes(np.array([3, 2_000_000, 5, 4]), 256)
     assert len(plan.flat) == 2_000_012 and plan.steps == 2_000_000 and sorted(plan.at(0, np.zeros(3_000_000, bool))[0].tolist()) == [0, 3, 2_000_003, 2_000_008]

@@ -20,10 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary_text, bounded_rows, kept
+from tidemark.llm.common import binary_text, bounded_rows, discard, kept
 from tidemark.llm.suffixes import Chunk, chunks
 
 #: Code of the end of a document; no word has it.
@@ -88,9 +88,9 @@ class Vocabulary:
         return at, np.where(slot >= 0, slot, self.head + self.tail_of[c.endings])
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    """doc_id, 0, and the text as bytes: what ``chunks`` takes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), binary_text().alias("text"))
+def _lowered(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, ``row`` (0), and the text as bytes: what ``chunks`` takes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if row is None else row).cast("long").alias("row"), binary_text().alias("text"))
 
 
 def _lower_chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Chunk]:
@@ -148,6 +148,71 @@ def fit_vocabulary(counts: DataFrame, *, entries: int = 1 << 19, head: int = 204
     return Vocabulary(codes, n, slot, sum(r["n"] for r in bands), sum(r["v"] for r in bands), tail_of, np.log10(tail_n + tail_v + 1), n[top], tail_n)
 
 
+#: Tokens whose class probabilities are in memory at once.
+_BLOCK = 2048
+#: Logits within this bound need no shift before their exponentials are taken.
+_SAFE = 60.0
+
+
+def _softmax(h: np.ndarray, place: np.ndarray, w: np.ndarray, bias: np.ndarray, weigh: np.ndarray, safe: bool, back: bool) -> tuple:
+    """Log probability of each row's place under ``softmax(h w + bias)``; ``weigh`` is exp(bias).
+
+    With ``back``, also the gradient of the losses by ``h``, and the share of all places in those by
+    ``w`` and ``bias``: the rows' own places are left for the caller to subtract.
+    """
+    q = h @ w
+    if not safe:
+        q -= (q + bias).max(axis=1, keepdims=True)
+    own = q.reshape(-1)[np.arange(0, q.size, q.shape[1]) + place]
+    np.exp(q, out=q)
+    total = q @ weigh
+    logs = own + bias[place] - np.log(total)
+    if not back:
+        return logs, None, None, None
+    share = 1 / total
+    dh = q @ (w * weigh).T
+    dh *= share[:, None]
+    dh -= w.T[place]
+    return logs, dh, (h * share[:, None]).T @ q * weigh, share @ q * weigh
+
+
+@dataclass
+class _Run:
+    """States of a window, step after step, and what the backward pass needs."""
+
+    before: np.ndarray
+    a: np.ndarray
+    zr: np.ndarray
+    m: np.ndarray
+    h: np.ndarray
+
+
+def _forward(recurrence: tuple[np.ndarray, np.ndarray], x: np.ndarray, fresh: np.ndarray, bounds: list[int], state: np.ndarray) -> _Run:
+    """The recurrence over the steps between ``bounds``; ``fresh`` marks tokens before which the state is zero."""
+    table, u = recurrence
+    keep, n = ~fresh, u.shape[2]
+    run = _Run(*(np.empty(s, table.dtype) for s in ((len(x), n), (3, len(x), n), (2, len(x), n), (len(x), n), (len(x), n))))
+    restarts = np.add.reduceat(fresh, bounds[:-1], dtype=np.int64).tolist() if len(x) else []
+    for i, j, some in zip(bounds, bounds[1:], restarts, strict=False):
+        before, a, zr, m, h, g = run.before[i:j], run.a[:, i:j], run.zr[:, i:j], run.m[i:j], run.h[i:j], table.take(x[i:j], axis=1)
+        before[...] = state[: j - i]
+        if some:
+            before *= keep[i:j, None]
+        np.matmul(before, u, out=a)
+        np.add(g[:2], a[:2], out=zr)
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        np.multiply(zr[1], a[2], out=m)
+        m += g[2]
+        np.tanh(m, out=m)
+        np.subtract(before, m, out=h)
+        h *= zr[0]
+        h += m
+        state = h
+    return run
+
+
 @dataclass
 class GatedLM:
     """Weights of the network over a vocabulary.
@@ -181,57 +246,64 @@ class GatedLM:
         head = self.vocabulary.head
         return np.where(y < head, y // CLASS_WORDS, len(self.weights["o"]) + y - head)
 
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """New state, and what the backward pass needs."""
-        n = h.shape[1]
-        a = h @ self.weights["U"]
-        zr = gates[:, : 2 * n] + a[:, : 2 * n]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= 0.5
-        z, r = zr[:, :n], zr[:, n:]
-        m = np.tanh(gates[:, 2 * n :] + r * a[:, 2 * n :])
-        return m + z * (h - m), z, r, m, a[:, 2 * n :]
+    def recurrence(self) -> tuple[np.ndarray, np.ndarray]:
+        """Gates of every input, (3, inputs, units), and state to gates, (3, units, units).
+
+        Update and reset are halved: a logistic function is ``0.5 + 0.5 tanh(x / 2)``.
+        """
+        w, n = self.weights, len(self.weights["U"])
+        half = np.array([0.5, 0.5, 1], w["U"].dtype)[:, None, None]
+        split = lambda a: a.reshape(-1, 3, n).transpose(1, 0, 2)
+        return np.matmul(w["E"], split(w["W"]) * half) + split(w["b"]) * half, np.ascontiguousarray(split(w["U"]) * half)
 
     def outputs(self, h: np.ndarray, y: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray | None, dict]:
         """Natural log probability of each target's class and, in the head, of its place in the class.
 
-        With ``back``, also the gradients of the sum of the losses.
+        With ``back``, also the gradients of the sum of the losses.  Tokens are taken in order of their
+        targets, so the classes and the words of a class lie side by side.
         """
-        w, k = self.weights, self.class_of(y)
-        logits = h @ w["C"] + w["c"]
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(y)), k]
-        p = np.exp(logits, out=logits)
-        total = p.sum(axis=1)
-        out = own.astype(np.float64) - np.log(total)
-        grads: dict[str, np.ndarray] = {}
-        dh = None
-        if back:
-            p /= total[:, None]
-            p[np.arange(len(y)), k] -= 1
-            grads = {"C": h.T @ p, "c": p.sum(axis=0), "O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"])}
-            dh = p @ w["C"].T
-        order = np.argsort(k.astype(np.uint16), kind="stable")
-        edges = np.searchsorted(k[order], np.arange(len(w["o"]) + 1))
-        for j in np.flatnonzero(np.diff(edges)):
-            at = order[edges[j] : edges[j + 1]]
-            place = y[at] - j * CLASS_WORDS
-            q = h[at] @ w["O"][j].T + w["o"][j]
-            q -= q.max(axis=1, keepdims=True)
-            mine = q[np.arange(len(at)), place]
-            np.exp(q, out=q)
-            total = q.sum(axis=1)
-            out[at] += mine - np.log(total)
+        w, head = self.weights, self.vocabulary.head
+        order = np.argsort(y.astype(np.uint16) if len(w["E"]) <= 1 << 16 else y, kind="stable")
+        hs, ys = h[order], y[order]
+        k = self.class_of(ys)
+        out, dh = np.empty(len(y)), np.empty_like(hs) if back else None
+        safe = bool(np.abs(w["C"]).sum(axis=0).max(initial=0) < _SAFE and np.abs(w["O"]).sum(axis=2).max(initial=0) < _SAFE)
+        c, o = w["c"] - w["c"].max(), w["o"] - w["o"].max(axis=1, keepdims=True)
+        c_weigh, o_weigh = np.exp(c), np.exp(o)
+        gC, gc, gO, go = (np.zeros_like(w[name]) for name in "CcOo")
+        for i in range(0, len(ys), _BLOCK):
+            at = slice(i, i + _BLOCK)
+            out[at], d, gw, gb = _softmax(hs[at], k[at], w["C"], c, c_weigh, safe, back)
             if back:
-                q /= total[:, None]
-                q[np.arange(len(at)), place] -= 1
-                grads["O"][j], grads["o"][j] = q.T @ h[at], q.sum(axis=0)
-                dh[at] += q @ w["O"][j]
-        return out, dh, grads
-
-    def score(self, c: Chunk, lanes: int = 256, window: int = 256) -> dict[str, np.ndarray]:
+                dh[at] = d
+                gC += gw
+                gc += gb
+        edges = np.searchsorted(k, np.arange(len(o) + 1)).tolist()
+        for j in range(len(o)):
+            if edges[j] < edges[j + 1]:
+                at = slice(edges[j], edges[j + 1])
+                logs, d, gw, gb = _softmax(hs[at], ys[at] - j * CLASS_WORDS, w["O"][j].T, o[j], o_weigh[j], safe, back)
+                out[at] += logs
+                if back:
+                    dh[at] += d
+                    gO[j], go[j] = gw.T, gb
+        logs = np.empty_like(out)
+        logs[order] = out
+        if not back:
+            return logs, None, {}
+        first = np.flatnonzero(np.diff(ys, prepend=-1))
+        own, n = ys[first], np.diff(first, append=len(ys))
+        sums = np.add.reduceat(hs, first, axis=0) if len(first) else hs
+        np.subtract.at(gC.T, self.class_of(own), sums)
+        np.subtract.at(gc, self.class_of(own), n)
+        inside = own < head
+        gO.reshape(-1, gO.shape[2])[own[inside]] -= sums[inside]
+        go.reshape(-1)[own[inside]] -= n[inside]
+        unsorted = np.empty_like(dh)
+        unsorted[order] = dh
+        return logs, unsorted, {"C": gC, "c": gc, "O": gO, "o": go}
+
+    def score(self, c: Chunk, lanes: int = 512, window: int = 32) -> dict[str, np.ndarray]:
         """Per document of the chunk: tokens, known tokens, base and model log10 probability; the rest.
 
         The rest are words outside the dictionary; their counts add ``log10(count + 1)`` to both
@@ -244,21 +316,13 @@ class GatedLM:
         x, y, start = _sequences(c.first, number, v.end)
         logs = np.zeros(len(x))
         plan = Lanes(sizes + 1, lanes)
-        table = self.weights["E"] @ self.weights["W"] + self.weights["b"]
-        hidden = self.weights["U"].shape[0]
-        state = np.zeros((plan.lanes, hidden), np.float32)
+        recurrence = self.recurrence()
+        state = np.zeros((plan.lanes, len(self.weights["U"])), np.float32)
         for t0 in range(0, plan.steps, window):
-            places, states = [], []
-            for t in range(t0, min(t0 + window, plan.steps)):
-                pos, fresh = plan.at(t, start)
-                before = state[: len(pos)]
-                if len(fresh):
-                    before = before.copy()
-                    before[fresh] = 0
-                state = self.step(table[x[pos]], before)[0]
-                places.append(pos), states.append(state)
-            pos = np.concatenate(places)
-            logs[pos] = self.outputs(np.concatenate(states), y[pos])[0]
+            pos, bounds = plan.window(t0, min(t0 + window, plan.steps))
+            run = _forward(recurrence, x[pos], start[pos], bounds, state)
+            state = run.h[bounds[-2] :]
+            logs[pos] = self.outputs(run.h, y[pos])[0]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         seen = at >= 0
         count_log = np.where(seen, np.log10(v.counts[at] + 1.0), 0.0)
@@ -314,146 +378,199 @@ class Lanes:
         pos = self.flat[self.begin[: self.active[t]] + t]
         return pos, np.flatnonzero(start[pos])
 
+    def window(self, t0: int, t1: int) -> tuple[np.ndarray, list[int]]:
+        """Tokens of the active lanes, step after step, and where the steps begin and end among them."""
+        bounds = [0, *np.cumsum(self.active[t0:t1]).tolist()]
+        return np.concatenate([self.flat[self.begin[: self.active[t]] + t] for t in range(t0, t1)]), bounds
+
 
 def gradients(model: GatedLM, x: np.ndarray, y: np.ndarray, start: np.ndarray, plan: Lanes, state: np.ndarray, t0: int, t1: int) -> tuple[dict[str, np.ndarray], np.ndarray, int, float]:
     """Gradients of the sum of losses over steps ``t0`` to ``t1``, the state after them, tokens, and that sum.
 
     The state before the window is taken as given: backpropagation is truncated there.
     """
-    w, hidden = model.weights, model.weights["U"].shape[0]
-    table, tape = w["E"] @ w["W"] + w["b"], []
-    for t in range(t0, t1):
-        pos, fresh = plan.at(t, start)
-        before = state[: len(pos)].copy()
-        before[fresh] = 0
-        state, *rest = model.step(table[x[pos]], before)
-        tape.append((pos, fresh, before, state, *rest))
-    pos = np.concatenate([s[0] for s in tape])
-    logs, dh_out, grads = model.outputs(np.concatenate([s[3] for s in tape]), y[pos], back=True)
-    bounds = np.cumsum([0] + [len(s[0]) for s in tape])
-    dgates, dU, dh = [], np.zeros_like(w["U"]), np.zeros((0, hidden), w["U"].dtype)
-    for i in range(len(tape) - 1, -1, -1):
-        _, fresh, before, _, z, r, m, an = tape[i]
-        d = dh_out[bounds[i] : bounds[i + 1]]
+    w, n = model.weights, len(model.weights["U"])
+    pos, bounds = plan.window(t0, t1)
+    xs = x[pos]
+    run = _forward(model.recurrence(), xs, start[pos], bounds, state)
+    logs, dh_out, grads = model.outputs(run.h, y[pos], back=True)
+    d_all = np.empty((len(pos), 4 * n), w["U"].dtype)  # candidate, update, reset, candidate by the state
+    keep, back = ~start[pos], np.ascontiguousarray(w["U"].T)
+    dh = np.zeros((0, n), w["U"].dtype)
+    for i, j in zip(bounds[-2::-1], bounds[:0:-1], strict=True):
+        d, all_, m, z, r = dh_out[i:j], d_all[i:j], run.m[i:j], run.zr[0, i:j], run.zr[1, i:j]
         d[: len(dh)] += dh
-        dm = d * (1 - z) * (1 - m * m)
-        dz = d * (before - m) * z * (1 - z)
-        dr = dm * an * r * (1 - r)
-        da = np.concatenate([dz, dr, dm * r], axis=1)
-        dU += before.T @ da
-        dh = da @ w["U"].T + d * z
-        dh[fresh] = 0
-        dgates.append(np.concatenate([dz, dr, dm], axis=1))
-    dgates = np.concatenate(dgates[::-1])
-    own, back = np.unique(x[pos], return_inverse=True)
-    order = np.argsort(back, kind="stable")
-    dtable = np.add.reduceat(dgates[order], np.searchsorted(back[order], np.arange(len(own))), axis=0)
-    grads |= {"U": dU, "b": dgates.sum(axis=0), "W": w["E"][own].T @ dtable, "E": np.zeros_like(w["E"])}
-    grads["E"][own] = dtable @ w["W"].T
-    return grads, state, len(pos), -float(logs.sum())
-
-
-def train(model: GatedLM, texts: list[bytes], *, passes: int, rate: float, lanes: int, window: int) -> GatedLM:
-    """Truncated backpropagation over the texts: gradients stop at windows, the state goes on."""
+        carried = d * z
+        d -= carried
+        dz = run.before[i:j] - m
+        dz *= z
+        np.multiply(dz, d, out=all_[:, n : 2 * n])
+        dm = m * m
+        np.subtract(1, dm, out=dm)
+        dm *= d
+        all_[:, :n] = dm
+        dm *= r
+        all_[:, 3 * n :] = dm
+        dr = 1 - r
+        dr *= run.a[2, i:j]
+        np.multiply(dr, dm, out=all_[:, 2 * n : 3 * n])
+        dh = all_[:, n:] @ back
+        dh += carried
+        if not keep[i:j].all():
+            dh *= keep[i:j, None]
+    dgates = d_all[:, : 3 * n]
+    in_order = np.concatenate([np.arange(n, 3 * n), np.arange(n)])  # update, reset, candidate
+    order = np.argsort(xs.astype(np.uint16) if len(w["E"]) <= 1 << 16 else xs, kind="stable")
+    own = xs[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    dx = dgates @ w["W"][:, np.argsort(in_order)].T
+    grads |= {"U": run.before.T @ d_all[:, n:], "b": (np.ones(len(pos), d_all.dtype) @ dgates)[in_order], "W": (w["E"][xs].T @ dgates)[:, in_order], "E": np.zeros_like(w["E"])}
+    grads["E"][own[first]] = np.add.reduceat(dx[order], first, axis=0)
+    return grads, run.h[bounds[-2] :], len(pos), -float(logs.sum())
+
+
+def train(model: GatedLM, texts: list[bytes], **options) -> GatedLM:
+    """``train_sequences`` on whole texts."""
     c = Chunk(np.arange(len(texts), dtype=np.int64), np.zeros(len(texts), np.int64), texts)
-    _, number = model.vocabulary.encode(c)
-    x, y, start = _sequences(c.first, number, model.vocabulary.end)
-    w, plan = model.weights, Lanes(np.diff(c.first) + 1, lanes)
-    m1, m2 = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+    x, y, _ = _sequences(c.first, model.vocabulary.encode(c)[1], model.vocabulary.end)
+    return train_sequences(model, x, y, np.diff(c.first) + 1, **options)
+
+
+def train_sequences(model: GatedLM, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, *, passes: int, rate: float, lanes: int, window: int, least_steps: int = 100) -> GatedLM:
+    """Truncated backpropagation over sequences of inputs and targets: gradients stop at windows, the state goes on.
+
+    There are fewer than ``lanes`` lanes, but at least eight, where a pass would else take fewer than
+    ``least_steps`` steps of the optimizer.
+    """
+    start = np.zeros(len(x), bool)
+    start[np.cumsum(sizes) - sizes] = True
+    w, plan = model.weights, Lanes(sizes, max(min(8, lanes), min(lanes, len(x) // (window * least_steps))))
+    sizes = {k: a.size for k, a in w.items()}
+    flat = np.concatenate([a.reshape(-1) for a in w.values()])
+    cuts = np.cumsum([0, *sizes.values()])
+    w |= {k: flat[i:j].reshape(w[k].shape) for k, i, j in zip(sizes, cuts, cuts[1:], strict=False)}
+    m1, m2 = np.zeros_like(flat), np.zeros_like(flat)
     step, steps = 0, passes * -(-plan.steps // window)
     for _ in range(passes):
-        state = np.zeros((plan.lanes, w["U"].shape[0]), np.float32)
+        state = np.zeros((plan.lanes, w["U"].shape[0]), flat.dtype)
         for t0 in range(0, plan.steps, window):
             grads, state, n, _ = gradients(model, x, y, start, plan, state, t0, min(t0 + window, plan.steps))
+            g = np.concatenate([grads[k].reshape(-1) for k in sizes])
             step += 1
             now = rate * (1 - (step - 1) / steps) ** 0.5
-            norm = np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grads.values())) / n
-            scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
-            for k, g in grads.items():
-                g *= scale
-                m1[k] += np.float32(0.1) * (g - m1[k])
-                m2[k] += np.float32(0.01) * (g * g - m2[k])
-                w[k] = w[k] - np.float32(now / (1 - 0.9**step)) * m1[k] / (np.sqrt(m2[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+            norm = np.sqrt(float(g @ g)) / n
+            g *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
+            m1 *= np.float32(0.9)
+            m1 += np.float32(0.1) * g
+            g *= g
+            m2 *= np.float32(0.99)
+            g *= np.float32(0.01)
+            m2 += g
+            np.multiply(m2, np.float32(1 / (1 - 0.99**step)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-6)
+            np.divide(m1, g, out=g)
+            g *= np.float32(now / (1 - 0.9**step))
+            flat -= g
     return model
 
 
-def _pieces(words: int):
-    """Arrow function: texts cut into pieces of at most ``words`` words, of even length."""
+def _pieces(shared: Broadcast, tokens: int, chunk_words: int):
+    """Arrow function: texts as input numbers, cut into pieces of at most ``tokens`` targets, of even length.
+
+    A piece holds its first input, then its targets, so the next one begins with its last target.
+    ``nth`` tells apart rows of a chunk that have the same hash.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = text.as_py().lower().split()
-                n = max(1, -(-len(own) // words))
-                cuts = [len(own) * i // n for i in range(n + 1)]
-                parts = [b" ".join(own[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary()), pa.array(np.diff(cuts), pa.int64())], names=["h", "no", "piece", "words"]
-                )
+        v = shared.value.vocabulary
+        for c in _lower_chunks(batches, chunk_words):
+            x, y, _ = _sequences(c.first, v.encode(c)[1], v.end)
+            size = np.diff(c.first) + 1
+            parts = -(-size // tokens)
+            doc = np.repeat(np.arange(len(size)), parts)
+            no = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+            stop = (np.cumsum(size) - size)[doc] + size[doc] * (no + 1) // parts[doc]
+            flat = np.insert(x, stop, y[stop - 1]).astype(_number_type(shared.value))
+            offsets = np.concatenate([[0], stop + np.arange(1, len(stop) + 1)]) * flat.itemsize
+            again = np.arange(len(size)) - np.maximum.accumulate(np.where(np.diff(c.rows, prepend=~c.rows[:1]) != 0, np.arange(len(size)), 0))
+            piece = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(c.rows[doc]), pa.array(again[doc]), pa.array(no), piece, pa.array(np.diff(stop, prepend=0))], names=["h", "nth", "no", "piece", "tokens"])
 
     return cut
 
 
+def _deal(rounds: int, replicas: int) -> dict[str, Column]:
+    """Round and replica of a piece, by two hashes: a quotient of one would be a double, which has lost its low bits."""
+    dice = lambda k, n: F.pmod(F.xxhash64("h", "nth", "no", F.lit(k)), F.lit(n)).cast("int")
+    return {"round": dice(1, rounds), "replica": dice(2, replicas)}
+
+
+def _number_type(model: GatedLM) -> type:
+    return np.uint16 if len(model.weights["E"]) <= 1 << 16 else np.uint32
+
+
 def fit_lm(
-    docs: DataFrame, counts: DataFrame, *, share: int = 8, least_rows: int = 4000, piece_words: int = 4096, replica_words: int = 1_000_000, fan_in: int = 16,
-    rounds: int = 2, passes: int = 1, rate: float = 0.02, hidden: int = 24, embedding: int = 16, lanes: int = 64, window: int = 32, **vocabulary,
+    docs: DataFrame, counts: DataFrame, *, piece_words: int = 1024, replica_words: int = 1_000_000, fan_in: int = 16, rounds: int = 4,
+    passes: int = 1, rate: float = 0.04, hidden: int = 24, embedding: int = 16, lanes: int = 512, window: int = 16, chunk_words: int = 1_000_000, **vocabulary,
 ) -> GatedLM:
-    """Fit the model: counts and biases are those of all of ``docs``; the network learns from one text in ``share``.
+    """Fit the model on every row of ``docs``: counts, biases and network.
 
-    The sample grows with the corpus: every row whose hash of doc_id and text is a multiple of
-    ``share`` trains with its whole text, and at least ``least_rows`` rows do where there are so
-    many.  Texts over ``piece_words`` words are trained in pieces, each closed like a text.  The
-    pieces are dealt to ``rounds`` rounds and as many replicas as ``replica_words`` asks for; in each
-    round every replica trains from the shared weights on its part, and their weights, weighted by
-    words, are averaged in a tree of Spark groups of ``fan_in``, so the driver meets a few sets of
-    weights whatever the number of replicas.
+    Each row trains once with its whole text, as numbers of two bytes a token.  Texts over
+    ``piece_words`` tokens are trained in pieces; a piece starts from the word before it and the zero
+    state.  The pieces are dealt to ``rounds`` rounds and as many replicas as ``replica_words`` asks
+    for; in each round every replica trains from the shared weights on its part, and their weights,
+    weighted by tokens, are averaged in a tree of Spark groups of ``fan_in``, so the driver meets a few
+    sets of weights whatever the number of replicas.
 
-    Null texts are empty ones, null doc_ids take part; rows repeated with id and text train once.
+    Null texts are empty ones, null doc_ids take part, repeated rows train as often as they occur.
     An empty table leaves the random weights with the biases of the counts.
     """
     model = GatedLM.start(fit_vocabulary(counts, **vocabulary), hidden, embedding)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), binary_text().alias("text"))
-    share = max(1, min(share, docs.count() // max(1, least_rows)))
-    drawn = rows.where(F.pmod("h", F.lit(share)) == 0).groupBy("h").agg(F.min("text").alias("text"))
-    sample = kept(drawn.mapInArrow(_pieces(piece_words), "h long, no int, piece binary, words long"), "lm-sample")
-    total = sample.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    replicas = max(1, -(-total // replica_words))
-    dice = F.xxhash64("h", "no", F.lit(1))
-    dealt = sample.withColumns({"round": F.pmod(dice, F.lit(rounds)), "replica": F.pmod(F.floor(dice / rounds), F.lit(replicas)).cast("int")})
+    context = docs.sparkSession.sparkContext
+    cut = _pieces(context.broadcast(model), piece_words, chunk_words)
+    pieces = kept(_lowered(docs, F.xxhash64("doc_id", "text")).mapInArrow(cut, "h long, nth long, no long, piece binary, tokens long"), "lm-pieces")
+    total = pieces.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    replicas = max(1, -(-total // (rounds * replica_words)))
+    dealt = pieces.withColumns(_deal(rounds, replicas))
     for k in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = context.broadcast(model)
         learn = _learner(shared, passes=passes, rate=rate / (1 + k), lanes=lanes, window=window)
-        trained = kept(dealt.where(F.col("round") == k).groupBy("replica").applyInPandas(learn, "replica int, words long, weights binary"), "lm-weights")
+        trained = kept(dealt.where(F.col("round") == k).groupBy("replica").applyInPandas(learn, "replica int, tokens long, weights binary"), "lm-weights")
         left = replicas
         while left > fan_in:
             left = -(-left // fan_in)
-            trained = trained.groupBy(F.floor(F.col("replica") / fan_in).cast("int").alias("replica")).applyInPandas(_averaged, "replica int, words long, weights binary")
+            trained = trained.groupBy(F.floor(F.col("replica") / fan_in).cast("int").alias("replica")).applyInPandas(_averaged, "replica int, tokens long, weights binary")
         found = bounded_rows(trained, fan_in, "the list of replicas")
         if not found:
             continue
-        model.weights = _mean([(pickle.loads(r["weights"]), r["words"]) for r in sorted(found, key=lambda r: r["replica"])])
+        model.weights = _mean([(pickle.loads(r["weights"]), r["tokens"]) for r in sorted(found, key=lambda r: r["replica"])])
+    discard(pieces)
     return model
 
 
 def _mean(parts: list[tuple[dict[str, np.ndarray], int]]) -> dict[str, np.ndarray]:
-    """Weights averaged by words."""
+    """Weights averaged by tokens."""
     total = sum(n for _, n in parts)
     return {k: sum(w[k] * np.float32(n / total) for w, n in parts) for k in parts[0][0]}
 
 
 def _averaged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("replica")
-    weights = _mean([(pickle.loads(w), int(n)) for w, n in zip(pdf["weights"], pdf["words"], strict=True)])
-    return pd.DataFrame({"replica": [key[0]], "words": [pdf["words"].sum()], "weights": [pickle.dumps(weights, protocol=5)]})
+    weights = _mean([(pickle.loads(w), int(n)) for w, n in zip(pdf["weights"], pdf["tokens"], strict=True)])
+    return pd.DataFrame({"replica": [key[0]], "tokens": [pdf["tokens"].sum()], "weights": [pickle.dumps(weights, protocol=5)]})
 
 
 def _learner(shared: Broadcast, **options) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Group function: the weights after training on a replica's part of the sample."""
+    """Group function: the weights after training on a replica's part of the pieces."""
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "no"])
-        own = train(GatedLM(shared.value.vocabulary, dict(shared.value.weights)), pdf["piece"].tolist(), **options)
-        return pd.DataFrame({"replica": [key[0]], "words": [int(pdf["words"].sum()) + len(pdf)], "weights": [pickle.dumps(own.weights, protocol=5)]})
+        pdf = pdf.sort_values(["h", "nth", "no"])
+        model, sizes = GatedLM(shared.value.vocabulary, dict(shared.value.weights)), pdf["tokens"].to_numpy()
+        flat = np.frombuffer(b"".join(pdf["piece"]), _number_type(model)).astype(np.int64)
+        last = np.cumsum(sizes + 1) - 1
+        own = train_sequences(model, np.delete(flat, last), np.delete(flat, last - sizes), sizes, **options)
+        return pd.DataFrame({"replica": [key[0]], "tokens": [int(sizes.sum())], "weights": [pickle.dumps(own.weights, protocol=5)]})
 
     return learn
 
@@ -482,8 +599,7 @@ def score_documents(docs: DataFrame, model: GatedLM, counts: DataFrame, *, chunk
                 names=["doc_id", "n_tokens", "known", "base", "model", "codes", "times"],
             )
 
-    local = kept(_lowered(docs).mapInArrow(each, "doc_id long, n_tokens long, known long, base double, model double, codes array<long>, times array<int>"), "lm-scores")
-    local = kept(local.withColumn("uid", F.monotonically_increasing_id()), "lm-rows")
+    local = kept(_lowered(docs).mapInArrow(each, "doc_id long, n_tokens long, known long, base double, model double, codes array<long>, times array<int>").withColumn("uid", F.monotonically_increasing_id()), "lm-scores")
     rest = local.select("uid", F.explode(F.arrays_zip("codes", "times")).alias("w")).select("uid", F.col("w.codes").alias("code"), F.col("w.times").alias("times"))
     more = (
         rest.join(counts.select("code", "n"), "code")
