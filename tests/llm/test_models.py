@@ -263,6 +263,34 @@ def test_op3_large_logits_are_shifted(monkeypatch):
     assert np.isfinite(model.outputs(h, y, back=True)[0]).all()
 
 
+def test_op3_long_texts_share_windows_and_chunks_share_a_run(monkeypatch):
+    """A text far longer than the others takes windows by its tokens, and many chunks are one run with the same scores."""
+    model, _ = small_model()
+    texts = [b"a b c d " * 500, *[b"e f g h"] * 40, b""]
+    ids = np.arange(len(texts))
+    windows, runs, outputs, run = [], [], GatedLM.outputs, GatedLM.run
+    monkeypatch.setattr(GatedLM, "outputs", lambda self, h, *a: windows.append(len(h)) or outputs(self, h, *a))
+    monkeypatch.setattr(GatedLM, "run", lambda self, sizes, *a, **k: runs.append(len(sizes)) or run(self, sizes, *a, **k))
+    alone = model.score(Chunk(ids, ids, texts))
+    assert sum(windows) == 2001 + 40 * 5 + 1 and len(windows) < 5 and runs == [len(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts, pa.binary())], names=["doc_id", "row", "text"])
+    for words in (10_000, 2050, 1):
+        runs.clear()
+        found = [r for b in lm._scorer(SimpleNamespace(value=model), 8, words)(iter([batch])) for r in b.to_pylist()]
+        assert [r["doc_id"] for r in found] == ids.tolist() and [r["n_tokens"] for r in found] == alone["n_tokens"].tolist()
+        assert [r["model"] for r in found] == pytest.approx(alone["model"].tolist(), rel=1e-5) and [r["known"] for r in found] == alone["known"].tolist()
+        rest = [(r["doc_id"], np.uint64(c % (1 << 64))) for r in found for c, n in zip(r["codes"], r["times"], strict=True) for _ in range(n)]
+        assert sorted(rest) == sorted(zip(alone["rest_doc"].tolist(), alone["rest_code"], strict=True))
+        assert sum(runs) == 42 and (len(runs) == 1 if words == 10_000 else len(runs) > 1)
+
+
+@pytest.mark.filterwarnings("error")
+def test_op3_saturated_gates_are_quiet():
+    model, text = small_model()
+    model.weights |= {k: model.weights[k] * np.float32(1e4) for k in ("E", "W", "U")}
+    assert math.isfinite(model.score(Chunk(np.arange(1), np.zeros(1, np.int64), [text]))["model"][0])
+
+
 def test_op3_a_very_long_text_takes_memory_by_its_words():
     plan = Lanes(np.array([3, 2_000_000, 5, 4]), 256)
     assert len(plan.flat) == 2_000_012 and plan.steps == 2_000_000 and sorted(plan.at(0, np.zeros(3_000_000, bool))[0].tolist()) == [0, 3, 2_000_003, 2_000_008]

@@ -155,25 +155,25 @@ _SAFE = 60.0
 
 
 def _softmax(h: np.ndarray, place: np.ndarray, w: np.ndarray, bias: np.ndarray, weigh: np.ndarray, safe: bool, back: bool) -> tuple:
-    """Log probability of each row's place under ``softmax(h w + bias)``; ``weigh`` is exp(bias).
+    """Log probability of each row's place under ``softmax(h w.T + bias)``; ``weigh`` is exp(bias), at most 1.
 
     With ``back``, also the gradient of the losses by ``h``, and the share of all places in those by
     ``w`` and ``bias``: the rows' own places are left for the caller to subtract.
     """
-    q = h @ w
+    q = h @ w.T
     if not safe:
         q -= (q + bias).max(axis=1, keepdims=True)
-    own = q.reshape(-1)[np.arange(0, q.size, q.shape[1]) + place]
+    own = q.reshape(-1).take(np.arange(0, q.size, q.shape[1]) + place)
     np.exp(q, out=q)
     total = q @ weigh
-    logs = own + bias[place] - np.log(total)
+    logs = own + bias.take(place) - np.log(total)
     if not back:
         return logs, None, None, None
     share = 1 / total
-    dh = q @ (w * weigh).T
+    dh = q @ (w * weigh[:, None])
     dh *= share[:, None]
-    dh -= w.T[place]
-    return logs, dh, (h * share[:, None]).T @ q * weigh, share @ q * weigh
+    dh -= w.take(place, axis=0)
+    return logs, dh, q.T @ (h * share[:, None]) * weigh[:, None], share @ q * weigh
 
 
 @dataclass
@@ -187,25 +187,38 @@ class _Run:
     h: np.ndarray
 
 
-def _forward(recurrence: tuple[np.ndarray, np.ndarray], x: np.ndarray, fresh: np.ndarray, bounds: list[int], state: np.ndarray) -> _Run:
-    """The recurrence over the steps between ``bounds``; ``fresh`` marks tokens before which the state is zero."""
+def _logistic(a: np.ndarray) -> None:
+    """``1 / (1 + exp(a))`` in place; an infinite exponential gives 0, as it should."""
+    np.exp(a, out=a)
+    a += 1
+    np.reciprocal(a, out=a)
+
+
+@np.errstate(over="ignore")
+def _forward(recurrence: tuple[np.ndarray, np.ndarray], x: np.ndarray, fresh: np.ndarray, bounds: list[int], state: np.ndarray, back: bool = True) -> _Run:
+    """The recurrence over the steps between ``bounds``; ``fresh`` marks tokens before which the state is zero.
+
+    Without ``back`` all but the states are those of one step, in memory that every step uses again.
+    """
     table, u = recurrence
     keep, n = ~fresh, u.shape[2]
-    run = _Run(*(np.empty(s, table.dtype) for s in ((len(x), n), (3, len(x), n), (2, len(x), n), (len(x), n), (len(x), n))))
+    room = len(x) if back else max(np.diff(bounds), default=0)
+    run = _Run(*(np.empty(s, table.dtype) for s in ((room, n), (3, room, n), (2, room, n), (room, n), (len(x), n))))
     restarts = np.add.reduceat(fresh, bounds[:-1], dtype=np.int64).tolist() if len(x) else []
     for i, j, some in zip(bounds, bounds[1:], restarts, strict=False):
-        before, a, zr, m, h, g = run.before[i:j], run.a[:, i:j], run.zr[:, i:j], run.m[i:j], run.h[i:j], table.take(x[i:j], axis=1)
+        at = slice(i, j) if back else slice(j - i)
+        before, a, zr, m, h, g = run.before[at], run.a[:, at], run.zr[:, at], run.m[at], run.h[i:j], table.take(x[i:j], axis=1)
         before[...] = state[: j - i]
         if some:
             before *= keep[i:j, None]
         np.matmul(before, u, out=a)
         np.add(g[:2], a[:2], out=zr)
-        np.tanh(zr, out=zr)
-        zr *= 0.5
-        zr += 0.5
+        _logistic(zr)
         np.multiply(zr[1], a[2], out=m)
         m += g[2]
-        np.tanh(m, out=m)
+        _logistic(m)
+        m *= 2
+        m -= 1
         np.subtract(before, m, out=h)
         h *= zr[0]
         h += m
@@ -249,12 +262,12 @@ class GatedLM:
     def recurrence(self) -> tuple[np.ndarray, np.ndarray]:
         """Gates of every input, (3, inputs, units), and state to gates, (3, units, units).
 
-        Update and reset are halved: a logistic function is ``0.5 + 0.5 tanh(x / 2)``.
+        As ``_logistic`` takes them: negative, the candidate twice over, for ``tanh(x)`` is ``2 / (1 + exp(-2 x)) - 1``.
         """
         w, n = self.weights, len(self.weights["U"])
-        half = np.array([0.5, 0.5, 1], w["U"].dtype)[:, None, None]
+        sign = np.array([-1, -1, -2], w["U"].dtype)[:, None, None]
         split = lambda a: a.reshape(-1, 3, n).transpose(1, 0, 2)
-        return np.matmul(w["E"], split(w["W"]) * half) + split(w["b"]) * half, np.ascontiguousarray(split(w["U"]) * half)
+        return np.matmul(w["E"], split(w["W"]) * sign) + split(w["b"]) * sign, np.ascontiguousarray(split(w["U"]) * sign)
 
     def outputs(self, h: np.ndarray, y: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray | None, dict]:
         """Natural log probability of each target's class and, in the head, of its place in the class.
@@ -264,38 +277,50 @@ class GatedLM:
         """
         w, head = self.weights, self.vocabulary.head
         order = np.argsort(y.astype(np.uint16) if len(w["E"]) <= 1 << 16 else y, kind="stable")
-        hs, ys = h[order], y[order]
+        hs, ys = h.take(order, axis=0), y.take(order)
         k = self.class_of(ys)
         out, dh = np.empty(len(y)), np.empty_like(hs) if back else None
         safe = bool(np.abs(w["C"]).sum(axis=0).max(initial=0) < _SAFE and np.abs(w["O"]).sum(axis=2).max(initial=0) < _SAFE)
         c, o = w["c"] - w["c"].max(), w["o"] - w["o"].max(axis=1, keepdims=True)
-        c_weigh, o_weigh = np.exp(c), np.exp(o)
-        gC, gc, gO, go = (np.zeros_like(w[name]) for name in "CcOo")
+        c_weigh, o_weigh, to_class = np.exp(c), np.exp(o), np.ascontiguousarray(w["C"].T)
+        gC, gc, gO, go = (np.zeros_like(w[name]) for name in "CcOo") if back else [None] * 4
         for i in range(0, len(ys), _BLOCK):
             at = slice(i, i + _BLOCK)
-            out[at], d, gw, gb = _softmax(hs[at], k[at], w["C"], c, c_weigh, safe, back)
+            out[at], d, gw, gb = _softmax(hs[at], k[at], to_class, c, c_weigh, safe, back)
             if back:
                 dh[at] = d
-                gC += gw
+                gC += gw.T
                 gc += gb
-        edges = np.searchsorted(k, np.arange(len(o) + 1)).tolist()
-        for j in range(len(o)):
-            if edges[j] < edges[j + 1]:
-                at = slice(edges[j], edges[j + 1])
-                logs, d, gw, gb = _softmax(hs[at], ys[at] - j * CLASS_WORDS, w["O"][j].T, o[j], o_weigh[j], safe, back)
-                out[at] += logs
-                if back:
-                    dh[at] += d
-                    gO[j], go[j] = gw.T, gb
+        edges = np.searchsorted(k, np.arange(len(o) + 1))
+        inside, sizes = slice(0, edges[-1]), np.diff(edges)
+        spans = [(j, slice(edges[j], edges[j + 1])) for j in np.flatnonzero(sizes).tolist()]
+        q = np.empty((edges[-1], CLASS_WORDS), hs.dtype)
+        for j, at in spans:
+            np.matmul(hs[at], w["O"][j].T, out=q[at])
+        if not safe:
+            q -= (q + np.repeat(o, sizes, axis=0)).max(axis=1, keepdims=True)
+        own = q.reshape(-1).take(np.arange(0, q.size, CLASS_WORDS) + ys[inside] % CLASS_WORDS)
+        np.exp(q, out=q)
+        q *= np.repeat(o_weigh, sizes, axis=0)
+        total = q @ np.ones(CLASS_WORDS, q.dtype)
+        out[inside] += own + o.reshape(-1).take(ys[inside]) - np.log(total)
+        if back:
+            q *= (1 / total)[:, None]
+            for j, at in spans:
+                dh[at] += q[at] @ w["O"][j]
+                gO[j], go[j] = q[at].T @ hs[at], q[at].sum(axis=0)
+            dh[inside] -= w["O"].reshape(-1, hs.shape[1]).take(ys[inside], axis=0)
         logs = np.empty_like(out)
         logs[order] = out
         if not back:
             return logs, None, {}
         first = np.flatnonzero(np.diff(ys, prepend=-1))
         own, n = ys[first], np.diff(first, append=len(ys))
-        sums = np.add.reduceat(hs, first, axis=0) if len(first) else hs
-        np.subtract.at(gC.T, self.class_of(own), sums)
-        np.subtract.at(gc, self.class_of(own), n)
+        sums = np.add.reduceat(hs, first, axis=0)
+        k = self.class_of(own)
+        of_class = np.flatnonzero(np.diff(k, prepend=-1))
+        gC.T[k[of_class]] -= np.add.reduceat(sums, of_class, axis=0)
+        gc[k[of_class]] -= np.add.reduceat(n, of_class)
         inside = own < head
         gO.reshape(-1, gO.shape[2])[own[inside]] -= sums[inside]
         go.reshape(-1)[own[inside]] -= n[inside]
@@ -303,26 +328,20 @@ class GatedLM:
         unsorted[order] = dh
         return logs, unsorted, {"C": gC, "c": gc, "O": gO, "o": go}
 
-    def score(self, c: Chunk, lanes: int = 512, window: int = 32) -> dict[str, np.ndarray]:
+    def score(self, c: Chunk, **options) -> dict[str, np.ndarray]:
         """Per document of the chunk: tokens, known tokens, base and model log10 probability; the rest.
 
         The rest are words outside the dictionary; their counts add ``log10(count + 1)`` to both
-        probabilities.  Documents run side by side in lanes, one after another in each; the state is
-        carried from window to window, so every token is scored given its whole document so far.
+        probabilities.
         """
+        found = self.count(c)
+        return found | {"model": found["tail"] + self.run(found["n_tokens"], found["number"], **options)}
+
+    def count(self, c: Chunk) -> dict[str, np.ndarray]:
+        """What ``score`` takes from counts, and for ``run`` the number of every token, ends included."""
         v = self.vocabulary
         at, number = v.encode(c)
         sizes = np.diff(c.first)
-        x, y, start = _sequences(c.first, number, v.end)
-        logs = np.zeros(len(x))
-        plan = Lanes(sizes + 1, lanes)
-        recurrence = self.recurrence()
-        state = np.zeros((plan.lanes, len(self.weights["U"])), np.float32)
-        for t0 in range(0, plan.steps, window):
-            pos, bounds = plan.window(t0, min(t0 + window, plan.steps))
-            run = _forward(recurrence, x[pos], start[pos], bounds, state)
-            state = run.h[bounds[-2] :]
-            logs[pos] = self.outputs(run.h, y[pos])[0]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         seen = at >= 0
         count_log = np.where(seen, np.log10(v.counts[at] + 1.0), 0.0)
@@ -336,10 +355,35 @@ class GatedLM:
             "n_tokens": sizes + 1,
             "known": per_doc(seen).astype(np.int64) + int(ends > 0),
             "base": per_doc(count_log) + np.log10(ends + 1.0) - (sizes + 1) * np.log10(v.tokens + v.distinct + 1.0),
-            "model": np.add.reduceat(logs, c.first[:-1] + np.arange(n)) / np.log(10) + per_doc(tail_log) if n else np.zeros(0),
+            "tail": per_doc(tail_log), "number": np.insert(number.astype(_number_type(self)), c.first[1:], v.end),
             "rest_doc": doc[rest], "rest_code": c.codes[rest],
         }
 
+    def run(self, sizes: np.ndarray, number: np.ndarray, lanes: int = 512, window: int = 32) -> np.ndarray:
+        """Log10 probability of the documents' classes and head words, given how many tokens each has and their numbers.
+
+        Documents run side by side in lanes, one after another in each; the state is carried from
+        window to window, so every token is scored given its whole document so far.  A window has
+        ``window`` steps of all lanes, or more steps of fewer.
+        """
+        plan, starts = Lanes(sizes, lanes), np.cumsum(sizes) - sizes
+        start = np.zeros(len(number), bool)
+        start[starts] = True
+        logs = np.empty(len(number))
+        recurrence = self.recurrence()
+        state = np.zeros((plan.lanes, len(self.weights["U"])), np.float32)
+        done = np.cumsum(plan.active)
+        t0 = 0
+        while t0 < plan.steps:
+            t1 = max(t0 + 1, int(np.searchsorted(done, done[t0] - plan.active[t0] + window * plan.lanes, side="right")))
+            pos, bounds = plan.window(t0, t1)
+            fresh = start[pos]
+            x = np.where(fresh, self.vocabulary.end, number[pos - 1])
+            h = _forward(recurrence, x, fresh, bounds, state, back=False).h
+            state, t0 = h[bounds[-2] :], t1
+            logs[pos] = self.outputs(h, number[pos].astype(np.int64))[0]
+        return np.add.reduceat(logs, starts) / np.log(10) if len(sizes) else np.zeros(0)
+
 
 def _sequences(first: np.ndarray, number: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs (end first), targets (end last) and start marks of the documents, one after another."""
@@ -411,8 +455,9 @@ def gradients(model: GatedLM, x: np.ndarray, y: np.ndarray, start: np.ndarray, p
         all_[:, :n] = dm
         dm *= r
         all_[:, 3 * n :] = dm
-        dr = 1 - r
+        dr = r - 1
         dr *= run.a[2, i:j]
+        dr *= 0.5
         np.multiply(dr, dm, out=all_[:, 2 * n : 3 * n])
         dh = all_[:, n:] @ back
         dh += carried
@@ -575,7 +620,42 @@ def _learner(shared: Broadcast, **options) -> Callable[[tuple, pd.DataFrame], pd
     return learn
 
 
-def score_documents(docs: DataFrame, model: GatedLM, counts: DataFrame, *, chunk_words: int = 1_000_000) -> DataFrame:
+def _scorer(shared: Broadcast, chunk_words: int, run_words: int):
+    """Arrow function: what the model and the dictionary say of each text, and its words outside the dictionary.
+
+    Texts are parsed in chunks; the network runs over the numbers of many of them at once, so that
+    few steps have long documents alone in their lanes.
+    """
+
+    def scored(found: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        ids, sizes, known, base, tail, number = (np.concatenate([s[k] for s in found]) for k in ("ids", "n_tokens", "known", "base", "tail", "number"))
+        before = np.cumsum([0] + [len(s["ids"]) for s in found])
+        doc, code = np.concatenate([s["rest_doc"] + n for s, n in zip(found, before, strict=False)]), np.concatenate([s["rest_code"] for s in found])
+        order = np.lexsort((code, doc))
+        doc, code = doc[order], code[order]
+        new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(code, prepend=END) != 0))
+        offsets = pa.array(np.searchsorted(doc[new], np.arange(len(ids) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(code[new].view(np.int64)), pa.array(np.diff(new, append=len(doc)).astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=ids == _NULL_ID), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(tail + shared.value.run(sizes, number)), *lists],
+            names=["doc_id", "n_tokens", "known", "base", "model", "codes", "times"],
+        )
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for c in _lower_chunks(batches, chunk_words):
+            if found and size + c.words > run_words:
+                yield scored(found)
+                found, size = [], 0
+            found.append(shared.value.count(c) | {"ids": c.ids})
+            size += c.words
+        if found:
+            yield scored(found)
+
+    return each
+
+
+def score_documents(docs: DataFrame, model: GatedLM, counts: DataFrame, *, chunk_words: int = 1_000_000, run_words: int = 6_000_000) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Whole texts are scored, in log10.  ``base_score`` is the add-one unigram probability, ``score``
@@ -584,21 +664,7 @@ def score_documents(docs: DataFrame, model: GatedLM, counts: DataFrame, *, chunk
     Null and empty texts hold the end alone.  Repeated rows repeat; a null doc_id stays null.  An
     empty table gives an empty one; with nothing learned, every token has count 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _lower_chunks(batches, chunk_words):
-            s = shared.value.score(c)
-            order = np.lexsort((s["rest_code"], s["rest_doc"]))
-            doc, code = s["rest_doc"][order], s["rest_code"][order]
-            new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(code, prepend=END) != 0))
-            offsets = pa.array(np.searchsorted(doc[new], np.arange(len(c.ids) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(code[new].view(np.int64)), pa.array(np.diff(new, append=len(doc)).astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.ids, mask=c.ids == _NULL_ID), pa.array(s["n_tokens"].astype(np.int64)), pa.array(s["known"]), pa.array(s["base"]), pa.array(s["model"]), *lists],
-                names=["doc_id", "n_tokens", "known", "base", "model", "codes", "times"],
-            )
-
+    each = _scorer(docs.sparkSession.sparkContext.broadcast(model), chunk_words, run_words)
     local = kept(_lowered(docs).mapInArrow(each, "doc_id long, n_tokens long, known long, base double, model double, codes array<long>, times array<int>").withColumn("uid", F.monotonically_increasing_id()), "lm-scores")
     rest = local.select("uid", F.explode(F.arrays_zip("codes", "times")).alias("w")).select("uid", F.col("w.codes").alias("code"), F.col("w.times").alias("times"))
     more = (
