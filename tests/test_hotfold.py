@@ -5,7 +5,9 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import hotfold
 from tidemark.operators.hotfold import Effects
 from tidemark.operators.versions import rebuild_versions
 
@@ -58,3 +60,34 @@ def test_closing_span_is_the_first_that_cuts_below():
     spans, ends = rng.integers(0, 37, 500), rng.integers(0, 55, 500)
     want = [next((j for j in range(s + 1, 37) if cut[j] < end), 37) for s, end in zip(spans, ends, strict=True)]
     assert e.closing(spans, ends).tolist() == want
+
+
+def many_small(spark, sections, clauses):
+    """``sections`` sections of ``clauses`` clauses each."""
+    return spark.range(sections * clauses).selectExpr(
+        f"cast(id % {sections} as string) section_key", f"case when id < {sections} then 'base' else 'amendment' end kind", "timestamp_ntz'2025-01-01' + make_interval(0,0,0,0,0,int(id)) recorded_at", "cast(id as string) document_id",
+        "0 clause_no", "concat('t', id) text", "date_add(date'2025-01-01', int(id * 7919 % 61)) valid_from", "cast(null as date) valid_to",
+    )
+
+
+def test_spans_on_the_driver_are_bounded(spark, monkeypatch):
+    cut = []
+    fold = hotfold.fold_hot
+    monkeypatch.setattr(hotfold, "SPANS", 50, raising=False)
+    monkeypatch.setattr(hotfold, "fold_hot", lambda log, counts, clauses: cut.append(sum(-(-n // clauses) for n in counts.values())) or fold(log, counts, clauses))
+    log = many_small(spark, 60, 6).unionByName(many_small(spark, 1, 300).withColumn("section_key", F.lit("giant")))
+    assert rows(rebuild_versions(log, 1)) == rows(rebuild_versions(log))
+    assert 1 < sum(cut) <= 2 * 50  # one clause a span would make 660
+
+
+def test_large_sections_are_as_many_as_the_bound_allows(spark):
+    log = many_small(spark, 40, 6).unionByName(many_small(spark, 1, 100).withColumn("section_key", F.lit(None).cast("string")))
+    assert hotfold.large_sections(log, 5, 1_000) == ({None: 100, **{str(k): 6 for k in range(40)}}, 5)
+    assert hotfold.large_sections(log, 5, 40) == ({None: 100}, 9)
+    assert hotfold.large_sections(log, 500) == ({}, 500) and hotfold.large_sections(log.limit(0), 5) == ({}, 5)
+
+
+def test_a_small_section_beside_a_large_one_has_few_cuts(spark):
+    log = many_small(spark, 4, 10).unionByName(many_small(spark, 1, 300).withColumn("section_key", F.lit("giant"))).withColumn("t", hotfold.micros("recorded_at", "timestamp_ntz"))
+    found = hotfold.cuts_between(log, "t", {"giant": 300, **{str(k): 10 for k in range(4)}}, 5)
+    assert len(found["giant"]) == 59 and all(len(found[str(k)]) == 1 for k in range(4))

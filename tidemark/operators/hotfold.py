@@ -29,6 +29,8 @@ from tidemark.operators.versions import LOG, _Section
 
 _FAR, _NEVER, _LATER = 1 << 40, -(1 << 40), -(1 << 62)
 _KEY = ("span", "place", "fresh")
+#: Spans whose effects and cuts the driver and every task hold, about; beyond that spans are made longer.
+SPANS = 10_000
 _ROW = "section_key string, span int, place int, fresh int, text string, valid_from int, valid_to int, t long, document_id string"
 _EVENT = f"{_ROW}, until long, old_span int, old_place int, old_fresh int"
 _MERGED = f"{_EVENT}, nth int"
@@ -246,6 +248,44 @@ def places(keys: pa.Array, cuts: dict, *values: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def large_sections(rows: DataFrame, hot: int, most: int | None = None) -> tuple[dict[str | None, int], int]:
+    """The sections of ``rows`` too large for one task, with their sizes, and how many rows a span of them takes.
+
+    That is ``hot``, unless the sections above it had more than ``most`` spans (``SPANS``); then it is
+    as much as makes ``most`` spans of all their rows, and smaller sections are left whole.  So what
+    is held for the sections and for their spans is bounded by ``most`` (twice it at worst, as each
+    section ends a span), however many sections the table has.
+    """
+    most = SPANS if most is None else most
+    counts = rows.groupBy("section_key").count().where(F.col("count") > hot).persist()
+    try:
+        total, spans, largest = counts.agg(F.sum("count"), F.sum(F.ceil(F.col("count") / hot)), F.max("count")).first()
+        size = hot if spans is None or spans <= most else max(hot, -(-total // most))
+        if largest is None or largest <= size:
+            return {}, size
+        return {r["section_key"]: r["count"] for r in counts.where(F.col("count") > size).collect()}, size
+    finally:
+        counts.unpersist()
+
+
+def apart(rows: DataFrame, sections: dict[str | None, int]) -> tuple[DataFrame, DataFrame]:
+    """The rows of the sections named, and all others."""
+    keys = rows.sparkSession.createDataFrame([(k,) for k in sections], "_large string").coalesce(1)
+    on = F.col("section_key").eqNullSafe(F.col("_large"))
+    return rows.join(F.broadcast(keys), on, "left_semi"), rows.join(F.broadcast(keys), on, "left_anti")
+
+
+def cuts_between(rows: DataFrame, moment: str, sections: dict[str | None, int], size: int) -> dict[str | None, list[int]]:
+    """Where the moments of each section are cut into spans of about ``size`` rows; a section gets as many as its size asks for."""
+    most = max(-(-n // size) for n in sections.values())
+    if most < 2:
+        return {}
+    shares = F.array(*[F.lit(k / most) for k in range(1, most)])
+    found = rows.groupBy("section_key").agg(F.percentile_approx(moment, shares, 100 * most).alias("cuts"), F.ceil(F.count("*") / size).alias("spans"))
+    own = F.transform(F.sequence(F.lit(1).cast("long"), F.col("spans") - 1), lambda k: F.get("cuts", (F.floor(k * most / F.col("spans")) - 1).cast("int")))
+    return {r["section_key"]: r["own"] for r in found.where("spans > 1").select("section_key", F.array_sort(F.array_distinct(own)).alias("own")).collect()}
+
+
 def fold_hot(log: DataFrame, counts: dict[str | None, int], clauses: int) -> DataFrame:
     """Versions, without version_id, of the sections of ``log``, whose sizes are ``counts``, in spans of about ``clauses`` clauses.
 
@@ -254,9 +294,7 @@ def fold_hot(log: DataFrame, counts: dict[str | None, int], clauses: int) -> Dat
     """
     stamp = log.schema["recorded_at"].dataType.simpleString()
     timed = log.withColumn("t", micros("recorded_at", stamp))
-    most = max(-(-n // clauses) for n in counts.values())
-    shares = F.array(*[F.lit(k / most) for k in range(1, most)]) if most > 1 else F.array().cast("array<double>")
-    bounds = {r["section_key"]: sorted(set(r["cuts"] or [])) for r in timed.groupBy("section_key").agg(F.percentile_approx("t", shares, 100 * most).alias("cuts")).collect()} if most > 1 else {}
+    bounds = cuts_between(timed, "t", counts, clauses)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

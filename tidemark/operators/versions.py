@@ -113,22 +113,22 @@ def rebuild_versions(log: DataFrame, hot: int | None = None) -> DataFrame:
 
     A section is folded by one task; with ``hot``, sections of more clauses than that are cut into
     spans of time of about ``hot`` clauses and folded by many, see ``hotfold``, with the same rows.
+    Where that would make more spans than the driver should hold, spans are longer and fewer sections cut.
     """
     stamp = log.schema["recorded_at"].dataType.simpleString()
     schema = f"section_key string, version_no int, text string, valid_from date, valid_to date, recorded_at {stamp}, recorded_until {stamp}, document_id string, supersedes string"
     typed = log.select(F.col("section_key").cast("string"), "kind", "recorded_at", F.col("document_id").cast("string"), F.col("clause_no").cast("int"), "text", _given("valid_from", "date"), "valid_to").withColumn("recorded_at", _given("recorded_at", stamp))
-    large = {}
+    hot_rows, cold, large, size = None, typed, {}, hot
     if hot is not None:
-        from tidemark.operators.hotfold import fold_hot
+        from tidemark.operators.hotfold import apart, fold_hot, large_sections
 
-        counts = typed.groupBy("section_key").count().where(F.col("count") > hot)
-        large = {r["section_key"]: r["count"] for r in counts.collect()}  # at most one in ``hot`` clauses
-    apart = F.coalesce(F.col("section_key").isin([k for k in large if k is not None]), F.lit(None in large))
-    cold = typed.where(~apart) if large else typed
+        large, size = large_sections(typed, hot)
+        if large:
+            hot_rows, cold = apart(typed, large)
     ordered = cold.repartition("section_key").sortWithinPartitions("section_key", "recorded_at", "document_id", "clause_no")
     out = ordered.mapInArrow(_fold, schema)
     if large:
-        out = out.unionByName(fold_hot(typed.where(apart), large, hot))
+        out = out.unionByName(fold_hot(hot_rows, large, size))
     return out.withColumn("version_id", F.concat("section_key", F.lit("@v"), "version_no"))
 
 
