@@ -46,3 +46,18 @@ def test_slabs_equal_pairs(spark, seed, hot, long, stamp):
     assert overlaps(df.limit(0), hot).count() == 0
     fine = df.where("section_key = 'a' and valid_from is not null").dropDuplicates(["recorded_at"]).withColumns({"valid_from": df["valid_from"] + df["version_no"] * 100, "valid_to": df["valid_from"] + df["version_no"] * 100 + 5})
     assert overlaps(fine, hot).count() == 0
+
+
+def test_slabs_on_the_driver_are_bounded(spark, monkeypatch):
+    from tidemark.operators import hotfold, hotoverlap
+
+    rng = random.Random(7)
+    row = lambda s, k: (s, k, date(2025, 1, 1) + timedelta(rng.randrange(60)), date(2025, 3, 1) + timedelta(rng.randrange(9)), datetime(2025, 1, 1) + timedelta(hours=k), None)
+    rows = [row(f"s{s}", k) for s in range(60) for k in range(6)] + [row("giant", k) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA.format("timestamp"))
+    cut, sweep = [], hotoverlap.overlaps_hot
+    monkeypatch.setattr(hotfold, "SPANS", 8, raising=False)
+    monkeypatch.setattr(hotoverlap, "overlaps_hot", lambda rows, counts, size: cut.append(sum(-(-n // size) for n in counts.values())) or sweep(rows, counts, size))
+    count = lambda out: Counter((r.section_key, r.version_no) for r in out.collect())
+    assert count(overlaps(df, 2)) == count(overlaps(df)) == greedy(rows)
+    assert 1 < sum(cut) <= 2 * 8  # two rows a slab would make 330

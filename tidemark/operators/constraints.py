@@ -69,19 +69,21 @@ def overlaps(versions: DataFrame, hot: int | None = None) -> DataFrame:
     list of them and a look at the neighbours decide: a sweep instead of a self-join of pairs.
 
     A section is swept by one task; with ``hot``, sections of more rows than that are swept in slabs
-    of recorded time by many, see ``hotoverlap``, with the same rows.
+    of recorded time by many, see ``hotoverlap``, with the same rows.  Where that would make more
+    slabs than the driver should hold, slabs are longer and fewer sections cut.
     """
     cols = versions.select(F.col("section_key").cast("string").alias("section_key"), F.col("version_no").cast("int").alias("version_no"), "valid_from", "valid_to", "recorded_at", "recorded_until")
-    large = {}
+    hot_rows, cold, large, size = None, cols, {}, hot
     if hot is not None:
+        from tidemark.operators.hotfold import apart, large_sections
         from tidemark.operators.hotoverlap import overlaps_hot
 
-        counts = cols.groupBy("section_key").count().where(F.col("count") > hot)
-        large = {r["section_key"]: r["count"] for r in counts.collect()}  # at most one in ``hot`` rows
-    apart = F.coalesce(F.col("section_key").isin([k for k in large if k is not None]), F.lit(None in large))
-    ordered = (cols.where(~apart) if large else cols).repartition("section_key").sortWithinPartitions("section_key", "recorded_at", "version_no")
+        large, size = large_sections(cols, hot)
+        if large:
+            hot_rows, cold = apart(cols, large)
+    ordered = cold.repartition("section_key").sortWithinPartitions("section_key", "recorded_at", "version_no")
     out = ordered.mapInArrow(_sweep, "section_key string, version_no int")
-    return out.unionByName(overlaps_hot(cols.where(apart), large, hot)) if large else out
+    return out.unionByName(overlaps_hot(hot_rows, large, size)) if large else out
 
 
 def bad_intervals(versions: DataFrame) -> DataFrame:

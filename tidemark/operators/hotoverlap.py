@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.constraints import _FAR, Live, rows_of
-from tidemark.operators.hotfold import micros, places
+from tidemark.operators.hotfold import cuts_between, micros, places
 
 _ROW = ["section_key", "version_no", "valid_from", "valid_to", "recorded_at", "recorded_until"]
 _REFUSED = "section_key string, version_no int, valid_from int, valid_to int, recorded_at long, recorded_until long, again int, first boolean"
@@ -57,7 +57,7 @@ def overlaps_hot(rows: DataFrame, counts: dict[str | None, int], size: int) -> D
     days = {c: F.unix_date(c) for c in ("valid_from", "valid_to")}
     plain = rows.withColumns(days | {c: micros(c, stamp) for c in ("recorded_at", "recorded_until")})
     most = max(-(-n // size) for n in counts.values())
-    cuts = {r["section_key"]: sorted(set(r["cuts"])) for r in plain.groupBy("section_key").agg(F.percentile_approx("recorded_at", F.array(*[F.lit(k / most) for k in range(1, most)]), 100 * most).alias("cuts")).collect()}
+    cuts = cuts_between(plain, "recorded_at", counts, size)
     once = plain.groupBy(*_ROW).agg(F.count("*").cast("int").alias("copies"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
