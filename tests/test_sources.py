@@ -79,6 +79,25 @@ def test_many_questions_are_one_scan(spark, monkeypatch):
     assert sum(got[j] != want[j] for j in range(900)) <= 3  # a sum in another order may round otherwise
 
 
+@pytest.mark.parametrize("scope", ["as_of", "believed", "one_clock", "all"])
+def test_equal_questions_are_searched_once(spark, monkeypatch, scope):
+    from tidemark.operators import retrieval
+    from tidemark.plans.measure import exact
+
+    chunks = clustered_chunks(spark, 300, dimension=8, clusters=5)
+    chunks = chunks.unionByName(chunks.where("chunk_id < 60").withColumn("chunk_id", F.col("chunk_id") + 1000))
+    asked = clustered_questions(spark, 12, "2025-01-01", "2025-06-01 00:00:00", dimension=8, clusters=5)
+    vector = F.when(F.col("question_id") == 11, F.lit(None)).otherwise(F.col("embedding"))
+    day = F.when(F.col("question_id") == 10, F.lit(None).cast("date")).otherwise(F.date_add("valid_at", (F.col("question_id") % 3 * 40).cast("int")))
+    many = asked.withColumns({"embedding": vector, "valid_at": day}).join(spark.range(9).withColumnRenamed("id", "n"), how="cross").withColumn("question_id", F.col("question_id") * 100 + F.col("n"))
+    scanned, block = [], retrieval._block
+    monkeypatch.setattr(retrieval, "_block", lambda t: scanned.append(len(t)) or block(t))
+    got = sorted(map(tuple, exact(chunks, scope)(many, 4).collect()))
+    assert 0 < sum(scanned) <= 11  # of 108
+    assert got == sorted(map(tuple, batch_nearest(chunks, many, 4, scope).collect())) and got
+    assert exact(chunks, scope)(many.limit(0), 4).count() == 0
+
+
 def test_command_line(spark, tmp_path, capsys):
     said = lambda *args: (main([*map(str, args)]), capsys.readouterr().out)[1]
     store = tmp_path / "store"

@@ -22,6 +22,8 @@ from tidemark.operators.temporal import as_of, believed, one_clock
 
 #: What a batch of questions is scanned under: both clocks, recorded time only, the day as believed now, neither.
 SCOPES = ("as_of", "believed", "one_clock", "all")
+#: The instants of a question that a scope looks at.
+_DATED = {"as_of": ("valid_at", "known_at"), "believed": ("known_at",), "one_clock": ("valid_at",), "all": ()}
 _OPEN = np.iinfo(np.int64).max
 
 
@@ -167,8 +169,7 @@ def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: st
     clocks = [c for c in ("valid_from", "valid_to", "recorded_at", "recorded_until") if c in chunks.columns]
     rows = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *clocks)
     kinds = [f"{c} {t.dataType.simpleString()}" for c, t in (("question_id", questions.schema["question_id"]), ("chunk_id", rows.schema["chunk_id"]))]
-    dated = {"as_of": ("valid_at", "known_at"), "believed": ("known_at",), "one_clock": ("valid_at",), "all": ()}[scope]
-    for c in dated:
+    for c in _DATED[scope]:
         questions = questions.where(F.col(c).isNotNull())
     wanted = questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding", *(c if c in questions.columns else F.lit(None).cast("date" if c == "valid_at" else stamp).alias(c) for c in ("valid_at", "known_at")))
     typed = wanted.select("question_id", doubles(F.col("embedding")).alias("embedding"), "valid_at", F.col("known_at").cast(stamp).alias("known_at"))
@@ -183,6 +184,21 @@ def batch_nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: st
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "distance")
 
 
+def batch_nearest_once(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: str = "as_of") -> DataFrame:
+    """``batch_nearest``, with questions of one vector, and of the same instants where the scope has them, searched as one.
+
+    The scan grows with the *different* questions; each question then gets the rows found for its
+    like, so the result is the same, row by row.  ``question_id`` must be unique.
+    """
+    asked = questions.where(F.col("embedding").isNotNull())
+    alike = ["embedding", *_DATED[scope]]
+    first = asked.groupBy(*alike).agg(F.min("question_id").alias("question_id"))
+    found = batch_nearest(chunks, first, k, scope).withColumnRenamed("question_id", "_first")
+    named = first.select(F.col("question_id").alias("_of"), *(F.col(c).alias(f"_{c}") for c in alike))
+    same = asked.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]).select("question_id", "_of")
+    return same.join(found, F.col("_of").eqNullSafe(F.col("_first"))).select("question_id", "rank", "chunk_id", "distance")
+
+
 def _resident(questions: DataFrame, block: int, resident: int) -> Iterator[pa.Table]:
     """The questions, sorted by id, in parts whose vectors take at most ``resident`` bytes; a first job tells how many there are."""
     first = questions.limit(block + 1).toArrow()

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import scoring
-from tidemark.operators.retrieval import batch_nearest
+from tidemark.operators.retrieval import batch_nearest_once
 
 #: From questions and a number of hits to ``question_id, rank, chunk_id, distance``: the place to plug another search in.
 Retriever = Callable[[DataFrame, int], DataFrame]
 
 
 def exact(chunks: DataFrame, scope: str = "all") -> Retriever:
-    """Exact search of ``chunks(chunk_id, embedding, ...)``; scopes other than ``all`` need their clocks."""
-    return lambda questions, k: batch_nearest(chunks, questions, k, scope)
+    """Exact search of ``chunks(chunk_id, embedding, ...)``; scopes other than ``all`` need their clocks.
+
+    Equal questions are searched once.
+    """
+    return lambda questions, k: batch_nearest_once(chunks, questions, k, scope)
 
 
 def measure(index: DataFrame, retrieve: Retriever, cases: DataFrame, k: int = 5, by_version: bool = True) -> DataFrame:

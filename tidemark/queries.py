@@ -805,10 +805,14 @@ def ablation_newly_red(spark, sf_dir):
 
 
 def _mixed(vectors: DataFrame, rows: DataFrame, near: Column, far: Column, share: float) -> DataFrame:
-    """``rows`` with a vector that lies near one of 500 stored vectors, moved a little towards another."""
-    a = vectors.select(F.col("vec_id").alias("_a"), F.col("embedding").cast("array<double>").alias("_x"))
-    b = vectors.select(F.col("vec_id").alias("_b"), F.col("embedding").cast("array<double>").alias("_y"))
-    joined = rows.withColumns({"_a": near % 500, "_b": far % 500}).join(a, "_a").join(b, "_b")
+    """``rows`` with a vector that lies near one of 500 stored vectors, moved a little towards another.
+
+    No other stored vectors can meet a remainder, so those travel to the rows and no row with a vector is shuffled.
+    """
+    met = vectors.where(F.abs("vec_id") < 500)
+    a = met.select(F.col("vec_id").alias("_a"), F.col("embedding").cast("array<double>").alias("_x"))
+    b = met.select(F.col("vec_id").alias("_b"), F.col("embedding").cast("array<double>").alias("_y"))
+    joined = rows.withColumns({"_a": near % 500, "_b": far % 500}).join(F.broadcast(a), "_a").join(F.broadcast(b), "_b")
     return joined.withColumn("embedding", F.zip_with("_x", "_y", lambda x, y: x + F.lit(share) * y)).drop("_a", "_b", "_x", "_y")
 
 
@@ -839,11 +843,10 @@ def idx_headline(spark, sf_dir):
     """The published index, the index of all versions, and all versions under the clocks, searched for the rule in force."""
     from tidemark.sources.corpus import version_index
 
-    vectors, v = table(spark, sf_dir, "embeddings"), versions(spark, sf_dir)
+    vectors, v = table(spark, sf_dir, "embeddings"), versions(spark, sf_dir).persist()  # folded once for all indexes and cases
     section, document = F.col("section_key").cast("long"), F.col("document_id").cast("long")
     published = _mixed(vectors, published_index(_documents_with_clauses(spark, sf_dir)), section * 7, document, 0.05)
-    clocks = v.select(F.col("version_id").alias("chunk_id"), "valid_from", "valid_to", "recorded_at", "recorded_until")
-    every = _mixed(vectors, version_index(v).join(clocks, "chunk_id"), section * 7, document, 0.05)
+    every = _mixed(vectors, version_index(v, "valid_from", "valid_to", "recorded_at", "recorded_until"), section * 7, document, 0.05)
     force = temporal.as_of(v, AT).select(F.col("section_key").alias("question_id"), "section_key", F.col("version_id").alias("chunk_id"), "document_id")
     cases = _mixed(vectors, force, section * 7, section * 3, 0.02).withColumns({"valid_at": F.lit(AT.valid_at), "known_at": temporal.moment(AT, v)})
     return headline({"published": (published, exact(published), False), "versions": (every, exact(every), True), "as_of": (every, exact(every, "as_of"), True)}, cases)

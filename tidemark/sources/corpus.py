@@ -125,9 +125,9 @@ def published_index(documents: DataFrame) -> DataFrame:
     return each.select(F.concat_ws(":", "doc_id", "c.section").alias("chunk_id"), F.col("c.section").alias("section_key"), "c.text", F.col("doc_id").alias("document_id"))
 
 
-def version_index(versions: DataFrame) -> DataFrame:
-    """A chunk for every version, closed ones too, with no filter at all."""
-    return versions.select(F.col("version_id").alias("chunk_id"), "section_key", "text", "document_id", "version_no").orderBy("section_key", "version_no")
+def version_index(versions: DataFrame, *more: str) -> DataFrame:
+    """A chunk for every version, closed ones too, with no filter at all; ``more`` columns of the version stay."""
+    return versions.select(F.col("version_id").alias("chunk_id"), "section_key", "text", "document_id", "version_no", *more).orderBy("section_key", "version_no")
 
 
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
