@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.edges import DATA, docs, empty
-from tidemark.llm import queries
+from tidemark.llm import decontam, queries
 from tidemark.llm.components import connected_components
 from tidemark.llm.decontam import MASKS, contaminated, decontaminate
 from tidemark.llm.simhash import _SHORT, _apart, _folded, _forest, _parity, _unlike, block_masks, drop_near_duplicates, links, near_duplicates
@@ -244,3 +244,19 @@ def test_decontamination_is_the_same_with_a_large_benchmark(spark):
     docs_, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     small, large = (sorted((r.doc_id, r.item_id, r.matched, r.window) for r in contaminated(docs_, items, broadcast_bytes=b).collect()) for b in (64 << 20, 0))
     assert small == large and (0, 0, 17, 20) in small
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 30_000, 0])
+def test_copies_of_an_item_are_seeded_once(spark, limit, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"u{rng.getrandbits(40)}"
+    plain = [(k, " ".join(word() for _ in range(5 + 3 * k))) for k in range(9)]
+    bench = [(k + 100 * c, t.upper() if c % 2 else t) for c in range(30) for k, t in plain] + [(None, plain[8][1]), (3, plain[7][1])]
+    texts = [(k, f"{word()} {t} {word()}") for k, t in plain] + [(50, word()), (51, None)]
+    docs_, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    seeded, seeds = [], decontam._seeds
+    monkeypatch.setattr(decontam, "_seeds", lambda rows, masks, of_items=False: seeded.append(rows.count()) or seeds(rows, masks, of_items) if of_items else seeds(rows, masks))
+    out = contaminated(docs_, items, broadcast_bytes=limit)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert seeded == [9] and (limit > 0) == ("LeftSemi" in plan or "strategy=broadcast" in plan) and (limit == 30_000) == ("LeftSemi" in plan)
+    assert {(r.doc_id, r.item_id, r.matched, r.window) for r in out.collect()} == naive_contamination(texts, bench)
